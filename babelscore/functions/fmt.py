@@ -14,33 +14,41 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _fmt(pattern: str, *args: Column) -> Column:
+    """``format_string`` that yields null, not the text "null", when an argument is null."""
+    known = args[0].isNotNull()
+    for a in args[1:]:
+        known = known & a.isNotNull()
+    return F.when(known, F.format_string(pattern, *args))
+
+
 def fixed(x, places: int) -> Column:
     """``f'{x:.{places}f}'``."""
-    return F.format_string(f"%.{places}f", F.bround(_col(x), places))
+    return _fmt(f"%.{places}f", F.bround(_col(x), places))
 
 
 def legend_label(label, n, p) -> Column:
     """``f'{label}  {n:,}  ({p:.1f}%)'`` (Figure 1 legend)."""
-    return F.format_string("%s  %,d  (%.1f%%)", _col(label), _col(n), F.bround(_col(p), 1))
+    return _fmt("%s  %,d  (%.1f%%)", _col(label), _col(n), F.bround(_col(p), 1))
 
 
 def grand_label(n) -> Column:
     """``f'n = {n:,}'`` (Figure 1 centre)."""
-    return F.format_string("n = %,d", _col(n))
+    return _fmt("n = %,d", _col(n))
 
 
 def segment_label(n, p, inside) -> Column:
     """``f'{n}\\n({p:.0f}%)'`` inside a bar, ``f'{n} ({p:.0f}%)'`` outside (Figure 2)."""
     r = F.bround(_col(p), 0)
-    return F.when(_col(inside), F.format_string("%d\n(%.0f%%)", _col(n), r)) \
-        .otherwise(F.format_string("%d (%.0f%%)", _col(n), r))
+    return F.when(_col(inside), _fmt("%d\n(%.0f%%)", _col(n), r)) \
+        .otherwise(_fmt("%d (%.0f%%)", _col(n), r))
 
 
 def share_label(p, n) -> Column:
     """``f'{p:.1f}%  (n={n})'`` (Figure 3 bars)."""
-    return F.format_string("%.1f%%  (n=%d)", F.bround(_col(p), 1), _col(n))
+    return _fmt("%.1f%%  (n=%d)", F.bround(_col(p), 1), _col(n))
 
 
 def mean_label(m) -> Column:
     """``f'Mean: {m:.3f}'`` (Figure 3 reference line)."""
-    return F.format_string("Mean: %.3f", F.bround(_col(m), 3))
+    return _fmt("Mean: %.3f", F.bround(_col(m), 3))

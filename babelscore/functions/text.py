@@ -13,6 +13,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..schema import ID_WIDTH, PANDAS_NA_TOKENS, PY_WHITESPACE
@@ -43,7 +44,7 @@ def strip_whitespace(c) -> Column:
     return F.regexp_replace(_col(c), f"^{WS_RUN}|{WS_RUN}$", "")
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def _nfkc_arrow(v: pa.Array) -> pa.Array:
     norm = unicodedata.normalize
     return pa.array([None if s is None else norm("NFKC", s) for s in v.to_pylist()],
