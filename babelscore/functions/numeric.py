@@ -17,9 +17,21 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def softmax(logits) -> Column:
-    """Numerically stable softmax over an ``array<double>``."""
+def softmax(logits, k: int | None = None) -> Column:
+    """Numerically stable softmax over an ``array<double>``.
+
+    With the length ``k`` known, it is written with scalar expressions (``greatest``, ``exp``,
+    division), which whole-stage codegen compiles; otherwise with array lambdas, which it
+    interprets. Both add the exponentials left to right."""
     x = _col(logits)
+    if k:
+        xs = [x[i] for i in range(k)]
+        m = F.greatest(*xs) if k > 1 else xs[0]
+        es = [F.exp(v - m) for v in xs]
+        total = es[0]
+        for e in es[1:]:
+            total = total + e
+        return F.array(*[e / total for e in es])
     m = F.array_max(x)
     e = F.transform(x, lambda v: F.exp(v - m))
     s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)

@@ -1,9 +1,12 @@
 """Text column functions: whitespace rules, NFKC, id padding, missing-cell tokens.
 
-All of these are Catalyst expressions except ``nfkc``, which has no Spark built-in and is an
-Arrow-batched UDF calling ``unicodedata.normalize`` per value. (``pyarrow.compute.utf8_normalize``
-was tried and rejected: in the installed pyarrow its NFC/NFKC output is decomposed, e.g.
-``'ó'`` comes back as ``'o\u0301'``.)
+All of these are Catalyst expressions. NFKC has no Spark built-in; ``nfkc`` calls ICU's
+``Normalizer.compose(text, compat=true)`` through ``reflect`` (ICU4J ships with Spark 4 for
+collations), so it stays on the JVM. Against Python's ``unicodedata`` it agrees on every code
+point up to U+2FFFF except 36 characters new in Unicode 16, which ICU 77 knows and Python's
+Unicode 15.1 does not. ``nfkc_python`` is the Arrow-batched ``unicodedata`` fallback.
+(``pyarrow.compute.utf8_normalize`` was tried and rejected: in the installed pyarrow its
+NFC/NFKC output is decomposed, e.g. ``'ó'`` comes back as ``'o\u0301'``.)
 """
 
 from __future__ import annotations
@@ -52,8 +55,15 @@ def _nfkc_arrow(v: pa.Array) -> pa.Array:
 
 
 def nfkc(c) -> Column:
-    """Unicode NFKC. Only non-ASCII values cross into Python; ASCII ones are already normal,
-    so they travel as nulls and are restored on the JVM side."""
+    """Unicode NFKC on the JVM (ICU). Null stays null."""
+    s = _col(c)
+    return F.when(s.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"),
+                                           s, F.lit(True)))
+
+
+def nfkc_python(c) -> Column:
+    """Unicode NFKC with Python's ``unicodedata``. Only non-ASCII values cross into Python;
+    ASCII ones are already normal, so they travel as nulls and are restored on the JVM side."""
     s = _col(c)
     return F.coalesce(_nfkc_arrow(F.when(s.rlike(NON_ASCII), s)), s)
 

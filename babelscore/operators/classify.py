@@ -24,7 +24,7 @@ def decide(df: DataFrame, logits: str, labels: list[str], threshold: float = DEF
     half-even to 10 places) and ``low_confidence_flag`` (unrounded confidence < threshold;
     NaN is not below it). ``keep_scores`` also keeps ``scores map<label, prob>``."""
     names = F.array(*[F.lit(l) for l in labels])
-    out = df.withColumn("__p", softmax(logits))
+    out = df.withColumn("__p", softmax(logits, len(labels)))
     conf = F.array_max("__p")
     cols = {
         "Sentiment": F.lower(F.element_at(names, argmax1("__p"))),
