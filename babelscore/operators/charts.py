@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import fmt
 from ..schema import (CLASSES, FIGURE_LANGUAGES, NEUTRAL_INSIDE_MIN_PCT, OUTSIDE_LABEL_OFFSET,
                       AXIS_HIGH_PAD, AXIS_LOW_PAD, categories_dim, classes_dim)
-from .report import MEAN_PLACES, attach, class_dist, lang_share, taxonomy
+from .report import MEAN_PLACES, LanguageCounts, attach, class_dist, lang_share, taxonomy
 
 NEUTRAL = CLASSES[1]
 
 
+def _spark(x):
+    return x.df.sparkSession if isinstance(x, LanguageCounts) else x.sparkSession
+
+
 def stack_offsets(shares: DataFrame) -> DataFrame:
     """Left edge of each stacked segment: the sum of the preceding classes' shares."""
     before = (Window.partitionBy("Language").orderBy("class_ord")
@@ -34,20 +38,20 @@ def label_placement(offsets: DataFrame) -> DataFrame:
         .withColumn("label", fmt.segment_label("n", "pct", "inside"))
 
 
-def chart_stack(scored: DataFrame, languages: list[str] | None = None,
+def chart_stack(scored, languages: list[str] | None = None,
                 denominator: str | int = "actual") -> DataFrame:
     """Figure 2: per language × class ``n, pct, left, x, inside, label, colour``."""
     shares = lang_share(scored, languages or FIGURE_LANGUAGES, denominator)
     placed = label_placement(stack_offsets(shares))
-    dim = classes_dim(scored.sparkSession).select("Sentiment", "colour")
+    dim = classes_dim(_spark(scored)).select("Sentiment", "colour")
     return attach(placed, dim, "Sentiment").select(
         "ord", "Language", "class_ord", "Sentiment", "n", "pct", "left", "x", "inside", "label", "colour")
 
 
-def chart_donut(scored: DataFrame) -> DataFrame:
+def chart_donut(scored) -> DataFrame:
     """Figure 1: per class ``n, pct, class_label, colour, legend`` and the centre text."""
     dist = class_dist(scored)
-    dim = classes_dim(scored.sparkSession).select("Sentiment", "class_label", "colour")
+    dim = classes_dim(_spark(scored)).select("Sentiment", "class_label", "colour")
     grand = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return (attach(dist, dim, "Sentiment")
             .withColumn("legend", fmt.legend_label("class_label", "n", "pct"))
@@ -55,7 +59,7 @@ def chart_donut(scored: DataFrame) -> DataFrame:
             .select("class_ord", "Sentiment", "class_label", "colour", "n", "pct", "legend", "centre"))
 
 
-def legend_labels(scored: DataFrame) -> DataFrame:
+def legend_labels(scored) -> DataFrame:
     """Figure 1 legend entries: ``Negative  1,234  (12.3%)``."""
     return chart_donut(scored).select("class_ord", "Sentiment", "legend")
 

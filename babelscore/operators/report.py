@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, safe_double
-from ..schema import (CATEGORIES, CLASSES, FIGURE_LANGUAGES, FIXED_SENTENCES_PER_LANGUAGE,
-                      LANGUAGES, AXIS_HIGH_PAD, AXIS_LOW_PAD)
+from ..schema import AXIS_HIGH_PAD, AXIS_LOW_PAD, CATEGORIES, CLASSES, FIGURE_LANGUAGES, LANGUAGES
 
 MEAN_PLACES = 6
 DENOMINATORS = ("actual", "floor_mean")
@@ -35,31 +34,38 @@ def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(dim), key, "left")
 
 
-# ---- class distribution (Figure 1) ----------------------------------------------------------
+# ---- per-language summary (Table 1) ---------------------------------------------------------
 
-def class_dist(scored: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """``class_ord, Sentiment, n, pct``: every class, absent → 0; the share is over the listed
-    classes only (an unknown label is outside the denominator)."""
-    classes = list(classes or CLASSES)
-    agg = scored.agg(*[F.count_if(_is("Sentiment", c)).alias(f"c{i}") for i, c in enumerate(classes)])
-    known = sum((F.col(f"c{i}") for i in range(len(classes))), F.lit(0))
-    return _rows(agg, [F.struct(F.lit(i).alias("class_ord"), F.lit(c).alias("Sentiment"),
-                                F.col(f"c{i}").alias("n"), pct(F.col(f"c{i}"), known).alias("pct"))
-                       for i, c in enumerate(classes)])
+class LanguageCounts:
+    """The one aggregate behind every per-language report: for each listed language and class
+    a count, plus low-confidence and row counts, and the same over all rows. One row; reports
+    are projections of it, so several reports can share one scan (``cache()`` the row)."""
 
+    def __init__(self, scored: DataFrame, languages: list[str]):
+        self.languages = list(dict.fromkeys(languages))
+        aggs = []
+        for j, lang in enumerate(self.languages):
+            in_l = _is("Language", lang)
+            aggs += [F.count_if(in_l & _is("Sentiment", c)).alias(f"l{j}_{c}") for c in CLASSES]
+            aggs += [F.count_if(in_l & F.col("low_confidence_flag")).alias(f"l{j}_lc"),
+                     F.count_if(in_l).alias(f"l{j}_n")]
+        aggs += [F.count_if(_is("Sentiment", c)).alias(f"all_{c}") for c in CLASSES]
+        aggs += [F.count_if(F.col("low_confidence_flag")).alias("all_lc"),
+                 F.count(F.lit(1)).alias("all_n")]
+        self.df = scored.agg(*aggs)
 
-# ---- per-language summary (Table 1) ---------------------------------------------------------
+    def prefix(self, lang: str) -> str:
+        return f"l{self.languages.index(lang)}"
 
-def _lang_aggs(languages: list[str]) -> list[Column]:
-    aggs = []
-    for j, lang in enumerate(languages):
-        in_l = _is("Language", lang)
-        aggs += [F.count_if(in_l & _is("Sentiment", c)).alias(f"l{j}_{c}") for c in CLASSES]
-        aggs += [F.count_if(in_l & F.col("low_confidence_flag")).alias(f"l{j}_lc"),
-                 F.count_if(in_l).alias(f"l{j}_n")]
-    aggs += [F.count_if(_is("Sentiment", c)).alias(f"all_{c}") for c in CLASSES]
-    aggs += [F.count_if(F.col("low_confidence_flag")).alias("all_lc"), F.count(F.lit(1)).alias("all_n")]
-    return aggs
+    def cache(self) -> "LanguageCounts":
+        self.df = self.df.cache()
+        return self
+
+
+def _counts(scored, languages: list[str]) -> LanguageCounts:
+    if isinstance(scored, LanguageCounts) and set(languages) <= set(scored.languages):
+        return scored
+    return LanguageCounts(scored, languages)
 
 
 def _summary_struct(ord_: int, name: str, prefix: str, is_total: bool) -> Column:
@@ -71,66 +77,81 @@ def _summary_struct(ord_: int, name: str, prefix: str, is_total: bool) -> Column
         F.lit(is_total).alias("is_total"))
 
 
-def summary_report(scored: DataFrame, languages: list[str] | None = None,
+def summary_report(scored, languages: list[str] | None = None,
                    total_label: str = "Total") -> DataFrame:
     """One row per listed language (absent → zero counts, null rate) plus a total row over
     **all** rows, unlisted languages included. Columns ``ord, Language, negative, neutral,
-    positive, low_conf_n, n, low_conf_pct, is_total``."""
+    positive, low_conf_n, n, low_conf_pct, is_total``. ``scored`` may be a ``LanguageCounts``."""
     langs = list(languages or LANGUAGES)
-    agg = scored.agg(*_lang_aggs(langs))
-    structs = [_summary_struct(j, l, f"l{j}", False) for j, l in enumerate(langs)]
+    lc = _counts(scored, langs)
+    structs = [_summary_struct(j, l, lc.prefix(l), False) for j, l in enumerate(langs)]
     structs.append(_summary_struct(len(langs), total_label, "all", True))
-    return _rows(agg, structs)
+    return _rows(lc.df, structs)
 
 
-def lang_summary(scored: DataFrame, languages: list[str] | None = None) -> DataFrame:
+def lang_summary(scored, languages: list[str] | None = None) -> DataFrame:
     """The per-language rows of ``summary_report``."""
     return summary_report(scored, languages).filter(~F.col("is_total")).drop("is_total")
 
 
-def grand_summary(scored: DataFrame) -> DataFrame:
+def grand_summary(scored) -> DataFrame:
     """``low_conf_n, n, low_conf_pct`` over every row."""
-    agg = scored.agg(F.count_if(F.col("low_confidence_flag")).alias("low_conf_n"),
-                     F.count(F.lit(1)).alias("n"))
+    if isinstance(scored, LanguageCounts):
+        agg = scored.df.select(F.col("all_lc").alias("low_conf_n"), F.col("all_n").alias("n"))
+    else:
+        agg = scored.agg(F.count_if(F.col("low_confidence_flag")).alias("low_conf_n"),
+                         F.count(F.lit(1)).alias("n"))
     return agg.withColumn("low_conf_pct", pct(F.col("low_conf_n"), F.col("n")))
 
 
+def class_dist(scored, classes: list[str] | None = None) -> DataFrame:
+    """``class_ord, Sentiment, n, pct``: every class, absent → 0; the share is over the listed
+    classes only (an unknown label is outside the denominator)."""
+    classes = list(classes or CLASSES)
+    if isinstance(scored, LanguageCounts) and classes == CLASSES:
+        agg = scored.df.select(*[F.col(f"all_{c}").alias(f"c{i}") for i, c in enumerate(classes)])
+    else:
+        agg = scored.agg(*[F.count_if(_is("Sentiment", c)).alias(f"c{i}") for i, c in enumerate(classes)])
+    known = sum((F.col(f"c{i}") for i in range(len(classes))), F.lit(0))
+    return _rows(agg, [F.struct(F.lit(i).alias("class_ord"), F.lit(c).alias("Sentiment"),
+                                F.col(f"c{i}").alias("n"), pct(F.col(f"c{i}"), known).alias("pct"))
+                       for i, c in enumerate(classes)])
+
+
 # ---- per-language class counts and shares (Figure 2) ----------------------------------------
 
-def lang_share(scored: DataFrame, languages: list[str] | None = None,
+def lang_share(scored, languages: list[str] | None = None,
                denominator: str | int = "actual") -> DataFrame:
     """``ord, Language, class_ord, Sentiment, n, denom, pct`` for every listed language × class.
 
     ``denominator``: ``'actual'`` — rows of that language; ``'floor_mean'`` — all rows // number
     of listed languages; an int — that constant (the script's 375)."""
     langs = list(languages or FIGURE_LANGUAGES)
-    agg = scored.agg(*_lang_aggs(langs))
+    lc = _counts(scored, langs)
     structs = []
     for j, lang in enumerate(langs):
+        p = lc.prefix(lang)
         if denominator == "actual":
-            denom = F.col(f"l{j}_n")
+            denom = F.col(f"{p}_n")
         elif denominator == "floor_mean":
-            denom = F.floor(F.col("all_n") / F.lit(len(langs))).cast("long")
+            denom = F.expr(f"all_n div {len(langs)}")
         elif isinstance(denominator, int) and not isinstance(denominator, bool):
             denom = F.lit(denominator).cast("long")
         else:
             raise ValueError(f"denominator must be one of {DENOMINATORS} or an int")
         for i, c in enumerate(CLASSES):
-            n = F.col(f"l{j}_{c}")
+            n = F.col(f"{p}_{c}")
             structs.append(F.struct(F.lit(j).alias("ord"), F.lit(lang).alias("Language"),
                                     F.lit(i).alias("class_ord"), F.lit(c).alias("Sentiment"),
                                     n.alias("n"), denom.alias("denom"), pct(n, denom).alias("pct")))
-    return _rows(agg, structs)
+    return _rows(lc.df, structs)
 
 
-def lang_class_counts(scored: DataFrame, languages: list[str] | None = None) -> DataFrame:
+def lang_class_counts(scored, languages: list[str] | None = None) -> DataFrame:
     """``ord, Language, class_ord, Sentiment, n``: counts per language and class, completed."""
     return lang_share(scored, languages).select("ord", "Language", "class_ord", "Sentiment", "n")
 
 
-FIXED_DENOMINATOR = FIXED_SENTENCES_PER_LANGUAGE
-
-
 # ---- annotated low-confidence taxonomy (Figure 3) -------------------------------------------
 
 def taxonomy(annotated: DataFrame, categories: list[str] | None = None,
