@@ -27,9 +27,14 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).first()
-    n, g = int(stats["n"]), max(int(stats["g"]), 1)
+                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                         max_groups: int | None = None) -> DataFrame:
+    """``max_groups``: a known bound on the number of groups (skips counting them)."""
+    if max_groups is None:
+        stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).first()
+        n, g = int(stats["n"]), max(int(stats["g"]), 1)
+    else:
+        n, g = df.count(), max_groups
     buckets = max(1, math.ceil(n / rows_per_bucket))
 
     if buckets == 1:
