@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the reference's for results to match.
 # ---------------------------------------------------------------------------
-# Languages, in the classification pipeline's order (also the summary table order).
+# Languages, in the classification job's order (also the summary table order).
 LANGUAGES = ["English", "Spanish", "French", "German", "Italian"]
 # Languages, in the order the per-language figure lists them.
 FIGURE_LANGUAGES = ["English", "French", "German", "Italian", "Spanish"]

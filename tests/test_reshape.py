@@ -38,3 +38,10 @@ def test_missing_language_column(spark):
 def test_melt_is_map_only(spark):
     plan = melt_languages(wide(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Expand" in plan
+
+
+def test_ids_as_pandas_prints_them(spark):
+    df = spark.createDataFrame([("0001", "a"), ("00012", "b"), ("x7", "c"), (None, "d"), ("-3", "e")],
+                               "sentence_id string, English string")
+    got = [r.sentence_id for r in melt_languages(df, ["English"]).orderBy("Text").collect()]
+    assert got == ["0001", "0012", "00x7", None, "-003"]
