@@ -50,7 +50,11 @@ def pivot_to_wide(long: DataFrame, id_col: str, key_col: str, value_col: str,
                   keys: dict[str, str]) -> DataFrame:
     """Inverse of the melt: one row per id, one column per key (``keys`` maps key → column).
 
-    A single hash aggregation on the id; each group holds at most ``len(keys)`` rows."""
+    One shuffle on the id; each group holds at most ``len(keys)`` rows. ``max`` of a string is
+    a sort-based aggregate, and a partial aggregate before the shuffle would sort every row on
+    the map side while merging almost nothing (an id rarely meets its other keys there), so
+    the rows are hash-partitioned on the id first: partial and final aggregation then share one
+    sort after the exchange."""
     aggs = [F.max(F.when(F.col(key_col) == k, F.col(value_col))).alias(name)
             for k, name in keys.items()]
-    return long.groupBy(id_col).agg(*aggs)
+    return long.repartition(id_col).groupBy(id_col).agg(*aggs)
