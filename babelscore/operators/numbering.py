@@ -5,7 +5,10 @@ a handful of languages and one of them holding most rows, that task holds most o
 Here the order key is cut into quantile buckets first:
 
 1. one aggregate pass gives the row count (and, when more than one bucket is needed, the bucket
-   boundaries from ``percentile_approx``; both are a few numbers on the driver);
+   boundaries from ``percentile_approx``; both are a few numbers on the driver). Small inputs
+   (under ``single_bucket_rows``) use one bucket; larger ones use at least four buckets per
+   core of the cluster, so a group holding most rows is still split across every core, and at
+   least one bucket per ``rows_per_bucket`` rows, so a window group stays spillable-small;
 2. ``row_number() over (partition by g, bucket order by k)`` — a window over many small groups;
 3. ``count(*)`` per ``(g, bucket)`` and a running sum over that tiny table give each bucket's
    offset, which is joined back. Its size is at most ``groups × buckets`` rows, known before the
@@ -21,21 +24,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
+DEFAULT_ROWS_PER_BUCKET = 200_000
+DEFAULT_SINGLE_BUCKET_ROWS = 50_000
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                          broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                         max_groups: int | None = None) -> DataFrame:
-    """``max_groups``: a known bound on the number of groups (skips counting them)."""
+                         max_groups: int | None = None,
+                         single_bucket_rows: int = DEFAULT_SINGLE_BUCKET_ROWS,
+                         min_buckets: int | None = None) -> DataFrame:
+    """``max_groups``: a known bound on the number of groups (skips counting them).
+    ``min_buckets`` defaults to four per core (``defaultParallelism``)."""
     if max_groups is None:
         stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).first()
         n, g = int(stats["n"]), max(int(stats["g"]), 1)
     else:
         n, g = df.count(), max_groups
     buckets = max(1, math.ceil(n / rows_per_bucket))
+    if n >= single_bucket_rows:
+        if min_buckets is None:
+            min_buckets = 4 * df.sparkSession.sparkContext.defaultParallelism
+        buckets = max(buckets, min_buckets)
 
     if buckets == 1:
         w = Window.partitionBy(group).orderBy(order)
