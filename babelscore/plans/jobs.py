@@ -4,8 +4,12 @@ annotated tables → report and chart tables). Run with spark-submit::
     spark-submit -m babelscore.plans.jobs classify --input wide.csv --output scored/ ...
     spark-submit -m babelscore.plans.jobs report --results scored/ --lowconf annotated.csv --outdir out/
 
-The scored table is written once (Parquet, partitioned by language) and every report reads it:
-filters on model outputs never sit above the model, and the model never runs twice.
+The scored table is written once (Parquet) and every report reads it: filters on model outputs
+never sit above the model, and the model never runs twice. The classify job has no shuffle at
+all: each task reads its split of the wide table and writes its own scored file. The write is
+not partitioned by language by default: every report reads all languages, and a
+language-partitioned write makes each task write one file per language (millions of small
+files at scale); ``partition_by='Language'`` is there for workloads that prune by language.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
                  input_format: str = "csv", languages: list[str] | None = None,
                  threshold: float = DEFAULT_THRESHOLD, batch_size: int = DEFAULT_BATCH_SIZE,
                  missing: str = "drop", form: str = "udf", csv_output: str | None = None,
-                 mode: str = "errorifexists") -> DataFrame:
+                 mode: str = "errorifexists", partition_by: str | None = None) -> DataFrame:
     """Classify the wide table and write the scored table; returns it as read back."""
     wide = read_input(spark, input_path, input_format)
     scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
                       form=form, batch_size=batch_size, sort_by_length=(form == "udf"))
-    csv_io.write_results(scored, output_path, fmt="parquet", mode=mode, partition_by="Language")
+    csv_io.write_results(scored, output_path, fmt="parquet", mode=mode, partition_by=partition_by)
     table = csv_io.read_results(spark, output_path, fmt="parquet")
     if csv_output:
         csv_io.write_results(table, csv_output, fmt="csv", mode=mode)
@@ -93,6 +97,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--input-format", choices=["csv", "parquet"], default="csv")
     c.add_argument("--output", required=True)
     c.add_argument("--csv-output")
+    c.add_argument("--partition-by", help="e.g. Language (default: unpartitioned)")
     c.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD)
     c.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_SIZE)
     c.add_argument("--missing", choices=["drop", "as_text"], default="drop")
@@ -113,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.cmd == "classify":
         classify_job(spark, args.input, args.output, _scorer(args), input_format=args.input_format,
                      threshold=args.threshold, batch_size=args.batch_size, missing=args.missing,
-                     form="udf", csv_output=args.csv_output)
+                     form="udf", csv_output=args.csv_output, partition_by=args.partition_by)
     else:
         denom = int(args.denominator) if args.denominator.isdigit() else args.denominator
         report_job(spark, args.results, args.outdir, args.lowconf, args.results_format,

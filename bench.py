@@ -51,7 +51,7 @@ def main() -> None:
     t0 = time.perf_counter()
     scored = classify(wide_from_documents(spark, sf_dir), LetterScorer(), form="udf",
                       sort_by_length=True)
-    csv_io.write_results(scored, out, fmt="parquet", partition_by="Language")
+    csv_io.write_results(scored, out, fmt="parquet")
     times["classify_job"] = round(time.perf_counter() - t0, 3)
     table = csv_io.read_results(spark, out, fmt="parquet")
     t0 = time.perf_counter()

@@ -23,7 +23,7 @@ def write_wide_csv(spark, path):
 def test_classify_and_report_jobs(spark, tmpdir_path):
     src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
     scored = classify_job(spark, src, os.path.join(tmpdir_path, "scored"), LetterScorer(),
-                          csv_output=os.path.join(tmpdir_path, "scored_csv"))
+                          csv_output=os.path.join(tmpdir_path, "scored_csv"), partition_by="Language")
     batch = classify(csv_io.read_wide(spark, src), LetterScorer(), form="catalyst")
     assert sorted(scored.select(*OUT_COLS).collect()) == sorted(batch.collect())
     assert os.path.isdir(os.path.join(tmpdir_path, "scored", "Language=English"))
