@@ -61,3 +61,21 @@ def test_stream_equals_batch(spark, tmpdir_path):
     s.awaitTermination(120)
     from babelscore.operators.report import summary_report
     assert summary_from_memory(spark, "running_summary").collect() == summary_report(want).collect()
+
+
+def test_report_job_on_pandas_written_results(spark, tmpdir_path):
+    """A results CSV as the original tooling writes it (pandas, BOM-tolerant readers) feeds the
+    report job directly, and the reports equal those computed from the typed rows."""
+    rows = [("0001", "English", 'He said "hi", ok', "He said \"hi\", ok", "neutral", 0.9, False),
+            ("0001", "Spanish", "Dijo\n\"hola\"", "He said \"hi\", ok", "negative", 0.41, True),
+            ("0002", "German", " padded ", "x", "positive", 0.7, False),
+            ("0002", "Italian", "ciao", "x", "positive", 0.45, True)]
+    pdf = pd.DataFrame(rows, columns=OUT_COLS)
+    path = os.path.join(tmpdir_path, "results.csv")
+    pdf.to_csv(path, index=False, encoding="utf-8-sig")
+    paths = report_job(spark, path, os.path.join(tmpdir_path, "out"), results_format="csv")
+    got = pd.concat(pd.read_csv(f) for f in glob.glob(paths["summary_report"] + "/*.csv")).set_index("Language")
+    assert got.loc["Total", "n"] == 4 and got.loc["Total", "low_conf_n"] == 2
+    assert got.loc["Italian", "positive"] == 1 and got.loc["French", "n"] == 0
+    low = spark.read.options(header=True, multiLine=True, escape='"').csv(paths["low_confidence_cases"])
+    assert sorted(r.Text for r in low.collect()) == sorted(["Dijo\n\"hola\"", "ciao"])
