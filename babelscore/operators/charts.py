@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt
-from ..schema import (CLASSES, FIGURE_LANGUAGES, NEUTRAL_INSIDE_MIN_PCT, OUTSIDE_LABEL_OFFSET,
-                      AXIS_HIGH_PAD, AXIS_LOW_PAD, categories_dim, classes_dim)
-from .report import MEAN_PLACES, LanguageCounts, attach, class_dist, lang_share, taxonomy
+from ..schema import (AXIS_HIGH_PAD, AXIS_LOW_PAD, CATEGORIES, CATEGORY_COLOURS, CATEGORY_LABELS,
+                      CLASS_COLOURS, CLASS_LABELS, CLASSES, FIGURE_LANGUAGES,
+                      NEUTRAL_INSIDE_MIN_PCT, OUTSIDE_LABEL_OFFSET, two_line_label)
+from .report import MEAN_PLACES, attribute, class_dist, lang_share, taxonomy
 
 NEUTRAL = CLASSES[1]
+CLASS_LABEL = dict(zip(CLASSES, CLASS_LABELS))
+CLASS_COLOUR = dict(zip(CLASSES, CLASS_COLOURS))
 
 
-def _spark(x):
-    return x.df.sparkSession if isinstance(x, LanguageCounts) else x.sparkSession
+def category_attributes(categories: list[str] | None = None) -> tuple[dict, dict]:
+    """Label and colour per category: the fixed ones for the reference's categories; for any
+    other list, two-line labels by rule and the palette by position."""
+    labels, colours = {}, {}
+    for i, c in enumerate(categories or CATEGORIES):
+        if c in CATEGORIES:
+            j = CATEGORIES.index(c)
+            labels[c], colours[c] = CATEGORY_LABELS[j], CATEGORY_COLOURS[j]
+        else:
+            labels[c], colours[c] = two_line_label(c), CATEGORY_COLOURS[i % len(CATEGORY_COLOURS)]
+    return labels, colours
 
 
 def stack_offsets(shares: DataFrame) -> DataFrame:
@@ -42,19 +54,17 @@ def chart_stack(scored, languages: list[str] | None = None,
                 denominator: str | int = "actual") -> DataFrame:
     """Figure 2: per language × class ``n, pct, left, x, inside, label, colour``."""
     shares = lang_share(scored, languages or FIGURE_LANGUAGES, denominator)
-    placed = label_placement(stack_offsets(shares))
-    dim = classes_dim(_spark(scored)).select("Sentiment", "colour")
-    return attach(placed, dim, "Sentiment").select(
+    placed = label_placement(stack_offsets(shares)).withColumn("colour", attribute("Sentiment", CLASS_COLOUR))
+    return placed.select(
         "ord", "Language", "class_ord", "Sentiment", "n", "pct", "left", "x", "inside", "label", "colour")
 
 
 def chart_donut(scored) -> DataFrame:
     """Figure 1: per class ``n, pct, class_label, colour, legend`` and the centre text."""
-    dist = class_dist(scored)
-    dim = classes_dim(_spark(scored)).select("Sentiment", "class_label", "colour")
+    dist = class_dist(scored).withColumns({"class_label": attribute("Sentiment", CLASS_LABEL),
+                                           "colour": attribute("Sentiment", CLASS_COLOUR)})
     grand = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return (attach(dist, dim, "Sentiment")
-            .withColumn("legend", fmt.legend_label("class_label", "n", "pct"))
+    return (dist.withColumn("legend", fmt.legend_label("class_label", "n", "pct"))
             .withColumn("centre", fmt.grand_label(grand))
             .select("class_ord", "Sentiment", "class_label", "colour", "n", "pct", "legend", "centre"))
 
@@ -68,14 +78,14 @@ def chart_taxonomy(annotated: DataFrame, categories: list[str] | None = None,
                    empty_mean: float | None = 0.0) -> DataFrame:
     """Figure 3: per category ``n, pct, mean_conf``, labels, colour, and the figure-wide
     weighted mean line and confidence axis bounds (same value on every row)."""
-    t = taxonomy(annotated, categories, empty_mean)
-    dim = categories_dim(annotated.sparkSession, categories).select("final_category", "label", "colour")
+    labels, colours = category_attributes(categories)
+    t = taxonomy(annotated, categories, empty_mean).withColumns({
+        "label": attribute("final_category", labels), "colour": attribute("final_category", colours)})
     every = Window.partitionBy(F.lit(0))
     has = F.col("mean_conf").isNotNull()
     wm = F.try_divide(F.sum(F.when(has, F.col("mean_conf") * F.col("n"))).over(every),
                       F.sum(F.when(has, F.col("n"))).over(every).cast("double"))
-    out = (attach(t, dim, "final_category")
-           .withColumns({
+    out = (t.withColumns({
                "bar_label": fmt.share_label("pct", "n"),
                "conf_label": fmt.fixed("mean_conf", 3),
                "weighted_mean": wm,

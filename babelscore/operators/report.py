@@ -5,8 +5,9 @@ report is one global aggregate with a ``count_if`` per domain value: the partial
 leaves one row per task, the exchange to the final aggregate carries one row per task, and no
 key can be hot. Completion (an absent class or language counts 0) and the denominators come
 out of the same pass; the wide row is turned into one row per domain value with ``inline``.
-Attributes such as colours are attached by a broadcast join with a dimension table whose
-size is fixed (``attach``).
+Fixed attributes such as colours and display labels are looked up in a literal map
+(``attribute``: an expression, no join); a dimension held as a DataFrame is attached with a
+broadcast join (``attach``), which is safe because such dimensions have a fixed, small size.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ def _rows(agg: DataFrame, structs: list[Column]) -> DataFrame:
     return agg.select(F.inline(F.array(*structs)))
 
 
+def attribute(key, mapping: dict) -> Column:
+    """Attribute lookup in a fixed mapping, as a literal map; unknown keys give null."""
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return m[F.col(key) if isinstance(key, str) else key]
+
+
 def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Attribute lookup: ``df`` left join a fixed-size dimension, broadcast."""
+    """Attribute lookup from a dimension DataFrame of fixed, small size: left join, broadcast."""
     return df.join(F.broadcast(dim), key, "left")
 
 

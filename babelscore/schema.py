@@ -97,18 +97,9 @@ def classes_dim(spark: SparkSession) -> DataFrame:
 
 
 def categories_dim(spark: SparkSession, categories: list[str] | None = None) -> DataFrame:
-    """``(ord, final_category, label, colour)``.
-
-    The reference's own categories keep their fixed labels and colours; any other list gets
-    two-line labels by rule and the palette by position (cycled).
-    """
+    """``(ord, final_category, label, colour)``; labels and colours as in the Figure 3 table."""
+    from .operators.charts import category_attributes
     cats = list(categories or CATEGORIES)
-    rows = []
-    for i, c in enumerate(cats):
-        if c in CATEGORIES:
-            j = CATEGORIES.index(c)
-            label, colour = CATEGORY_LABELS[j], CATEGORY_COLOURS[j]
-        else:
-            label, colour = two_line_label(c), CATEGORY_COLOURS[i % len(CATEGORY_COLOURS)]
-        rows.append((i, c, label, colour))
-    return spark.createDataFrame(rows, "ord int, final_category string, label string, colour string")
+    labels, colours = category_attributes(cats)
+    return spark.createDataFrame([(i, c, labels[c], colours[c]) for i, c in enumerate(cats)],
+                                 "ord int, final_category string, label string, colour string")
