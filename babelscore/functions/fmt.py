@@ -52,3 +52,26 @@ def share_label(p, n) -> Column:
 def mean_label(m) -> Column:
     """``f'Mean: {m:.3f}'`` (Figure 3 reference line)."""
     return _fmt("Mean: %.3f", F.bround(_col(m), 3))
+
+
+def fixed_or_nan(x, places: int) -> Column:
+    """``f'{x:.{places}f}'`` where a missing value prints as Python's ``nan``."""
+    return F.coalesce(fixed(x, places), F.lit("nan"))
+
+
+def summary_line(lang, neg, neu, pos, low, pct) -> Column:
+    """One per-language line of the classification summary:
+    ``f'  {lang:<10} neg={neg:3d}  neu={neu:3d}  pos={pos:3d}  | low-conf={low} ({pct:.1f}%)'``."""
+    head = _fmt("  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (",
+                _col(lang), _col(neg), _col(neu), _col(pos), _col(low))
+    return F.concat(head, fixed_or_nan(pct, 1), F.lit("%)"))
+
+
+def total_line(low, n, pct, threshold: float | None = None) -> Column:
+    """The closing line: ``f'  Total low-confidence (< {threshold}): {low} / {n} ({pct:.1f}%)'``,
+    or with ``threshold=None`` the notebook's ``f'  Total low-confidence: {low}/{n} ({pct:.1f}%)'``."""
+    if threshold is None:
+        head = _fmt("  Total low-confidence: %d/%d (", _col(low), _col(n))
+    else:
+        head = _fmt(f"  Total low-confidence (< {threshold!r}): %d / %d (", _col(low), _col(n))
+    return F.concat(head, fixed_or_nan(pct, 1), F.lit("%)"))

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, safe_double
-from ..schema import AXIS_HIGH_PAD, AXIS_LOW_PAD, CATEGORIES, CLASSES, FIGURE_LANGUAGES, LANGUAGES
+from ..schema import (AXIS_HIGH_PAD, AXIS_LOW_PAD, CATEGORIES, CLASSES, DEFAULT_THRESHOLD,
+                      FIGURE_LANGUAGES, LANGUAGES)
 
 MEAN_PLACES = 6
 DENOMINATORS = ("actual", "floor_mean")
@@ -125,6 +126,17 @@ def class_dist(scored, classes: list[str] | None = None) -> DataFrame:
                        for i, c in enumerate(classes)])
 
 
+def summary_lines(scored, languages: list[str] | None = None,
+                  threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:
+    """The printed classification summary as rows ``(ord, line)``: one fixed-width line per
+    listed language, then the total line (``threshold=None`` gives the notebook's wording)."""
+    from ..functions import fmt
+    rows = summary_report(scored, languages)
+    line = F.when(F.col("is_total"), fmt.total_line("low_conf_n", "n", "low_conf_pct", threshold)) \
+        .otherwise(fmt.summary_line("Language", *CLASSES, "low_conf_n", "low_conf_pct"))
+    return rows.select("ord", line.alias("line"))
+
+
 # ---- per-language class counts and shares (Figure 2) ----------------------------------------
 
 def lang_share(scored, languages: list[str] | None = None,

@@ -154,6 +154,7 @@ def queries() -> dict[str, Query]:
         "lang_summary": _rep(report.lang_summary, languages=LANGUAGES),
         "grand_summary": _rep(report.grand_summary),
         "summary_report": _rep(report.summary_report, languages=LANGUAGES),
+        "summary_lines": _rep(report.summary_lines, languages=LANGUAGES),
         "lang_share": _rep(report.lang_share, languages=FIGURE_LANGUAGES, denominator="actual"),
         "lang_share_floor": _rep(report.lang_share, languages=FIGURE_LANGUAGES, denominator="floor_mean"),
         "lang_share_fixed": _rep(report.lang_share, languages=FIGURE_LANGUAGES,
@@ -357,6 +358,15 @@ UNION ALL
 SELECT {len(pl)} AS ord, 'Total' AS "Language", {total_counts},
        CAST(count_if(low_confidence_flag) AS BIGINT) AS low_conf_n, count(*) AS n,
        {_pct('count_if(low_confidence_flag)', 'count(*)')} AS low_conf_pct, true AS is_total
+FROM scored""",
+        "summary_lines": lang_rows + f"""SELECT ord, printf('  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (',
+       "Language", negative, neutral, positive, low_conf_n)
+       || coalesce(printf('%.1f', round_even(low_conf_pct, 1)), 'nan') || '%)' AS line
+FROM rows
+UNION ALL
+SELECT {len(pl)} AS ord, printf('  Total low-confidence (< 0.5): %d / %d (', count_if(low_confidence_flag), count(*))
+       || coalesce(printf('%.1f', round_even({_pct('count_if(low_confidence_flag)', 'count(*)')}, 1)), 'nan')
+       || '%)' AS line
 FROM scored""",
         "lang_share": share("actual") + "SELECT * FROM share",
         "lang_share_floor": share("floor_mean") + "SELECT * FROM share",
