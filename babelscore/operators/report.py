@@ -62,6 +62,14 @@ class LanguageCounts:
                  F.count(F.lit(1)).alias("all_n")]
         self.df = scored.agg(*aggs)
 
+    @classmethod
+    def from_row(cls, row: DataFrame, languages: list[str]) -> "LanguageCounts":
+        """Wrap an already computed aggregate row (e.g. a streaming query's result table)."""
+        counts = cls.__new__(cls)
+        counts.languages = list(dict.fromkeys(languages))
+        counts.df = row
+        return counts
+
     def prefix(self, lang: str) -> str:
         return f"l{self.languages.index(lang)}"
 

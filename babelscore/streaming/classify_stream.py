@@ -12,16 +12,16 @@ There is no event time in the input, so no watermark or window applies.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import na_to_null
 from ..operators.classify import classify
 from ..operators.report import LanguageCounts, summary_report
 from ..operators.scoring import Scorer
 from ..schema import DEFAULT_THRESHOLD, LANGUAGES, OUT_COLS, wide_string_schema
 from ..session import scratch_path
 from ..sources.csv_io import READ_OPTIONS
-from ..functions.text import na_to_null
-from pyspark.sql import functions as F
 
 
 def read_wide_stream(spark: SparkSession, input_dir: str, languages: list[str] | None = None,
@@ -64,7 +64,5 @@ def summary_stream(scored_stream: DataFrame, query_name: str, languages: list[st
 def summary_from_memory(spark: SparkSession, query_name: str,
                         languages: list[str] | None = None) -> DataFrame:
     """The summary report from the running aggregate kept by ``summary_stream``."""
-    counts = LanguageCounts.__new__(LanguageCounts)
-    counts.languages = list(dict.fromkeys(languages or LANGUAGES))
-    counts.df = spark.table(query_name)
-    return summary_report(counts, languages or LANGUAGES)
+    langs = languages or LANGUAGES
+    return summary_report(LanguageCounts.from_row(spark.table(query_name), langs), langs)
