@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_RUN
+from .text import strip_whitespace
 
 # A plain decimal number: sign, digits with an optional point, optional exponent. Python's
 # float() also takes '1_0', 'inf' and 'nan' and Spark's cast also takes '1.0d'; the report
@@ -46,14 +46,10 @@ def argmax1(probs) -> Column:
 
 def safe_double(c) -> Column:
     """Parse a confidence cell: trimmed decimal numbers only, anything else is null."""
-    s = F.regexp_replace(_col(c), f"^{WS_RUN}|{WS_RUN}$", "")
+    s = strip_whitespace(c)
     return F.when(s.rlike(DECIMAL_NUMBER), s.try_cast("double"))
 
 
-def round_half_even(c, places: int) -> Column:
-    return F.bround(_col(c), places)
-
-
 def pct(n, total) -> Column:
     """``n / total * 100`` in double; null when the total is zero."""
     return F.try_divide(_col(n).cast("double"), _col(total).cast("double")) * F.lit(100.0)

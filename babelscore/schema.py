@@ -65,13 +65,6 @@ PY_WHITESPACE = (
 OUT_COLS = ["sentence_id", "Language", "Text", "English_source", "Sentiment", "Confidence",
             "low_confidence_flag"]
 
-RESULTS_STRING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in OUT_COLS])
-ANNOTATED_STRING_SCHEMA = T.StructType([
-    T.StructField("final_category", T.StringType()),
-    T.StructField("Confidence", T.StringType()),
-])
-
-
 def wide_string_schema(languages: list[str] | None = None) -> T.StructType:
     cols = ["sentence_id"] + list(languages or LANGUAGES)
     return T.StructType([T.StructField(c, T.StringType()) for c in cols])
@@ -83,13 +76,6 @@ def two_line_label(name: str) -> str:
     return f"{head}\n{tail}" if sep else name
 
 
-def languages_dim(spark: SparkSession, languages: list[str] | None = None) -> DataFrame:
-    """``(ord, Language)``; ``ord`` is the display position."""
-    langs = list(languages or LANGUAGES)
-    return spark.createDataFrame([(i, l) for i, l in enumerate(langs)],
-                                 "ord int, Language string")
-
-
 def classes_dim(spark: SparkSession) -> DataFrame:
     """``(class_ord, Sentiment, class_label, colour)`` in model order."""
     rows = [(i, c, l, col) for i, (c, l, col) in enumerate(zip(CLASSES, CLASS_LABELS, CLASS_COLOURS))]
