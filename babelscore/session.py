@@ -46,12 +46,16 @@ def build_session(master: str | None = None, app_name: str = "babelscore",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if none is configured."""
+    """Return the shared checkpoint folder. Only a local session without one gets a local
+    folder; a cluster session without one is an error."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        # Unset: this is a local session (tests, a single machine), so a local folder is right.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach; "
+                             "a machine-local folder does not work on a cluster")
+        # Unset on a local session (tests, one machine): a local folder is right.
         path = tempfile.mkdtemp(prefix="babelscore-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if not spark.sparkContext.getCheckpointDir():
