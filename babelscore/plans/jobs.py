@@ -26,17 +26,22 @@ from ..schema import (CATEGORIES, DEFAULT_BATCH_SIZE, DEFAULT_THRESHOLD, FIGURE_
 from ..sources import csv_io
 
 
-def read_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return spark.read.parquet(path) if fmt == "parquet" else csv_io.read_wide(spark, path)
+def read_input(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+    """The wide table. ``multiline=False`` (no quoted line breaks in the input) lets Spark split
+    each CSV file across tasks; with line breaks allowed a file is read by one task."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    return csv_io.read_wide(spark, path, multiline=multiline)
 
 
 def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer: Scorer,
                  input_format: str = "csv", languages: list[str] | None = None,
                  threshold: float = DEFAULT_THRESHOLD, batch_size: int = DEFAULT_BATCH_SIZE,
                  missing: str = "drop", form: str = "udf", csv_output: str | None = None,
-                 mode: str = "errorifexists", partition_by: str | None = None) -> DataFrame:
+                 mode: str = "errorifexists", partition_by: str | None = None,
+                 multiline: bool = True) -> DataFrame:
     """Classify the wide table and write the scored table; returns it as read back."""
-    wide = read_input(spark, input_path, input_format)
+    wide = read_input(spark, input_path, input_format, multiline)
     scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
                       form=form, batch_size=batch_size, sort_by_length=(form == "udf"))
     csv_io.write_results(scored, output_path, fmt="parquet", mode=mode, partition_by=partition_by)
@@ -97,6 +102,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--input-format", choices=["csv", "parquet"], default="csv")
     c.add_argument("--output", required=True)
     c.add_argument("--csv-output")
+    c.add_argument("--single-line", action="store_true",
+                   help="the input CSV has no quoted line breaks: split files across tasks")
     c.add_argument("--partition-by", help="e.g. Language (default: unpartitioned)")
     c.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD)
     c.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_SIZE)
@@ -118,7 +125,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.cmd == "classify":
         classify_job(spark, args.input, args.output, _scorer(args), input_format=args.input_format,
                      threshold=args.threshold, batch_size=args.batch_size, missing=args.missing,
-                     form="udf", csv_output=args.csv_output, partition_by=args.partition_by)
+                     form="udf", csv_output=args.csv_output, partition_by=args.partition_by,
+                     multiline=not args.single_line)
     else:
         denom = int(args.denominator) if args.denominator.isdigit() else args.denominator
         report_job(spark, args.results, args.outdir, args.lowconf, args.results_format,

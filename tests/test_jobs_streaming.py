@@ -79,3 +79,20 @@ def test_report_job_on_pandas_written_results(spark, tmpdir_path):
     assert got.loc["Italian", "positive"] == 1 and got.loc["French", "n"] == 0
     low = spark.read.options(header=True, multiLine=True, escape='"').csv(paths["low_confidence_cases"])
     assert sorted(r.Text for r in low.collect()) == sorted(["Dijo\n\"hola\"", "ciao"])
+
+
+def test_single_line_csv_is_split(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "big.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("sentence_id,English,Spanish\n")
+        for i in range(40000):
+            f.write(f"{i},the bus number {i} was late again today,el autobus llego tarde\n")
+    from babelscore.plans.jobs import read_input
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        split = read_input(spark, path, multiline=False)
+        whole = read_input(spark, path, multiline=True)
+        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 40000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
