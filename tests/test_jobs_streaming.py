@@ -96,3 +96,17 @@ def test_single_line_csv_is_split(spark, tmpdir_path):
         assert split.count() == whole.count() == 40000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_report_tables_share_one_scan(spark, tmpdir_path):
+    from babelscore.plans.jobs import report_tables
+    src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
+    scored = classify_job(spark, src, os.path.join(tmpdir_path, "scored"), LetterScorer())
+    tables = report_tables(scored)
+    for name in ("summary_report", "class_dist", "chart_donut", "chart_stack"):
+        tables[name].collect()
+        plan = tables[name]._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in plan, name
+        assert "ReadSchema: struct<Language:string,Sentiment:string,low_confidence_flag:boolean>" in plan
+    scan = tables["low_confidence_cases"]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(low_confidence_flag), EqualTo(low_confidence_flag,true)]" in scan
