@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import charts, report
 from ..operators.classify import classify, low_confidence_cases
@@ -39,11 +40,17 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
                  threshold: float = DEFAULT_THRESHOLD, batch_size: int = DEFAULT_BATCH_SIZE,
                  missing: str = "drop", form: str = "udf", csv_output: str | None = None,
                  mode: str = "errorifexists", partition_by: str | None = None,
-                 multiline: bool = True) -> DataFrame:
-    """Classify the wide table and write the scored table; returns it as read back."""
+                 multiline: bool = True, observation: Observation | None = None) -> DataFrame:
+    """Classify the wide table and write the scored table; returns it as read back.
+
+    ``observation`` receives ``records`` and ``low_conf`` counted while the table is written
+    (no second pass over the data)."""
     wide = read_input(spark, input_path, input_format, multiline)
     scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
                       form=form, batch_size=batch_size, sort_by_length=(form == "udf"))
+    if observation is not None:
+        scored = scored.observe(observation, F.count(F.lit(1)).alias("records"),
+                                F.count_if(F.col("low_confidence_flag")).alias("low_conf"))
     csv_io.write_results(scored, output_path, fmt="parquet", mode=mode, partition_by=partition_by)
     table = csv_io.read_results(spark, output_path, fmt="parquet")
     if csv_output:
@@ -123,10 +130,19 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import build_session
     spark = build_session(app_name=f"babelscore-{args.cmd}")
     if args.cmd == "classify":
-        classify_job(spark, args.input, args.output, _scorer(args), input_format=args.input_format,
-                     threshold=args.threshold, batch_size=args.batch_size, missing=args.missing,
-                     form="udf", csv_output=args.csv_output, partition_by=args.partition_by,
-                     multiline=not args.single_line)
+        obs = Observation("classify")
+        table = classify_job(spark, args.input, args.output, _scorer(args),
+                             input_format=args.input_format, threshold=args.threshold,
+                             batch_size=args.batch_size, missing=args.missing, form="udf",
+                             csv_output=args.csv_output, partition_by=args.partition_by,
+                             multiline=not args.single_line, observation=obs)
+        print(f"Total records classified: {obs.get['records']}")
+        print("\n── Results summary ──")
+        lines = report.summary_lines(table, LANGUAGES, args.threshold).orderBy("ord").collect()
+        for r in lines[:-1]:
+            print(r.line)
+        print("\n" + lines[-1].line)
+        print(f"\nResults saved to: {args.output}")
     else:
         denom = int(args.denominator) if args.denominator.isdigit() else args.denominator
         report_job(spark, args.results, args.outdir, args.lowconf, args.results_format,

@@ -39,11 +39,14 @@ def test_classify_and_report_jobs(spark, tmpdir_path):
     assert len(tax) == 6
 
 
-def test_cli_classify(spark, tmpdir_path):
+def test_cli_classify(spark, tmpdir_path, capsys):
     src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
     out = os.path.join(tmpdir_path, "scored")
     jobs_main(["classify", "--input", src, "--output", out])
     assert spark.read.parquet(out).count() == 200
+    printed = capsys.readouterr().out
+    assert "Total records classified: 200" in printed
+    assert "  English    neg=" in printed and "Total low-confidence (< 0.5): " in printed
 
 
 def test_stream_equals_batch(spark, tmpdir_path):
