@@ -45,3 +45,19 @@ def test_missing_input_raises(spark, tmpdir_path):
     import pytest
     with pytest.raises(AnalysisException):
         csv_io.read_wide(spark, os.path.join(tmpdir_path, "absent.csv")).collect()
+
+
+def test_missing_cells_through_csv(spark, tmpdir_path):
+    from babelscore.operators.reshape import melt_languages
+    p = os.path.join(tmpdir_path, "wide_na.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("sentence_id,English,Spanish,French\n1,,None,NA\n2,ok,n/a,fine\n")
+    wide = csv_io.read_wide(spark, p)
+    as_text = {(r.sentence_id, r.Language): r.Text
+               for r in melt_languages(wide, ["English", "Spanish", "French"], missing="as_text").collect()}
+    assert as_text == {("0001", "English"): "nan", ("0001", "Spanish"): "nan", ("0001", "French"): "nan",
+                       ("0002", "English"): "ok", ("0002", "Spanish"): "nan", ("0002", "French"): "fine"}
+    ref = pd.read_csv(p)
+    assert [str(v) for v in ref.iloc[0, 1:]] == ["nan", "nan", "nan"]
+    dropped = melt_languages(wide, ["English", "Spanish", "French"]).collect()
+    assert sorted((r.sentence_id, r.Language) for r in dropped) == [("0002", "English"), ("0002", "French")]
