@@ -27,11 +27,17 @@ def norm(rows):
     return sorted((tuple(v(x) for x in r) for r in rows), key=repr)
 
 
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                   "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     df = E.queries()[name](spark, SF001)
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes} == duck_types
     idx = [rel.columns.index(c) for c in df.columns]
     want = [tuple(r[i] for i in idx) for r in rel.fetchall()]
     assert norm(df.collect()) == norm(want)
