@@ -260,21 +260,25 @@ rows AS (SELECT d.ord, d."Language", {", ".join(f"coalesce(a.{c}, 0) AS {c}" for
          FROM {_langs(langs)} d LEFT JOIN agg a ON a."Language" = d."Language")"""
 
 
+def _lang_classes(langs):
+    return _values([(j, l, i, c) for j, l in enumerate(langs) for i, c in enumerate(CLASSES)],
+                   'ord, "Language", class_ord, "Sentiment"')
+
+
 def _share(langs, denominator) -> str:
     if denominator == "actual":
         denom = "coalesce(tot.n, 0)"
     elif denominator == "floor_mean":
-        denom = f"(allrows.n // {len(langs)})"
+        denom = f"((SELECT count(*) FROM scored) // {len(langs)})"
     else:
         denom = f"CAST({int(denominator)} AS BIGINT)"
     return f"""cnt AS (SELECT "Language", "Sentiment", count(*) AS n FROM scored GROUP BY ALL),
 tot AS (SELECT "Language", count(*) AS n FROM scored GROUP BY ALL),
-allrows AS (SELECT count(*) AS n FROM scored),
 share AS (
-  SELECT d.ord, d."Language", c.class_ord, c."Sentiment", coalesce(cnt.n, 0) AS n, {denom} AS denom,
+  SELECT d.ord, d."Language", d.class_ord, d."Sentiment", coalesce(cnt.n, 0) AS n, {denom} AS denom,
          {_pct('coalesce(cnt.n, 0)', denom)} AS pct
-  FROM {_langs(langs)} d CROSS JOIN {_CLS} c CROSS JOIN allrows
-  LEFT JOIN cnt ON cnt."Language" = d."Language" AND cnt."Sentiment" = c."Sentiment"
+  FROM {_lang_classes(langs)} d
+  LEFT JOIN cnt ON cnt."Language" = d."Language" AND cnt."Sentiment" = d."Sentiment"
   LEFT JOIN tot ON tot."Language" = d."Language")"""
 
 
@@ -307,12 +311,11 @@ parsed AS (SELECT final_category,
            FROM trimmed),
 agg AS (SELECT final_category, count(*) AS n, count(conf) AS n_parsed, avg(conf) AS mean_conf
         FROM parsed GROUP BY final_category),
-tot AS (SELECT count(*) AS total FROM annotated),
 tax AS (
   SELECT c.ord, c.final_category, c.label, c.colour, coalesce(a.n, 0) AS n,
-         {_pct('coalesce(a.n, 0)', 't.total')} AS pct, coalesce(a.n_parsed, 0) AS n_parsed,
-         coalesce(a.mean_conf, CAST(0 AS DOUBLE)) AS mean_conf
-  FROM {_cats(cats)} c CROSS JOIN tot t LEFT JOIN agg a ON a.final_category = c.final_category)"""
+         {_pct('coalesce(a.n, 0)', '(SELECT count(*) FROM annotated)')} AS pct,
+         coalesce(a.n_parsed, 0) AS n_parsed, coalesce(a.mean_conf, CAST(0 AS DOUBLE)) AS mean_conf
+  FROM {_cats(cats)} c LEFT JOIN agg a ON a.final_category = c.final_category)"""
 
 
 TAX = f"WITH {_taxonomy(EVENT_CATEGORIES)}\n"
