@@ -74,15 +74,20 @@ class OnnxScorer:
 
     Texts are truncated to ``max_length`` tokens and padded to the longest in the batch; the
     first graph output is taken as the logits. Model files are read from ``model_path`` and
-    ``tokenizer_path``, which must be readable from every executor. Not validated here: no
-    model weights are available offline.
+    ``tokenizer_path``, which must be readable from every executor. ``threads`` is the
+    intra-op thread count of each worker's session: keep it at ``spark.task.cpus`` so
+    concurrent tasks on an executor do not oversubscribe its cores. ``providers`` selects the
+    execution providers (e.g. CUDA first when executors have GPUs).
     """
 
     def __init__(self, model_path: str, tokenizer_path: str, labels: list[str] | None = None,
-                 max_length: int = DEFAULT_MAX_TOKENS, pad_id: int = 1):
+                 max_length: int = DEFAULT_MAX_TOKENS, pad_id: int = 1, threads: int = 1,
+                 providers: list[str] | None = None):
         self.model_path, self.tokenizer_path = model_path, tokenizer_path
         self.labels = list(labels or CLASSES)
         self.max_length, self.pad_id = max_length, pad_id
+        self.threads = threads
+        self.providers = list(providers or ["CPUExecutionProvider"])
 
     def logits(self, text: Column) -> None:
         return None
@@ -94,7 +99,10 @@ class OnnxScorer:
         tok = Tokenizer.from_file(self.tokenizer_path)
         tok.enable_truncation(self.max_length)
         tok.enable_padding(pad_id=self.pad_id)
-        sess = ort.InferenceSession(self.model_path, providers=["CPUExecutionProvider"])
+        opts = ort.SessionOptions()
+        opts.intra_op_num_threads = self.threads
+        opts.inter_op_num_threads = 1
+        sess = ort.InferenceSession(self.model_path, sess_options=opts, providers=self.providers)
         wanted = {i.name for i in sess.get_inputs()}
 
         def predict(texts: np.ndarray) -> np.ndarray:
