@@ -72,7 +72,9 @@ def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     if g * (len(splits) + 1) <= broadcast_rows:
         offsets = F.broadcast(offsets)
-    cond = local[group].eqNullSafe(offsets["__g"]) & (local["__bucket"] == offsets["__b"])
+    # Null-safe on both keys: a null group or a null order key (null bucket, ordered first as
+    # in the plain window) must keep its rows.
+    cond = local[group].eqNullSafe(offsets["__g"]) & local["__bucket"].eqNullSafe(offsets["__b"])
     return (local.join(offsets, cond, "inner")
             .withColumn(out, (F.col("__offset") + F.col("__local")).cast("long"))
             .drop("__g", "__b", "__offset", "__local", "__bucket"))

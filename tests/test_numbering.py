@@ -38,3 +38,17 @@ def test_null_group_kept(spark):
     got = number_within_groups(df, "g", "k", rows_per_bucket=5)
     assert got.count() == df.count()
     assert sorted(r.rn for r in got.filter("g is null").collect()) == [1, 2]
+
+
+def test_null_order_keys_kept_and_first(spark):
+    rows = [("a", None), ("a", None)] + [("a", i) for i in range(60)] + [("b", None)] + [("b", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = number_within_groups(df, "g", "k", rows_per_bucket=8)
+    assert got.count() == df.count()
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.g, []).append((r.k, r.rn))
+    for g, pairs in by.items():
+        assert sorted(rn for _, rn in pairs) == list(range(1, len(pairs) + 1))
+        nulls = sorted(rn for k, rn in pairs if k is None)
+        assert nulls == list(range(1, len(nulls) + 1))
