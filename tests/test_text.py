@@ -67,3 +67,24 @@ def test_clean_property_matches_python(spark, texts):
     for t, g, w in zip(texts, got, want):
         if all(unicodedata.category(c) != "Cn" for c in t):
             assert g == w
+
+
+def test_whitespace_constants_agree_with_python():
+    import re
+    from babelscore.schema import PY_WHITESPACE, PY_WHITESPACE_CHARS
+    want = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+    assert PY_WHITESPACE_CHARS == want
+    java_style = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\x{int(m.group(1), 16):02x}" if len(m.group(1)) <= 2
+                        else f"\\u{int(m.group(1), 16):04x}", PY_WHITESPACE)
+    cls = re.compile(f"[{java_style}]")
+    assert "".join(chr(i) for i in range(0x110000) if cls.match(chr(i))) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab \t\n\r\x0b\x1c\xa0\u2003\u3000\u200b.")), max_size=25),
+                min_size=1, max_size=10))
+def test_collapse_matches_regex_form(spark, texts):
+    from babelscore.functions.text import WS_RUN
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = df.select(collapse_whitespace("v"), F.trim(F.regexp_replace("v", WS_RUN, " "))).collect()
+    assert all(a == b == " ".join(t.split()) for (a, b), t in zip(got, texts))
