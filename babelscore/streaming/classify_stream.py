@@ -45,6 +45,7 @@ def classify_stream(wide_stream: DataFrame, output_dir: str, scorer: Scorer,
     spark = wide_stream.sparkSession
     scored = classify(wide_stream, scorer, languages or LANGUAGES, threshold=threshold, form=form)
     w = (scored.select(*OUT_COLS).writeStream.format("parquet").outputMode("append")
+         .option("compression", "zstd")
          .option("checkpointLocation", checkpoint_dir or scratch_path(spark, "classify-stream-ckpt")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(output_dir)
