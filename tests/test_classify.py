@@ -62,3 +62,15 @@ def test_clean_text_not_in_output_and_text_raw(spark):
     assert r.Text == "  a  n  "
     s = score(melt_languages(df), LetterScorer()).first()
     assert s.clean_text == "a n"
+
+
+def test_classify_job_plan_has_no_shuffle(spark, tmpdir_path):
+    from babelscore.sources import csv_io
+    path = tmpdir_path + "/wide.parquet"
+    wide_from_documents(spark, SF001).write.parquet(path)
+    wide = spark.read.parquet(path)
+    for form in ("catalyst", "udf"):
+        plan = classify(wide, LetterScorer(), form=form, sort_by_length=True)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, form
+    csv_io.write_results(classify(wide, LetterScorer(), form="udf"), tmpdir_path + "/scored")
+    assert spark.read.parquet(tmpdir_path + "/scored").count() == 200
