@@ -24,6 +24,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import default_parallelism
+
 DEFAULT_ROWS_PER_BUCKET = 200_000
 DEFAULT_SINGLE_BUCKET_ROWS = 50_000
 DEFAULT_BROADCAST_ROWS = 1_000_000
@@ -45,7 +47,7 @@ def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
     buckets = max(1, math.ceil(n / rows_per_bucket))
     if n >= single_bucket_rows:
         if min_buckets is None:
-            min_buckets = 4 * df.sparkSession.sparkContext.defaultParallelism
+            min_buckets = 4 * default_parallelism(df.sparkSession)
         buckets = max(buckets, min_buckets)
 
     if buckets == 1:

@@ -45,21 +45,38 @@ def build_session(master: str | None = None, app_name: str = "babelscore",
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder. Only a local session without one gets a local
     folder; a cluster session without one is an error."""
+    sc = _context(spark)
     path = spark.conf.get(CHECKPOINT_CONF, None)
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach; "
                              "a machine-local folder does not work on a cluster")
         # Unset on a local session (tests, one machine): a local folder is right.
         path = tempfile.mkdtemp(prefix="babelscore-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
