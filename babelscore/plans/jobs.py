@@ -1,8 +1,8 @@
 """The two batch jobs: ``classify`` (wide table → scored table) and ``report`` (scored and
 annotated tables → report and chart tables). Run with spark-submit::
 
-    spark-submit -m babelscore.plans.jobs classify --input wide.csv --output scored/ ...
-    spark-submit -m babelscore.plans.jobs report --results scored/ --lowconf annotated.csv --outdir out/
+    spark-submit --py-files babelscore.zip babelscore_job.py classify --input wide.csv --output scored/
+    spark-submit --py-files babelscore.zip babelscore_job.py report --results scored/ --outdir out/
 
 The scored table is written once (Parquet) and every report reads it: filters on model outputs
 never sit above the model, and the model never runs twice. The classify job has no shuffle at
