@@ -2,7 +2,6 @@
 import math
 import unicodedata
 
-from pyspark.sql import functions as F
 
 from babelscore.operators.classify import classify, score
 from babelscore.operators.reshape import melt_languages

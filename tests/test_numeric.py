@@ -3,7 +3,6 @@ import math
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from babelscore.functions import fmt
 from babelscore.functions.numeric import argmax1, safe_double, softmax

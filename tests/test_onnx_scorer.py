@@ -1,6 +1,5 @@
 """OnnxScorer through predict_batch_udf, with a tiny real ONNX model (tests/onnx_fixture.py)."""
 import numpy as np
-from pyspark.sql import functions as F
 
 import onnx_fixture as fx
 from babelscore.operators.classify import classify, score
