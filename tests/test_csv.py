@@ -61,3 +61,18 @@ def test_missing_cells_through_csv(spark, tmpdir_path):
     assert [str(v) for v in ref.iloc[0, 1:]] == ["nan", "nan", "nan"]
     dropped = melt_languages(wide, ["English", "Spanish", "French"]).collect()
     assert sorted((r.sentence_id, r.Language) for r in dropped) == [("0002", "English"), ("0002", "French")]
+
+
+def test_crlf_files(spark, tmpdir_path):
+    """Windows line endings: field ends stay clean; inside a quoted field Spark's parser turns
+    CRLF into LF (pandas keeps CRLF). The cleaned text, and so the class, is the same."""
+    from pyspark.sql import functions as F
+    from babelscore.functions.text import clean
+    p = os.path.join(tmpdir_path, "crlf.csv")
+    with open(p, "wb") as f:
+        f.write(b'sentence_id,English,Spanish\r\n1,"two\r\nlines",hola\r\n2,plain,adios\r\n')
+    got = csv_io.read_wide(spark, p).orderBy("sentence_id")
+    assert [tuple(r) for r in got.collect()] == [("1", "two\nlines", "hola"), ("2", "plain", "adios")]
+    ref = pd.read_csv(p, dtype=str)
+    assert ref.English[0] == "two\r\nlines"
+    assert got.select(clean(F.col("English"))).first()[0] == " ".join(ref.English[0].split())
