@@ -14,7 +14,8 @@ Here the order key is cut into quantile buckets first:
    offset, which is joined back. Its size is at most ``groups × buckets`` rows, known before the
    plan is built, so it is broadcast only when that bound is under ``broadcast_rows``.
 
-The order key should be (close to) unique within a group, as a document id is.
+The order key should be numeric and (close to) unique within a group, as a document id is;
+buckets are cut on its value, so a key that does not cast to a number lands in one bucket.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
     fracs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 4 * buckets)
     splits = df.select(F.percentile_approx(F.col(order).cast("double"), fracs, accuracy)).first()[0]
-    splits = sorted(set(float(s) for s in splits))
+    splits = sorted(set(float(s) for s in splits or []))  # None when every key is null
     from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the boundaries
 
     keyed = df.withColumn("__key_d", F.col(order).cast("double"))
@@ -72,7 +73,8 @@ def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    if g * (len(splits) + 1) <= broadcast_rows:
+    # At most (groups + a null group) × (buckets + the null/NaN buckets) offset rows.
+    if (g + 1) * (len(splits) + 3) <= broadcast_rows:
         offsets = F.broadcast(offsets)
     # Null-safe on both keys: a null group or a null order key (null bucket, ordered first as
     # in the plain window) must keep its rows.

@@ -52,3 +52,10 @@ def test_null_order_keys_kept_and_first(spark):
         assert sorted(rn for _, rn in pairs) == list(range(1, len(pairs) + 1))
         nulls = sorted(rn for k, rn in pairs if k is None)
         assert nulls == list(range(1, len(nulls) + 1))
+
+
+def test_all_null_keys(spark):
+    df = spark.createDataFrame([("a", None)] * 30 + [("b", None)] * 5, "g string, k long")
+    got = number_within_groups(df, "g", "k", rows_per_bucket=4)
+    assert sorted(r.rn for r in got.filter("g = 'b'").collect()) == [1, 2, 3, 4, 5]
+    assert got.count() == 35
