@@ -51,16 +51,21 @@ def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
             min_buckets = 4 * default_parallelism(df.sparkSession)
         buckets = max(buckets, min_buckets)
 
-    if buckets == 1:
+    def plain_window() -> DataFrame:
         w = Window.partitionBy(group).orderBy(order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
 
+    if buckets == 1:
+        return plain_window()
+
     # Quantile boundaries of the order key: every bucket holds about rows_per_bucket rows,
     # whatever the key's distribution.
     fracs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 4 * buckets)
     splits = df.select(F.percentile_approx(F.col(order).cast("double"), fracs, accuracy)).first()[0]
     splits = sorted(set(float(s) for s in splits or []))  # None when every key is null
+    if not splits:
+        return plain_window()  # no numeric key to cut on
     from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the boundaries
 
     keyed = df.withColumn("__key_d", F.col(order).cast("double"))
