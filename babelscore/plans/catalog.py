@@ -108,6 +108,7 @@ def q_load_counts(spark, sf):
     present = [l for l in LANGUAGES if l in wide.columns]
     cells = sum((F.count_if(F.col(l).isNotNull() & ~is_blank(l)) for l in present), F.lit(0).cast("long"))
     return wide.agg(F.count(F.lit(1)).alias("n_sentences"),
+                    F.lit(len(wide.columns)).alias("n_columns"),
                     F.lit(len(LANGUAGES)).alias("n_languages"),
                     (F.count(F.lit(1)) * F.lit(len(LANGUAGES))).alias("n_announced"),
                     cells.alias("n_records"))

@@ -181,7 +181,8 @@ def oracle_sql() -> dict[str, str]:
         "results_roundtrip": SCORED + f"SELECT {_RESULT_COLS} FROM scored",
         "annotated_scan": TAX + 'SELECT final_category, "Confidence" FROM annotated',
         "load_counts": f"WITH {WIDE},\n{_melt()}\n"
-                       f"SELECT count(*) AS n_sentences, {len(pl)} AS n_languages, count(*) * {len(pl)} AS n_announced, "
+                       f"SELECT count(*) AS n_sentences, {1 + len(_WIDE_LANGS)} AS n_columns, "
+                       f"{len(pl)} AS n_languages, count(*) * {len(pl)} AS n_announced, "
                        f"(SELECT count(*) FROM melted) AS n_records FROM wide",
         "preview": f"WITH {WIDE}\nSELECT sentence_id, {wide_cols} FROM wide ORDER BY sentence_id LIMIT 3",
         "class_dist": SCORED + f""", cnt AS (SELECT "Sentiment", count(*) AS n FROM scored GROUP BY "Sentiment"),
