@@ -59,3 +59,11 @@ def test_all_null_keys(spark):
     got = number_within_groups(df, "g", "k", rows_per_bucket=4)
     assert sorted(r.rn for r in got.filter("g = 'b'").collect()) == [1, 2, 3, 4, 5]
     assert got.count() == 35
+
+
+def test_wide_fixture_same_with_many_buckets(spark):
+    from babelscore.sources.testdata import wide_from_documents
+    one = wide_from_documents(spark, SF01)
+    many = wide_from_documents(spark, SF01, rows_per_bucket=37, min_buckets=16)
+    assert one.count() == many.count() == 620
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
