@@ -95,9 +95,17 @@ def report_job(spark: SparkSession, results_path: str, outdir: str,
     return paths
 
 
+DEVICE_PROVIDERS = {
+    "cpu": ["CPUExecutionProvider"],
+    "cuda": ["CUDAExecutionProvider", "CPUExecutionProvider"],
+    "mps": ["CoreMLExecutionProvider", "CPUExecutionProvider"],
+}
+
+
 def _scorer(args) -> Scorer:
     if args.model:
-        return OnnxScorer(args.model, args.tokenizer, max_length=args.max_length)
+        return OnnxScorer(args.model, args.tokenizer, max_length=args.max_length,
+                          providers=DEVICE_PROVIDERS[args.device])
     return LetterScorer()
 
 
@@ -105,15 +113,17 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="babelscore")
     sub = p.add_subparsers(dest="cmd", required=True)
     c = sub.add_parser("classify", help="wide table → scored table")
-    c.add_argument("--input", required=True)
+    c.add_argument("--input", "-i", required=True)
     c.add_argument("--input-format", choices=["csv", "parquet"], default="csv")
-    c.add_argument("--output", required=True)
+    c.add_argument("--output", "-o", required=True)
     c.add_argument("--csv-output")
     c.add_argument("--single-line", action="store_true",
                    help="the input CSV has no quoted line breaks: split files across tasks")
     c.add_argument("--partition-by", help="e.g. Language (default: unpartitioned)")
-    c.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD)
-    c.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_SIZE)
+    c.add_argument("--threshold", "-t", type=float, default=DEFAULT_THRESHOLD)
+    c.add_argument("--batch-size", "-b", type=int, default=DEFAULT_BATCH_SIZE)
+    c.add_argument("--device", "-d", choices=sorted(DEVICE_PROVIDERS), default="cpu",
+                   help="execution providers for --model on the executors")
     c.add_argument("--missing", choices=["drop", "as_text"], default="drop")
     c.add_argument("--model", help="ONNX sequence-classification model (default: letter test model)")
     c.add_argument("--tokenizer", help="tokenizers JSON file for --model")

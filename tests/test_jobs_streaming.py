@@ -113,3 +113,14 @@ def test_report_tables_share_one_scan(spark, tmpdir_path):
         assert "ReadSchema: struct<Language:string,Sentiment:string,low_confidence_flag:boolean>" in plan
     scan = tables["low_confidence_cases"]._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(low_confidence_flag), EqualTo(low_confidence_flag,true)]" in scan
+
+
+def test_cli_short_flags_and_device(spark, tmpdir_path, capsys):
+    import onnx_fixture as fx
+    src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
+    model, tok = fx.write_fixture(tmpdir_path)
+    out = os.path.join(tmpdir_path, "scored")
+    jobs_main(["classify", "-i", src, "-o", out, "-t", "0.6", "-b", "16", "-d", "cpu",
+               "--model", model, "--tokenizer", tok])
+    assert spark.read.parquet(out).count() == 200
+    assert "Total low-confidence (< 0.6)" in capsys.readouterr().out
