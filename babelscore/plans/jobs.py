@@ -40,12 +40,15 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
                  threshold: float = DEFAULT_THRESHOLD, batch_size: int = DEFAULT_BATCH_SIZE,
                  missing: str = "drop", form: str = "udf", csv_output: str | None = None,
                  mode: str = "errorifexists", partition_by: str | None = None,
-                 multiline: bool = True, observation: Observation | None = None) -> DataFrame:
+                 multiline: bool = True, observation: Observation | None = None,
+                 input_observation: Observation | None = None) -> DataFrame:
     """Classify the wide table and write the scored table; returns it as read back.
 
-    ``observation`` receives ``records`` and ``low_conf`` counted while the table is written
-    (no second pass over the data)."""
+    ``observation`` receives ``records`` and ``low_conf``, ``input_observation`` the wide
+    table's ``sentences``; both are counted while the table is written (no second pass)."""
     wide = read_input(spark, input_path, input_format, multiline)
+    if input_observation is not None:
+        wide = wide.observe(input_observation, F.count(F.lit(1)).alias("sentences"))
     scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
                       form=form, batch_size=batch_size, sort_by_length=(form == "udf"))
     if observation is not None:
@@ -140,12 +143,15 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import build_session
     spark = build_session(app_name=f"babelscore-{args.cmd}")
     if args.cmd == "classify":
-        obs = Observation("classify")
+        obs, read = Observation("classify"), Observation("input")
         table = classify_job(spark, args.input, args.output, _scorer(args),
                              input_format=args.input_format, threshold=args.threshold,
                              batch_size=args.batch_size, missing=args.missing, form="udf",
                              csv_output=args.csv_output, partition_by=args.partition_by,
-                             multiline=not args.single_line, observation=obs)
+                             multiline=not args.single_line, observation=obs,
+                             input_observation=read)
+        n = read.get["sentences"]
+        print(f"{n} sentences × {len(LANGUAGES)} languages = {n * len(LANGUAGES)} predictions")
         print(f"Total records classified: {obs.get['records']}")
         print("\n── Results summary ──")
         lines = report.summary_lines(table, LANGUAGES, args.threshold).orderBy("ord").collect()

@@ -46,6 +46,7 @@ def test_cli_classify(spark, tmpdir_path, capsys):
     assert spark.read.parquet(out).count() == 200
     printed = capsys.readouterr().out
     assert "Total records classified: 200" in printed
+    assert "127 sentences × 5 languages = 635 predictions" in printed
     assert "  English    neg=" in printed and "Total low-confidence (< 0.5): " in printed
 
 
