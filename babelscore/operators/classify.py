@@ -23,16 +23,17 @@ def decide(df: DataFrame, logits: str, labels: list[str], threshold: float = DEF
     """Adds ``Sentiment`` (first arg-max, lower-cased label), ``Confidence`` (max probability,
     half-even to 10 places) and ``low_confidence_flag`` (unrounded confidence < threshold;
     NaN is not below it). ``keep_scores`` also keeps ``scores map<label, prob>``."""
-    names = F.array(*[F.lit(l) for l in labels])
+    # Labels are normalised to lower case once, here, not per row.
+    names = F.array(*[F.lit(l.lower()) for l in labels])
     out = df.withColumn("__p", softmax(logits, len(labels)))
     conf = F.array_max("__p")
     cols = {
-        "Sentiment": F.lower(F.element_at(names, argmax1("__p"))),
+        "Sentiment": F.element_at(names, argmax1("__p")),
         "Confidence": F.bround(conf, CONFIDENCE_PLACES),
         "low_confidence_flag": conf < F.lit(float(threshold)),
     }
     if keep_scores:
-        cols["scores"] = F.map_from_arrays(F.transform(names, lambda x: F.lower(x)), F.col("__p"))
+        cols["scores"] = F.map_from_arrays(names, F.col("__p"))
     return out.withColumns(cols).drop("__p")
 
 

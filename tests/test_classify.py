@@ -73,3 +73,10 @@ def test_classify_job_plan_has_no_shuffle(spark, tmpdir_path):
         assert "Exchange" not in plan, form
     csv_io.write_results(classify(wide, LetterScorer(), form="udf"), tmpdir_path + "/scored")
     assert spark.read.parquet(tmpdir_path + "/scored").count() == 200
+
+
+def test_capitalised_model_labels_are_lower_cased(spark):
+    from babelscore.operators.classify import decide
+    df = spark.createDataFrame([([0.1, 2.0, 0.3],)], "logits array<double>")
+    r = decide(df, "logits", ["Negative", "Neutral", "Positive"], keep_scores=True).first()
+    assert r.Sentiment == "neutral" and set(r.scores) == {"negative", "neutral", "positive"}
