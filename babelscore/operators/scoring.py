@@ -47,10 +47,14 @@ class LetterScorer:
         self.labels = list(labels or CLASSES)
 
     def logits(self, text: Column) -> Column:
+        # Occurrences of a letter = bytes removed by deleting it / its UTF-8 width: a UTF-8
+        # sequence only ever matches at character boundaries, and byte lengths are O(1),
+        # while character counts walk the string.
         n = F.length(text).cast("double")
-        share = [F.try_divide((F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))).cast("double"), n)
-                 for ch in self.letters]
-        return F.array(*[F.lit(self.scale) * s for s in share])
+        bytes_ = F.octet_length(text)
+        counts = [(bytes_ - F.octet_length(F.replace(text, F.lit(ch), F.lit("")))) / F.lit(len(ch.encode()))
+                  for ch in self.letters]
+        return F.array(*[F.lit(self.scale) * F.try_divide(c.cast("double"), n) for c in counts])
 
     def make_predict_fn(self):
         import pyarrow as pa
