@@ -1 +1,2 @@
-"""Column-level functions (Catalyst expressions, plus one Arrow UDF for NFKC)."""
+"""Column-level functions: Catalyst expressions (NFKC through ICU on the JVM; an Arrow-batched
+Python fallback is kept as ``text.nfkc_python``)."""
