@@ -35,3 +35,12 @@ def test_annotated_counts_and_means(spark):
     assert sum(dist.values()) == 8018
     w = report.weighted_mean(ann, EVENT_CATEGORIES).first()
     assert (round(w.weighted_mean, 6), round(w.plain_mean, 6)) == (50.01032, 50.009309)
+
+
+def test_half_even_confidence_equals_python_round(spark):
+    from pyspark.sql import functions as F
+    from babelscore.functions.numeric import softmax
+    from babelscore.operators.classify import score
+    s = score(catalog._long(spark, SF01), catalog.SCORER).withColumn("c", F.array_max(softmax("logits", 3)))
+    rows = s.select("c", F.bround("c", 10).alias("b")).collect()
+    assert len(rows) == 1000 and all(r.b == round(r.c, 10) for r in rows)
