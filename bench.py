@@ -69,6 +69,7 @@ def main() -> None:
         "spark": spark.version,
         "predictions": rows["scored"],
         "classify_predictions_per_sec": round(rows["scored"] / times["classify_job"], 1),
+        "summary_report_rows_per_sec": round(rows["scored"] / times["summary_report"], 1),
     }))
     spark.stop()
 
