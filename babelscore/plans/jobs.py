@@ -135,6 +135,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--results", required=True)
     r.add_argument("--results-format", choices=["csv", "parquet"], default="parquet")
     r.add_argument("--lowconf")
+    r.add_argument("--lowconf-format", choices=["csv", "parquet"], default="csv")
     r.add_argument("--outdir", required=True)
     r.add_argument("--denominator", default="actual",
                    help="'actual', 'floor_mean' or an integer per-language count")
@@ -162,7 +163,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         denom = int(args.denominator) if args.denominator.isdigit() else args.denominator
         report_job(spark, args.results, args.outdir, args.lowconf, args.results_format,
-                   stack_denominator=denom)
+                   lowconf_format=args.lowconf_format, stack_denominator=denom)
 
 
 if __name__ == "__main__":

@@ -125,3 +125,19 @@ def test_cli_short_flags_and_device(spark, tmpdir_path, capsys):
                "--model", model, "--tokenizer", tok])
     assert spark.read.parquet(out).count() == 200
     assert "Total low-confidence (< 0.6)" in capsys.readouterr().out
+
+
+def test_cli_report_with_parquet_annotations(spark, tmpdir_path):
+    src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
+    scored = os.path.join(tmpdir_path, "scored")
+    classify_job(spark, src, scored, LetterScorer())
+    ann = os.path.join(tmpdir_path, "ann")
+    spark.createDataFrame([("Mixed Sentiment", "0.4"), ("Other", "0.2")],
+                          "final_category string, Confidence string").write.parquet(ann)
+    out = os.path.join(tmpdir_path, "out")
+    jobs_main(["report", "--results", scored, "--lowconf", ann, "--lowconf-format", "parquet",
+               "--outdir", out, "--denominator", "375"])
+    tax = pd.concat(pd.read_csv(f, keep_default_na=False) for f in glob.glob(out + "/chart_taxonomy/*.csv"))
+    assert tax.set_index("final_category").loc["Mixed Sentiment", "pct"] == 50.0
+    stack = pd.concat(pd.read_csv(f) for f in glob.glob(out + "/chart_stack/*.csv"))
+    assert (stack.pct.dropna() == stack.n[stack.pct.notna()] / 375 * 100).all()
