@@ -139,5 +139,5 @@ def test_cli_report_with_parquet_annotations(spark, tmpdir_path):
                "--outdir", out, "--denominator", "375"])
     tax = pd.concat(pd.read_csv(f, keep_default_na=False) for f in glob.glob(out + "/chart_taxonomy/*.csv"))
     assert tax.set_index("final_category").loc["Mixed Sentiment", "pct"] == 50.0
-    stack = pd.concat(pd.read_csv(f) for f in glob.glob(out + "/chart_stack/*.csv"))
+    stack = pd.concat(pd.read_csv(f, float_precision="round_trip") for f in glob.glob(out + "/chart_stack/*.csv"))
     assert (stack.pct.dropna() == stack.n[stack.pct.notna()] / 375 * 100).all()
