@@ -1,8 +1,9 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query is executed in full (a no-op sink, so nothing is collected to the driver) and timed
-once after a warm-up. Also timed: the production path — classify job (documents-derived wide
-table → model UDF → scored Parquet) and report job (every report from that table in one scan).
+Each query is executed in full (a no-op sink, so nothing is collected to the driver) after a
+warm-up, and the best of ``BENCH_REPEAT`` (default 2) runs is kept: on a shared machine one run
+can be 25% off. Also timed: the production path — classify job (documents-derived wide table →
+model UDF → scored Parquet) and report job (every report from that table in one scan).
 """
 
 from __future__ import annotations
@@ -40,25 +41,39 @@ def main() -> None:
     qs = catalog.queries()
     run(qs["class_dist"](spark, sf_dir))  # warm-up: JVM, Python workers, file listing
 
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+
+    def best(fn) -> float:
+        runs = []
+        for _ in range(repeat):
+            t0 = time.perf_counter()
+            fn()
+            runs.append(time.perf_counter() - t0)
+        return round(min(runs), 3)
+
     times, rows = {}, {}
     for name in HEADLINE:
-        t0 = time.perf_counter()
-        run(qs[name](spark, sf_dir))
-        times[name] = round(time.perf_counter() - t0, 3)
+        times[name] = best(lambda: run(qs[name](spark, sf_dir)))
 
     # Production path: classify once into Parquet, then every report from that table.
-    out = scratch_path(spark, "bench-scored")
-    t0 = time.perf_counter()
-    scored = classify(wide_from_documents(spark, sf_dir), LetterScorer(), form="udf",
-                      sort_by_length=True)
-    csv_io.write_results(scored, out, fmt="parquet")
-    times["classify_job"] = round(time.perf_counter() - t0, 3)
-    table = csv_io.read_results(spark, out, fmt="parquet")
-    t0 = time.perf_counter()
-    tables = report_tables(table, annotated_from_events(spark, sf_dir), catalog.EVENT_CATEGORIES)
-    for df in tables.values():
-        run(df)
-    times["report_job"] = round(time.perf_counter() - t0, 3)
+    outs = []
+
+    def classify_job():
+        out = scratch_path(spark, "bench-scored")
+        scored = classify(wide_from_documents(spark, sf_dir), LetterScorer(), form="udf",
+                          sort_by_length=True)
+        csv_io.write_results(scored, out, fmt="parquet")
+        outs.append(out)
+
+    times["classify_job"] = best(classify_job)
+    table = csv_io.read_results(spark, outs[-1], fmt="parquet")
+
+    def report_job():
+        tables = report_tables(table, annotated_from_events(spark, sf_dir), catalog.EVENT_CATEGORIES)
+        for df in tables.values():
+            run(df)
+
+    times["report_job"] = best(report_job)
     rows["scored"] = table.count()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
