@@ -19,13 +19,19 @@ from .scoring import Scorer, model_udf
 
 
 def decide(df: DataFrame, logits: str, labels: list[str], threshold: float = DEFAULT_THRESHOLD,
-           keep_scores: bool = False) -> DataFrame:
+           keep_scores: bool = False, inputs: str = "logits") -> DataFrame:
     """Adds ``Sentiment`` (first arg-max, lower-cased label), ``Confidence`` (max probability,
     half-even to 10 places) and ``low_confidence_flag`` (unrounded confidence < threshold;
-    NaN is not below it). ``keep_scores`` also keeps ``scores map<label, prob>``."""
+    NaN is not below it). ``keep_scores`` also keeps ``scores map<label, prob>``.
+
+    ``inputs='probs'`` takes the column as probabilities already (a model with its own softmax
+    head, e.g. float32 values to be kept bit for bit) and skips the softmax here."""
+    if inputs not in ("logits", "probs"):
+        raise ValueError("inputs must be 'logits' or 'probs'")
     # Labels are normalised to lower case once, here, not per row.
     names = F.array(*[F.lit(l.lower()) for l in labels])
-    out = df.withColumn("__p", softmax(logits, len(labels)))
+    probs = softmax(logits, len(labels)) if inputs == "logits" else F.col(logits).cast("array<double>")
+    out = df.withColumn("__p", probs)
     conf = F.array_max("__p")
     cols = {
         "Sentiment": F.element_at(names, argmax1("__p")),
@@ -66,7 +72,8 @@ def classify(wide: DataFrame, scorer: Scorer, languages: list[str] | None = None
     long = melt_languages(wide, languages, missing=missing)
     scored = score(long, scorer, form=form, nfkc=nfkc, batch_size=batch_size,
                    sort_by_length=sort_by_length)
-    decided = decide(scored, "logits", scorer.labels, threshold, keep_scores=keep_scores)
+    decided = decide(scored, "logits", scorer.labels, threshold, keep_scores=keep_scores,
+                     inputs=getattr(scorer, "outputs", "logits"))
     return decided.select(*OUT_COLS, *(["scores"] if keep_scores else []))
 
 

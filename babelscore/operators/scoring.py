@@ -20,6 +20,7 @@ from ..schema import CLASSES, DEFAULT_BATCH_SIZE, DEFAULT_MAX_TOKENS
 
 class Scorer(Protocol):
     labels: list[str]
+    outputs: str  # "logits" (softmax applied downstream) or "probs" (used as they are)
 
     def make_predict_fn(self) -> Callable[[np.ndarray], np.ndarray]:
         """Load the model (once per worker) and return ``texts[n] -> logits[n, len(labels)]``."""
@@ -45,6 +46,7 @@ class LetterScorer:
         self.letters = tuple(letters)
         self.scale = float(scale)
         self.labels = list(labels or CLASSES)
+        self.outputs = "logits"
 
     def logits(self, text: Column) -> Column:
         # Occurrences of a letter = bytes removed by deleting it / its UTF-8 width: a UTF-8
@@ -81,17 +83,19 @@ class OnnxScorer:
     ``tokenizer_path``, which must be readable from every executor. ``threads`` is the
     intra-op thread count of each worker's session: keep it at ``spark.task.cpus`` so
     concurrent tasks on an executor do not oversubscribe its cores. ``providers`` selects the
-    execution providers (e.g. CUDA first when executors have GPUs).
+    execution providers (e.g. CUDA first when executors have GPUs). ``outputs='probs'`` is for
+    graphs that end in their own softmax: their values are then used as they are.
     """
 
     def __init__(self, model_path: str, tokenizer_path: str, labels: list[str] | None = None,
                  max_length: int = DEFAULT_MAX_TOKENS, pad_id: int = 1, threads: int = 1,
-                 providers: list[str] | None = None):
+                 providers: list[str] | None = None, outputs: str = "logits"):
         self.model_path, self.tokenizer_path = model_path, tokenizer_path
         self.labels = list(labels or CLASSES)
         self.max_length, self.pad_id = max_length, pad_id
         self.threads = threads
         self.providers = list(providers or ["CPUExecutionProvider"])
+        self.outputs = outputs
 
     def logits(self, text: Column) -> None:
         return None

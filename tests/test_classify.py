@@ -80,3 +80,13 @@ def test_capitalised_model_labels_are_lower_cased(spark):
     df = spark.createDataFrame([([0.1, 2.0, 0.3],)], "logits array<double>")
     r = decide(df, "logits", ["Negative", "Neutral", "Positive"], keep_scores=True).first()
     assert r.Sentiment == "neutral" and set(r.scores) == {"negative", "neutral", "positive"}
+
+
+def test_probability_inputs_kept_as_given(spark):
+    import numpy as np
+    from babelscore.operators.classify import decide
+    p32 = np.array([0.2, 0.49999997, 0.30000003], dtype=np.float32)
+    df = spark.createDataFrame([([float(v) for v in p32],)], "probs array<double>")
+    r = decide(df, "probs", ["negative", "neutral", "positive"], inputs="probs").first()
+    assert r.Sentiment == "neutral" and r.low_confidence_flag is True
+    assert r.Confidence == round(float(p32[1]), 10)
