@@ -108,7 +108,7 @@ DEVICE_PROVIDERS = {
 def _scorer(args) -> Scorer:
     if args.model:
         return OnnxScorer(args.model, args.tokenizer, max_length=args.max_length,
-                          providers=DEVICE_PROVIDERS[args.device])
+                          providers=DEVICE_PROVIDERS[args.device], outputs=args.model_outputs)
     return LetterScorer()
 
 
@@ -131,6 +131,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--model", help="ONNX sequence-classification model (default: letter test model)")
     c.add_argument("--tokenizer", help="tokenizers JSON file for --model")
     c.add_argument("--max-length", type=int, default=512)
+    c.add_argument("--model-outputs", choices=["logits", "probs"], default="logits",
+                   help="what the model's first output holds (probs: used as given)")
     r = sub.add_parser("report", help="scored (+ annotated) tables → report tables")
     r.add_argument("--results", required=True)
     r.add_argument("--results-format", choices=["csv", "parquet"], default="parquet")
