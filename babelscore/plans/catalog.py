@@ -164,7 +164,9 @@ def queries() -> dict[str, Query]:
         "chart_stack": _rep(charts.chart_stack, languages=FIGURE_LANGUAGES),
         "taxonomy_dist": _tax(report.taxonomy_dist),
         "taxonomy_conf": _tax(report.taxonomy_conf),
+        "taxonomy_conf_null_mean": _tax(report.taxonomy_conf, empty_mean=None),
         "weighted_mean": _tax(report.weighted_mean),
+        "weighted_mean_null_mean": _tax(report.weighted_mean, empty_mean=None),
         "axis_bounds": _tax(report.axis_bounds),
         "taxonomy_sorted": _tax(report.taxonomy_sorted),
         "chart_taxonomy": _tax(charts.chart_taxonomy),

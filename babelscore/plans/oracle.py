@@ -233,6 +233,18 @@ SELECT l.ord, l."Language", l.class_ord, l."Sentiment", l.n, l.pct, l."left", l.
 FROM labelled l JOIN {_CLS} c ON c."Sentiment" = l."Sentiment\"""",
         "taxonomy_dist": TAX + "SELECT ord, final_category, n, pct FROM tax",
         "taxonomy_conf": TAX + "SELECT ord, final_category, n_parsed, round_even(mean_conf, 6) AS mean_conf FROM tax",
+        "taxonomy_conf_null_mean": TAX + """SELECT c.ord, c.final_category, coalesce(a.n_parsed, 0) AS n_parsed,
+       round_even(a.mean_conf, 6) AS mean_conf
+FROM {cats} c LEFT JOIN agg a ON a.final_category = c.final_category""".format(cats=_cats(EVENT_CATEGORIES)),
+        "weighted_mean_null_mean": TAX + """, m AS (
+  SELECT c.final_category, coalesce(a.n, 0) AS n, coalesce(a.n_parsed, 0) AS n_parsed, a.mean_conf
+  FROM {cats} c LEFT JOIN agg a ON a.final_category = c.final_category)
+SELECT round_even(sum(mean_conf * n) FILTER (WHERE mean_conf IS NOT NULL)
+                  / CAST(sum(n) FILTER (WHERE mean_conf IS NOT NULL) AS DOUBLE), 6) AS weighted_mean,
+       round_even(sum(mean_conf * n_parsed) FILTER (WHERE mean_conf IS NOT NULL)
+                  / CAST(sum(n_parsed) FILTER (WHERE mean_conf IS NOT NULL) AS DOUBLE), 6) AS plain_mean,
+       CAST(sum(n) AS BIGINT) AS n
+FROM m""".format(cats=_cats(EVENT_CATEGORIES)),
         "weighted_mean": TAX + """SELECT round_even(sum(mean_conf * n) / CAST(sum(n) AS DOUBLE), 6) AS weighted_mean,
        round_even(sum(mean_conf * n_parsed) / CAST(sum(n_parsed) AS DOUBLE), 6) AS plain_mean,
        CAST(sum(n) AS BIGINT) AS n FROM tax""",
