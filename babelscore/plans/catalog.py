@@ -162,6 +162,11 @@ def queries() -> dict[str, Query]:
         "legend_labels": _rep(charts.legend_labels),
         "chart_donut": _rep(charts.chart_donut),
         "chart_stack": _rep(charts.chart_stack, languages=FIGURE_LANGUAGES),
+        # Figure 2 exactly as the script computes it (a constant 375 per language) and as the
+        # notebook does (all rows // languages, languages in classification order).
+        "chart_stack_fixed": _rep(charts.chart_stack, languages=FIGURE_LANGUAGES,
+                                  denominator=FIXED_SENTENCES_PER_LANGUAGE),
+        "chart_stack_floor": _rep(charts.chart_stack, languages=LANGUAGES, denominator="floor_mean"),
         "taxonomy_dist": _tax(report.taxonomy_dist),
         "taxonomy_conf": _tax(report.taxonomy_conf),
         "taxonomy_conf_null_mean": _tax(report.taxonomy_conf, empty_mean=None),

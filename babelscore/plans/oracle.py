@@ -161,7 +161,10 @@ def oracle_sql() -> dict[str, str]:
     wide_cols = ", ".join(f'"{l}"' for l in _WIDE_LANGS)
     total_counts = ", ".join(f"CAST(count_if(\"Sentiment\" = '{c}') AS BIGINT) AS {c}" for c in CLASSES)
     lang_rows = f"WITH {WIDE},\n{_melt()},\n{SCORE},\n{_lang_rows(pl)}\n"
-    share = lambda d: f"WITH {WIDE},\n{_melt()},\n{SCORE},\n{_share(fl, d)}\n"
+    share = lambda d, langs=fl: f"WITH {WIDE},\n{_melt()},\n{SCORE},\n{_share(langs, d)}\n"
+    stack = lambda d, langs=fl: share(d, langs) + "," + _PLACED + f"""
+SELECT l.ord, l."Language", l.class_ord, l."Sentiment", l.n, l.pct, l."left", l.x, l.inside, l.label, c.colour
+FROM labelled l JOIN {_CLS} c ON c."Sentiment" = l."Sentiment\""""
     return {
         "wide_scan": f"WITH {WIDE}\nSELECT CAST(sentence_id AS VARCHAR) AS sentence_id, {wide_cols} FROM wide",
         "id_pad": f"SELECT o_orderkey, {_zfill('CAST(o_orderkey AS VARCHAR)')} AS sentence_id FROM orders",
@@ -228,9 +231,9 @@ SELECT class_ord, "Sentiment", class_label, colour, n, {_pct('n', 'grand')} AS p
        printf('%s  %s  (%.1f%%)', class_label, format('{{:,}}', n), round_even({_pct('n', 'grand')}, 1)) AS legend,
        'n = ' || format('{{:,}}', grand) AS centre
 FROM j""",
-        "chart_stack": share("actual") + "," + _PLACED + f"""
-SELECT l.ord, l."Language", l.class_ord, l."Sentiment", l.n, l.pct, l."left", l.x, l.inside, l.label, c.colour
-FROM labelled l JOIN {_CLS} c ON c."Sentiment" = l."Sentiment\"""",
+        "chart_stack": stack("actual"),
+        "chart_stack_fixed": stack(FIXED_SENTENCES_PER_LANGUAGE),
+        "chart_stack_floor": stack("floor_mean", pl),
         "taxonomy_dist": TAX + "SELECT ord, final_category, n, pct FROM tax",
         "taxonomy_conf": TAX + "SELECT ord, final_category, n_parsed, round_even(mean_conf, 6) AS mean_conf FROM tax",
         "taxonomy_conf_null_mean": TAX + """SELECT c.ord, c.final_category, coalesce(a.n_parsed, 0) AS n_parsed,
