@@ -149,6 +149,7 @@ def queries() -> dict[str, Query]:
         "grand_summary": _rep(report.grand_summary),
         "summary_report": _rep(report.summary_report, languages=LANGUAGES),
         "summary_lines": _rep(report.summary_lines, languages=LANGUAGES),
+        "summary_lines_notebook": _rep(report.summary_lines, languages=LANGUAGES, threshold=None),
         "lang_share": _rep(report.lang_share, languages=FIGURE_LANGUAGES, denominator="actual"),
         "lang_share_floor": _rep(report.lang_share, languages=FIGURE_LANGUAGES, denominator="floor_mean"),
         "lang_share_fixed": _rep(report.lang_share, languages=FIGURE_LANGUAGES,
@@ -175,6 +176,7 @@ def queries() -> dict[str, Query]:
         "axis_bounds": _tax(report.axis_bounds),
         "taxonomy_sorted": _tax(report.taxonomy_sorted),
         "chart_taxonomy": _tax(charts.chart_taxonomy),
+        "chart_taxonomy_null_mean": _tax(charts.chart_taxonomy, empty_mean=None),
     }
 
 

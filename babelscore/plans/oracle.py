@@ -135,7 +135,7 @@ def _cats(cats):
     return _values(rows, "ord, final_category, label, colour")
 
 
-def _taxonomy(cats) -> str:
+def _taxonomy(cats, null_mean: bool = False) -> str:
     return f"""annotated AS (
   SELECT event_type AS final_category,
          CASE WHEN event_id % {UNPARSEABLE_EVERY} = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS "Confidence"
@@ -149,11 +149,25 @@ agg AS (SELECT final_category, count(*) AS n, count(conf) AS n_parsed, avg(conf)
 tax AS (
   SELECT c.ord, c.final_category, c.label, c.colour, coalesce(a.n, 0) AS n,
          {_pct('coalesce(a.n, 0)', '(SELECT count(*) FROM annotated)')} AS pct,
-         coalesce(a.n_parsed, 0) AS n_parsed, coalesce(a.mean_conf, CAST(0 AS DOUBLE)) AS mean_conf
+         coalesce(a.n_parsed, 0) AS n_parsed,
+         {'a.mean_conf' if null_mean else 'coalesce(a.mean_conf, CAST(0 AS DOUBLE))'} AS mean_conf
   FROM {_cats(cats)} c LEFT JOIN agg a ON a.final_category = c.final_category)"""
 
 
 TAX = f"WITH {_taxonomy(EVENT_CATEGORIES)}\n"
+TAX_NULL = f"WITH {_taxonomy(EVENT_CATEGORIES, null_mean=True)}\n"
+
+_CHART_TAX = """, w AS (
+  SELECT *, sum(mean_conf * n) FILTER (WHERE mean_conf IS NOT NULL) OVER ()
+            / CAST(sum(n) FILTER (WHERE mean_conf IS NOT NULL) OVER () AS DOUBLE) AS wm,
+         min(mean_conf) OVER () - CAST(0.006 AS DOUBLE) AS lo, max(mean_conf) OVER () + CAST(0.012 AS DOUBLE) AS hi
+  FROM tax)
+SELECT ord, final_category, label, colour, n, pct, n_parsed, round_even(mean_conf, 6) AS mean_conf,
+       printf('%.1f%%  (n=%d)', round_even(pct, 1), n) AS bar_label,
+       printf('%.3f', round_even(mean_conf, 3)) AS conf_label,
+       round_even(wm, 6) AS weighted_mean, printf('Mean: %.3f', round_even(wm, 3)) AS mean_label,
+       round_even(lo, 6) AS x_min, round_even(hi, 6) AS x_max
+FROM w"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -209,6 +223,15 @@ UNION ALL
 SELECT {len(pl)} AS ord, printf('  Total low-confidence (< 0.5): %d / %d (', count_if(low_confidence_flag), count(*))
        || coalesce(printf('%.1f', round_even({_pct('count_if(low_confidence_flag)', 'count(*)')}, 1)), 'nan')
        || '%)' AS line
+FROM scored""",
+        "summary_lines_notebook": lang_rows + f"""SELECT ord, printf('  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (',
+       "Language", negative, neutral, positive, low_conf_n)
+       || coalesce(printf('%.1f', round_even(low_conf_pct, 1)), 'nan') || '%)' AS line
+FROM rows
+UNION ALL
+SELECT {len(pl)} AS ord, printf('  Total low-confidence: %d/%d (', count_if(low_confidence_flag), count(*))
+       || coalesce(printf('%.1f', round_even({_pct('count_if(low_confidence_flag)', 'count(*)')}, 1)), 'nan')
+       || '%)' AS line
 FROM scored""",
         "lang_share": share("actual") + "SELECT * FROM share",
         "lang_share_floor": share("floor_mean") + "SELECT * FROM share",
@@ -255,14 +278,6 @@ FROM m""".format(cats=_cats(EVENT_CATEGORIES)),
        round_even(max(mean_conf) + CAST(0.012 AS DOUBLE), 6) AS x_max FROM tax""",
         "taxonomy_sorted": TAX + """SELECT ord, final_category, n, pct,
        CAST(row_number() OVER (ORDER BY n, ord) AS INTEGER) AS rank FROM tax""",
-        "chart_taxonomy": TAX + """, w AS (
-  SELECT *, sum(mean_conf * n) OVER () / CAST(sum(n) OVER () AS DOUBLE) AS wm,
-         min(mean_conf) OVER () - CAST(0.006 AS DOUBLE) AS lo, max(mean_conf) OVER () + CAST(0.012 AS DOUBLE) AS hi
-  FROM tax)
-SELECT ord, final_category, label, colour, n, pct, n_parsed, round_even(mean_conf, 6) AS mean_conf,
-       printf('%.1f%%  (n=%d)', round_even(pct, 1), n) AS bar_label,
-       printf('%.3f', round_even(mean_conf, 3)) AS conf_label,
-       round_even(wm, 6) AS weighted_mean, printf('Mean: %.3f', round_even(wm, 3)) AS mean_label,
-       round_even(lo, 6) AS x_min, round_even(hi, 6) AS x_max
-FROM w""",
+        "chart_taxonomy": TAX + _CHART_TAX,
+        "chart_taxonomy_null_mean": TAX_NULL + _CHART_TAX,
     }
