@@ -138,6 +138,8 @@ def queries() -> dict[str, Query]:
         "scores": q_scores,
         "predict": q_predict,
         "results": _scored,
+        "results_udf": lambda spark, sf: classify(_wide(spark, sf), SCORER, LANGUAGES, form="udf",
+                                                  sort_by_length=True),
         "lowconf_cases": q_lowconf_cases,
         "results_roundtrip": q_results_roundtrip,
         "annotated_scan": q_annotated_scan,

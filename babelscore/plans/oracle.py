@@ -194,6 +194,7 @@ FROM labelled l JOIN {_CLS} c ON c."Sentiment" = l."Sentiment\""""
             for i, c in enumerate(CLASSES)),
         "predict": SCORED + 'SELECT sentence_id, "Language", "Sentiment", "Confidence", low_confidence_flag FROM scored',
         "results": SCORED + f"SELECT {_RESULT_COLS} FROM scored",
+        "results_udf": SCORED + f"SELECT {_RESULT_COLS} FROM scored",
         "lowconf_cases": SCORED + f"SELECT {_RESULT_COLS} FROM scored WHERE low_confidence_flag",
         "results_roundtrip": SCORED + f"SELECT {_RESULT_COLS} FROM scored",
         "annotated_scan": TAX + 'SELECT final_category, "Confidence" FROM annotated',
