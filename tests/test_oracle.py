@@ -50,3 +50,8 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() == 6 and "low_conf_pct" in df.columns
+
+
+def test_every_query_is_documented():
+    from babelscore.plans.catalog import NOTES
+    assert set(NOTES) == set(E.queries())
