@@ -64,8 +64,9 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
 def report_tables(scored: DataFrame, annotated: DataFrame | None = None,
                   categories: list[str] | None = None,
                   stack_denominator: str | int = "actual") -> dict[str, DataFrame]:
-    """Every report from one scan of the scored table (its one-row aggregate is cached) and
-    one scan of the annotated table."""
+    """Every report from one scan of the scored table (its one-row aggregate is cached). The
+    annotated table, a short hand-made list, is read by the Figure 3 table and the weighted
+    mean, one aggregate pass each."""
     counts = report.LanguageCounts(scored, LANGUAGES + FIGURE_LANGUAGES).cache()
     out = {
         "summary_report": report.summary_report(counts, LANGUAGES),
