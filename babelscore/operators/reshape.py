@@ -29,19 +29,23 @@ def melt_languages(wide: DataFrame, languages: list[str] | None = None, missing:
     if missing not in MISSING_POLICIES:
         raise ValueError(f"missing must be one of {MISSING_POLICIES}")
     langs = [l for l in (languages or LANGUAGES) if l in wide.columns]
-    sid = sentence_id(F.col(id_col)) if id_col in wide.columns else zfill(F.lit(""))
-    src = F.col(source_language).cast("string") if source_language in wide.columns else F.lit("")
 
-    def cell(c: Column) -> Column:
-        return F.coalesce(c, F.lit("nan")) if missing == "as_text" else c
+    def c(name: str) -> Column:  # quoted: headers may contain dots or spaces
+        return F.col(f"`{name}`")
+
+    sid = sentence_id(c(id_col)) if id_col in wide.columns else zfill(F.lit(""))
+    src = c(source_language).cast("string") if source_language in wide.columns else F.lit("")
+
+    def cell(x: Column) -> Column:
+        return F.coalesce(x, F.lit("nan")) if missing == "as_text" else x
 
     base = wide.select(sid.alias("sentence_id"), cell(src).alias("English_source"),
-                       *[cell(F.col(l).cast("string")).alias(l) for l in langs])
+                       *[cell(c(l).cast("string")).alias(l) for l in langs])
     if not langs:
         return base.select("sentence_id", F.lit(None).cast("string").alias("Language"),
                            F.lit(None).cast("string").alias("Text"),
                            "English_source").filter(F.lit(False))
-    long = base.unpivot(["sentence_id", "English_source"], langs, "Language", "Text")
+    long = base.unpivot(["sentence_id", "English_source"], [c(l) for l in langs], "Language", "Text")
     return (long.filter(F.col("Text").isNotNull() & ~is_blank("Text"))
             .select("sentence_id", "Language", "Text", "English_source"))
 

@@ -45,3 +45,9 @@ def test_ids_as_pandas_prints_them(spark):
                                "sentence_id string, English string")
     got = [r.sentence_id for r in melt_languages(df, ["English"]).orderBy("Text").collect()]
     assert got == ["0001", "0012", "00x7", None, "-003"]
+
+
+def test_dotted_and_spaced_headers(spark):
+    df = spark.createDataFrame([("1", "hi", "hola")], "sentence_id string, English string, `Spanish (ES).v2` string")
+    got = melt_languages(df, ["English", "Spanish (ES).v2"]).collect()
+    assert sorted((r.Language, r.Text) for r in got) == [("English", "hi"), ("Spanish (ES).v2", "hola")]
