@@ -21,6 +21,7 @@ from ..schema import CLASSES, DEFAULT_BATCH_SIZE, DEFAULT_MAX_TOKENS
 class Scorer(Protocol):
     labels: list[str]
     outputs: str  # "logits" (softmax applied downstream) or "probs" (used as they are)
+    pads_batches: bool  # True if a batch costs as much as its longest text (sort by length)
 
     def make_predict_fn(self) -> Callable[[np.ndarray], np.ndarray]:
         """Load the model (once per worker) and return ``texts[n] -> logits[n, len(labels)]``."""
@@ -47,6 +48,7 @@ class LetterScorer:
         self.scale = float(scale)
         self.labels = list(labels or CLASSES)
         self.outputs = "logits"
+        self.pads_batches = False
 
     def logits(self, text: Column) -> Column:
         # Occurrences of a letter = bytes removed by deleting it / its UTF-8 width: a UTF-8
@@ -96,6 +98,7 @@ class OnnxScorer:
         self.threads = threads
         self.providers = list(providers or ["CPUExecutionProvider"])
         self.outputs = outputs
+        self.pads_batches = True
 
     def logits(self, text: Column) -> None:
         return None

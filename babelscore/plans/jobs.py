@@ -50,7 +50,8 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
     if input_observation is not None:
         wide = wide.observe(input_observation, F.count(F.lit(1)).alias("sentences"))
     scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
-                      form=form, batch_size=batch_size, sort_by_length=(form == "udf"))
+                      form=form, batch_size=batch_size,
+                      sort_by_length=form == "udf" and getattr(scorer, "pads_batches", True))
     if observation is not None:
         scored = scored.observe(observation, F.count(F.lit(1)).alias("records"),
                                 F.count_if(F.col("low_confidence_flag")).alias("low_conf"))

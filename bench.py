@@ -60,8 +60,9 @@ def main() -> None:
 
     def classify_job():
         out = scratch_path(spark, "bench-scored")
-        scored = classify(wide_from_documents(spark, sf_dir), LetterScorer(), form="udf",
-                          sort_by_length=True)
+        scorer = LetterScorer()
+        scored = classify(wide_from_documents(spark, sf_dir), scorer, form="udf",
+                          sort_by_length=scorer.pads_batches)
         csv_io.write_results(scored, out, fmt="parquet")
         outs.append(out)
 
