@@ -27,3 +27,13 @@ def test_onnx_scorer_in_spark(spark, tmpdir_path):
         assert abs(r.Confidence - p.max()) < 1e-9
     plan = classify(wide, scorer, ["English"], form="udf")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_length_sort_only_for_padding_models(spark, tmpdir_path):
+    from babelscore.operators.scoring import LetterScorer
+    model, tok = fx.write_fixture(tmpdir_path)
+    wide = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "sentence_id string, English string")
+    for scorer, sorted_ in ((OnnxScorer(model, tok, pad_id=0), True), (LetterScorer(), False)):
+        df = classify(wide, scorer, ["English"], form="udf", sort_by_length=scorer.pads_batches)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("Sort [" in plan) == sorted_ and "Exchange" not in plan
