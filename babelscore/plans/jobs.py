@@ -62,37 +62,52 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
     return table
 
 
+STYLES = ("script", "notebook")
+
+
 def report_tables(scored: DataFrame, annotated: DataFrame | None = None,
                   categories: list[str] | None = None,
-                  stack_denominator: str | int = "actual") -> dict[str, DataFrame]:
+                  stack_denominator: str | int | None = None,
+                  style: str = "script") -> dict[str, DataFrame]:
     """Every report from one scan of the scored table (its one-row aggregate is cached). The
     annotated table, a short hand-made list, is read by the Figure 3 table and the weighted
-    mean, one aggregate pass each."""
+    mean, one aggregate pass each.
+
+    ``style='notebook'`` gives the notebook's variants: Figure 2 over all rows // languages in
+    classification order, Figure 3 with a null mean for a category without values."""
+    if style not in STYLES:
+        raise ValueError(f"style must be one of {STYLES}")
+    notebook = style == "notebook"
+    stack_langs = LANGUAGES if notebook else FIGURE_LANGUAGES
+    denom = stack_denominator or ("floor_mean" if notebook else "actual")
+    empty_mean = None if notebook else 0.0
     counts = report.LanguageCounts(scored, LANGUAGES + FIGURE_LANGUAGES).cache()
     out = {
         "summary_report": report.summary_report(counts, LANGUAGES),
         "class_dist": report.class_dist(counts),
         "chart_donut": charts.chart_donut(counts),
-        "chart_stack": charts.chart_stack(counts, FIGURE_LANGUAGES, stack_denominator),
+        "chart_stack": charts.chart_stack(counts, stack_langs, denom),
         "low_confidence_cases": low_confidence_cases(scored),
     }
     if annotated is not None:
-        out["chart_taxonomy"] = charts.chart_taxonomy(annotated, categories or CATEGORIES)
-        out["weighted_mean"] = report.weighted_mean(annotated, categories or CATEGORIES)
+        cats = categories or CATEGORIES
+        out["chart_taxonomy"] = charts.chart_taxonomy(annotated, cats, empty_mean)
+        out["weighted_mean"] = report.weighted_mean(annotated, cats, empty_mean)
     return out
 
 
 def report_job(spark: SparkSession, results_path: str, outdir: str,
                lowconf_path: str | None = None, results_format: str = "parquet",
                lowconf_format: str = "csv", categories: list[str] | None = None,
-               stack_denominator: str | int = "actual", mode: str = "errorifexists") -> dict[str, str]:
+               stack_denominator: str | int | None = None, mode: str = "errorifexists",
+               style: str = "script") -> dict[str, str]:
     """Write each report as CSV under ``outdir``; returns name → path. The tables are tiny
     except the low-confidence work list, which keeps its partitioning."""
     scored = csv_io.read_results(spark, results_path, fmt=results_format)
     annotated = (csv_io.read_annotated(spark, lowconf_path, fmt=lowconf_format)
                  if lowconf_path else None)
     paths = {}
-    for name, df in report_tables(scored, annotated, categories, stack_denominator).items():
+    for name, df in report_tables(scored, annotated, categories, stack_denominator, style).items():
         path = f"{outdir.rstrip('/')}/{name}"
         small = df if name == "low_confidence_cases" else df.coalesce(1)
         csv_io.write_csv(small, path, mode=mode)
@@ -141,8 +156,11 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--lowconf")
     r.add_argument("--lowconf-format", choices=["csv", "parquet"], default="csv")
     r.add_argument("--outdir", required=True)
-    r.add_argument("--denominator", default="actual",
-                   help="'actual', 'floor_mean' or an integer per-language count")
+    r.add_argument("--denominator", default=None,
+                   help="'actual', 'floor_mean' or an integer per-language count "
+                        "(default: actual; floor_mean with --style notebook)")
+    r.add_argument("--style", choices=STYLES, default="script",
+                   help="notebook: its Figure 2 denominators and order, null means in Figure 3")
     args = p.parse_args(argv)
 
     from ..session import build_session
@@ -165,9 +183,11 @@ def main(argv: list[str] | None = None) -> None:
         print("\n" + lines[-1].line)
         print(f"\nResults saved to: {args.output}")
     else:
-        denom = int(args.denominator) if args.denominator.isdigit() else args.denominator
+        denom = args.denominator
+        if denom is not None and denom.isdigit():
+            denom = int(denom)
         report_job(spark, args.results, args.outdir, args.lowconf, args.results_format,
-                   lowconf_format=args.lowconf_format, stack_denominator=denom)
+                   lowconf_format=args.lowconf_format, stack_denominator=denom, style=args.style)
 
 
 if __name__ == "__main__":

@@ -141,3 +141,22 @@ def test_cli_report_with_parquet_annotations(spark, tmpdir_path):
     assert tax.set_index("final_category").loc["Mixed Sentiment", "pct"] == 50.0
     stack = pd.concat(pd.read_csv(f, float_precision="round_trip") for f in glob.glob(out + "/chart_stack/*.csv"))
     assert (stack.pct.dropna() == stack.n[stack.pct.notna()] / 375 * 100).all()
+
+
+def test_report_notebook_style(spark, tmpdir_path):
+    from babelscore.plans.jobs import report_tables
+    src = write_wide_csv(spark, os.path.join(tmpdir_path, "wide"))
+    scored = classify_job(spark, src, os.path.join(tmpdir_path, "scored"), LetterScorer())
+    ann = spark.createDataFrame([("Mixed Sentiment", "x"), ("Irony / Sarcasm", "0.4")],
+                                "final_category string, Confidence string")
+    nb = report_tables(scored, ann, style="notebook")
+    stack = nb["chart_stack"].collect()
+    by_ord = sorted((r.ord, r.Language) for r in stack if r.class_ord == 0)
+    assert [l for _, l in by_ord] == ["English", "Spanish", "French", "German", "Italian"]
+    n = scored.count()
+    assert all(r.pct == r.n / (n // 5) * 100 for r in stack)
+    tax = {r.final_category: r for r in nb["chart_taxonomy"].collect()}
+    assert tax["Mixed Sentiment"].mean_conf is None and tax["Irony / Sarcasm"].mean_conf == 0.4
+    assert nb["weighted_mean"].first().weighted_mean == 0.4
+    script = report_tables(scored, ann)
+    assert {r.final_category: r.mean_conf for r in script["chart_taxonomy"].collect()}["Mixed Sentiment"] == 0.0
