@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,7 +42,7 @@ def build_session(master: str | None = None, app_name: str = "babelscore",
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -60,6 +61,40 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Model UDFs are pickled with references to this package; workers started outside the
+    package's folder (a cluster, or a driver started from elsewhere) could not import it. The
+    package is zipped (sources only) and added with ``addPyFile``, which serves it to every
+    executor and puts it on the workers' path, as ``spark-submit --py-files`` would."""
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="babelscore-pyfiles-"), "babelscore.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> str:
+    """Everything a job needs from its session: the shared checkpoint folder and this package
+    on the Python workers. Returns the checkpoint folder."""
+    path = ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder. Only a local session without one gets a local
     folder; a cluster session without one is an error."""

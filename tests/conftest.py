@@ -13,7 +13,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from babelscore.session import ensure_checkpoint_dir
+    from babelscore.session import prepare
 
     s = (SparkSession.builder.master("local[4]").appName("babelscore-tests")
          .config("spark.sql.shuffle.partitions", "4")
@@ -23,7 +23,7 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="babelscore-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    prepare(s)
     yield s
     s.stop()
 
