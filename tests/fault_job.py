@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from babelscore.operators.classify import classify  # noqa: E402
 from babelscore.operators.scoring import LetterScorer  # noqa: E402
+from babelscore.session import prepare  # noqa: E402
 from babelscore.sources import csv_io  # noqa: E402
 from babelscore.sources.testdata import wide_from_documents  # noqa: E402
 
@@ -36,6 +37,7 @@ def main():
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="babelscore-fault-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
+    prepare(spark)
     wide = wide_from_documents(spark, sf).repartition(4)
     sc = spark.sparkContext
     sc.setJobGroup("flaky-write", "classify with an injected task failure")
