@@ -75,7 +75,11 @@ def ship_package(spark: SparkSession) -> None:
     if sc is None or sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="babelscore-pyfiles-"), "babelscore.zip")
+    if not os.path.isdir(pkg):  # imported from a zip: already shipped (--py-files)
+        return
+    # A unique name: a --py-files archive called babelscore.zip may already be registered.
+    out = os.path.join(tempfile.mkdtemp(prefix="babelscore-pyfiles-"),
+                       f"babelscore-{uuid.uuid4().hex[:12]}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, dirs, files in os.walk(pkg):
             dirs[:] = [d for d in dirs if d != "__pycache__"]
