@@ -1,5 +1,35 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from .secrets import BASE_KINDS, RULES
+
+
+def _op1() -> str:
+    """Per rule: matches and the text between them give starts and ends (code points)."""
+    parts = []
+    for i, rule in enumerate(RULES):
+        pattern = (rule.pattern.replace("{3,}", "+") if rule.kind == "hex" else rule.pattern).replace("'", "''")
+        value = f"regexp_replace(m, '^[^:=]*[:=]\\x20*[\"'']?', '')" if rule.value_only else "m"
+        parts.append(f"""
+  SELECT doc_id, {i} AS k, '{rule.kind}' AS kind, unnest(found) AS m,
+         unnest(list_transform(range(1, len(found) + 1), lambda j:
+           list_sum(list_transform(gaps[1:j], lambda x: length(x))) +
+           coalesce(list_sum(list_transform(found[1:j - 1], lambda x: length(x))), 0))) AS s
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS gaps
+        FROM docs) WHERE len(found) > 0""")
+        parts[-1] = (f"SELECT doc_id, k, kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM ({parts[-1]}) "
+                     f"WHERE length({value}) >= {rule.least}")
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    join = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    counts = ", ".join(f"count(f.k) FILTER (f.kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce({join} FILTER (f.kind IN ({base})), '')) AS base_sha256,
+       coalesce({join} FILTER (f.kind IS NOT NULL), '') AS spans
+FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
+"""
+
+
 OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -33,4 +63,4 @@ FROM words w LEFT JOIN hit_words h ON w.doc_id = h.doc_id LEFT JOIN hit_items t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontam": OP8}
+    return {"op1_secrets": _op1(), "op8_decontam": OP8}

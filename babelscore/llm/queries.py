@@ -7,13 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import decontam
+from . import decontam, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def digest_spans(df: DataFrame, spans: str, kinds=None):
+    """kind:start:end of the spans (of some kinds), comma-joined in their order."""
+    kept = F.col(spans) if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts,
+                        F.sha2(digest_spans(found, "spans", secrets.BASE_KINDS), 256).alias("base_sha256"),
+                        digest_spans(found, "spans").alias("spans"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -22,5 +41,6 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_secrets": op1_secrets,
         "op8_decontam": op8_decontam,
     }
