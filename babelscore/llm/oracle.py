@@ -1,5 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from .quality_rules import METRICS, MIN_DOCS, REACH
 from .secrets import BASE_KINDS, RULES
 
 
@@ -30,6 +31,55 @@ FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """
 
 
+def _op4() -> str:
+    bins = {m: f"CASE WHEN {total} > 0 THEN ({scale} * {count}) // {total} ELSE 0 END"
+            for m, (count, total, scale, _, _) in METRICS.items()}
+    sketch = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {b} AS bin FROM counts WHERE NOT base_failed"
+                                for m, b in bins.items())
+
+    def quartiles(group: str) -> str:
+        cols = ", ".join(f"min(bin) FILTER (metric = '{m}' AND 4 * below >= {k} * docs) AS {m}_q{k}"
+                         for m in METRICS for k in (1, 3))
+        return f"""SELECT {group}, max(docs) AS docs, {cols} FROM (
+          SELECT {group}, metric, bin, sum(n) OVER (PARTITION BY {group}, metric) AS docs,
+                 sum(n) OVER (PARTITION BY {group}, metric ORDER BY bin ROWS UNBOUNDED PRECEDING) AS below
+          FROM (SELECT {group}, metric, bin, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY {group}"""
+
+    tests = []
+    for m, (_, _, _, floor, lower) in METRICS.items():
+        q1, q3 = (f"(CASE WHEN s.docs >= {MIN_DOCS} THEN s.{m}_q{k} ELSE l.{m}_q{k} END)" for k in (1, 3))
+        spread = f"{REACH} * greatest({q3} - {q1}, {floor})"
+        tests.append(f"{bins[m]} <= {q3} + {spread}")
+        if lower:
+            tests.append(f"{bins[m]} >= {q1} - {spread}")
+    return rf"""
+WITH words AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM grams WHERE c > 1) GROUP BY doc_id
+), counts AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+    SELECT w.doc_id, w.lang, w.source, CAST(len(w.w) AS BIGINT) AS n_words,
+           CAST(length(regexp_replace(w.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(w.text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+           coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM words w LEFT JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN repeats r ON w.doc_id = r.doc_id)
+), sketch AS ({sketch}), by_source AS ({quartiles("lang, source")}), by_lang AS ({quartiles("lang")})
+SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed,
+       NOT c.base_failed AND coalesce({" AND ".join(tests)}, true) AS kept
+FROM counts c LEFT JOIN by_source s ON c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
+LEFT JOIN by_lang l ON c.lang IS NOT DISTINCT FROM l.lang
+"""
+
+
 OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -63,4 +113,4 @@ FROM words w LEFT JOIN hit_words h ON w.doc_id = h.doc_id LEFT JOIN hit_items t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _op1(), "op8_decontam": OP8}
+    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op8_decontam": OP8}
