@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import decontam, quality_rules, secrets
+from . import decontam, langid, quality_rules, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = langid.identify(documents.select("doc_id", "text"), langid.train(documents))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred",
+                        F.col("lang_score").alias("score"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -48,5 +55,6 @@ def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
         "op4_quality_rules": op4_quality_rules,
+        "op5_langid": op5_langid,
         "op8_decontam": op8_decontam,
     }
