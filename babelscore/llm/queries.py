@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import decontam, langid, quality_rules, secrets
+from . import decontam, langid, quality_crf, quality_rules, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lang_score").alias("score"))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = quality_crf.score(documents, quality_crf.train(documents, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -56,5 +62,6 @@ def queries() -> dict:
         "op1_secrets": op1_secrets,
         "op4_quality_rules": op4_quality_rules,
         "op5_langid": op5_langid,
+        "op7_quality_crf": op7_quality_crf,
         "op8_decontam": op8_decontam,
     }
