@@ -80,6 +80,18 @@ LEFT JOIN by_lang l ON c.lang IS NOT DISTINCT FROM l.lang
 """
 
 
+OP6 = r"""
+WITH conv AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM conversations GROUP BY conv_id
+), copies AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM conv GROUP BY turns),
+prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM conv))
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
+       array_to_string(list_transform(turns, lambda x:
+         '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10) || '<|end|>' || chr(10)), '') AS text
+FROM copies WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = copies.turns)
+"""
+
 OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -113,4 +125,4 @@ FROM words w LEFT JOIN hit_words h ON w.doc_id = h.doc_id LEFT JOIN hit_items t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op8_decontam": OP8}
+    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8}

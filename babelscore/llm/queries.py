@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import decontam, langid, quality_crf, quality_rules, secrets
+from . import chat, decontam, langid, quality_crf, quality_rules, secrets, subword
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lang_score").alias("score"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(read(spark, sf_dir, "conversations"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     found = quality_crf.score(documents, quality_crf.train(documents, read(spark, sf_dir, "labels")))
@@ -57,11 +61,17 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.encode(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
         "op4_quality_rules": op4_quality_rules,
         "op5_langid": op5_langid,
+        "op6_chat": op6_chat,
         "op7_quality_crf": op7_quality_crf,
         "op8_decontam": op8_decontam,
+        "op9_subword": op9_subword,
     }
