@@ -17,9 +17,9 @@ its pieces (a fixed vocabulary) are broadcast.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -281,22 +281,25 @@ class Codec:
         return b"".join(map(self.text.__getitem__, ids)).decode()[1:]
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path_key: str, dropout: float, seed: int, variants: int) -> Codec:
-    return Codec(_MODELS[path_key], dropout, seed, variants)
+_CODECS: dict[tuple, Codec] = {}
 
 
-_MODELS: dict[str, dict] = {}
+def codec(name: str, held, *settings) -> Codec:
+    """The worker's codec for a broadcast model, built once."""
+    key = (name, *settings)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(held.value, *settings)
+    return _CODECS[key]
 
 
 def encode(documents: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = 0,
            variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, and whether decoding gives the text again."""
-    held = documents.sparkSession.sparkContext.broadcast(load(path))
+    held, name = documents.sparkSession.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        _MODELS.setdefault(path, held.value)
-        c = codec(path, dropout, seed, variants)
+        c = codec(name, held, dropout, seed, variants)
         docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
         ids, off = c.encode(texts, docs)
         listed = ids.tolist()
@@ -312,12 +315,11 @@ def encode(documents: DataFrame, path: str = MODEL, dropout: float = DROPOUT, se
 
 def decode(encoded: DataFrame, path: str = MODEL, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and the text of every row's ids."""
-    held = encoded.sparkSession.sparkContext.broadcast(load(path))
+    held, name = encoded.sparkSession.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     def run(batches):
         for batch in batches:
-            _MODELS.setdefault(path, held.value)
-            c = codec(path, 0.0, 0, 1)
+            c = codec(name, held, 0.0, 0, 1)
             out = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
     return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(
