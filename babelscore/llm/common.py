@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 SLICE_BYTES = 3 << 20
 
 # Word separators: space and \x09-\x0D.
@@ -147,3 +149,94 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text", limit: int = S
                 if out is not None:
                     yield out
     return df.mapInArrow(run, schema)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: cuts the lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fixed(column, dtype, width: int) -> np.ndarray:
+    """A binary column of equal-length values as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros((0, width), dtype=dtype)
+    off = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0]:off[-1]]
+    return np.ascontiguousarray(raw).view(dtype).reshape(len(column), width)
+
+
+def to_binary(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a binary column."""
+    n, width = matrix.shape[0], matrix.shape[1] * matrix.itemsize
+    off = pa.array((np.arange(n + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, off.buffers()[1], pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
+
+
+def whole_groups(batches, keys: list[str]):
+    """From batches sorted by ``keys``: tables in which every group of equal keys is complete, with
+    the groups' first rows (n + 1)."""
+    held = None
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            v = table.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        at = bounds(table)
+        if len(at) > 2:
+            yield table.slice(0, at[-2]), at[:-1]
+        held = table.slice(at[-2])
+    if held is not None:
+        yield held, bounds(held)
+
+
+def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+    """Connected components of an undirected graph (columns u, v): node, root (the smallest node).
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) on tables in the shared
+    checkpoint folder; only a round's row count and checksum reach the driver. Nodes without an edge
+    do not appear."""
+    def checked(df: DataFrame) -> tuple[DataFrame, tuple]:
+        kept = materialise(df, name)
+        r = kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        return kept, tuple(r)
+
+    def star(pairs: DataFrame) -> DataFrame:
+        """Of pairs (u, neighbour): every neighbour, with the smallest of u and its neighbours."""
+        low = pairs.groupBy("u").agg(F.min("v").alias("low"))
+        return pairs.join(low.withColumn("low", F.least("u", "low")), "u")
+
+    now, mark = checked(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _ in range(max_rounds):
+        if not mark[0]:
+            break
+        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")).toDF("u", "v"))
+        large = star(both).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = large.filter("u != v").distinct()
+        small = star(large)  # v < u here, so u's own row is added
+        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("low").alias("y")),
+                                               F.struct(F.col("v").alias("x"), F.col("low").alias("y")))).alias("e"))
+        small = small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u != v").distinct()
+        now, new = checked(small)
+        if new == mark:
+            break
+        mark = new
+    else:
+        raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -124,5 +124,25 @@ FROM words w LEFT JOIN hit_words h ON w.doc_id = h.doc_id LEFT JOIN hit_items t
 """
 
 
+# Pairs by shared shingles, components by following the smallest reachable id.
+OP10 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON x = s.doc_id JOIN sizes t ON y = t.doc_id WHERE 9 * c >= 4 * (s.n + t.n)
+), reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = d.doc_id), d.doc_id)) AS class_id,
+       (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8}
+    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat, decontam, langid, quality_crf, quality_rules, secrets, subword
+from . import chat, decontam, jaccard_join, langid, quality_crf, quality_rules, secrets, subword
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encode(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
@@ -74,4 +78,5 @@ def queries() -> dict:
         "op7_quality_crf": op7_quality_crf,
         "op8_decontam": op8_decontam,
         "op9_subword": op9_subword,
+        "op10_jaccard_join": op10_jaccard_join,
     }
