@@ -31,6 +31,24 @@ FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """
 
 
+OP2 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM windows WHERE k > 1),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM words) ANTI JOIN gone USING (doc_id, j)
+  GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+
 def _op4() -> str:
     bins = {m: f"CASE WHEN {total} > 0 THEN ({scale} * {count}) // {total} ELSE 0 END"
             for m, (count, total, scale, _, _) in METRICS.items()}
@@ -145,4 +163,4 @@ FROM documents d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _op1(), "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10}
+    return {"op1_secrets": _op1(), "op2_substring_dedup": OP2, "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10}
