@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialise
 
 WORDS = 13
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,9 +34,9 @@ _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 9
                 for b in range(256))
 _GAP = ord(" ")
 
-STATE = "doc_id long, text string, starts array<long>, ends array<long>, items array<string>"
-RESULT = ("doc_id long, n_words long, n_hit long, n_items long, items array<string>, "
-          "contaminated boolean, spans array<struct<start:long,end:long>>")
+STATE = "text string, starts array<long>, ends array<long>, items array<string>"
+RESULT = ("n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, "
+          "spans array<struct<start:long,end:long>>")
 
 
 def normalise(text: str | None) -> str:
@@ -110,8 +110,8 @@ def original_spans(text: str | None, starts: list[int], ends: list[int]) -> list
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _step(windows, key: str, last: bool):
-    """One automaton over a slice; the last one turns the runs into the result."""
+def _step(windows, key: str, last: bool, carried: list[str]):
+    """One automaton over a slice; the last one turns the runs into the result. ``carried`` columns pass."""
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
         a = automaton(key, windows.value)
         rows = []
@@ -128,15 +128,14 @@ def _step(windows, key: str, last: bool):
             rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items": items,
                          "contaminated": hit > 0 and 20 * hit >= n,
                          "spans": original_spans(r["text"], s, e)})
-        ids = part.column(part.schema.get_field_index("doc_id"))
         kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "text": pa.string(),
                  "items": pa.list_(pa.string()), "contaminated": pa.bool_(),
                  "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()),
                  "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-        names = [f.split()[0] for f in ("n_words n_hit n_items items contaminated spans" if last
-                                        else "text starts ends items").split()]
+        names = ("n_words n_hit n_items items contaminated spans" if last else "text starts ends items").split()
         return pa.RecordBatch.from_arrays(
-            [ids] + [pa.array([row[n] for row in rows], kinds[n]) for n in names], ["doc_id"] + names)
+            [part.column(part.schema.get_field_index(c)) for c in carried]
+            + [pa.array([row[n] for row in rows], kinds[n]) for n in names], carried + names)
     return fn
 
 
@@ -144,7 +143,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                   item_id: str = "item_id", item_text: str = "text", words: int = WORDS,
                   max_windows: int = 20_000, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: word counts, items found, verdict and original spans of the hits."""
-    spark = documents.sparkSession
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _scanned(rows, ["doc_id"], benchmark, item_id, item_text, words, max_windows, max_benchmark_bytes)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+          item_text: str = "text", words: int = WORDS, max_windows: int = 20_000,
+          max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated."""
+    rows = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    found = _scanned(rows, ["row"], benchmark, item_id, item_text, words, max_windows, max_benchmark_bytes)
+    return found.filter(~F.col("contaminated")).select("row.*")
+
+
+def _scanned(rows: DataFrame, carried: list[str], benchmark: DataFrame, item_id: str, item_text: str, words: int,
+             max_windows: int, max_benchmark_bytes: int) -> DataFrame:
+    spark = rows.sparkSession
     tests = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
@@ -152,14 +166,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                          f"({max_benchmark_bytes}); it must fit on the driver")
     windows = sorted((p, sorted(i)) for p, i in item_windows(((r[0], r[1]) for r in tests.collect()), words).items())
     shards = [windows[i:i + max_windows] for i in range(0, len(windows), max_windows)] or [[]]
-    state = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
-                             F.lit(None).cast("array<long>").alias("starts"),
-                             F.lit(None).cast("array<long>").alias("ends"),
-                             F.lit(None).cast("array<string>").alias("items"))
+    state = rows.select(*carried, "text", F.lit(None).cast("array<long>").alias("starts"),
+                        F.lit(None).cast("array<long>").alias("ends"), F.lit(None).cast("array<string>").alias("items"))
+    kept = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in carried)
     for i, shard in enumerate(shards):
         last = i == len(shards) - 1
         held = spark.sparkContext.broadcast(shard)  # at most max_windows windows
-        state = map_texts(state, _step(held, uuid.uuid4().hex, last), RESULT if last else STATE)
+        state = map_texts(state, _step(held, uuid.uuid4().hex, last, carried), f"{kept}, {RESULT if last else STATE}")
         if not last:
-            state = state.checkpoint()
+            state = materialise(state, "decontam-hits")
     return state

@@ -170,15 +170,16 @@ def together(df: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, cls (null without words), sig: written once, read for classes and for membership."""
+    """doc, tie (tells rows with the same id apart), cls (null without words), sig: written once, read
+    for classes and for membership."""
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        value, first, digest, n = shingles(Texts(part.column(1)))
+        value, first, digest, n = shingles(Texts(part.column(2)))
         cls = to_binary(digest)
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([c if k else None for c, k in zip(cls.to_pylist(), n.tolist())], pa.binary()),
-             to_binary(signatures(value, first))], ["doc", "cls", "sig"])
-    rows = documents.select(doc_key(doc_id).alias("doc"), F.col(text).alias("text"))
-    return map_texts(rows, fn, "doc long, cls binary, sig binary")
+            [part.column(0), part.column(1), pa.array([c if k else None for c, k in zip(cls.to_pylist(), n.tolist())], pa.binary()),
+             to_binary(signatures(value, first))], ["doc", "tie", "cls", "sig"])
+    rows = documents.select(doc_key(doc_id).alias("doc"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return map_texts(rows, fn, "doc long, tie long, cls binary, sig binary")
 
 
 def band_values(reps: DataFrame) -> DataFrame:
@@ -290,8 +291,8 @@ def with_shingles(documents: DataFrame, wanted: DataFrame, doc_id: str, text: st
     return map_texts(joined, fn, schema).filter("same").dropDuplicates(["cls"]).drop("same", "doc")
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links."""
+def grouped(documents: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """One row per document: doc, tie, root (the group; null without words), class_id, n_links."""
     every = materialise(classes(documents, doc_id, text), "jaccard-docs")
     reps = materialise(every.filter("cls is not null").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.any_value("sig").alias("sig")), "jaccard-classes")
@@ -315,9 +316,29 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
              .withColumn("root", F.coalesce("root", "cls")))
     least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
     named = named.join(least, "root").join(links, "cls", "left").select(
-        "cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    out = every.select("doc", "cls").join(named, "cls", "left")
-    null_id = F.lit(-(1 << 63))
-    return out.select(F.when(F.col("doc") != null_id, F.col("doc")).alias("doc_id"),
-                      F.nullif(F.coalesce("class_id", "doc"), null_id).alias("class_id"),
+        "cls", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    out = every.select("doc", "tie", "cls").join(named, "cls", "left")
+    return out.select("doc", "tie", "root", F.coalesce("class_id", "doc").alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links."""
+    null_id = F.lit(-(1 << 63))
+    return grouped(documents, doc_id, text, block).select(
+        F.nullif("doc", null_id).alias("doc_id"), F.nullif("class_id", null_id).alias("class_id"), "n_links")
+
+
+def representatives(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents, all columns, of which one row of each group stays: the smallest id, and of rows
+    with that id the one with the least hash of its text. Documents without words all stay, but equal
+    rows of one id become one."""
+    found = grouped(documents, doc_id, text, block)
+    first = (found.filter(F.col("root").isNotNull() & (F.col("doc") == F.col("class_id")))
+             .groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("k")).select("k.*"))
+    wordless = found.filter(F.col("root").isNull()).select("doc", "tie").distinct()
+    kept = first.union(wordless)
+    rows = documents.select(doc_key(doc_id).alias("_doc"), F.xxhash64(text).alias("_tie"), F.struct("*").alias("_row"))
+    # The rows meet by id and tie once, for the join and for dropping repeated rows.
+    rows = rows.join(kept, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left_semi")
+    return rows.dropDuplicates(["_doc", "_tie"]).select("_row.*")
