@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat, decontam, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword
+from . import chat, decontam, html_text, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -78,6 +83,7 @@ def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_html_text": op3_html_text,
         "op4_quality_rules": op4_quality_rules,
         "op5_langid": op5_langid,
         "op6_chat": op6_chat,
