@@ -1,2 +1,2 @@
-"""Column-level functions: Catalyst expressions (NFKC through ICU on the JVM; an Arrow-batched
-Python fallback is kept as ``text.nfkc_python``)."""
+"""Column-level functions: Catalyst expressions (NFKC through ICU on the JVM; decimal places of
+labels through a small Arrow function)."""

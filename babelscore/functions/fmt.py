@@ -1,13 +1,20 @@
-"""Chart label text, built with ``format_string`` (JVM-side).
+"""Chart label text.
 
-Python's ``{x:.nf}`` rounds half to even while Java's ``%.nf`` rounds half up, so every
-fixed-point value is ``bround``-ed to its places first; grouping uses Java's US-locale ``%,d``.
+A fixed-point value is rounded from its exact binary value, half to even, as Python's formatting
+does (0.05 prints as 0.1 and 0.15 as 0.1 to one place); Java's formatter rounds the shortest
+decimal form, which differs for one label in seven. So numbers with decimal places are formatted by
+a small Arrow function. Labels are made of report tables, which have a row per class, language or
+category: no data row passes through it. Integers and text stay with ``format_string``.
 """
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c) -> Column:
@@ -22,54 +29,60 @@ def _fmt(pattern: str, *args: Column) -> Column:
     return F.when(known, F.format_string(pattern, *args))
 
 
+@functools.cache
+def _rounder(places: int):
+    @F.arrow_udf(T.StringType())
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{places}f}" for v in values.to_pylist()], pa.string())
+    return text
+
+
 def fixed(x, places: int) -> Column:
-    """``f'{x:.{places}f}'``."""
-    return _fmt(f"%.{places}f", F.bround(_col(x), places))
+    """A double with a fixed number of places; null stays null."""
+    return _rounder(places)(_col(x).cast("double"))
 
 
 def legend_label(label, n, p) -> Column:
-    """``f'{label}  {n:,}  ({p:.1f}%)'`` (Figure 1 legend)."""
-    return _fmt("%s  %,d  (%.1f%%)", _col(label), _col(n), F.bround(_col(p), 1))
+    """Figure 1 legend: label, grouped count, share to one place."""
+    return _fmt("%s  %,d  (%s%%)", _col(label), _col(n), fixed(p, 1))
 
 
 def grand_label(n) -> Column:
-    """``f'n = {n:,}'`` (Figure 1 centre)."""
+    """Figure 1 centre: the grouped total."""
     return _fmt("n = %,d", _col(n))
 
 
 def segment_label(n, p, inside) -> Column:
-    """``f'{n}\\n({p:.0f}%)'`` inside a bar, ``f'{n} ({p:.0f}%)'`` outside (Figure 2)."""
-    r = F.bround(_col(p), 0)
-    return F.when(_col(inside), _fmt("%d\n(%.0f%%)", _col(n), r)) \
-        .otherwise(_fmt("%d (%.0f%%)", _col(n), r))
+    """Figure 2: count and whole-percent share, on two lines inside a bar and one outside."""
+    r = fixed(p, 0)
+    return F.when(_col(inside), _fmt("%d\n(%s%%)", _col(n), r)).otherwise(_fmt("%d (%s%%)", _col(n), r))
 
 
 def share_label(p, n) -> Column:
-    """``f'{p:.1f}%  (n={n})'`` (Figure 3 bars)."""
-    return _fmt("%.1f%%  (n=%d)", F.bround(_col(p), 1), _col(n))
+    """Figure 3 bars: share to one place and the count."""
+    return _fmt("%s%%  (n=%d)", fixed(p, 1), _col(n))
 
 
 def mean_label(m) -> Column:
-    """``f'Mean: {m:.3f}'`` (Figure 3 reference line)."""
-    return _fmt("Mean: %.3f", F.bround(_col(m), 3))
+    """Figure 3 reference line: the mean to three places."""
+    return _fmt("Mean: %s", fixed(m, 3))
 
 
 def fixed_or_nan(x, places: int) -> Column:
-    """``f'{x:.{places}f}'`` where a missing value prints as Python's ``nan``."""
+    """``fixed``, where a missing value prints as Python's ``nan``."""
     return F.coalesce(fixed(x, places), F.lit("nan"))
 
 
 def summary_line(lang, neg, neu, pos, low, pct) -> Column:
-    """One per-language line of the classification summary:
-    ``f'  {lang:<10} neg={neg:3d}  neu={neu:3d}  pos={pos:3d}  | low-conf={low} ({pct:.1f}%)'``."""
+    """One per-language line of the printed summary: padded name, padded class counts, then the
+    low-confidence count and rate."""
     head = _fmt("  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (",
                 _col(lang), _col(neg), _col(neu), _col(pos), _col(low))
     return F.concat(head, fixed_or_nan(pct, 1), F.lit("%)"))
 
 
 def total_line(low, n, pct, threshold: float | None = None) -> Column:
-    """The closing line: ``f'  Total low-confidence (< {threshold}): {low} / {n} ({pct:.1f}%)'``,
-    or with ``threshold=None`` the notebook's ``f'  Total low-confidence: {low}/{n} ({pct:.1f}%)'``."""
+    """The closing line of the printed summary; ``threshold=None`` gives the notebook's wording."""
     if threshold is None:
         head = _fmt("  Total low-confidence: %d/%d (", _col(low), _col(n))
     else:

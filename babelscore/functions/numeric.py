@@ -45,9 +45,10 @@ def argmax1(probs) -> Column:
 
 
 def safe_double(c) -> Column:
-    """Parse a confidence cell: trimmed decimal numbers only, anything else is null."""
+    """Parse a confidence cell: trimmed decimal numbers with a finite value, anything else is null."""
     s = strip_whitespace(c)
-    return F.when(s.rlike(DECIMAL_NUMBER), s.try_cast("double"))
+    value = F.when(s.rlike(DECIMAL_NUMBER), s.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def pct(n, total) -> Column:

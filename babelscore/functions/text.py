@@ -4,20 +4,13 @@ All of these are Catalyst expressions. NFKC has no Spark built-in; ``nfkc`` call
 ``Normalizer.compose(text, compat=true)`` through ``reflect`` (ICU4J ships with Spark 4 for
 collations), so it stays on the JVM. Against Python's ``unicodedata`` it agrees on every code
 point up to U+2FFFF except 36 characters new in Unicode 16, which ICU 77 knows and Python's
-Unicode 15.1 does not. ``nfkc_python`` is the Arrow-batched ``unicodedata`` fallback.
-(``pyarrow.compute.utf8_normalize`` was tried and rejected: in the installed pyarrow its
-NFC/NFKC output is decomposed, e.g. ``'ó'`` comes back as ``'o\u0301'``.)
+Unicode 15.1 does not.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from ..schema import ID_WIDTH, PANDAS_NA_TOKENS, PY_WHITESPACE, PY_WHITESPACE_CHARS
 
@@ -25,8 +18,6 @@ WS = f"[{PY_WHITESPACE}]"
 WS_RUN = f"{WS}+"
 NON_WS = f"[^{PY_WHITESPACE}]"
 _OTHER_WS = PY_WHITESPACE_CHARS.replace(" ", "")
-# Any code point outside ASCII; ASCII text is already NFKC-normal.
-NON_ASCII = r"[^\x{00}-\x{7F}]"
 
 
 def _col(c) -> Column:
@@ -55,13 +46,6 @@ def strip_whitespace(c) -> Column:
     return F.regexp_replace(_col(c), f"^{WS_RUN}|{WS_RUN}$", "")
 
 
-@arrow_udf(T.StringType())
-def _nfkc_arrow(v: pa.Array) -> pa.Array:
-    norm = unicodedata.normalize
-    return pa.array([None if s is None else norm("NFKC", s) for s in v.to_pylist()],
-                    type=pa.string())
-
-
 def nfkc(c) -> Column:
     """Unicode NFKC on the JVM (ICU). Null stays null."""
     s = _col(c)
@@ -69,13 +53,6 @@ def nfkc(c) -> Column:
                                            s, F.lit(True)))
 
 
-def nfkc_python(c) -> Column:
-    """Unicode NFKC with Python's ``unicodedata``. Only non-ASCII values cross into Python;
-    ASCII ones are already normal, so they travel as nulls and are restored on the JVM side."""
-    s = _col(c)
-    return F.coalesce(_nfkc_arrow(F.when(s.rlike(NON_ASCII), s)), s)
-
-
 def clean(c) -> Column:
     """The model-side preprocessing: NFKC, then strip and collapse whitespace."""
     return collapse_whitespace(nfkc(c))

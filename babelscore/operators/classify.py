@@ -8,7 +8,7 @@ filter above a deterministic UDF makes Catalyst evaluate the model a second time
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax1, softmax
@@ -67,11 +67,18 @@ def score(long: DataFrame, scorer: Scorer, form: str = "catalyst", nfkc: bool =
 def classify(wide: DataFrame, scorer: Scorer, languages: list[str] | None = None,
              threshold: float = DEFAULT_THRESHOLD, missing: str = "drop", form: str = "catalyst",
              nfkc: bool = True, batch_size: int = DEFAULT_BATCH_SIZE,
-             keep_scores: bool = False, sort_by_length: bool = False) -> DataFrame:
-    """Wide table → scored long table with the seven output columns (plus ``scores``)."""
+             keep_scores: bool = False, sort_by_length: bool = False,
+             truncation: Observation | None = None) -> DataFrame:
+    """Wide table → scored long table with the seven output columns (plus ``scores``).
+
+    ``truncation`` receives ``truncated``, the number of texts longer than the model reads; the
+    count costs one more tokenizer pass, so it is taken only when asked for."""
     long = melt_languages(wide, languages, missing=missing)
     scored = score(long, scorer, form=form, nfkc=nfkc, batch_size=batch_size,
                    sort_by_length=sort_by_length)
+    if truncation is not None:
+        scored = scored.withColumn("__cut", scorer.truncated(F.col("clean_text"))) \
+            .observe(truncation, F.count_if("__cut").alias("truncated")).drop("__cut")
     decided = decide(scored, "logits", scorer.labels, threshold, keep_scores=keep_scores,
                      inputs=getattr(scorer, "outputs", "logits"))
     return decided.select(*OUT_COLS, *(["scores"] if keep_scores else []))

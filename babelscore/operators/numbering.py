@@ -2,20 +2,18 @@
 
 ``row_number() over (partition by g order by k)`` sends every row of a group to one task; with
 a handful of languages and one of them holding most rows, that task holds most of the data.
-Here the order key is cut into quantile buckets first:
-
-1. one aggregate pass gives the row count (and, when more than one bucket is needed, the bucket
-   boundaries from ``percentile_approx``; both are a few numbers on the driver). Small inputs
-   (under ``single_bucket_rows``) use one bucket; larger ones use at least four buckets per
-   core of the cluster, so a group holding most rows is still split across every core, and at
-   least one bucket per ``rows_per_bucket`` rows, so a window group stays spillable-small;
-2. ``row_number() over (partition by g, bucket order by k)`` — a window over many small groups;
-3. ``count(*)`` per ``(g, bucket)`` and a running sum over that tiny table give each bucket's
-   offset, which is joined back. Its size is at most ``groups × buckets`` rows, known before the
-   plan is built, so it is broadcast only when that bound is under ``broadcast_rows``.
-
-The order key should be numeric and (close to) unique within a group, as a document id is;
-buckets are cut on its value, so a key that does not cast to a number lands in one bucket.
+One plan serves every size:
+
+1. ``buckets - 1`` quantiles of the order key (one mergeable aggregate, a few numbers on the
+   driver, however many rows there are) cut the key into buckets of about equal size;
+2. ``row_number() over (partition by g, bucket order by k)`` numbers rows inside a bucket;
+3. ``count(*)`` per ``(g, bucket)`` and a running sum over that small table give each bucket's
+   offset, which is joined back (adaptive execution picks the join: the table has at most
+   groups × buckets rows).
+
+``buckets`` defaults to ``spark.sql.shuffle.partitions``, the parallelism the cluster was sized
+for. The order key must be numeric; rows with a null key come first, as in the plain window. Rows
+with equal keys share a bucket and are numbered in any order, as in the plain window.
 """
 
 from __future__ import annotations
@@ -24,65 +22,32 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..session import default_parallelism
-
-DEFAULT_ROWS_PER_BUCKET = 200_000
-DEFAULT_SINGLE_BUCKET_ROWS = 50_000
-DEFAULT_BROADCAST_ROWS = 1_000_000
+from pyspark.sql import types as T
 
 
 def number_within_groups(df: DataFrame, group: str, order: str, out: str = "rn",
-                         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                         max_groups: int | None = None,
-                         single_bucket_rows: int = DEFAULT_SINGLE_BUCKET_ROWS,
-                         min_buckets: int | None = None) -> DataFrame:
-    """``max_groups``: a known bound on the number of groups (skips counting them).
-    ``min_buckets`` defaults to four per core (``defaultParallelism``)."""
-    if max_groups is None:
-        stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).first()
-        n, g = int(stats["n"]), max(int(stats["g"]), 1)
-    else:
-        n, g = df.count(), max_groups
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    if n >= single_bucket_rows:
-        if min_buckets is None:
-            min_buckets = 4 * default_parallelism(df.sparkSession)
-        buckets = max(buckets, min_buckets)
-
-    def plain_window() -> DataFrame:
-        w = Window.partitionBy(group).orderBy(order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-
-    if buckets == 1:
-        return plain_window()
-
-    # Quantile boundaries of the order key: every bucket holds about rows_per_bucket rows,
-    # whatever the key's distribution.
+                         buckets: int | None = None) -> DataFrame:
+    """Adds ``out``: 1, 2, ... within each ``group`` by ``order``."""
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        raise TypeError(f"the order key must be numeric; {order} is {df.schema[order].dataType.simpleString()}")
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__key_d", F.col(order).cast("double"))
     fracs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 4 * buckets)
-    splits = df.select(F.percentile_approx(F.col(order).cast("double"), fracs, accuracy)).first()[0]
-    splits = sorted(set(float(s) for s in splits or []))  # None when every key is null
-    if not splits:
-        return plain_window()  # no numeric key to cut on
+    cuts = keyed.select(F.percentile_approx("__key_d", fracs, max(10_000, 4 * buckets))).first()[0] if fracs else None
+    # Equal boundaries fall together; without a boundary (no numeric key, one bucket) zero stands in.
+    cuts = sorted(set(cuts or [0.0]))
     from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the boundaries
 
-    keyed = df.withColumn("__key_d", F.col(order).cast("double"))
-    bucketed = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol="__key_d",
-                          outputCol="__bucket", handleInvalid="keep").transform(keyed).drop("__key_d")
-
+    bucketed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__key_d", outputCol="__bucket",
+                          handleInvalid="keep").transform(keyed).drop("__key_d")
+    # A null key has a null bucket, which sorts first.
     local = bucketed.withColumn(
         "__local", F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(order)))
     counts = bucketed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    # At most (groups + a null group) × (buckets + the null/NaN buckets) offset rows.
-    if (g + 1) * (len(splits) + 3) <= broadcast_rows:
-        offsets = F.broadcast(offsets)
-    # Null-safe on both keys: a null group or a null order key (null bucket, ordered first as
-    # in the plain window) must keep its rows.
+    # Null-safe on both keys: a null group or a null order key must keep its rows.
     cond = local[group].eqNullSafe(offsets["__g"]) & local["__bucket"].eqNullSafe(offsets["__b"])
     return (local.join(offsets, cond, "inner")
             .withColumn(out, (F.col("__offset") + F.col("__local")).cast("long"))

@@ -6,8 +6,7 @@ leaves one row per task, the exchange to the final aggregate carries one row per
 key can be hot. Completion (an absent class or language counts 0) and the denominators come
 out of the same pass; the wide row is turned into one row per domain value with ``inline``.
 Fixed attributes such as colours and display labels are looked up in a literal map
-(``attribute``: an expression, no join); a dimension held as a DataFrame is attached with a
-broadcast join (``attach``), which is safe because such dimensions have a fixed, small size.
+(``attribute``: an expression, no join).
 """
 
 from __future__ import annotations
@@ -37,11 +36,6 @@ def attribute(key, mapping: dict) -> Column:
     return m[F.col(key) if isinstance(key, str) else key]
 
 
-def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Attribute lookup from a dimension DataFrame of fixed, small size: left join, broadcast."""
-    return df.join(F.broadcast(dim), key, "left")
-
-
 # ---- per-language summary (Table 1) ---------------------------------------------------------
 
 class LanguageCounts:

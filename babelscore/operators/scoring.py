@@ -8,9 +8,11 @@ enough to be an expression, a Catalyst form (``logits``) that never leaves the J
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable, Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,9 @@ class Scorer(Protocol):
     def make_predict_fn(self) -> Callable[[np.ndarray], np.ndarray]:
         """Load the model (once per worker) and return ``texts[n] -> logits[n, len(labels)]``."""
 
+    def truncated(self, text: Column) -> Column:
+        """Whether the model reads only part of a text."""
+
     def logits(self, text: Column) -> Column | None:
         """Catalyst form of the model, or ``None`` if there is none."""
 
@@ -60,8 +65,10 @@ class LetterScorer:
                   for ch in self.letters]
         return F.array(*[F.lit(self.scale) * F.try_divide(c.cast("double"), n) for c in counts])
 
+    def truncated(self, text: Column) -> Column:
+        return F.lit(False)
+
     def make_predict_fn(self):
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         letters, scale = self.letters, self.scale
@@ -103,6 +110,21 @@ class OnnxScorer:
     def logits(self, text: Column) -> None:
         return None
 
+    def truncated(self, text: Column) -> Column:
+        """Texts of more than ``max_length`` tokens (special tokens included)."""
+        path, limit = self.tokenizer_path, self.max_length
+
+        @F.arrow_udf(T.BooleanType())
+        def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            for texts in batches:
+                enc = tok.encode_batch([t or "" for t in texts.to_pylist()])
+                yield pa.array([len(e.ids) > limit for e in enc], pa.bool_())
+        return cut(text)
+
     def make_predict_fn(self):
         import onnxruntime as ort
         from tokenizers import Tokenizer

@@ -41,16 +41,20 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
                  missing: str = "drop", form: str = "udf", csv_output: str | None = None,
                  mode: str = "errorifexists", partition_by: str | None = None,
                  multiline: bool = True, observation: Observation | None = None,
-                 input_observation: Observation | None = None) -> DataFrame:
+                 input_observation: Observation | None = None,
+                 truncation: Observation | None = None) -> DataFrame:
     """Classify the wide table and write the scored table; returns it as read back.
 
     ``observation`` receives ``records`` and ``low_conf``, ``input_observation`` the wide
-    table's ``sentences``; both are counted while the table is written (no second pass)."""
+    table's ``sentences``, ``truncation`` the texts the model cuts (``truncated``); all are counted
+    while the table is written (no second pass). The CSV output lists rows by sentence id (shorter
+    ids first, so numbers count up) and, within one, in the languages' order."""
     wide = read_input(spark, input_path, input_format, multiline)
     if input_observation is not None:
         wide = wide.observe(input_observation, F.count(F.lit(1)).alias("sentences"))
-    scored = classify(wide, scorer, languages or LANGUAGES, threshold=threshold, missing=missing,
-                      form=form, batch_size=batch_size,
+    langs = languages or LANGUAGES
+    scored = classify(wide, scorer, langs, threshold=threshold, missing=missing,
+                      form=form, batch_size=batch_size, truncation=truncation,
                       sort_by_length=form == "udf" and getattr(scorer, "pads_batches", True))
     if observation is not None:
         scored = scored.observe(observation, F.count(F.lit(1)).alias("records"),
@@ -58,7 +62,8 @@ def classify_job(spark: SparkSession, input_path: str, output_path: str, scorer:
     csv_io.write_results(scored, output_path, fmt="parquet", mode=mode, partition_by=partition_by)
     table = csv_io.read_results(spark, output_path, fmt="parquet")
     if csv_output:
-        csv_io.write_results(table, csv_output, fmt="csv", mode=mode)
+        ordered = table.orderBy(F.length("sentence_id"), "sentence_id", report.attribute("Language", {l: i for i, l in enumerate(langs)}))
+        csv_io.write_results(ordered, csv_output, fmt="csv", mode=mode)
     return table
 
 
@@ -166,16 +171,18 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import build_session
     spark = build_session(app_name=f"babelscore-{args.cmd}")
     if args.cmd == "classify":
-        obs, read = Observation("classify"), Observation("input")
+        obs, read, cut = Observation("classify"), Observation("input"), Observation("truncation")
         table = classify_job(spark, args.input, args.output, _scorer(args),
                              input_format=args.input_format, threshold=args.threshold,
                              batch_size=args.batch_size, missing=args.missing, form="udf",
                              csv_output=args.csv_output, partition_by=args.partition_by,
                              multiline=not args.single_line, observation=obs,
-                             input_observation=read)
+                             input_observation=read, truncation=cut if args.model else None)
         n = read.get["sentences"]
         print(f"{n} sentences × {len(LANGUAGES)} languages = {n * len(LANGUAGES)} predictions")
         print(f"Total records classified: {obs.get['records']}")
+        if args.model and cut.get["truncated"]:
+            print(f"Texts cut to {args.max_length} tokens: {cut.get['truncated']}")
         print("\n── Results summary ──")
         lines = report.summary_lines(table, LANGUAGES, args.threshold).orderBy("ord").collect()
         for r in lines[:-1]:

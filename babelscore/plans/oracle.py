@@ -2,7 +2,8 @@
 
 Written the relational way (dimension ``VALUES`` lists, ``GROUP BY``, ``LEFT JOIN``, window
 functions) rather than mirroring the Spark operators, so agreement is evidence. DuckDB has no
-NFKC; the generated documents are NFKC-stable, so its cleaning is the whitespace rule alone.
+NFKC; the generated documents are NFKC-stable, so its cleaning is the whitespace rule alone, also
+for the query that writes their letters in full-width form first.
 """
 
 from __future__ import annotations
@@ -123,8 +124,8 @@ placed AS (SELECT *, NOT ("Sentiment" = 'neutral' AND NOT coalesce(pct >= 8, fal
 labelled AS (
   SELECT *, CASE WHEN inside THEN "left" + pct / 2 ELSE "left" + pct + CAST(1.2 AS DOUBLE) END AS x,
          CASE WHEN pct IS NULL THEN NULL
-              WHEN inside THEN printf('%d', n) || chr(10) || printf('(%.0f%%)', round_even(pct, 0))
-              ELSE printf('%d (%.0f%%)', n, round_even(pct, 0)) END AS label
+              WHEN inside THEN printf('%d', n) || chr(10) || printf('(%.0f%%)', pct)
+              ELSE printf('%d (%.0f%%)', n, pct) END AS label
   FROM placed)"""
 
 
@@ -163,9 +164,9 @@ _CHART_TAX = """, w AS (
          min(mean_conf) OVER () - CAST(0.006 AS DOUBLE) AS lo, max(mean_conf) OVER () + CAST(0.012 AS DOUBLE) AS hi
   FROM tax)
 SELECT ord, final_category, label, colour, n, pct, n_parsed, round_even(mean_conf, 6) AS mean_conf,
-       printf('%.1f%%  (n=%d)', round_even(pct, 1), n) AS bar_label,
-       printf('%.3f', round_even(mean_conf, 3)) AS conf_label,
-       round_even(wm, 6) AS weighted_mean, printf('Mean: %.3f', round_even(wm, 3)) AS mean_label,
+       printf('%.1f%%  (n=%d)', pct, n) AS bar_label,
+       printf('%.3f', mean_conf) AS conf_label,
+       round_even(wm, 6) AS weighted_mean, printf('Mean: %.3f', wm) AS mean_label,
        round_even(lo, 6) AS x_min, round_even(hi, 6) AS x_max
 FROM w"""
 
@@ -181,6 +182,15 @@ SELECT l.ord, l."Language", l.class_ord, l."Sentiment", l.n, l.pct, l."left", l.
 FROM labelled l JOIN {_CLS} c ON c."Sentiment" = l."Sentiment\""""
     return {
         "wide_scan": f"WITH {WIDE}\nSELECT CAST(sentence_id AS VARCHAR) AS sentence_id, {wide_cols} FROM wide",
+        "wide_scan_reordered": f"WITH {WIDE}\nSELECT CAST(sentence_id AS VARCHAR) AS sentence_id, {wide_cols} FROM wide",
+        "wide_scan_na": f"WITH {WIDE}\nSELECT CAST(sentence_id AS VARCHAR) AS sentence_id, "
+                        + ", ".join(f'CASE WHEN sentence_id % 3 <> 0 THEN "{l}" END AS "{l}"' if l == "English" else f'"{l}"'
+                                    for l in _WIDE_LANGS) + " FROM wide",
+        # Of the derived blanks only the zero-width space (the fifth) is no white space.
+        "blank_filter_derived": f"SELECT doc_id, lang FROM documents WHERE CASE WHEN doc_id % 5 = 0 "
+                                f"THEN doc_id % 7 = 4 ELSE regexp_matches(text, '{NON_WS}') END",
+        "preprocess_nfkc": f"SELECT doc_id, trim(regexp_replace(text, '{WS_RUN}', ' ', 'g'), ' ') AS clean_text FROM documents",
+        "results_as_text": f"WITH {WIDE},\n{_melt('as_text')},\n{SCORE}\nSELECT {_RESULT_COLS} FROM scored",
         "id_pad": f"SELECT o_orderkey, {_zfill('CAST(o_orderkey AS VARCHAR)')} AS sentence_id FROM orders",
         "melt": f"WITH {WIDE},\n{_melt()}\nSELECT sentence_id, \"Language\", \"Text\", English_source FROM melted",
         "melt_missing_as_text": f"WITH {WIDE},\n{_melt('as_text')}\n"
@@ -218,20 +228,20 @@ SELECT {len(pl)} AS ord, 'Total' AS "Language", {total_counts},
 FROM scored""",
         "summary_lines": lang_rows + f"""SELECT ord, printf('  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (',
        "Language", negative, neutral, positive, low_conf_n)
-       || coalesce(printf('%.1f', round_even(low_conf_pct, 1)), 'nan') || '%)' AS line
+       || coalesce(printf('%.1f', low_conf_pct), 'nan') || '%)' AS line
 FROM rows
 UNION ALL
 SELECT {len(pl)} AS ord, printf('  Total low-confidence (< 0.5): %d / %d (', count_if(low_confidence_flag), count(*))
-       || coalesce(printf('%.1f', round_even({_pct('count_if(low_confidence_flag)', 'count(*)')}, 1)), 'nan')
+       || coalesce(printf('%.1f', {_pct('count_if(low_confidence_flag)', 'count(*)')}), 'nan')
        || '%)' AS line
 FROM scored""",
         "summary_lines_notebook": lang_rows + f"""SELECT ord, printf('  %-10s neg=%3d  neu=%3d  pos=%3d  | low-conf=%d (',
        "Language", negative, neutral, positive, low_conf_n)
-       || coalesce(printf('%.1f', round_even(low_conf_pct, 1)), 'nan') || '%)' AS line
+       || coalesce(printf('%.1f', low_conf_pct), 'nan') || '%)' AS line
 FROM rows
 UNION ALL
 SELECT {len(pl)} AS ord, printf('  Total low-confidence: %d/%d (', count_if(low_confidence_flag), count(*))
-       || coalesce(printf('%.1f', round_even({_pct('count_if(low_confidence_flag)', 'count(*)')}, 1)), 'nan')
+       || coalesce(printf('%.1f', {_pct('count_if(low_confidence_flag)', 'count(*)')}), 'nan')
        || '%)' AS line
 FROM scored""",
         "lang_share": share("actual") + "SELECT * FROM share",
@@ -245,14 +255,14 @@ FROM scored""",
 j AS (SELECT c.class_ord, c."Sentiment", c.class_label, coalesce(cnt.n, 0) AS n
       FROM {_CLS} c LEFT JOIN cnt ON cnt."Sentiment" = c."Sentiment")
 SELECT class_ord, "Sentiment",
-       printf('%s  %s  (%.1f%%)', class_label, format('{{:,}}', n), round_even({_pct('n', 'sum(n) OVER ()')}, 1)) AS legend
+       printf('%s  %s  (%.1f%%)', class_label, format('{{:,}}', n), {_pct('n', 'sum(n) OVER ()')}) AS legend
 FROM j""",
         "chart_donut": SCORED + f""", cnt AS (SELECT "Sentiment", count(*) AS n FROM scored GROUP BY "Sentiment"),
 j AS (SELECT c.class_ord, c."Sentiment", c.class_label, c.colour, coalesce(cnt.n, 0) AS n,
              sum(coalesce(cnt.n, 0)) OVER () AS grand
       FROM {_CLS} c LEFT JOIN cnt ON cnt."Sentiment" = c."Sentiment")
 SELECT class_ord, "Sentiment", class_label, colour, n, {_pct('n', 'grand')} AS pct,
-       printf('%s  %s  (%.1f%%)', class_label, format('{{:,}}', n), round_even({_pct('n', 'grand')}, 1)) AS legend,
+       printf('%s  %s  (%.1f%%)', class_label, format('{{:,}}', n), {_pct('n', 'grand')}) AS legend,
        'n = ' || format('{{:,}}', grand) AS centre
 FROM j""",
         "chart_stack": stack("actual"),

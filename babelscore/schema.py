@@ -1,8 +1,7 @@
-"""Schemas, fixed domains and the small dimension tables built from them."""
+"""Schemas and fixed domains."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -79,18 +78,3 @@ def two_line_label(name: str) -> str:
     """Axis label of a category: the last space becomes a line break."""
     head, sep, tail = name.rpartition(" ")
     return f"{head}\n{tail}" if sep else name
-
-
-def classes_dim(spark: SparkSession) -> DataFrame:
-    """``(class_ord, Sentiment, class_label, colour)`` in model order."""
-    rows = [(i, c, l, col) for i, (c, l, col) in enumerate(zip(CLASSES, CLASS_LABELS, CLASS_COLOURS))]
-    return spark.createDataFrame(rows, "class_ord int, Sentiment string, class_label string, colour string")
-
-
-def categories_dim(spark: SparkSession, categories: list[str] | None = None) -> DataFrame:
-    """``(ord, final_category, label, colour)``; labels and colours as in the Figure 3 table."""
-    from .operators.charts import category_attributes
-    cats = list(categories or CATEGORIES)
-    labels, colours = category_attributes(cats)
-    return spark.createDataFrame([(i, c, labels[c], colours[c]) for i, c in enumerate(cats)],
-                                 "ord int, final_category string, label string, colour string")

@@ -7,7 +7,9 @@ read from the session; only when it is unset (a laptop, a test) is a local one c
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Masters that run everything in one process; local-cluster[...] has executors of its own.
+LOCAL_MASTER = re.compile(r"local(\[(\*|\d+)(\s*,\s*\d+)?\])?")
 
 
 def build_session(master: str | None = None, app_name: str = "babelscore",
@@ -108,7 +112,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = sc.getCheckpointDir()
     if not path:
         master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not LOCAL_MASTER.fullmatch(master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach; "
                              "a machine-local folder does not work on a cluster")
         # Unset on a local session (tests, one machine): a local folder is right.
@@ -122,7 +126,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/babelscore-scratch/{name}-{uuid.uuid4().hex}"
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else "connect"
+    root = f"{base}/babelscore-scratch/{app}"
+    if sc is not None and root not in _ROOTS:
+        _ROOTS[root] = sc
+        atexit.register(remove_scratch, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_ROOTS: dict[str, object] = {}
+
+
+def remove_scratch(root: str) -> None:
+    """Delete an application's scratch tables; run when the driver ends, while its session lives.
+    Only the folder that this application made under the shared checkpoint folder goes."""
+    sc = _ROOTS.pop(root, None)
+    if sc is None or getattr(sc, "_jsc", None) is None:  # already stopped
+        return
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM is gone; what is left lies in the checkpoint folder
+        return
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -1,13 +1,16 @@
 """CSV and Parquet sources and sinks for the three tables: wide input, results, annotations.
 
 CSV follows the reference's files: UTF-8 with an optional BOM, a header, RFC-4180 quoting
-(``""`` inside quotes), fields that may span lines, cells kept exactly as written. Quoted
-multi-line fields make a CSV file unsplittable (one task per file), so large inputs should be
-many files — or Parquet, which every job also accepts.
+(``""`` inside quotes), fields that may span lines, cells kept exactly as written. Columns go by
+header name in every file: files with different column orders, or without some language, may lie
+in one folder. Quoted multi-line fields make a CSV file unsplittable (one task per file), so large
+inputs should be many files — or Parquet, which every job also accepts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,10 @@ READ_OPTIONS = {
     "header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8",
     "inferSchema": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     "mode": "PERMISSIVE",
+    # A header that does not fit the schema is an error, never a silent shift of columns.
+    "enforceSchema": "false",
 }
+HEADERS_AT_ONCE = 200  # files whose headers one job reads
 WRITE_OPTIONS = {
     "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "lineSep": "\n",
@@ -26,10 +32,36 @@ WRITE_OPTIONS = {
 }
 
 
+def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The input files, grouped by equal headers. Only the first record of each file is read (an
+    unsplit read with a limit stops there); headers reach the driver, rows do not."""
+    plain = dict(READ_OPTIONS, header="false")
+    files = spark.read.options(**plain).csv(path).inputFiles()
+    if len(files) < 2:
+        return [list(files)]
+    groups: dict[tuple, list[str]] = {}
+    for i in range(0, len(files), HEADERS_AT_ONCE):
+        some = files[i:i + HEADERS_AT_ONCE]
+        firsts = []
+        for k, f in enumerate(some):
+            df = spark.read.options(**plain).csv(f)
+            firsts.append(df.select(F.lit(k).alias("k"), F.array(*df.columns).alias("h")).limit(1))
+        headers = {r["k"]: tuple(r["h"]) for r in reduce(DataFrame.union, firsts).collect()}
+        for k, f in enumerate(some):
+            if k in headers:  # a file without a record has no header and no rows
+                groups.setdefault(headers[k], []).append(f)
+    return list(groups.values())
+
+
 def read_csv_strings(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Every column as a string, named by the header."""
+    """Every column as a string, named by its own file's header. Files with equal headers are read
+    together; a column that some files lack is null there."""
     opts = dict(READ_OPTIONS, multiLine=str(multiline).lower())
-    return spark.read.options(**opts).csv(path)
+    groups = header_groups(spark, path)
+    if len(groups) < 2:
+        return spark.read.options(**opts).csv(path)
+    parts = [spark.read.options(**opts).csv(files) for files in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_wide(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -32,7 +32,6 @@ def wide_from_documents(spark: SparkSession, sf_dir: str, **numbering) -> DataFr
     docs = (read_table(spark, sf_dir, "documents")
             .select("doc_id", "lang", "text")
             .filter(F.col("lang").isin(list(DOC_LANGUAGE_COLUMNS))))
-    numbering.setdefault("max_groups", len(DOC_LANGUAGE_COLUMNS))
     numbered = number_within_groups(docs, "lang", "doc_id", out="rn", **numbering)
     wide = pivot_to_wide(numbered, "rn", "lang", "text", DOC_LANGUAGE_COLUMNS)
     return wide.select(F.col("rn").alias("sentence_id"), *DOC_LANGUAGE_COLUMNS.values())

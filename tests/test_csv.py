@@ -3,6 +3,7 @@ import glob
 import os
 
 import pandas as pd
+import pytest
 
 from babelscore.schema import OUT_COLS
 from babelscore.sources import csv_io
@@ -76,3 +77,34 @@ def test_crlf_files(spark, tmpdir_path):
     ref = pd.read_csv(p, dtype=str)
     assert ref.English[0] == "two\r\nlines"
     assert got.select(clean(F.col("English"))).first()[0] == " ".join(ref.English[0].split())
+
+
+def _write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_columns_go_by_name_in_every_file(spark, tmpdir_path, multiline):
+    _write(tmpdir_path, "a.csv", "sentence_id,English,Spanish\n1,hello,hola\n")
+    _write(tmpdir_path, "b.csv", "﻿Spanish,sentence_id,English\nhola mundo,2,hello world\n")
+    _write(tmpdir_path, "c.csv", "sentence_id,Spanish\n3,sol\n")
+    _write(tmpdir_path, "d.csv", "sentence_id,English,Spanish\n4,moon,luna\n")
+    rows = csv_io.read_wide(spark, tmpdir_path, multiline=multiline).select("sentence_id", "English", "Spanish").collect()
+    assert sorted(map(tuple, rows)) == [("1", "hello", "hola"), ("2", "hello world", "hola mundo"), ("3", None, "sol"), ("4", "moon", "luna")]
+
+
+def test_stream_columns_go_by_name(spark, tmpdir_path):
+    from babelscore.streaming.classify_stream import read_wide_stream
+
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    _write(src, "a.csv", "﻿Spanish,sentence_id,English\nhola mundo,2,hello world\n\"sol,\ny luna\",3,NA\n")
+    _write(src, "b.csv", "sentence_id,Spanish\n4,mar\n5,cielo\n")
+    _write(src, "c.csv", "sentence_id,English,Spanish\n")
+    stream = read_wide_stream(spark, src, languages=["English", "Spanish"])
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(out).select("sentence_id", "English", "Spanish").collect()))
+    assert got == [("2", "hello world", "hola mundo"), ("3", None, "sol,\ny luna"), ("4", None, "mar"), ("5", None, "cielo")]

@@ -4,7 +4,7 @@ import unicodedata
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from babelscore.functions.text import clean, collapse_whitespace, is_blank, na_to_null, nfkc, nfkc_python, zfill
+from babelscore.functions.text import clean, collapse_whitespace, is_blank, na_to_null, nfkc, zfill
 
 
 def one(spark, values, fn, typ="string"):
@@ -44,7 +44,6 @@ def test_every_python_whitespace_char(spark):
 
 def test_nfkc(spark):
     assert one(spark, ["ﬁne ①", None, "ó"], nfkc) == ["fine 1", None, "ó"]
-    assert one(spark, ["ﬁne ①", None, "ó"], nfkc_python) == ["fine 1", None, "ó"]
 
 
 def test_clean_keeps_order_nfkc_then_whitespace(spark):
