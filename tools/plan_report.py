@@ -8,7 +8,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from babelscore.plans import catalog  # noqa: E402
 from babelscore.session import build_session  # noqa: E402
 
 FULL = ["results", "summary_report", "chart_stack", "chart_taxonomy", "logits_udf", "lowconf_cases"]
@@ -29,7 +29,7 @@ def main():
     spark = build_session("local[8]", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
     rows, full = [], []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         text = plan_text(fn(spark, sf))
         t = tree(text)
         shuffles = len(re.findall(r"\bExchange\b", t))
@@ -67,8 +67,8 @@ def main():
                 "Generated by `tools/plan_report.py` (initial adaptive plans; AQE may coalesce or "
                 "broadcast further at run time). Columns: shuffle exchanges, broadcast exchanges, "
                 "Python evaluation nodes, window operators, aggregate operators, parquet read schemas.\n\n"
-                "The documents-derived `wide` fixture accounts for two shuffles in every query that "
-                "reads it (the per-language numbering window and the pivot); everything after it is "
+                "The documents-derived `wide` fixture accounts for two shuffles of text in every query that "
+                "reads it (the bucketed per-language numbering window and the pivot) and a count per bucket; everything after it is "
                 "narrow except the final one-row aggregate's exchange. Exchanges over the tiny "
                 "report rows (windows over at most languages × classes rows) carry a few rows.\n\n"
                 "| query | shuffles | broadcasts | python | windows | aggregates | read schema |\n"

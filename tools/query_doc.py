@@ -5,7 +5,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from babelscore.plans import catalog  # noqa: E402
 from babelscore.plans.catalog import NOTES  # noqa: E402
 from babelscore.session import build_session  # noqa: E402
 
@@ -14,7 +14,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = catalog.queries(), catalog.oracle_sql()
     assert set(NOTES) == set(qs), set(NOTES) ^ set(qs)
     lines = [f"# Registered queries\n\nGenerated by `tools/query_doc.py` at {os.path.basename(sf)}. "
              "Every query reads the whole generated tables and has DuckDB SQL in `plans/oracle.py`.\n\n"
