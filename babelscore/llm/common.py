@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the operators of this folder.
 
 Texts reach a Python worker as Arrow batches. They are worked on as one flat byte array with
-document offsets, in slices of a few MB, so memory in a task is bounded by the slice size (or by
+document offsets, in slices of a MB, so memory in a task is bounded by the slice size (or by
 one document, where a document is larger).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 # Word separators: space and \x09-\x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -34,7 +34,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        grown = np.full(max(n, 4 << 20), base, dtype=np.uint64)
+        grown = np.full(max(n, 2 * SLICE_BYTES), base, dtype=np.uint64)
         grown[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(grown)
     return have[:n]
@@ -151,6 +151,16 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text", limit: int = S
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """The ``size`` rows that come first by a hash of ``keys``, the same at any partitioning. A share
+    of the hash range that holds about twice as many is cut out first, so a task ranks and sends
+    only its part of the sample, however many tasks there are."""
+    n, span = df.count(), 1 << 52
+    share = span if n <= size else min(span, max(1, 2 * size * span // n))
+    key = F.pmod(F.xxhash64(*keys), F.lit(span))
+    return df.filter(key < share).orderBy(key, *keys).limit(size)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -51,11 +51,12 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return _LETTERS[0][codes]
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of all grams, the document of each, and whether a document has a letter."""
+def grams(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each order, the bins of all grams and the document of each (in document order); and whether
+    a document has a letter."""
     low = [f" {t.lower()} " if t else " " for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
     is_letter = letters(codes)
     has = np.bincount(doc[is_letter], minlength=len(low)) > 0
     # One gap for each run without letters.
@@ -63,10 +64,11 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= ~is_letter[1:] & (is_letter[:-1] | (doc[1:] != doc[:-1]))
     keep[:1] = True
     codes, doc = np.where(is_letter, codes, GAP)[keep].astype(np.uint32), doc[keep]
-    bins, owner = [], []
+    out = []
     for n in ORDERS:
         m = len(codes) - n + 1
         if m <= 0:
+            out.append((np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)))
             continue
         h = np.full(m, n, dtype=np.uint32)
         for i in range(n):
@@ -75,9 +77,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = doc[:m] == doc[n - 1:]
         if n == 1:
             inside &= codes != GAP
-        bins.append((h[inside] >> np.uint32(32 - BITS)).astype(np.int64))
-        owner.append(doc[:m][inside])
-    return np.concatenate(bins), np.concatenate(owner), has
+        out.append(((h[inside] >> np.uint32(32 - BITS)).astype(np.int32), doc[:m][inside]))
+    return out, has
 
 
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -100,10 +101,11 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         which = np.array([index[x] for x in part.column(2).to_pylist()], dtype=np.int64)
-        bins, owner, _ = grams(part.column(1).to_pylist())
-        table = np.bincount(which[owner] * BINS + bins, minlength=len(langs) * BINS)
+        table = np.zeros(len(langs) * BINS, dtype=np.int64)
+        for bins, owner in grams(part.column(1).to_pylist())[0]:
+            table += np.bincount(which[owner] * BINS + bins, minlength=len(langs) * BINS)
         at = np.flatnonzero(table)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["cell", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
     cells = map_texts(picked, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = cells.toPandas()  # at most languages x bins rows
@@ -115,14 +117,15 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 def score(texts: list[str | None], langs: list[str], weights: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Predicted language and score of each text."""
-    bins, owner, has = grams(texts)
-    n = np.bincount(owner, minlength=len(texts))
+    orders, has = grams(texts)
+    n = np.zeros(len(texts), dtype=np.int64)
     total = np.zeros((len(texts), len(langs)))
-    if len(bins):
-        # Grams come by order and, within an order, by document.
-        cut = np.flatnonzero(np.diff(owner, prepend=-1))
-        for k in range(len(langs)):
-            np.add.at(total[:, k], owner[cut], np.add.reduceat(weights[k][bins], cut))
+    for bins, owner in orders:
+        if len(bins):
+            n += np.bincount(owner, minlength=len(texts))
+            cut = np.flatnonzero(np.diff(owner, prepend=-1))
+            for k in range(len(langs)):
+                total[owner[cut], k] += np.add.reduceat(weights[k][bins], cut)
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     best = total.argmax(axis=1)
