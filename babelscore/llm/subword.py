@@ -33,9 +33,9 @@ DROPOUT = 0.1
 VARIANTS = 4
 MARK = "▁"
 LONG = 40  # characters from which a unit uses the heap
-NONE = np.int64(1) << 40
+NONE = 1 << 30  # the rank of a pair that does not merge
 UNKNOWN = 1 << 21  # plus a code point: a character that is no piece
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -62,7 +62,7 @@ class Codec:
             raise ValueError("pieces cross word boundaries")
         extra = {c: self.size + i for i, c in enumerate(sorted({c for p in known for c in p} - set(known)))}
         symbol = known | extra
-        self.char = np.arange(0x110000, dtype=np.int64) + UNKNOWN
+        self.char = np.arange(0x110000, dtype=np.int32) + np.int32(UNKNOWN)
         for s, i in symbol.items():
             if len(s) == 1:
                 self.char[ord(s)] = i
@@ -70,7 +70,8 @@ class Codec:
         pairs = [(symbol[p[:k]], symbol[p[k:]], ranks[model["scores"][i]], i)
                  for p, i in known.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
         table = np.array(sorted((a << 22 | b, r, i) for a, b, r, i in pairs), dtype=np.int64).reshape(-1, 3)
-        self.keys, self.ranks, self.merged = (np.ascontiguousarray(table[:, k]) for k in range(3))
+        self.keys = np.ascontiguousarray(table[:, 0])
+        self.ranks, self.merged = (table[:, k].astype(np.int32) for k in (1, 2))
         self.of_byte = np.array(model["bytes"], dtype=np.int64)
         self.text = [p.replace(MARK, " ").encode() if model["plain"][i] else b"" for i, p in enumerate(model["pieces"])]
         for b, i in enumerate(model["bytes"]):
@@ -91,11 +92,11 @@ class Codec:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if they do not merge) and merged id of pairs of symbols."""
-        key = left << 22 | right
+        key = left.astype(np.int64) << 22 | right
         if not len(self.keys):
-            return np.full(key.shape, NONE), np.zeros(key.shape, dtype=np.int64)
+            return np.full(key.shape, NONE, dtype=np.int32), np.zeros(key.shape, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(NONE)), self.merged[at]
 
     def skipped(self, key, place, left, right) -> np.ndarray:
         """The keyed hash's verdict on candidate merges."""
@@ -107,9 +108,9 @@ class Codec:
         """Agendas of units of one length, in lockstep: each step takes every unit's best candidate.
         Rows are units; the result is padded with -1."""
         n, width = sym.shape
-        out = np.full((n, width), -1, dtype=np.int64)
+        out = np.full((n, width), -1, dtype=np.int32)
         rows = np.arange(n)
-        place = np.broadcast_to(np.arange(width), (n, width)).copy()
+        place = np.broadcast_to(np.arange(width, dtype=np.int16), (n, width)).copy()
         rank, merged = self.lookup(sym[:, :-1], sym[:, 1:]) if width > 1 else (np.zeros((n, 0)), np.zeros((n, 0)))
         while sym.shape[1] > 1 and len(rows):
             best = rank.argmin(axis=1)
