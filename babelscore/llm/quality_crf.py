@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LEAD, IS_SPACE, Texts, map_texts, window_hashes, window_mask
+from .common import IS_LEAD, IS_SPACE, Texts, hash_sample, map_texts, window_hashes, window_mask
 from .langid import held_out
 from .quality_rules import repeated
 
@@ -159,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
           label: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray]:
     usable = labels.select(F.col(doc_id).cast("long").alias("l_id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out("l_id"))
-    picked = usable.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(max_docs)  # the broadcast's bound
+    picked = hash_sample(usable, max_docs, "l_id", "label")  # the broadcast's bound
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text")
 
