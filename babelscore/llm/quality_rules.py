@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_LEAD, IS_SPACE, Texts, map_texts, mix, window_hashes, window_mask
+from .common import IS_LEAD, IS_SPACE, Texts, map_texts, materialise, mix, window_hashes, window_mask
 
 REACH = 3
 MIN_DOCS = 100
@@ -138,7 +138,8 @@ def _quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
 def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: counts, ``base_failed`` and ``kept``."""
-    counts = counted(documents, doc_id, text, lang, source)
+    # The counts, without texts, serve the sketches and the verdicts: one pass over the texts.
+    counts = materialise(counted(documents, doc_id, text, lang, source), "quality-counts")
     f = fences(counts, min_docs)
     f = f.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
                  *[c for c in f.columns if c not in ("lang", "source")])
