@@ -144,14 +144,21 @@ def pairs_in(at: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarra
 
 
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Lower the labels of rows that pairs connect until they agree (in place)."""
+    """Give rows that pairs connect one label, the smallest row of all they reach (in place). ``label``
+    holds each row's root, a row that is its own label; earlier calls' links stay."""
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label[:] = label[label]
-        differ = label[a] != label[b]
-        a, b = a[differ], b[differ]
+        u, v = label[a], label[b]
+        differ = u != v
+        a, b, u, v = a[differ], b[differ], u[differ], v[differ]
+        if not len(a):
+            break
+        # The roots are lowered, not the rows, so all that hangs on a root follows it.
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
 def blocked(df: DataFrame, key: list[str], size: str, of: str, block: int) -> DataFrame:
@@ -254,7 +261,7 @@ def verified(members: DataFrame) -> DataFrame:
             links = np.zeros(table.num_rows, dtype=np.int64)
             label = np.arange(table.num_rows)
             for s, e in zip(at.tolist(), at[1:].tolist()):
-                both = None
+                both, own = None, np.arange(e - s)
                 for a, b in pairs_in(np.array([0, e - s]), blk[s:e], lo[s:e], hi[s:e]):
                     alive = prune(sig[s + a], sig[s + b], least)
                     a, b = a[alive], b[alive]
@@ -264,10 +271,11 @@ def verified(members: DataFrame) -> DataFrame:
                         both = incidence_counts(sets[s:e])
                     inter = both[a, b]
                     near = (TOP + BOTTOM) * inter >= TOP * (size[s + a] + size[s + b])
-                    a, b = s + a[near], s + b[near]
-                    np.add.at(links, a, copies[b])
-                    np.add.at(links, b, copies[a])
-                    join_labels(label, a, b)
+                    a, b = a[near], b[near]
+                    np.add.at(links, s + a, copies[s + b])
+                    np.add.at(links, s + b, copies[s + a])
+                    join_labels(own, a, b)
+                label[s:e] = s + own
             cls = table.column("cls").combine_chunks()
             yield pa.RecordBatch.from_arrays([cls, pa.array(links), cls.take(pa.array(label))], ["cls", "links", "root"])
     return together(members).mapInArrow(run, "cls binary, links long, root binary")

@@ -160,3 +160,27 @@ def test_components(spark):
     edges = spark.createDataFrame(chain, "u long, v long")
     got = {r["node"]: r["root"] for r in common.components(edges, "test").collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def plain_labels(n, pairs):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_labels_join_all_that_pairs_connect():
+    rng = random.Random(9)
+    cases = [(4, [(0, 2), (1, 3), (2, 3)]), (4, [(2, 3), (1, 3)])]
+    order = list(range(300))
+    rng.shuffle(order)
+    cases.append((300, list(zip(order, order[1:]))))  # a chain
+    cases.append((41, [(i + s, j + s) for s in (0, 20) for i in range(20) for j in range(i)] + [(19, 40), (40, 25)]))  # bridged cliques
+    cases += [(60, [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randint(1, 70))]) for _ in range(200)]
+    for n, pairs in cases:
+        for size in (1, 7, len(pairs)):  # calls on one label array
+            label = np.arange(n)
+            for i in range(0, len(pairs), size):
+                jaccard_join.join_labels(label, *np.array(pairs[i:i + size]).T)
+            assert label.tolist() == plain_labels(n, pairs)
