@@ -9,6 +9,9 @@ backwards from an end, gives the leftmost start. Candidates become the leftmost
 matches of each rule, as a regular expression engine would find them; a match that fails its rule's
 length test is dropped after it has used up its characters.
 
+The pem span is the line that opens a private key; redaction takes the key with it, up to its END
+line or, where that is missing, as far as lines and long words of base64 go.
+
 Spans are code points, end exclusive. Null or empty text has no spans. Documents are judged one by
 one, whatever their ids; further columns do not matter.
 """
@@ -55,6 +58,12 @@ RULES = (
 BASE_KINDS = ("assign", "access", "hex")
 _VALUE_START = re.compile(r"[^:=]*[:=]\x20*[\"']?")
 END_OF_TEXT = 0xFF  # never a byte of UTF-8
+_PEM_MARK = re.compile(r"-----(?:BEGIN |END (?:[A-Z]+ )*PRIVATE KEY-----)")
+# A key without an END line: lines may be escaped, quoted, indented or joined by spaces.
+_GAP = r"(?:\s|\\[nrt]|[\"'`>#,+|*\\])*"
+_PEM_BODY = re.compile(
+    rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+    rf"(?:{_GAP}(?:[A-Za-z0-9+/=_-]{{16,}}(?:{_GAP}[A-Za-z0-9+/=]+)?|(?<=[\n\r])[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n]|\Z))))*")
 
 
 class Thompson:
@@ -316,10 +325,19 @@ def scan_column(column, rules: tuple[Rule, ...] = RULES) -> list[list[dict]]:
     return out
 
 
+def key_end(text: str, at: int) -> int:
+    """End of the private key whose opening line ends at ``at``."""
+    mark = _PEM_MARK.search(text, at)
+    if mark and mark.group().startswith("-----END"):
+        return mark.end()
+    return _PEM_BODY.match(text, at, mark.start() if mark else len(text)).end()
+
+
 def redact(text: str | None, spans: list[dict], mark: str = "[SECRET]") -> str | None:
-    """The text with every span (overlapping spans as one) replaced by a mark."""
+    """The text with every span (overlapping spans as one) replaced by a mark; a pem span with its key."""
     if not spans:
         return text
+    spans = [s | {"end": key_end(text, s["end"])} if s["kind"] == "pem" else s for s in spans]
     out, at = [], 0
     for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
         if s["start"] >= at:
