@@ -3,11 +3,12 @@
 A text gets a leading space, and spaces become the word mark; no piece of a merge model has a word
 mark after another character, so a text splits before each run of word marks into units whose merges
 are independent. Within a unit an agenda always takes the best-scored candidate merge (leftmost on
-ties); each candidate taken is skipped if a keyed hash of (seed, unit, variant, place, both pieces)
-falls below the dropout rate. Each occurrence of a unit draws one of ``variants`` variants by a hash
-of (seed, document id, place), so equal words differ between places while every segmentation is
-reproducible and can be reused. Units of equal length run their agendas in lockstep (numpy); long
-units use a heap. With dropout 0 the pieces are those of the plain SentencePiece encoder.
+ties); each candidate taken is skipped if a keyed hash of (seed, document id, place of the unit in
+the document, place in the unit, both pieces) falls below the dropout rate, so every candidate of
+every occurrence has a draw of its own and every segmentation is reproducible. What follows on a
+merge or a skip does not depend on the draws: it is a tree per unit, grown where occurrences come by
+and kept between slices of text, down which all occurrences go in lockstep (numpy). Long units use a
+heap. With dropout 0 the pieces are those of the plain SentencePiece encoder.
 
 Characters that are no piece, and word marks that stand in the text itself, become byte pieces, so
 decoding restores every text exactly. Null text has null ids; the empty text has none. Ids repeat
@@ -30,12 +31,13 @@ from .common import Texts, map_texts, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
 MARK = "▁"
 LONG = 40  # characters from which a unit uses the heap
 NONE = 1 << 30  # the rank of a pair that does not merge
 UNKNOWN = 1 << 21  # plus a code point: a character that is no piece
 CACHE_UNITS = 400_000
+CACHE_CELLS = 12_000_000  # symbols in the trees of a worker, 9 bytes each
+CACHE_NODES = 2_000_000  # of 30 bytes each
 
 
 def load(path: str = MODEL) -> dict:
@@ -52,10 +54,25 @@ def load(path: str = MODEL) -> dict:
             "bytes": [by_byte[b] for b in range(256)]}
 
 
+class Column:
+    """An array that grows: ``x`` has room beyond its ``n`` rows."""
+
+    def __init__(self, dtype, width: int = 0):
+        self.n, self.x = 0, np.zeros((16, width) if width else 16, dtype=dtype)
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.x):
+            grown = np.empty((3 * (self.n + len(rows)) // 2, *self.x.shape[1:]), dtype=self.x.dtype)
+            grown[:self.n] = self.x[:self.n]
+            self.x = grown
+        self.x[self.n:self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
 class Codec:
-    def __init__(self, model: dict, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, model: dict, dropout: float = DROPOUT, seed: int = 0):
         self.size = len(model["pieces"])
-        self.seed, self.variants = seed, max(1, variants)
+        self.seed = np.uint64(seed % 2**64)
         self.threshold = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         known = {p: i for i, p in enumerate(model["pieces"]) if model["plain"][i]}
         if any(MARK in p.lstrip(MARK) for p in known):
@@ -82,11 +99,16 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.slot = np.full((1024, self.variants), -1, dtype=np.int64)
-        self.starts: list[np.ndarray] = []
-        self.parts: list[np.ndarray] = []
-        self.rows = 0
+        """Drop the trees."""
+        self.index: dict[str, int] = {}  # units with a tree
+        self.root = Column(np.int32)  # node, per unit
+        # Nodes: the candidate's hash, its place, the nodes after a merge and after a skip (-1: not
+        # grown), the symbols' number (0: an end) and row in their pool, or place and length of the ids.
+        self.asked, self.best = Column(np.uint64), Column(np.int16)
+        self.next, self.width, self.row = Column(np.int32, 2), Column(np.int32), Column(np.int64)
+        self.store = Column(np.int32)
+        self.pools: dict[int, tuple[Column, Column, Column]] = {}  # by width: symbols, places, ranks
+        self.cells = 0
 
     # -- merges of one unit ------------------------------------------------------------------
 
@@ -98,58 +120,94 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], np.int32(NONE)), self.merged[at]
 
-    def skipped(self, key, place, left, right) -> np.ndarray:
-        """The keyed hash's verdict on candidate merges."""
-        h = mix(key + np.asarray(place, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return mix(h ^ (np.asarray(left).astype(np.uint64) << np.uint64(32) | np.asarray(right).astype(np.uint64))
-                   ) < self.threshold
+    @staticmethod
+    def candidate(place, left, right) -> np.ndarray:
+        """Hash of a candidate merge within its unit."""
+        h = mix(np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(h ^ (np.asarray(left).astype(np.uint64) << np.uint64(32) | np.asarray(right).astype(np.uint64)))
 
-    def together(self, sym: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Agendas of units of one length, in lockstep: each step takes every unit's best candidate.
-        Rows are units; the result is padded with -1."""
+    def skipped(self, key, asked) -> np.ndarray:
+        """The keyed hash's verdict on candidate merges of occurrences."""
+        return mix(key ^ asked) < self.threshold
+
+    def settle(self, sym: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """New nodes for states of one width: their numbers."""
         n, width = sym.shape
-        out = np.full((n, width), -1, dtype=np.int32)
-        rows = np.arange(n)
-        place = np.broadcast_to(np.arange(width, dtype=np.int16), (n, width)).copy()
-        rank, merged = self.lookup(sym[:, :-1], sym[:, 1:]) if width > 1 else (np.zeros((n, 0)), np.zeros((n, 0)))
-        while sym.shape[1] > 1 and len(rows):
-            best = rank.argmin(axis=1)
-            r = np.arange(len(rows))
-            over = rank[r, best] >= NONE
-            if over.any():
-                out[rows[over], :sym.shape[1]] = sym[over]
-                going = ~over
-                rows, sym, place, rank, merged, key, best = (x[going] for x in (rows, sym, place, rank, merged, key, best))
-                r = np.arange(len(rows))
-                if not len(rows):
-                    break
-            skip = self.skipped(key, place[r, best], sym[r, best], sym[r, best + 1])
-            rank[r[skip], best[skip]] = NONE
-            do = np.flatnonzero(~skip)
-            if not len(do):
-                continue
-            b = best[do]
-            sym[do, b] = merged[do, b]
-            width = sym.shape[1]
-            # Close the gap that the right part leaves.
-            shift = np.arange(width - 1) + (np.arange(width - 1) > b[:, None])
-            for x, fill in ((sym, -1), (place, 0)):
-                x[do, :-1] = np.take_along_axis(x[do], shift, axis=1)
-                x[do, -1] = fill
-            if width > 2:
-                shift = shift[:, :-1].clip(max=width - 2)
-                for x in (rank, merged):
-                    x[do, :-1] = np.take_along_axis(x[do], shift, axis=1)
-            rank[do, -1] = NONE
-            for at in (b - 1, b):  # the new piece's neighbours
-                ok = (at >= 0) & (at + 1 < width)
-                rows_, cols = do[ok], at[ok]
-                left, right = sym[rows_, cols], sym[rows_, cols + 1]
-                new_rank, new_id = self.lookup(left, np.maximum(right, 0))
-                rank[rows_, cols] = np.where(right < 0, NONE, new_rank)
-                merged[rows_, cols] = new_id
-        if len(rows):
-            out[rows, :sym.shape[1]] = sym
+        r = np.arange(n)
+        best = rank.argmin(axis=1) if width > 1 else np.zeros(n, dtype=np.int64)
+        going = rank[r, best] < NONE if width > 1 else np.zeros(n, dtype=bool)
+        asked, wide, row = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
+        on = np.flatnonzero(going)
+        if len(on):
+            b = best[on]
+            asked[on] = self.candidate(place[on, b], sym[on, b], sym[on, b + 1])
+            wide[on] = width
+            pool = self.pools.setdefault(width, (Column(np.int32, width), Column(np.int8, width), Column(np.int32, width - 1)))
+            row[on] = pool[0].n + np.arange(len(on))
+            for column, x in zip(pool, (sym, place, rank)):
+                column.add(x[on])
+            self.cells += len(on) * width
+        end = np.flatnonzero(~going)
+        flat, off = self.to_ids(sym[end].reshape(-1).astype(np.int64), np.arange(len(end) + 1) * width)
+        row[end] = (self.store.n + off[:-1]) << 24 | np.diff(off)
+        self.store.add(flat)
+        first = self.asked.n
+        for column, x in ((self.asked, asked), (self.best, best), (self.next, np.full((n, 2), -1)), (self.width, wide), (self.row, row)):
+            column.add(x)
+        return first + r
+
+    def plant(self, units: list[str]) -> None:
+        """Roots of new units shorter than ``LONG``."""
+        sym, begin = self.symbols(units)
+        size = np.diff(begin)
+        root = np.zeros(len(units), dtype=np.int64)
+        for width in np.unique(size):
+            which = np.flatnonzero(size == width)
+            s = sym[begin[which][:, None] + np.arange(width)].astype(np.int32)
+            place = np.broadcast_to(np.arange(width, dtype=np.int8), s.shape)
+            root[which] = self.settle(s, place, self.lookup(s[:, :-1], s[:, 1:])[0])
+        self.root.add(root)
+
+    def grow(self, nodes: np.ndarray, skip: np.ndarray) -> None:
+        """The nodes after a merge or a skip of the given nodes' candidates."""
+        wide = self.width.x[nodes]
+        for width in np.unique(wide).tolist():
+            for side in (0, 1):
+                at = nodes[(wide == width) & (skip == side)]
+                if not len(at):
+                    continue
+                row, best, r = self.row.x[at], self.best.x[at].astype(np.int64), np.arange(len(at))
+                sym, place, rank = (c.x[row] for c in self.pools[width])
+                if side:
+                    rank[r, best] = NONE
+                else:
+                    merged = self.lookup(sym[r, best], sym[r, best + 1])[1]
+                    # Close the gap that the right part leaves.
+                    keep = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
+                    sym, place = (np.take_along_axis(x, keep, axis=1) for x in (sym, place))
+                    sym[r, best] = merged
+                    rank = np.take_along_axis(rank, keep[:, :-1].clip(max=width - 2), axis=1)
+                    for left in (best - 1, best):  # the new piece's neighbours
+                        ok = np.flatnonzero((left >= 0) & (left + 1 < width - 1))
+                        rank[ok, left[ok]] = self.lookup(sym[ok, left[ok]], sym[ok, left[ok] + 1])[0]
+                self.next.x[at, side] = self.settle(sym, place, rank)
+
+    def walk(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The ends that occurrences come to from their units' roots."""
+        out = node.copy()
+        at = np.flatnonzero(self.width.x[node] > 0)
+        node, key = node[at], key[at]
+        while len(at):
+            skip = self.skipped(key, self.asked.x[node]).astype(np.int64)
+            then = self.next.x[node, skip]
+            missing = np.flatnonzero(then < 0)
+            if len(missing):
+                new = np.unique(node[missing].astype(np.int64) * 2 + skip[missing])
+                self.grow(new >> 1, new & 1)
+                then = self.next.x[node, skip]
+            out[at] = then
+            on = self.width.x[then] > 0
+            at, node, key = at[on], then[on], key[on]
         return out
 
     def alone(self, sym: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -166,7 +224,7 @@ class Codec:
             j = after[i]
             if symbols[i] != left or j < 0 or symbols[j] != right:
                 continue
-            if self.skipped(np.full(1, key), [i], [left], [right])[0]:
+            if self.skipped(np.full(1, key), self.candidate([i], [left], [right]))[0]:
                 continue
             symbols[i], symbols[j], after[i] = m, -1, after[j]
             if after[j] >= 0:
@@ -179,36 +237,13 @@ class Codec:
                         heapq.heappush(agenda, (int(r[0]), a, symbols[a], symbols[c], int(new[0])))
         return np.array([s for s in symbols if s >= 0], dtype=np.int64)
 
-    def segment(self, units: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of (unit, variant) pairs, flat, and offsets (n + 1)."""
-        t = Texts(pa.array(units, pa.string()))
-        key = t.hashes(t.off[:-1], t.off[1:]) + variant.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        key = mix(key ^ mix(np.full(1, self.seed % 2**64, dtype=np.uint64)))
-        size = np.array([len(u) for u in units], dtype=np.int64)
+    def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the characters of units, flat, and offsets (n + 1)."""
         codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         literal, space = codes == ord(MARK), codes == ord(" ")
         sym = self.char[np.where(space, ord(MARK), codes)]
         sym[literal] = UNKNOWN + ord(MARK)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        count = np.zeros(len(units), dtype=np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []  # units, their padded symbols
-        for width in np.unique(size):
-            which = np.flatnonzero(size == width)
-            if width >= LONG:
-                for u in which:
-                    got = self.alone(sym[begin[u]:begin[u + 1]], key[u])
-                    found.append((np.array([u]), got[None, :]))
-                    count[u] = len(got)
-                continue
-            got = self.together(sym[begin[which][:, None] + np.arange(width)], key[which])
-            count[which] = (got >= 0).sum(axis=1)
-            found.append((which, got))
-        off = np.concatenate([[0], np.cumsum(count)])
-        flat = np.zeros(off[-1], dtype=np.int64)
-        for which, got in found:
-            there = got >= 0
-            flat[(off[which][:, None] + np.arange(got.shape[1]))[there]] = got[there]
-        return flat, off
+        return sym, np.concatenate([[0], np.cumsum(np.array([len(u) for u in units], dtype=np.int64))])
 
     def to_ids(self, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols to piece ids; characters that are no piece become their bytes' pieces."""
@@ -233,7 +268,7 @@ class Codec:
 
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets (n + 1)."""
-        if len(self.index) > CACHE_UNITS:
+        if len(self.index) > CACHE_UNITS or self.cells > CACHE_CELLS or self.asked.n > CACHE_NODES:
             self.forget()
         units, per_doc = [], np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
@@ -243,39 +278,33 @@ class Codec:
                 units += u
         if not units:
             return np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
-        index = self.index
-        for u in dict.fromkeys(units):
-            if u not in index:
-                index[u] = len(index)
-        code = np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
         ends = np.cumsum(per_doc)
         place = np.arange(len(units)) - np.repeat(ends - per_doc, per_doc)
         ids = np.array([(d or 0) % 2**64 for d in doc_ids], dtype=np.uint64)
-        draw = mix(mix(np.repeat(ids, per_doc) + np.uint64(self.seed % 2**64)) ^ place.astype(np.uint64))
-        variant = (draw % np.uint64(self.variants)).astype(np.int64)
-        if len(index) > len(self.slot):
-            grown = np.full((2 * len(index), self.variants), -1, dtype=np.int64)
-            grown[:len(self.slot)] = self.slot
-            self.slot = grown
-        new = np.unique((code * self.variants + variant)[self.slot[code, variant] < 0])
-        if len(new):
-            names = list(index)  # in order of their numbers
-            flat, off = self.to_ids(*self.segment([names[c] for c in (new // self.variants).tolist()],
-                                                  new % self.variants))
-            self.slot[new // self.variants, new % self.variants] = self.rows + np.arange(len(new))
-            self.rows += len(new)
-            self.parts.append(flat)
-            self.starts.append(np.diff(off))
-        if len(self.parts) > 1:
-            self.parts, self.starts = [np.concatenate(self.parts)], [np.concatenate(self.starts)]
-        store, length = self.parts[0], self.starts[0]
-        start = np.concatenate([[0], np.cumsum(length)])
-        row = self.slot[code, variant]
-        size = length[row]
+        key = mix(mix(np.repeat(mix(ids + self.seed), per_doc) ^ place.astype(np.uint64)) + self.seed)
+        index = self.index
+        new = [u for u in dict.fromkeys(units) if u not in index and len(u) < LONG]
+        if new:
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+            self.plant(new)
+        code = np.fromiter((index.get(u, -1) for u in units), dtype=np.int64, count=len(units))
+        short, long = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+        start, size = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        if len(short):
+            end = self.walk(self.root.x[code[short]], key[short])
+            row = self.row.x[end]
+            start[short], size[short] = row >> 24, row & 0xFFFFFF
+        store = self.store.x[:self.store.n]
+        if len(long):
+            sym, begin = self.symbols([units[u] for u in long.tolist()])
+            got = [self.alone(sym[a:b], k) for a, b, k in zip(begin, begin[1:], key[long])]
+            flat, off = self.to_ids(np.concatenate(got), np.concatenate([[0], np.cumsum([len(g) for g in got])]))
+            start[long], size[long] = len(store) + off[:-1], np.diff(off)
+            store = np.concatenate([store, flat])
         total = np.cumsum(size)
-        at = np.repeat(start[row] - (total - size), size) + np.arange(total[-1])
+        at = np.repeat(start - (total - size), size) + np.arange(total[-1])
         off = np.concatenate([[0], total])[np.concatenate([[0], ends])]
-        return store[at], off
+        return store[at].astype(np.int64), off
 
     def decode(self, ids) -> str:
         """The text that was encoded."""
@@ -295,12 +324,12 @@ def codec(name: str, held, *settings) -> Codec:
 
 
 def encode(documents: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = 0,
-           variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, and whether decoding gives the text again."""
     held, name = documents.sparkSession.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(name, held, dropout, seed, variants)
+        c = codec(name, held, dropout, seed)
         docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
         ids, off = c.encode(texts, docs)
         listed = ids.tolist()
@@ -320,7 +349,7 @@ def decode(encoded: DataFrame, path: str = MODEL, doc_id: str = "doc_id", ids: s
 
     def run(batches):
         for batch in batches:
-            c = codec(name, held, 0.0, 0, 1)
+            c = codec(name, held, 0.0, 0)
             out = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
     return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(

@@ -151,6 +151,27 @@ def test_dropout_is_lossless_seeded_and_the_same_in_both_agendas(model, monkeypa
     assert len(ids) > len(pieces)  # merges were skipped
 
 
+def test_every_occurrence_draws_for_itself(model):
+    texts = [" ".join(["tokenization"] * 50)] * 40 + ["https://example.org/" + "segmentation" * 4] * 40
+    c = subword.Codec(model, 0.1, 1)
+    ids, off = c.encode(texts, range(len(texts)))
+    pieces = [tuple(ids[a:b].tolist()) for a, b in zip(off, off[1:])]
+    assert len(set(pieces[:40])) == 40 and len(set(pieces[40:])) > 10
+    words = {w for p in pieces[:40] for w in c.decode(p).split()}
+    starts = c.encode([" ".join(["tokenization"] * 2000)], [7])[0].tolist()
+    mark = " tokenization".encode()
+    forms, now = set(), []
+    for i in starts:
+        now.append(i)
+        if b"".join(c.text[x] for x in now) == mark:
+            forms.add(tuple(now))
+            now = []
+    assert words == {"tokenization"} and not now and len(forms) > 20  # four before
+    # The same ids whatever came before and however texts are cut into slices.
+    parts = [subword.Codec(model, 0.1, 1).encode([t], [i])[0].tolist() for i, t in enumerate(texts)]
+    assert [list(p) for p in pieces] == parts
+
+
 def test_encode_and_decode_in_spark(spark):
     docs = frame(spark, edge_rows())
     out = subword.encode(docs, seed=3)
