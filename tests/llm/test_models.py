@@ -204,6 +204,21 @@ def test_blocks_of_a_page():
         "I liked this one", "More stories", "Mail", "We use cookies", "© x"]
 
 
+def test_pages_of_div_elements_only():
+    rng = random.Random(8)
+    words = "the old river town has a market where people of many trades meet each week to talk and sell".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages, bodies = [], []
+    for _ in range(40):
+        body = [say(rng.randint(20, 40)) for _ in range(4)]
+        pages.append('<html><body><div class="menu"><div><a href="/a">Home</a></div><div><a href="/b">News</a></div></div>'
+                     '<div class="text">' + "".join(f"<div>{x}</div>" for x in body) + '</div><div class="foot">Imprint</div></body></html>')
+        bodies.append(body)
+    found = html_text.main_texts(pa.array(pages), html_text.fit(html_text.training_pages(pages)))
+    kept = [x in text for body, text in zip(bodies, found) for x in body]
+    assert np.mean(kept) > 0.9 and not any("Home" in text for text in found)
+
+
 def test_unseen_layout(weights):
     assert html_text.main_texts(pa.array([PAGE]), weights) == ["Head & tail\nFirst para with break\nSecond · para\nitem one\nitem two"]
 
