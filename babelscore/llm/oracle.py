@@ -162,5 +162,37 @@ FROM documents d
 """
 
 
+# crc32 of a decimal number: bit by bit over its characters.
+CRC32 = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295)"""
+
+OP11 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS own FROM turns GROUP BY conv_id
+), plan AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS head FROM conv),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.own[1:p.head], []), p.own[p.head + 1:]) AS seq
+  FROM plan p LEFT JOIN conv b ON b.conv_id = p.base
+), members AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT seq[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(seq)) = max(depth) AS leaf,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(seq) = depth) AS ends
+  FROM members GROUP BY ALL
+), below AS (
+  SELECT node[1:up] AS node, up AS depth, CAST(sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+         CAST(sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].t) ELSE 0 END) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes) GROUP BY ALL
+), children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.node = n.node
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _op1(), "op2_substring_dedup": OP2, "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10}
+    return {"op1_secrets": _op1(), "op2_substring_dedup": OP2, "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10,
+            "op11_conversation_trie": OP11}

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table_path
-from . import chat, decontam, html_text, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword
+from ..session import scratch_path, table_path
+from . import chat, conversation_trie, decontam, html_text, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword, token_files
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), path, metadata=("lang", "source"))
+    return token_files.with_checksum(token_files.read(spark, path))
+
+
 def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
@@ -91,4 +101,6 @@ def queries() -> dict:
         "op8_decontam": op8_decontam,
         "op9_subword": op9_subword,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op13_token_files": op13_token_files,
     }

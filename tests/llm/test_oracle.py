@@ -8,9 +8,9 @@ from tests.test_oracle import SPARK_TO_DUCKDB, con, norm  # noqa: F401
 SF001 = "/root/testdata/sf0.001"
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and names | {"pipeline"} <= set(E.queries())
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and names | {"pipeline"} <= set(E.queries())
     assert set(oracle.oracle_sql()) <= names
 
 
