@@ -193,6 +193,36 @@ LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
 """
 
 
+OP12 = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) AS sizes(m) WHERE len(w) >= m)
+), freq AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, t.n, c.k, l.a AS l, r.a AS r,
+         CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), scored AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM cuts),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM candidates)) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN inner_phrases x ON x.lang = s.lang AND x.phrase = s.phrase
+  WHERE s.cut = 1 AND NOT coalesce(100 * x.a >= 100 * s.a, false)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_secrets": _op1(), "op2_substring_dedup": OP2, "op4_quality_rules": _op4(), "op6_chat": OP6, "op8_decontam": OP8, "op10_jaccard_join": OP10,
-            "op11_conversation_trie": OP11}
+            "op11_conversation_trie": OP11, "op12_collocations": OP12}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table_path
-from . import chat, conversation_trie, decontam, html_text, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword, token_files
+from . import chat, collocations, conversation_trie, decontam, html_text, jaccard_join, langid, quality_crf, quality_rules, secrets, substring_dedup, subword, token_files
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(read(spark, sf_dir, "conversations")).drop("k1", "k2")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(read(spark, sf_dir, "documents"), path, metadata=("lang", "source"))
@@ -102,5 +106,6 @@ def queries() -> dict:
         "op9_subword": op9_subword,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_collocations": op12_collocations,
         "op13_token_files": op13_token_files,
     }
