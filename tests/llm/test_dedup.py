@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from babelscore.llm import common, jaccard_join, substring_dedup
 from tests.llm.helpers import edge_rows, empty, frame, random_text, words_of
@@ -38,65 +39,105 @@ def test_substrings_equal_plain_search(spark):
 
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("held,batch", [(1, 3), (40, 7), (1 << 19, 1000)])
-def test_paths_in_small_pieces(seed, held, batch, monkeypatch):
-    """The whole flow without Spark: tasks of two documents, four partitions, tiny batches."""
-    monkeypatch.setattr(substring_dedup, "HELD", held)
+def test_runs_in_small_pieces(seed, held, batch, monkeypatch):
+    """The counting of edges without Spark: tasks of two documents, four partitions, tiny batches."""
+    sd = substring_dedup
+    monkeypatch.setattr(sd, "HELD", held)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(3 if seed % 2 else 12)]
     passages = [random_text(rng, vocab, rng.randint(20, 60)) for _ in range(3)]
     docs = [" ".join(random_text(rng, vocab, rng.randint(0, 25)) + " " + rng.choice(passages) for _ in range(rng.randint(0, 3)))
             + " u%d" % i for i in range(14)]
 
-    def shuffled(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+    def rows_of(batches):
+        return [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    def resolved(batches):
         parts = defaultdict(list)
-        for r in rows:
-            a, hn, d, at, kind = r
-            to = hash((a, hn)) if kind == substring_dedup.BRANCHES else hash((d, at)) if kind == substring_dedup.REPEATED else hash(a)
+        for r in rows_of(batches):
+            a, hn, d, _, start, _, kind = r[:7]
+            to = (hash((a, hn)) if kind in (sd.BRANCHES, sd.BRANCHES + sd.AGAIN, sd.ELEMENT) else hash((d, start)) if kind == sd.REPEATED
+                  else hash(a))
             parts[to % 4].append(r)
         for p in parts.values():
-            p.sort(key=lambda r: r[:4])
-            yield [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*p[i:i + batch]), (*[pa.int64()] * 4, pa.int8()))],
-                                              ["a", "hn", "doc", "at", "kind"]) for i in range(0, len(p), batch)]
-
-    def resolved(batches):
-        return [r for part in shuffled(batches) for b in substring_dedup.resolve(part) for r in zip(*(c.to_pylist() for c in b.columns))]
+            p.sort(key=lambda r: (*r[:3], r[4], r[3]))
+            yield from rows_of(sd.resolve([sd.batch_of(zip(*p[i:i + batch])) for i in range(0, len(p), batch)]))
 
     def combined(found):
         for start in range(0, len(docs), 2):
-            c = substring_dedup.Combiner()
+            c = sd.Combiner()
             for d in range(start, min(start + 2, len(docs))):
                 rows = found(d)
                 if rows is not None:
                     yield from c.add(*rows)
             yield from c.rest()
 
-    def path_rows(d):
-        got = substring_dedup.paths(common.Texts(pa.array([docs[d]])), 20, 6)
+    def run_rows(d):
+        got = sd.runs_of_text(common.Texts(pa.array([docs[d]])), 20, 6)
         if got is None:
             return None
         key, text, _, s, n = got
-        return key.view(np.int64), substring_dedup.packed(text, n), np.full(len(s), d), s << 32
+        return key, text, np.full(len(s), d), np.full(len(s), 7 * d), s, n
 
-    first = resolved(combined(path_rows))
+    first = list(resolved(combined(run_rows)))
 
     def window_rows(d):
-        at = np.array([s + k for doc, _, s, n, check in first if check and doc == d for k in range(n)], dtype=np.int64)
+        at = np.array([s + k for _, _, doc, _, s, n, kind, _, _ in first if kind == sd.CHECK and doc == d for k in range(n)], dtype=np.int64)
         if not len(at):
             return None
         t = common.Texts(pa.array([docs[d]]))
         view = np.lib.stride_tricks.sliding_window_view(t.hashes(*t.words()[:2]), 20)[at]
-        one, two = (substring_dedup.sequence_hash(view, m) for m in (3**30, 5**20))
-        return one.view(np.int64), substring_dedup.packed(two, np.ones(len(at), dtype=np.int64)), np.full(len(at), d), at << 32
-
-    marks = [r for r in first if not r[4]] + [r for r in resolved(combined(window_rows)) if not r[4]]
-    gone = defaultdict(set)
-    for d, _, s, n, _ in marks:
-        gone[d].update(range(s, s + n + 19))
+        one, two = (sd.sequence_hash(view, m).view(np.int64) for m in (3**30, 5**20))
+        return one, two, np.full(len(at), d), np.full(len(at), 7 * d), at, np.ones(len(at), dtype=np.int64)
+
+    second = list(resolved(combined(window_rows)))
+    gone, seen = defaultdict(set), {r[:2] for r in first + second if r[6] == sd.FIRST}
+    for a, hn, d, tie, s, n, kind, _, _ in first + second:
+        if kind == sd.REPEATED:
+            assert tie == 7 * d and (a, hn) in seen  # every repeated element has a source
+            gone[d].update(range(s, s + n + 19))
     got = [(d, len(w := words_of(t)), len(gone[d]), " ".join(x for k, x in enumerate(w) if k not in gone[d])) for d, t in enumerate(docs)]
     assert sorted(got, key=repr) == plain_removed(list(enumerate(docs)))
 
 
+def test_paths_are_maximal_and_ranked(spark):
+    """Chains, a branching node, a circle and a self loop: heads and offsets by hand."""
+    edges = [(0, 1, 2, 3), (1, 2, 3, 5), (2, 3, 4, 1), (3, 4, 5, 2),  # 0-1-2-3: one path, but node 4 branches
+             (4, 4, 6, 7), (5, 6, 7, 1), (6, 7, 8, 1),  # out of node 4
+             (7, 20, 21, 4), (8, 21, 20, 4),  # a circle
+             (9, 30, 30, 2), (10, 40, 41, 9)]  # a self loop, an element alone
+    edges += [(100 + i, 1000 + i, 1001 + i, 2) for i in range(300)]  # a long chain
+    rows = spark.createDataFrame([(i, u, v, n) for i, u, v, n in edges], "id long, u long, v long, n int")
+    got = {r["id"]: (r["path"], r["offset"]) for r in substring_dedup.ranked(substring_dedup.linked(rows), "test-ranks").collect()}
+    want = {0: (0, 0), 1: (0, 3), 2: (0, 8), 4: (4, 0), 5: (4, 7), 6: (4, 8)} | {100 + i: (100, 2 * i) for i in range(300)}
+    assert got == want
+
+
+def test_long_spans(spark):
+    """A passage that two other documents hold comes out as one span each, on one path."""
+    rng = random.Random(3)
+    words = [f"x{i}" for i in range(5000)]
+    passage = " ".join(rng.choices(words, k=400))
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(6)]
+    rows = [(1, texts[0] + " " + passage), (2, texts[1] + " " + passage + " " + texts[2]), (3, passage + " " + texts[3]),
+            (4, texts[4] + " " + texts[5]), (None, None), (7, "")]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sorted(got) == [2, 3]
+    assert [(got[d]["start"], got[d]["n_words"]) for d in (2, 3)] == [(50, 400), (0, 400)]
+    assert got[2]["path"] == got[3]["path"] and got[2]["offset"] == got[3]["offset"]
+
+
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    """Texts that share 32 bits of their hash, under the null id and under one id, stay apart."""
+    long = " ".join(f"r{i}" for i in range(30))
+    pool = spark.range(600_000).selectExpr(f"if(id % 2 = 0, concat('{long} ', id), concat('short ', id)) AS t")
+    low = pool.selectExpr("t", "xxhash64(t) & 4294967295 AS low").groupBy("low").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    twins = low.filter("substr(a, 1, 2) != substr(b, 1, 2)").select("a", "b").first()
+    rows = [(i, t) for i in (None, 5) for t in (*twins, long, "start " + long)] + [(6, long)]
+    got = substring_dedup.removed_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_removed(rows)
+
+
 def plain_groups(rows):
     def shingles(t):
         w = words_of(t)
