@@ -13,9 +13,8 @@ The files are ordinary Parquet, written and read by Spark, in any store that Spa
   offset indexes. As doc_id ascends, a range of ids reads only its row groups' and pages' bytes, and a
   read of metadata alone never touches the id lists.
 
-Encoding splits a text where the tokeniser's own rules cannot join what stands on both sides (before
-one space or line break between characters that are no white space), and the tokenizers library
-encodes every distinct unit once per worker and cache. Strings of special tokens in a text are
+Encoding splits a text where the tokeniser's own rules cannot join what stands on both sides (see
+``unit_starts``), and the tokenizers library encodes every distinct unit once while a worker keeps it. Strings of special tokens in a text are
 ordinary text.
 
 Null text is empty: it has the end id alone. Order is by doc_id, null first, and rows of one id by
@@ -25,9 +24,9 @@ table the files are empty. Metadata columns may have any name; they stay under `
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +35,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_batch
+from .common import Texts, split_batch
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
-UNIT = re.compile(r"([ \n])(?<=\S[ \n])(?=\S)")
-CACHE_UNITS = 400_000
-CACHED_CHARS = 60
+CACHE_UNITS = 600_000
+CACHE_IDS = 6_000_000
+
+# White space (more than any tokeniser's), by its last byte or code point.
+IS_BLANK = np.zeros(256, dtype=bool)
+IS_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+WIDE_BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+IS_JOINT = np.zeros(256, dtype=bool)
+IS_JOINT[[0x20, 0x0A]] = True
+IS_MARK = np.zeros(256, dtype=bool)
+IS_MARK[[*b".,;:!?#*$%&|<>()"]] = True
+IS_LETTER = np.zeros(256, dtype=bool)
+IS_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -57,8 +66,38 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def unit_starts(t: Texts) -> np.ndarray:
+    """Bytes at which a unit starts: each document's first, a space or line break between characters
+    that are no white space, and a mark of punctuation after an ASCII letter. The tokeniser's rules join
+    nothing across these."""
+    b, n = t.data, len(t.data)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    blank = IS_BLANK[b]  # bytes that end a white-space character, and those that start one
+    start = blank.copy()
+    for last in np.flatnonzero((b == 0x85) | (b == 0xA0)):
+        if last and b[last - 1] == 0xC2:
+            blank[last] = start[last - 1] = True
+    if n > 2:
+        lead = np.flatnonzero((b[:-2] >= 0xE1) & (b[:-2] <= 0xE3))
+        if len(lead):
+            code = (b[lead].astype(np.int64) - 0xE0) << 12 | (b[lead + 1].astype(np.int64) & 0x3F) << 6 | (b[lead + 2] & 0x3F)
+            wide = lead[np.isin(code, WIDE_BLANKS)]
+            start[wide] = True
+            blank[wide + 2] = True
+    cut = np.zeros(n, dtype=bool)
+    cut[1:-1] = IS_JOINT[b[1:-1]] & ~blank[:-2] & ~start[2:]
+    cut[1:] |= IS_MARK[b[1:]] & IS_LETTER[b[:-1]]
+    # A document's first and last bytes have no neighbour in another one.
+    inner = t.off[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    cut[inner - 1] &= ~IS_JOINT[b[inner - 1]]
+    cut[t.off[:-1][t.off[:-1] < t.off[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """Ids of texts, unit by unit; a unit's ids are kept between slices."""
+    """Ids of texts, unit by unit; units' ids are kept between slices."""
 
     def __init__(self, spec: str):
         import os
@@ -68,59 +107,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.store = np.zeros(0, dtype=np.int32)
-        self.start = self.size = np.zeros(0, dtype=np.int64)
+        self.start = self.size = self.seen = np.zeros(0, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Drop the units that were met in one slice only."""
+        keep = np.flatnonzero(self.seen > 1)
+        names = list(self.index)
+        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        size = self.size[keep]
+        begin = np.cumsum(size) - size
+        self.store = self.store[np.repeat(self.start[keep] - begin, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.seen = begin, size, np.zeros(len(keep), dtype=np.int64)
 
-    def plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, flat, and their numbers."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def learn(self, units: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(size.sum())), size
-
-    def learn(self, units: list[str]) -> None:
-        ids, size = self.plain(units)
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))
         self.start = np.concatenate([self.start, len(self.store) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.store = np.concatenate([self.store, ids])
+        self.size, self.seen = np.concatenate([self.size, size]), np.concatenate([self.seen, np.zeros(len(size), dtype=np.int64)])
+        self.store = np.concatenate([self.store, flat])
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
 
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets (n + 1); ``end`` closes each."""
-        if len(self.index) > CACHE_UNITS:
-            self.forget()
-        units, n_units = [], np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                cut = UNIT.split(text)
-                units.append(cut[0])
-                units += [a + b for a, b in zip(cut[1::2], cut[2::2])]
-                n_units[i] = len(cut) // 2 + 1
-        index = self.index
-        known = len(index)
+        t = Texts(column)
+        starts = unit_starts(t)
+        ends = np.append(starts[1:], len(t.data))[:len(starts)]
+        _, first, which = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
+        data, index = t.data.tobytes(), self.index
+        units = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        # Units of one hash must be one unit.
+        if not np.array_equal((ends - starts)[first][which], ends - starts) or not np.array_equal(t.data[starts], t.data[starts[first]][which]):
+            units = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+            which = np.arange(len(units))
         new = [u for u in dict.fromkeys(units) if u not in index]
-        kept = [u for u in new if len(u) <= CACHED_CHARS]
-        if kept:
-            self.learn(kept)
-        start, size, store = self.start, self.size, self.store
-        code = index
-        if len(kept) < len(new):  # long units serve this slice only
-            long = [u for u in new if len(u) > CACHED_CHARS]
-            ids, n = self.plain(long)
-            start, size, store = (np.concatenate([a, b]) for a, b in ((start, len(store) + np.cumsum(n) - n), (size, n), (store, ids)))
-            code = index | dict(zip(long, range(known + len(kept), known + len(new))))
-        which = np.fromiter(map(code.__getitem__, units), dtype=np.int64, count=len(units))
-        start, size = start[which], size[which]
+        if new:
+            self.learn(new)
+        code = np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
+        self.seen[code] += 1
+        start, size = self.start[code][which], self.size[code][which]
         begin = np.cumsum(size) - size
-        flat = store[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
-        last = np.cumsum(n_units)
-        per_doc = np.diff(np.append(0, np.append(0, np.cumsum(size))[last]))
+        total = np.append(0, np.cumsum(size))
+        flat = self.store[np.repeat(start - begin, size) + np.arange(total[-1])]
+        per_doc = np.diff(total[np.searchsorted(starts, t.off)])
         if end is not None:
             flat = np.insert(flat, np.cumsum(per_doc), end)
             per_doc = per_doc + 1
+        if len(self.index) > CACHE_UNITS or len(self.store) > CACHE_IDS:
+            self.shrink()
         return flat.astype(np.int32), np.append(0, np.cumsum(per_doc))
 
 
@@ -153,7 +189,7 @@ def write(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in split_batch(batch, "text"):
-                ids, off = encoder(name, held).encode(piece.column(2).to_pylist(), end)
+                ids, off = encoder(name, held).encode(piece.column(2), end)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(piece.num_rows, part, dtype=np.int32)), pa.array(place + off[:-1]), piece.column(0),
                      pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), piece.column(3)],
