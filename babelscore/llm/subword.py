@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,15 @@ def load(path: str = MODEL) -> dict:
             "bytes": [by_byte[b] for b in range(256)]}
 
 
+def mix_one(h: int) -> int:
+    """``mix`` of one number."""
+    h ^= h >> 31
+    h = h * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h ^= h >> 29
+    h = h * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 32
+
+
 class Column:
     """An array that grows: ``x`` has room beyond its ``n`` rows."""
 
@@ -95,6 +105,7 @@ class Codec:
             self.text[i] = bytes([b])
         # Characters of no piece end a unit; line breaks are the common ones.
         broken = "".join(c for c in "\n\t\r" if self.char[ord(c)] >= UNKNOWN)
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.units = re.compile(f" *[^ {broken}]+| +|[{broken}]" if broken else " *[^ ]+| +")
         self.forget()
 
@@ -210,31 +221,42 @@ class Codec:
             at, node, key = at[on], then[on], key[on]
         return out
 
+    def pair_table(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by pair of symbols, for one candidate at a time."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
+        return self.pairs
+
     def alone(self, sym: np.ndarray, key: np.uint64) -> np.ndarray:
-        """The same agenda for one long unit, as a heap over a linked list."""
+        """The same agenda for one long unit, as a heap over a linked list. A candidate's draw depends on
+        its place and pieces alone, so one that will be skipped does not enter the heap."""
         n = len(sym)
-        symbols = sym.tolist()
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         rank, merged = self.lookup(sym[:-1], sym[1:])
-        agenda = [(r, i, symbols[i], symbols[i + 1], m)
-                  for i, (r, m) in enumerate(zip(rank.tolist(), merged.tolist())) if r < NONE]
+        at = np.flatnonzero(rank < NONE)
+        at = at[~self.skipped(key, self.candidate(at, sym[at], sym[at + 1]))]
+        agenda = list(zip(rank[at].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist(), merged[at].tolist()))
         heapq.heapify(agenda)
+        symbols, before, after = sym.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
+        places = mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+        pairs, key, threshold = self.pair_table(), int(key), int(self.threshold)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, i, left, right, m = heapq.heappop(agenda)
+            _, i, left, right, m = pop(agenda)
             j = after[i]
             if symbols[i] != left or j < 0 or symbols[j] != right:
                 continue
-            if self.skipped(np.full(1, key), self.candidate([i], [left], [right]))[0]:
-                continue
-            symbols[i], symbols[j], after[i] = m, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a in (before[i], i):
-                c = after[a] if a >= 0 else -1
-                if c >= 0:
-                    r, new = self.lookup(np.array([symbols[a]]), np.array([symbols[c]]))
-                    if r[0] < NONE:
-                        heapq.heappush(agenda, (int(r[0]), a, symbols[a], symbols[c], int(new[0])))
+            symbols[i], symbols[j] = m, -1
+            after[i] = c = after[j]
+            if c >= 0:
+                before[c] = i
+                found = pairs.get(m << 22 | symbols[c])
+                if found and mix_one(key ^ mix_one(places[i] ^ (m << 32 | symbols[c]))) >= threshold:
+                    push(agenda, (found[0], i, m, symbols[c], found[1]))
+            a = before[i]
+            if a >= 0:
+                found = pairs.get(symbols[a] << 22 | m)
+                if found and mix_one(key ^ mix_one(places[a] ^ (symbols[a] << 32 | m))) >= threshold:
+                    push(agenda, (found[0], a, symbols[a], m, found[1]))
         return np.array([s for s in symbols if s >= 0], dtype=np.int64)
 
     def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +309,7 @@ class Codec:
         if new:
             index.update(zip(new, range(len(index), len(index) + len(new))))
             self.plant(new)
-        code = np.fromiter((index.get(u, -1) for u in units), dtype=np.int64, count=len(units))
+        code = np.fromiter(map(index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
         short, long = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
         start, size = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
         if len(short):

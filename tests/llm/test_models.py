@@ -1,4 +1,7 @@
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +9,7 @@ import pytest
 
 from babelscore.llm import html_text, langid, quality_crf, quality_rules, subword
 from tests.llm.helpers import edge_rows, empty, frame, words_of
+from tests.llm.layouts import LAYOUTS
 
 SF = "/root/testdata/sf0.01"
 
@@ -151,6 +155,66 @@ def test_dropout_is_lossless_seeded_and_the_same_in_both_agendas(model, monkeypa
     assert len(ids) > len(pieces)  # merges were skipped
 
 
+def plain_agenda(model, text, doc_id, dropout, seed):
+    """The segmentation written out: of all adjacent pairs that make a piece and are not skipped, always
+    the best-scored one, leftmost on ties."""
+    wide = (1 << 64) - 1
+
+    def mix(h):
+        for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & wide
+        return h ^ h >> 32
+
+    score = {p: model["scores"][i] for i, p in enumerate(model["pieces"]) if model["plain"][i]}
+    number = {p: i for i, p in enumerate(model["pieces"]) if model["plain"][i]}
+    spare = sorted({c for p in number for c in p} - set(number))
+    number |= {c: len(model["pieces"]) + i for i, c in enumerate(spare)}
+    out = []
+    broken = "".join(c for c in "\n\t\r" if c not in number)
+    units = re.findall(f" *[^ {broken}]+| +|[{broken}]" if broken else " *[^ ]+| +", " " + text)
+    for place, unit in enumerate(units):
+        key = mix(mix(mix(doc_id + seed) ^ place) + seed & wide)
+        at = [(k, c.replace(" ", "▁")) for k, c in enumerate(unit)]
+
+        def skipped(i):
+            left, right = (number[s] if s in number else (1 << 21) + ord(s) for s in (at[i][1], at[i + 1][1]))
+            return mix(key ^ mix(mix(at[i][0] * 0x9E3779B97F4A7C15 & wide) ^ (left << 32 | right))) < int(dropout * 2.0**64)
+        while True:
+            fits = [(-score[at[i][1] + at[i + 1][1]], i) for i in range(len(at) - 1) if at[i][1] + at[i + 1][1] in score and not skipped(i)]
+            if not fits:
+                break
+            i = min(fits)[1]
+            at[i:i + 2] = [(at[i][0], at[i][1] + at[i + 1][1])]
+        for _, s in at:
+            out += [number[s]] if s in score else [model["bytes"][b] for b in s.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_ids_of_a_plain_agenda(model, dropout):
+    rng = random.Random(6)
+    texts = [t for t in mixed_texts() if t and "▁" not in t][:40]
+    texts += ["https://www.example.org/" + "/".join("".join(rng.choices("abcdefgh0123456789", k=9)) for _ in range(8)) + "?id=7",
+              "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=300)), "tokenization and segmentation of straße"]
+    c = subword.Codec(model, dropout, 9)
+    ids, off = c.encode(texts, range(100, 100 + len(texts)))
+    for i, t in enumerate(texts):
+        assert ids[off[i]:off[i + 1]].tolist() == plain_agenda(model, t, 100 + i, dropout, 9), t
+
+
+def test_long_units_cost_little_more_than_words(model):
+    """URLs and base64 are units of many symbols; one of them costs about as much a symbol as a word."""
+    rng = random.Random(1)
+    urls = "\n".join("https://www.example.org/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz/0123456789", k=70)) for _ in range(1500))
+    coded = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=140_000))
+    for text in (urls, coded):
+        c = subword.Codec(model, 0.1, 1)
+        c.encode(["warm https://www.example.org/" + "x" * 50], [0])
+        begin = time.process_time()
+        ids, _ = c.encode([text], [1])
+        assert time.process_time() - begin < 3 and c.decode(ids.tolist()) == text
+
+
 def test_every_occurrence_draws_for_itself(model):
     texts = [" ".join(["tokenization"] * 50)] * 40 + ["https://example.org/" + "segmentation" * 4] * 40
     c = subword.Codec(model, 0.1, 1)
@@ -265,3 +329,68 @@ def test_html_edges(spark, weights):
     assert {r["text"] for r in out if r["page_id"] in (1, 2)} == {""}
     assert html_text.train(empty(spark, "page_id long, html string")) is None
     assert html_text.extract(empty(spark, "page_id long, url string, html string"), None).count() == 0
+
+
+def filled(layout, rng, vocab):
+    """A layout with words, and the words of its main text."""
+    main = []
+
+    def words(m):
+        text = [rng.choice(vocab) for _ in range(int(m.group(2)))]
+        if m.group(1) == "m":
+            main.extend(text)
+        return " ".join(text).capitalize() + ("." if len(text) > 6 else "")
+    page = re.sub(r"\[([mn])(\d+)\]", words, layout)
+    return page, main
+
+
+def test_layouts_labelled_by_hand(spark):
+    """Trained on the test pages; judged on layouts that the training knows nothing of."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.train(pages)
+    rng = random.Random(8)
+    vocab = [w for w in " ".join(r["html"] for r in pages.limit(20).collect()).split() if w.isalpha()]
+    rows, wanted = [], []
+    for i, layout in enumerate(LAYOUTS):
+        page, main = filled(layout, rng, vocab)
+        rows.append((i, "u", page))
+        wanted.append(main)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect()}
+    assert len(LAYOUTS) >= 50
+    hit = found = total = 0
+    for i, main in enumerate(wanted):
+        have = Counter(w.strip(".").lower() for w in got[i].split())
+        want = Counter(w.lower() for w in main)
+        hit += (have & want).total()
+        found, total = found + have.total(), total + want.total()
+    print(f"recall {hit / total:.3f}, precision {hit / found:.3f}")
+    assert hit >= 0.9 * total and hit >= 0.9 * found
+
+
+def test_comments_that_end_at_once():
+    assert [b.text for b in html_text.blocks("<article><p>one</p><!--><p>two</p><!---><p>three<!-- x --!> four</article>")] == ["one", "two", "three four"]
+    assert [b.text for b in html_text.blocks("a<!doctype")] == ["a"] and html_text.blocks("<script x") == []
+
+
+@pytest.mark.parametrize("page", ["<p>x" + "<br>\n" * 160_000, "<font>" * 160_000, "<font><p>x" * 95_000, "<li>x" * 190_000, "<div>x" * 150_000,
+                                  "<!" * 500_000, "<script " * 120_000, "<a href=\"" * 110_000])
+def test_a_page_of_a_megabyte(page):
+    """Linear time: a quadratic parser would take many minutes for these."""
+    weights = html_text.new_weights(np.random.default_rng(1))
+    begin = time.process_time()
+    html_text.main_texts(pa.array([page]), weights)
+    assert time.process_time() - begin < 30
+
+
+def test_windows_of_a_long_page_label_as_the_whole(monkeypatch):
+    """Each block is labelled once; away from the windows' ends the labels are those of one reading."""
+    rng = random.Random(2)
+    page = html_text.blocks("".join(f"<{t}>{' '.join(rng.choices(['a', 'bb', 'ccc.'], k=rng.randint(1, 9)))}</{t}>"
+                                    for t in rng.choices(["p", "li", "h2", "td"], k=1500)))
+    weights = html_text.new_weights(np.random.default_rng(3))
+    assert sorted(i for a, b, c, d in html_text.windows(len(page)) for i in range(b, c)) == list(range(len(page)))
+    parts = html_text.labelled(weights, [page, page[:10], []])
+    monkeypatch.setattr(html_text, "CORE", 10_000)
+    whole = html_text.labelled(weights, [page, page[:10], []])
+    assert [len(p) for p in parts] == [1500, 10, 0]
+    assert max(abs(parts[0] - whole[0])) < 0.01 and (parts[1] == whole[1]).all()
