@@ -1,65 +1,101 @@
 """Chat formatting after collapsing cumulative snapshots.
 
-Logs hold a conversation several times, each snapshot a prefix of a later one. Every turn gets a
-rolling hash of the turns so far: the exclusive-or of a position-keyed 128-bit hash of each turn, a
-running window aggregate, so no conversation is gathered to hash it. Equal whole conversations
-collapse to the smallest id; an anti-join against the proper prefixes of all conversations then
-leaves the maximal ones, and only those are rendered. The prefix table is made distinct before its
-shuffle, so a first turn that a third of all conversations share is one row.
-
-Order is by turn number, then role, then text; a missing turn number comes first. Null role or text
-counts as a value of its own, and renders as empty. Turns that are repeated rows count as turns. Rows
-without a conversation id form one conversation with a null id. Conversations are equal if their
-sequences of role and text are equal, whatever the turn numbers.
+Logs hold a conversation several times, each snapshot a prefix of a later one. Every turn gets its place
+and a rolling fingerprint of the turns so far (``scans``): ranges of (conversation, turn) are scanned by
+themselves and composed, so a conversation of any length lies in many tasks. Equal whole conversations
+collapse to the smallest id; an anti-join against the proper prefixes of all conversations then leaves
+the maximal ones, and only those are rendered. The prefix table is made distinct before its shuffle, so
+a first turn that a third of all conversations share is one row per task.
+
+A rendered conversation comes in parts of ``PART_TURNS`` turns, one row each (nearly always one), so no
+row grows with a conversation; the parts' texts one after another are the conversation.
+
+Order is by turn number, a missing one first; among equal numbers by the SHA-256 of role and text (with
+the role's length, and a dash for a null). Null role or text counts as a value of its own, and renders
+as empty. Turns that are repeated rows count as turns. A turn without a conversation id is a conversation
+of one turn; of equal conversations the smallest id stands for all, null only if none has one.
+Conversations are equal if their sequences of role and text are equal, whatever the turn numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+from .scans import PRIME, block_of, per_block, running
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
+PART_TURNS = 256
+_RNG = random.Random(20240506)
+BASES = {f"f{i}": _RNG.randrange(1 << 16, PRIME - 1) for i in range(4)}
+SALTS = {f: _RNG.getrandbits(31) for f in BASES}
+ORDER = ["turn", "k1", "k2", "tie"]
+
+
+def turn_rows(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """conv_id, turn, role, text, and a 120-bit hash of role and text as two numbers."""
+    r, t = F.col("role"), F.col("text")
+    said = F.concat(F.coalesce(F.concat(F.octet_length(r).cast("string"), F.lit(":"), r), F.lit("-")),
+                    F.coalesce(F.concat(F.lit(":"), t), F.lit("-")))
+
+    def number(at: int) -> Column:
+        return F.conv(F.substring("digest", at, 15), 16, 10).cast("long")
+    return (turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
+                         F.col(text).alias("text")).withColumn("digest", F.sha2(said.cast("binary"), 256))
+            .select("conv_id", "turn", "role", "text", number(1).alias("k1"), number(16).alias("k2")))
+
+
+def valued(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *[F.pmod(F.xxhash64(F.lit(SALTS[f]), "k1", "k2"), F.lit(PRIME)).alias(f) for f in BASES])
+
+
+def turn_prefixes(rows: DataFrame) -> DataFrame:
+    """conv_id, place (1 for the first turn) and the fingerprint of the turns up to it."""
+    slim = materialise(rows.filter("conv_id is not null").select("conv_id", "turn", "k1", "k2", F.monotonically_increasing_id().alias("tie")),
+                       "chat-turns")
+    return running(valued(slim), "conv_id", ORDER, BASES, "chat-prefixes").select("conv_id", "place", *BASES)
+
+
+def nameless(rows: DataFrame) -> DataFrame:
+    """Turns without a conversation, with the fingerprint of a conversation of that one turn."""
+    alone = valued(rows.filter("conv_id is null"))
+    return alone.select("role", "text", *[(F.col(f) * F.lit(b) % F.lit(PRIME)).alias(f) for f, b in BASES.items()])
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies and fingerprint of the conversations that are no proper prefix of
+    another one; of equal ones the smallest id stays."""
+    prefixes = turn_prefixes(rows)
+    sizes = prefixes.groupBy("conv_id").agg(F.max("place").alias("n_turns"))
+    marked = prefixes.withColumn("block", block_of("place")).join(per_block(sizes, "n_turns"), ["conv_id", "block"])
+    single = nameless(rows).select(F.lit(None).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("n_turns"), *BASES)
+    whole = (marked.filter("place = n_turns").select("conv_id", "n_turns", *BASES).unionByName(single)
+             .groupBy("n_turns", *BASES).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")))
+    proper = marked.filter("place < n_turns").select(F.col("place").alias("n_turns"), *BASES).distinct()
+    return whole.join(proper, ["n_turns", *BASES], "left_anti").select("conv_id", "n_turns", "n_copies", *BASES)
 
 
-def turn_prefixes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
-                  text: str = "text") -> DataFrame:
-    """conv_id, place (1 for the first turn), and the 128-bit hash of the turns up to it."""
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
-                        F.col(text).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = rows.withColumn("place", F.row_number().over(w)).select(
-        "conv_id", "turn", "place",
-        *[F.xxhash64(F.lit(salt), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(h)
-          for h, salt in (("a", 0x51ED270B), ("b", 0x2545F491))])
-    so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("conv_id", "place", F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b"))
-
-
-def maximal(turns: DataFrame, **columns) -> DataFrame:
-    """conv_id, n_turns and n_copies of the conversations that are no proper prefix of another one;
-    of equal ones the smallest id stays."""
-    prefixes = turn_prefixes(turns, **columns)
-    last = F.max("place").over(Window.partitionBy("conv_id"))
-    marked = prefixes.withColumn("n_turns", last)
-    whole = (marked.filter(F.col("place") == F.col("n_turns")).groupBy("n_turns", "a", "b")
-             .agg(F.min("conv_id").alias("id"), F.max(F.col("conv_id").isNull()).alias("nameless"),
-                  F.count(F.lit(1)).alias("n_copies"))
-             .select(F.when(~F.col("nameless"), F.col("id")).alias("conv_id"), "n_turns", "n_copies", "a", "b"))
-    proper = marked.filter(F.col("place") < F.col("n_turns")).select(F.col("place").alias("n_turns"), "a", "b").distinct()
-    return whole.join(proper, ["n_turns", "a", "b"], "left_anti").select("conv_id", "n_turns", "n_copies")
+def rendered(role: Column, text: Column) -> Column:
+    empty = F.lit("")
+    return F.concat(F.lit(OPEN), F.coalesce(role, empty), F.lit(MIDDLE), F.coalesce(text, empty), F.lit(CLOSE))
 
 
 def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
-              text: str = "text") -> DataFrame:
-    """One row per maximal conversation: conv_id, n_turns, n_copies, and the rendered text."""
-    kept = maximal(turns, conv_id=conv_id, turn=turn, role=role, text=text).withColumnRenamed("conv_id", "kept_id")
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
-                        F.col(text).alias("text"))
-    chosen = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    # One kept conversation is one output row, so its turns meet here and nowhere else.
-    return (chosen.groupBy("conv_id").agg(F.first("n_turns").cast("long").alias("n_turns"), F.first("n_copies").alias("n_copies"),
-                                          F.sort_array(F.collect_list(F.struct(
-                                              "turn", F.col("role").alias("r"), F.col("text").alias("t")))).alias("turns"))
-            .select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: F.concat(
-                F.lit(OPEN), F.coalesce(x["r"], F.lit("")), F.lit(MIDDLE), F.coalesce(x["t"], F.lit("")), F.lit(CLOSE))), "")
-                .alias("text")))
+              text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
+    """One row per maximal conversation and part: conv_id, part (from 0), n_turns, n_copies, and the rendered text."""
+    rows = turn_rows(turns, conv_id, turn, role, text)
+    kept = materialise(maximal(rows), "chat-maximal")
+    chosen = (rows.filter("conv_id is not null").withColumn("tie", F.monotonically_increasing_id())
+              .join(kept.filter("conv_id is not null").select("conv_id", "n_turns", "n_copies"), "conv_id"))
+    placed = running(chosen, "conv_id", ORDER, {}, "chat-chosen")
+    part = ((F.col("place") - 1) / F.lit(part_turns)).cast("long").alias("part")
+    named = (placed.groupBy("conv_id", part, "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+             .select("conv_id", "part", "n_turns", "n_copies",
+                     F.array_join(F.transform("turns", lambda x: rendered(x["role"], x["text"])), "").alias("text")))
+    said = nameless(rows).groupBy(*BASES).agg(F.first(rendered(F.col("role"), F.col("text"))).alias("text"))
+    unnamed = kept.filter("conv_id is null").join(said, list(BASES)).select(
+        "conv_id", F.lit(0).cast("long").alias("part"), "n_turns", "n_copies", "text")
+    return named.unionByName(unnamed)

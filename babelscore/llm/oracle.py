@@ -100,14 +100,20 @@ LEFT JOIN by_lang l ON c.lang IS NOT DISTINCT FROM l.lang
 
 OP6 = r"""
 WITH conv AS (
-  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
-  FROM conversations GROUP BY conv_id
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST,
+    sha256(coalesce(strlen(role) || ':' || role, '-') || coalesce(':' || text, '-'))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, [{'r': role, 't': text}] FROM conversations WHERE conv_id IS NULL
 ), copies AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM conv GROUP BY turns),
-prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM conv))
-SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
-       array_to_string(list_transform(turns, lambda x:
+prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM conv)),
+parts AS (
+  SELECT *, unnest(range(0, (len(turns) - 1) // 256 + 1)) AS part
+  FROM copies WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = copies.turns)
+)
+SELECT conv_id, part, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
+       array_to_string(list_transform(turns[256 * part + 1:256 * part + 256], lambda x:
          '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10) || '<|end|>' || chr(10)), '') AS text
-FROM copies WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = copies.turns)
+FROM parts
 """
 
 OP8 = r"""

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -9,19 +10,24 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def plain_chat(rows):
-    low = lambda x: (x is not None, x)
+def said(role, text):
+    told = (b"-" if role is None else b"%d:" % len(role.encode()) + role.encode()) + (b"-" if text is None else b":" + text.encode())
+    return hashlib.sha256(told).hexdigest()
+
+
+def plain_chat(rows, part_turns=256):
     convs = {}
-    for conv, turn, role, text in rows:
-        convs.setdefault(conv, []).append((low(turn), low(role), low(text), role, text))
-    seqs = {c: tuple(x[3:] for x in sorted(v, key=lambda x: x[:3])) for c, v in convs.items()}
+    for k, (conv, turn, role, text) in enumerate(rows):
+        convs.setdefault(("nameless", k) if conv is None else conv, []).append(((turn is not None, turn or 0), said(role, text), role, text))
+    seqs = {c: tuple(x[2:] for x in sorted(v, key=lambda x: x[:2])) for c, v in convs.items()}
     proper = {s[:k] for s in seqs.values() for k in range(1, len(s))}
     out = []
     for s in set(seqs.values()) - proper:
         ids = [c for c, x in seqs.items() if x == s]
-        first = None if None in ids else min(ids)
-        text = "".join(f"<|{r or ''}|>\n{t or ''}\n<|end|>\n" for r, t in s)
-        out.append((first, len(s), len(ids), text))
+        first = min((i for i in ids if not isinstance(i, tuple)), default=None)
+        for part in range(0, len(s), part_turns):
+            text = "".join(f"<|{r or ''}|>\n{t or ''}\n<|end|>\n" for r, t in s[part:part + part_turns])
+            out.append((first, part // part_turns, len(s), len(ids), text))
     return sorted(out, key=repr)
 
 
@@ -34,10 +40,43 @@ def test_maximal_conversations(spark, seed):
         base += [(rng.choice(["user", "assistant", None]), rng.choice(["hi", "yes", "", None, "no"])) for _ in range(rng.randint(0 if base else 1, 2))]
         convs.append(base)
         rows += [(conv, k * 2, r, t) for k, (r, t) in enumerate(base)]
-    rows += [(None, 0, "user", "hi"), (None, 1, "user", "nameless"), (77, None, "user", "x"), (77, 3, "user", "y"), (77, 3, "user", "y")]
+    # Turns without a conversation: one alone, two alike, one that starts a longer conversation.
+    rows += [(None, 0, "user", "x"), (None, 1, "user", "nameless"), (None, 5, "user", "nameless"), (None, None, None, None)]
+    rows += [(77, None, "user", "x"), (77, 3, "user", "y"), (77, 3, "user", "y"), (77, 3, None, "y"), (78, 0, "only", "one"), (None, 9, "only", "one")]
     rng.shuffle(rows)
-    got = chat.formatted(frame(spark, rows, TURNS)).collect()
-    assert sorted(map(tuple, got), key=repr) == plain_chat(rows)
+    got = chat.formatted(frame(spark, rows, TURNS), part_turns=4).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_chat(rows, 4)
+
+
+def test_a_hot_conversation_lies_in_many_tasks(spark, monkeypatch):
+    """A third of all turns in one conversation, a third without one: no range holds over five times the
+    median, and the result is that of a plain version."""
+    from babelscore.llm import scans
+
+    rng = random.Random(5)
+    rows = [(0, k, "user", f"t{rng.randint(0, 50)}") for k in range(3000)] + [(None, k, "user", f"t{rng.randint(0, 900)}") for k in range(3000)]
+    rows += [(rng.randint(1, 700), k, "user", f"t{rng.randint(0, 9)}") for k in range(3000)]
+    written = []
+
+    def kept(df, name):
+        out = materialise(df, name)
+        if "part" in out.columns:
+            written.append([r["count"] for r in out.groupBy("part").count().collect()])
+        return out
+    materialise = scans.materialise
+    monkeypatch.setattr(scans, "materialise", kept)
+    monkeypatch.setattr(scans, "BLOCK", 1 << 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = chat.formatted(spark.createDataFrame(rows, TURNS).repartition(6), part_turns=100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got), key=repr) == plain_chat(rows, 100)
+    assert len(written) == 2
+    for sizes in written:
+        assert len(sizes) > 6 and max(sizes) <= 5 * sorted(sizes)[len(sizes) // 2]
 
 
 def test_no_conversations(spark):
