@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 SLICE_BYTES = 1 << 20
+SALTS = 64  # parts of a star's neighbours
 
 # Word separators: space and \x09-\x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -227,9 +228,12 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         return kept, tuple(r)
 
     def star(pairs: DataFrame) -> DataFrame:
-        """Of pairs (u, neighbour): every neighbour, with the smallest of u and its neighbours."""
-        low = pairs.groupBy("u").agg(F.min("v").alias("low"))
-        return pairs.join(low.withColumn("low", F.least("u", "low")), "u")
+        """Of pairs (u, neighbour): every neighbour, with the smallest of u and its neighbours. A centre's
+        neighbours are dealt by ``SALTS`` hashes of theirs, so no centre's pairs all meet in one task."""
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        part = salted.groupBy("u", "salt").agg(F.min("v").alias("low"))
+        low = part.groupBy("u").agg(F.min("low").alias("low")).withColumn("low", F.least("u", "low"))
+        return salted.join(part.select("u", "salt").join(low, "u"), ["u", "salt"]).drop("salt")
 
     now, mark = checked(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):

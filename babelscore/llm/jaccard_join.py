@@ -5,9 +5,8 @@ the sets' Jaccard similarity is 0.8 or more.
 
 1. One pass gives each document a 128-bit digest of its word sequence and a MinHash signature.
    Documents with equal digests are one class; a class is compared once, through one member.
-2. Signatures are cut into bands; classes that agree on a band are candidates. A band value that
-   many classes share is cut into blocks, and pairs of blocks go to different tasks, so no task holds
-   an unbounded group, and pairs are counted in memory, never written out.
+2. Signatures are cut into bands; classes that agree on a band are candidates. Pairs are looked at in
+   memory, never written out.
 3. A candidate pair's MinHash values are compared 16 at a time. With a uniform prior, the similarity
    after n comparisons with m equal has a Beta posterior; when its probability of reaching 0.8 falls
    below ``TOLERANCE`` the pair is dropped. Pairs that survive join classes into families (connected
@@ -16,6 +15,20 @@ the sets' Jaccard similarity is 0.8 or more.
    intersection of the shingle sets (a product of incidence matrices over shared shingles). Links
    are summed per class and their components form the groups.
 
+A group (a band value, a family) of more than ``BLOCK`` classes is compared with a pivot first, which
+moves each row once:
+
+* a band value's pivot is one of its classes; two that both survive against it are in one family with
+  it, so they need no look at each other;
+* a family's pivot is the set of the shingles that over half of it have. With d the size of the symmetric
+  difference to it, two sets of which each has 9 d <= its size differ by at most a ninth of their sizes
+  together (the triangle inequality), which is a similarity of 0.8: all of them are linked, and are
+  counted without a comparison.
+
+Only what is far from the pivot is cut into blocks of ``BLOCK`` and meets everything else, a pair of
+blocks to a task. A family of any number of near copies thus moves in proportion to its size; one
+without a centre (a chain of ever new versions) still meets in blocks.
+
 With 32 bands of 4 values a pair of similarity 0.8 misses all bands with probability 5e-8, and the
 pruning loses it with a probability of the order of ``TOLERANCE``; nothing is capped or sampled.
 
@@ -161,14 +174,31 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def blocked(df: DataFrame, key: list[str], size: str, of: str, block: int) -> DataFrame:
-    """Rows with ``grp``, ``lo``, ``hi`` and ``blk``: a group of more than ``block`` rows is cut by a
-    hash of ``of`` into blocks, and a row goes to every pair of blocks with its own in it."""
-    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    cut = df.withColumn("blk", F.pmod(F.xxhash64(of), blocks).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return cut.select(F.xxhash64(*key).alias("grp"), F.least("blk", "other").alias("lo"),
-                      F.greatest("blk", "other").alias("hi"), "blk", *[c for c in df.columns if c not in (*key, size)])
+def blocked(df: DataFrame, key: list[str], of: str, block: int) -> DataFrame:
+    """Rows with ``grp``, ``lo``, ``hi`` and ``blk``, from rows with ``far``, ``n_far`` and ``n_near``: far
+    rows are cut into blocks by a hash of ``of`` and go to every pair of blocks with their own in it, near
+    rows to every pair with a far block. Near rows do not meet."""
+    far_blocks = F.ceil(F.col("n_far") / F.lit(block)).cast("int")
+    near_blocks = F.ceil(F.col("n_near") / F.lit(block)).cast("int")
+
+    def mine(blocks):
+        return F.pmod(F.xxhash64(of), F.greatest(blocks, F.lit(1))).cast("int")
+    cut = df.filter("n_far > 0").withColumn("blk", F.when(F.col("far"), mine(far_blocks)).otherwise(far_blocks + mine(near_blocks)))
+    last = F.when(F.col("far"), far_blocks + near_blocks).otherwise(far_blocks) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return cut.select(F.xxhash64(*key).alias("grp"), F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk",
+                      *[c for c in df.columns if c not in (*key, "far", "n_far", "n_near")])
+
+
+def all_far(df: DataFrame, size: str) -> DataFrame:
+    """Rows of groups that fit one block."""
+    return df.select("*", F.lit(True).alias("far"), F.col(size).alias("n_far"), F.lit(0).cast("long").alias("n_near")).drop(size)
+
+
+def with_counts(judged: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with ``far`` of the groups that have a far row, with how many of either they have."""
+    counts = judged.groupBy(*key).agg(F.sum(F.col("far").cast("long")).alias("n_far"), F.sum((~F.col("far")).cast("long")).alias("n_near"))
+    return judged.join(counts.filter("n_far > 0"), key)
 
 
 def together(df: DataFrame) -> DataFrame:
@@ -225,6 +255,37 @@ def family_edges(candidates: DataFrame) -> DataFrame:
     return together(candidates).mapInArrow(run, "u binary, v binary")
 
 
+def against_pivots(rows: DataFrame) -> DataFrame:
+    """band, value, cls, sig, pivot, far: whether the comparison with the pivot's signature drops the class."""
+    least = least_matches()
+    names = ["band", "value", "cls", "sig", "pivot", "far"]
+
+    def run(batches):
+        for batch in batches:
+            sig, pivot = (fixed(batch.column(batch.schema.get_field_index(c)), np.uint16, HASHES) for c in ("sig", "pivot_sig"))
+            far = np.ones(batch.num_rows, dtype=bool)
+            far[prune(sig, pivot, least)] = False
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names[:-1]], pa.array(far)], names)
+    return rows.select("band", "value", "cls", "sig", "pivot", "pivot_sig").mapInArrow(
+        run, "band int, value long, cls binary, sig binary, pivot binary, far boolean")
+
+
+def all_family_edges(reps: DataFrame, block: int) -> DataFrame:
+    """u, v: what connects classes to families, from all band values that classes share."""
+    values, signed = band_values(reps), reps.select("cls", "sig")
+    shared = materialise(values.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-bands")
+    small = all_far(values.join(shared.filter(F.col("n") <= block), ["band", "value"]).join(signed, "cls"), "n")
+    small = small.withColumn("band_key", F.col("band"))
+    large = values.join(shared.filter(F.col("n") > block).select("band", "value"), ["band", "value"])
+    pivots = large.groupBy("band", "value").agg(F.min("cls").alias("pivot")).join(
+        reps.select(F.col("cls").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+    judged = materialise(against_pivots(large.join(pivots, ["band", "value"]).join(signed, "cls")), "jaccard-pivots")
+    far = with_counts(judged.drop("pivot"), ["band", "value"]).withColumn("band_key", F.col("band"))
+    meet = blocked(small, ["band_key", "value"], "cls", block).unionByName(blocked(far, ["band_key", "value"], "cls", block))
+    near = judged.filter("not far and cls != pivot").select(F.col("cls").alias("u"), F.col("pivot").alias("v"))
+    return family_edges(meet).unionByName(near)
+
+
 def incidence_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products over the shingles that two sets share."""
     n = len(sets)
@@ -299,23 +360,73 @@ def with_shingles(documents: DataFrame, wanted: DataFrame, doc_id: str, text: st
     return map_texts(joined, fn, schema).filter("same").dropDuplicates(["cls"]).drop("same", "doc")
 
 
+def centres(members: DataFrame) -> DataFrame:
+    """root and pivot_shingles: what over half of a family have, so at most twice their mean size."""
+    def counts(batches):
+        for batch in batches:
+            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            of = get["root"].dictionary_encode()
+            which = of.indices.to_numpy()
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in get["shingles"]]
+            for k, root in enumerate(of.dictionary):
+                value, n = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(which == k)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([root.as_py()] * len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(n)],
+                                                 ["root", "value", "c"])
+
+    def packed(batches):
+        for batch in batches:
+            sets = [np.sort(np.array(v, dtype=np.int64).view(np.uint64)).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["root", "pivot_shingles"])
+    common = (members.select("root", "shingles").mapInArrow(counts, "root binary, value long, c long").groupBy("root", "value").agg(F.sum("c").alias("c"))
+              .join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").filter("2 * c > n"))
+    return common.groupBy("root").agg(F.collect_list("value").alias("v")).mapInArrow(packed, "root binary, pivot_shingles binary")
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    """The rows with ``far``: whether nine times the symmetric difference to the pivot's set is over the own size."""
+    names = [f.name for f in rows.schema.fields if f.name != "pivot_shingles"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names) + ", far boolean"
+
+    def run(batches):
+        for batch in batches:
+            own, pivot = (batch.column(batch.schema.get_field_index(c)) for c in ("shingles", "pivot_shingles"))
+            far = []
+            for a, b in zip(own, pivot):
+                x, y = (np.frombuffer(v.as_buffer() if v.is_valid else b"", dtype=np.uint64) for v in (a, b))
+                shared = np.intersect1d(x, y, assume_unique=True)
+                far.append((TOP + BOTTOM) * (len(x) + len(y) - 2 * len(shared)) > len(x))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(far, pa.bool_())],
+                                             [*names, "far"])
+    return rows.mapInArrow(run, schema)
+
+
+def all_links(documents: DataFrame, families: DataFrame, sizes: DataFrame, reps: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """cls, links (documents of other classes linked to it) and root: partial sums and connections."""
+    def members(some: DataFrame) -> DataFrame:
+        chosen = families.join(some, "root").withColumnRenamed("node", "cls").join(reps, "cls").select("root", "n", "cls", "doc", "n_copies", "sig")
+        return with_shingles(documents, chosen, doc_id, text)
+
+    small = all_far(members(sizes.filter(F.col("n") <= block)), "n")
+    large = sizes.filter(F.col("n") > block)
+    big = materialise(members(large).drop("n"), "jaccard-members")
+    # A family may have no common core; all of it is far then.
+    judged = materialise(differing(big.join(centres(big), "root", "left")), "jaccard-centres")
+    near = judged.filter("not far")
+    core = near.groupBy("root").agg(F.sum("n_copies").alias("total"))
+    counted = near.select("root", "cls", "n_copies").join(core, "root").select("cls", (F.col("total") - F.col("n_copies")).alias("links"), "root")
+    meet = blocked(small, ["root"], "cls", block).unionByName(blocked(with_counts(judged, ["root"]), ["root"], "cls", block))
+    return verified(meet).unionByName(counted)
+
+
 def grouped(documents: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
     """One row per document: doc, tie, root (the group; null without words), class_id, n_links."""
     every = materialise(classes(documents, doc_id, text), "jaccard-docs")
     reps = materialise(every.filter("cls is not null").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.any_value("sig").alias("sig")), "jaccard-classes")
 
-    shared = band_values(reps).groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    candidates = band_values(reps).join(shared, ["band", "value"])
-    candidates = candidates.join(reps.select("cls", "sig"), "cls").withColumn("band_key", F.col("band"))
-    candidates = blocked(candidates, ["band_key", "value"], "n", "cls", block)
-    families = components(family_edges(candidates), "jaccard-families")
-
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = (families.join(sizes, "root").withColumnRenamed("node", "cls")
-               .join(reps, "cls").select("root", "n", "cls", "doc", "n_copies", "sig"))
-    members = blocked(with_shingles(documents, members, doc_id, text), ["root"], "n", "cls", block)
-    found = materialise(verified(members), "jaccard-links")
+    families = components(all_family_edges(reps, block), "jaccard-families")
+    sizes = materialise(families.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
+    found = materialise(all_links(documents, families, sizes, reps, doc_id, text, block), "jaccard-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found.filter("cls != root").select(F.col("cls").alias("u"), F.col("root").alias("v")),
                         "jaccard-groups")

@@ -159,6 +159,32 @@ def plain_groups(rows):
     return sorted(out, key=repr)
 
 
+def test_a_family_of_near_copies_moves_in_proportion_to_its_size(spark, monkeypatch):
+    """Rows that meet in blocks, for families of 300 and 1,200 documents of one text with a word changed;
+    a few others of the family are far from its centre. All links are counted."""
+    moved = []
+    together = jaccard_join.together
+
+    def counted(df):
+        moved.append(df.count())
+        return together(df)
+    monkeypatch.setattr(jaccard_join, "together", counted)
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = {}
+    for n in (300, 1200):
+        texts = [" ".join(base[:k % 140] + [f"new{k}"] + base[k % 140 + 1:]) for k in range(n)]
+        texts += [" ".join(base[:cut]) for cut in (146, 140, 132, 126)]  # ever shorter versions
+        moved.clear()
+        got = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=32).collect()
+        rows[n] = sum(moved)
+        if n == 300:
+            assert sorted(map(tuple, got)) == sorted(plain_groups(list(enumerate(texts))))
+        else:
+            assert {r["class_id"] for r in got} == {0} and all(r["n_links"] >= n - 1 for r in got if r["doc_id"] < n)
+    assert rows[1200] < 6 * rows[300] + 100  # blocks of 32 alone: 16 times
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_groups_equal_all_pairs(spark, block):
     rng = random.Random(9)
