@@ -5,8 +5,9 @@ phrase can only be that frequent if both phrases one word shorter in it are, so:
 
 1. words are counted per language;
 2. a scan looks at places where two frequent phrases of m - 1 words overlap (for m = 2: two frequent
-   words follow each other) and sums how often each pair of them does, by hash. No frequent phrase of m
-   words can fall below ``least`` there: what is left are the candidates;
+   words follow each other) and sums how often each pair of them does, by 64 bits of hash. Pairs that
+   share them are summed together, so no frequent phrase of m words can fall below ``least``: what is
+   left are the candidates;
 3. the candidates go into double-array tries of at most ``SHARD`` phrases, broadcast one at a time. The
    next scan advances the states of all text positions of a slice through a trie level by level (numpy),
    bincounts the accepting states, and sums the shards' counts exactly. The same scan does step 2 for
@@ -39,6 +40,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 UNDEFINED = "und"
 SHARD = 1 << 20  # phrases in a trie
 BITS = 1 << 26  # of a bitmap of phrases: 8 MB
+LOW = 0xFFFFFFFF
 HELD = 1 << 20  # rows combined in a task before they are shuffled
 
 IS_END = np.zeros(256, dtype=bool)
@@ -85,38 +87,34 @@ def slices(batches):
 
 
 class Tally:
-    """Sums of n by (a, b) within a task."""
+    """Sums of n by key within a task."""
 
     def __init__(self):
-        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
-        a, b, n = self.merge(a, b, np.ones(len(a), dtype=np.int64) if n is None else n)
-        self.rows.append((a, b, n))
-        self.size += len(a)
+    def add(self, key: np.ndarray):
+        self.rows.append(np.unique(key, return_counts=True))
+        self.size += len(self.rows[-1][0])
         if self.size >= HELD:
-            merged = self.merge(*(np.concatenate(x) for x in zip(*self.rows)))
-            self.rows, self.size = [merged], len(merged[0])
-            if self.size >= HELD // 2:
+            merged = self.merged()
+            if len(merged[0]) >= HELD // 2:
                 self.rows, self.size = [], 0
                 yield merged
+            else:
+                self.rows, self.size = [merged], len(merged[0])
 
-    @staticmethod
-    def merge(a, b, n):
-        if not len(a):
-            return a, b, n
-        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*self.rows))
+        self.rows = []
         order = np.argsort(key)
-        key, a, b, n = key[order], a[order], b[order], n[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(new)
-        return a[at], b[at], np.add.reduceat(n, at)
+        key, n = key[order], n[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[at], np.add.reduceat(n, at)
 
     def rest(self):
         if self.size:
-            yield self.merge(*(np.concatenate(x) for x in zip(*self.rows)))
+            yield self.merged()
 
 
 # -- the trie ----------------------------------------------------------------------------------
@@ -237,13 +235,14 @@ def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
 
 def scan(docs: DataFrame, seed: int, size: int, trie: tuple | None, bitmap: np.ndarray | None) -> DataFrame:
     """One pass over the texts: kind 0, a candidate's id and its count of accepting states; kind 1, a
-    pair of overlapping marked phrases of ``size`` words (the first's hash, the last word's hash)."""
+    pair of overlapping marked phrases of ``size`` words (32 bits of the first's hash and of the last
+    word's, so that a count may be that of several pairs together), and how often it stands."""
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast((trie, bitmap))
 
-    def rows(kind: int, a, b, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                                           pa.array(n)], ["kind", "a", "b", "n"])
+    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key.view(np.int64)), pa.array(n)],
+                                          ["kind", "key", "n"])
 
     def run(batches):
         trie, bitmap = held.value
@@ -255,24 +254,20 @@ def scan(docs: DataFrame, seed: int, size: int, trie: tuple | None, bitmap: np.n
                 counts += trie[0].counts(w)
             if bitmap is None:
                 continue
-            frequent = marked(bitmap, window_hashes(w.h, size))
+            phrase = window_hashes(w.h, size)
+            frequent = marked(bitmap, phrase)
             at = np.flatnonzero(w.within(size + 1))
             at = at[frequent[at] & frequent[at + 1]]
-            first = mix_phrase(w.h, at, size)
-            for found in pairs.add(first, w.h[at + size]):
-                yield rows(1, *found)
+            if len(at):
+                for found in pairs.add(phrase[at] << np.uint64(32) | w.h[at + size] & np.uint64(0xFFFFFFFF)):
+                    yield rows(1, *found)
         for found in pairs.rest():
             yield rows(1, *found)
         if trie:
             n = counts[trie[0].slot]
             seen = n > 0
-            yield rows(0, trie[1][seen], np.zeros(int(seen.sum()), dtype=np.int64), n[seen])
-    return docs.mapInArrow(run, "kind byte, a long, b long, n long")
-
-
-def mix_phrase(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the phrases that start at some words (as ``window_hashes``)."""
-    return window_hashes(h, size)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+            yield rows(0, trie[1][seen], n[seen])
+    return docs.mapInArrow(run, "kind byte, key long, n long")
 
 
 def bitmap_of(phrases: DataFrame) -> np.ndarray:
@@ -325,9 +320,11 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, seeds: int = 4)
     found = scan(docs, seed, 1, None, bitmap_of(singles))
     for size in range(2, longest + 1):
         # Pairs that could be frequent, as candidates with their words.
-        pairs = (found.filter("kind = 1") if size > 2 else found).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        last = singles.select(F.col("words")[0].alias("b"), F.col("phrase").alias("last"))
-        built = (pairs.join(before.withColumnRenamed("p", "a"), "a").join(last, "b")
+        pairs = (found.filter("kind = 1") if size > 2 else found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+        pairs = pairs.select(F.shiftrightunsigned("key", 32).alias("low_first"), F.col("key").bitwiseAND(F.lit(LOW)).alias("low_last"))
+        last = singles.select("lang", F.col("words")[0].alias("b"), F.col("phrase").alias("last")).withColumn("low_last", F.col("b").bitwiseAND(F.lit(LOW)))
+        built = (pairs.join(before.withColumn("low_first", F.col("p").bitwiseAND(F.lit(LOW))), "low_first")
+                 .join(last, ["low_last", "lang"])
                  .select(F.monotonically_increasing_id().alias("id"), "lang", F.concat("words", F.array("b")).alias("words"),
                          F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(size).alias("size")))
         candidates = materialise(with_hash(built), "phrase-candidates")
@@ -340,9 +337,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, seeds: int = 4)
         for more in scans[1:]:
             found = found.unionByName(more)
         # Both kinds are summed at once: counts by id, pairs by their hashes.
-        found = materialise(found.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).filter((F.col("kind") == 0) | (F.col("n") >= least)),
-                            "phrase-scan")
-        counts = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("f")).filter(F.col("f") >= least)
+        found = materialise(found.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-scan")
+        counts = found.filter("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("f"))
         before = materialise(candidates.join(counts, "id").select("lang", "words", "phrase", "size", "f", "p"), "phrase-level")
         levels.append(before.drop("p"))
     out = levels[0]
