@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-from .quality_rules import METRICS, MIN_DOCS, REACH
+from .quality_rules import LEAST_SPREAD, MEDIAN, METRICS, MOST, REACH, SHRINK, levels
 from .secrets import BASE_KINDS, RULES
 
 
@@ -50,26 +50,25 @@ FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 
 
 def _op4() -> str:
-    bins = {m: f"CASE WHEN {total} > 0 THEN ({scale} * {count}) // {total} ELSE 0 END"
+    bins = {m: f"CASE WHEN {total} > 0 THEN least(({scale} * {count}) // {total}, {MOST}) ELSE 0 END"
             for m, (count, total, scale, _, _) in METRICS.items()}
     sketch = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {b} AS bin FROM counts WHERE NOT base_failed"
                                 for m, b in bins.items())
 
-    def quartiles(group: str) -> str:
-        cols = ", ".join(f"min(bin) FILTER (metric = '{m}' AND 4 * below >= {k} * docs) AS {m}_q{k}"
-                         for m in METRICS for k in (1, 3))
+    def quantiles(group: str) -> str:
+        cols = ", ".join(f"min(bin) FILTER (metric = '{m}' AND 1000 * below >= {q} * docs) AS {m}_q{q}" for m in METRICS for q in levels(m))
         return f"""SELECT {group}, max(docs) AS docs, {cols} FROM (
           SELECT {group}, metric, bin, sum(n) OVER (PARTITION BY {group}, metric) AS docs,
                  sum(n) OVER (PARTITION BY {group}, metric ORDER BY bin ROWS UNBOUNDED PRECEDING) AS below
           FROM (SELECT {group}, metric, bin, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY {group}"""
 
     tests = []
-    for m, (_, _, _, floor, lower) in METRICS.items():
-        q1, q3 = (f"(CASE WHEN s.docs >= {MIN_DOCS} THEN s.{m}_q{k} ELSE l.{m}_q{k} END)" for k in (1, 3))
-        spread = f"{REACH} * greatest({q3} - {q1}, {floor})"
-        tests.append(f"{bins[m]} <= {q3} + {spread}")
-        if lower:
-            tests.append(f"{bins[m]} >= {q1} - {spread}")
+    for m, (_, _, _, upper, lower) in METRICS.items():
+        middle, high = (f"((s.docs * s.{m}_q{q} + {SHRINK} * l.{m}_q{q}) // (s.docs + {SHRINK}))" for q in (MEDIAN, upper))
+        tests.append(f"{bins[m]} <= {high} + {REACH} * greatest({high} - {middle}, {LEAST_SPREAD})")
+        if lower is not None:
+            low = f"((s.docs * s.{m}_q{lower} + {SHRINK} * l.{m}_q{lower}) // (s.docs + {SHRINK}))"
+            tests.append(f"{bins[m]} >= {low} - {REACH} * greatest({middle} - {low}, {LEAST_SPREAD})")
     return rf"""
 WITH words AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -90,7 +89,7 @@ WITH words AS (
            CAST(length(regexp_replace(w.text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
            coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
     FROM words w LEFT JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN repeats r ON w.doc_id = r.doc_id)
-), sketch AS ({sketch}), by_source AS ({quartiles("lang, source")}), by_lang AS ({quartiles("lang")})
+), sketch AS ({sketch}), by_source AS ({quantiles("lang, source")}), by_lang AS ({quantiles("lang")})
 SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed,
        NOT c.base_failed AND coalesce({" AND ".join(tests)}, true) AS kept
 FROM counts c LEFT JOIN by_source s ON c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
