@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -141,7 +142,7 @@ def doc_key(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
 
 
-def map_texts(df: DataFrame, fn, schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, fn, schema: str | T.StructType, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over slices of Arrow batches; ``fn`` returns a RecordBatch of ``schema`` or None."""
     def run(batches):
         for batch in batches:
@@ -153,12 +154,15 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text", limit: int = S
 
 
 def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
-    """The ``size`` rows that come first by a hash of ``keys``, the same at any partitioning. A share
-    of the hash range that holds about twice as many is cut out first, so a task ranks and sends
-    only its part of the sample, however many tasks there are."""
+    """The ``size`` rows that come first by a hash of ``keys``, the same at any partitioning (all of a
+    smaller table). A share of the hash range that holds about twice as many is cut out first, so a task
+    ranks and sends only its part of the sample, however many tasks there are; where keys repeat so much
+    that the share holds too few rows, it grows."""
     n, span = df.count(), 1 << 52
     share = span if n <= size else min(span, max(1, 2 * size * span // n))
     key = F.pmod(F.xxhash64(*keys), F.lit(span))
+    while share < span and df.filter(key < share).limit(size).count() < size:
+        share = min(span, 8 * share)
     return df.filter(key < share).orderBy(key, *keys).limit(size)
 
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts
 
@@ -149,5 +150,13 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None =
         found, p = score(part.column(names.index(text)).to_pylist(), *held.value)
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(p)],
                                           [*names, "lang_pred", "lang_score"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return map_texts(documents, fn, f"{schema}, lang_pred string, lang_score double", text=text)
+    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return map_texts(documents, fn, schema, text=text)
+
+
+def recognised(documents: DataFrame, model: tuple[list[str], np.ndarray] | None = None, least: float = 0.5, text: str = "text",
+               **columns) -> DataFrame:
+    """The documents, with all their columns, that are in a learned language with at least that score."""
+    model = model if model is not None else train(documents, text=text, **columns)
+    found = identify(documents.select(F.struct("*").alias("row"), F.col(text).alias("text")), model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("row.*")

@@ -4,10 +4,17 @@ Every line with a word gets features of its own and of the lines before and afte
 labels each line good or bad, and forward-backward gives each line's probability of being good. A
 document's score is the mean of these, weighted by the lines' word characters.
 
+Only documents are labelled, so line labels are latent. They are learnt by expectation maximisation
+under a constraint on each document's posterior: of a label-1 document at least ``GOOD_SHARE`` of the
+weight is expected in good lines, of a label-0 document at least ``BAD_SHARE`` in bad ones; which lines
+those are is for the chain to say (a junk document's clean title may be good). Half of the training
+sequences are two documents one after the other, each under its own constraint, so that the chain sees
+labels change.
+
 Training is on a bounded, documented sample: the ``max_docs`` labelled documents that come first by
 a hash of their id, of which those with at most ``max_lines`` lines are used (a limit on training
-only; scoring reads every line). A line takes its document's label. Features and weights are small
-and of fixed width; the weights are broadcast.
+only; scoring reads every line). Features and weights are small and of fixed width; the weights are
+broadcast.
 
 Null or empty text, or text without words, is one empty line, so it has a score too. With nothing to
 learn from (or one label only) the weights are zero and every score is 0.5. Rows with a null label or
@@ -28,7 +35,9 @@ from .quality_rules import repeated
 
 MAX_DOCS = 4000
 MAX_LINES = 400
-STEPS = 150
+ROUNDS, STEPS = 4, 50  # of expectation maximisation, and of the gradient in each
+GOOD_SHARE, BAD_SHARE = 0.95, 0.8
+PAIRED_LINES = 100
 LIKELY = 0.7  # a score from here on is a prediction of label 1
 
 
@@ -96,14 +105,20 @@ def line_features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = np.concatenate([chars, np.ones(len(empty))])[order]
     doc = np.concatenate([doc, empty])[order]
     first = np.searchsorted(doc, np.arange(t.n + 1))
-    out = np.zeros((len(doc), WIDTH))
+    return with_neighbours(own, first), weight, first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Own features, those of the lines before and after, whether a line is first or last, a constant."""
+    starts, ends = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+    starts[first[:-1]] = True
+    ends[first[1:] - 1] = True
+    out = np.zeros((len(own), WIDTH))
     out[:, :OWN] = own
-    starts = np.diff(doc, prepend=-1) != 0
-    ends = np.diff(doc, append=t.n) != 0
     out[1:, OWN:2 * OWN] = np.where(starts[1:, None], 0, own[:-1])
     out[:-1, 2 * OWN:3 * OWN] = np.where(ends[:-1, None], 0, own[1:])
     out[:, -3], out[:, -2], out[:, -1] = starts, ends, 1
-    return out, weight, first
+    return out
 
 
 def chain(emission: np.ndarray, turn: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -135,23 +150,67 @@ def chain(emission: np.ndarray, turn: np.ndarray, first: np.ndarray) -> tuple[np
     return np.exp(total[:, 1] - z), pair.sum(axis=0), float(z[first[:-1]].sum())
 
 
-def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = STEPS,
-        decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and turns by Adam on the mean log-likelihood; y holds each line's label."""
+def ascend(theta: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray, first: np.ndarray, steps: int, decay: float = 1e-4) -> np.ndarray:
+    """Weights and turns by Adam on the mean log-likelihood of expected labels y and label pairs ``seen``."""
     lines = max(len(x), 1)
-    theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    inner = np.ones(len(x), dtype=bool)
-    inner[first[:-1]] = False
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), 1)
     for step in range(1, steps + 1):
-        w, turn = theta[:-4], theta[-4:].reshape(2, 2)
-        p, pairs, _ = chain(x @ w, turn, first)
+        p, pairs, _ = chain(x @ theta[:-4], theta[-4:].reshape(2, 2), first)
         grad = np.concatenate([x.T @ (y - p), (seen - pairs).reshape(-1)]) / lines - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.2 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+    return theta
+
+
+def expected_labels(theta: np.ndarray, x: np.ndarray, first: np.ndarray, part: np.ndarray, label: np.ndarray, weight: np.ndarray):
+    """Posterior line labels and label pairs in which every part (a document) has its share of good lines:
+    a push on the part's emissions, no larger than it must be (bisection for all parts at once)."""
+    emission, turn = x @ theta[:-4], theta[-4:].reshape(2, 2)
+    total = np.bincount(part, weights=weight)
+    side = np.where(label == 1, 1.0, -1.0)
+    wanted = np.where(label == 1, GOOD_SHARE, 1 - BAD_SHARE)
+
+    def run(push: np.ndarray):
+        p, pairs, _ = chain(emission + (side * push)[part], turn, first)
+        short = side * (wanted - np.bincount(part, weights=weight * p) / total) > 0  # the share is not reached
+        return p, pairs, short
+    low, high = np.zeros(len(label)), np.full(len(label), 40.0)
+    p, pairs, short = run(low)
+    if not short.any():
+        return p, pairs
+    high[~short] = 0
+    for _ in range(10):
+        mid = (low + high) / 2
+        short = run(mid)[2] & (high > 0)
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    return run(high)[:2]
+
+
+def fit(own: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and turns from documents' line features and labels."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation([k for k, o in enumerate(own) if len(o) <= PAIRED_LINES])  # longer ones go alone
+    pairs = [(int(a), int(b)) for a, b in zip(order[::2], order[1::2])]
+    sequences = [(k,) for k in range(len(own))] + pairs
+    part_of = [k for s in sequences for k in s]
+    sizes = np.array([len(own[k]) for k in part_of])
+    x_own = np.concatenate([own[k] for k in part_of])
+    part = np.repeat(np.arange(len(part_of)), sizes)
+    first = np.concatenate([[0], np.cumsum([sum(len(own[k]) for k in s) for s in sequences])])
+    x = with_neighbours(x_own, first)
+    weight = np.maximum(10 * x_own[:, 1] * np.expm1(5 * x_own[:, 0]), 1.0)  # word characters, from the features
+    labels = label[part_of]
+    y = labels[part].astype(np.float64)
+    inner = np.ones(len(x), dtype=bool)
+    inner[first[:-1]] = False
+    at = np.flatnonzero(inner)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (labels[part][at - 1], labels[part][at]), 1)
+    theta = np.zeros(WIDTH + 4)
+    for k in range(rounds):
+        if k:
+            y, seen = expected_labels(theta, x, first, part, labels, weight)
+        theta = ascend(theta, x, y, seen, first, steps)
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
@@ -165,18 +224,24 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
         x, _, first = line_features(part.column(2))
-        rows = [x[a:b].astype(np.float32).tobytes() if b - a <= max_lines else None for a, b in zip(first, first[1:])]
+        rows = [x[a:b, :OWN].astype(np.float32).tobytes() if b - a <= max_lines else None for a, b in zip(first, first[1:])]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())],
                                           ["doc_id", "label", "x"])
 
     rows = (map_texts(sample, fn, "doc_id long, label int, x binary").filter("x is not null")
             .orderBy("doc_id", "label", F.xxhash64("x")).limit(max_docs).collect())
-    x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in rows]
-    if len({r["label"] for r in rows}) < 2:
+    own = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
+    label = np.array([r["label"] for r in rows])
+    if len(set(label.tolist())) < 2:
         return np.zeros(WIDTH), np.zeros((2, 2))
-    sizes = np.array([len(a) for a in x])
-    y = np.repeat(np.array([r["label"] for r in rows]), sizes)
-    return fit(np.concatenate(x).astype(np.float64), y, np.concatenate([[0], np.cumsum(sizes)]))
+    return fit(own, label)
+
+
+def line_labels(column, model: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For every text, each worded line's probability of being good."""
+    x, _, first = line_features(column)
+    good = chain(x @ model[0], model[1], first)[0] if len(x) else np.zeros(0)
+    return [good[a:b] for a, b in zip(first, first[1:])]
 
 
 def score_column(column, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

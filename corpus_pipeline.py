@@ -1,14 +1,14 @@
 """Corpus pipeline: documents through the stages below, each written as Parquet and read again.
 
 Every stage is one operator of ``babelscore.llm`` applied to all that the stage before it kept. All
-stages but the last return the columns of ``documents``. Repeated rows and null ids pass through as
-they come: a decision about an id holds for all rows with that id and text.
+stages but the last return the columns of ``documents``, whatever their names. Repeated rows and null
+ids are judged as they come: a decision about an id holds for all rows with that id and text; of equal
+rows of one id the near-duplicate stage keeps one, wordless ones too (those go before it).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from babelscore.llm import decontam, jaccard_join, langid, secrets, subword
 from babelscore.session import prepare, scratch_path, table_path
@@ -19,8 +19,7 @@ LEAST_SCORE = 0.5  # of the language prediction
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no recognised language go: no letters, or no language likelier than not."""
     prepare(spark)
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+    return langid.recognised(docs, least=LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

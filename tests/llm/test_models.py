@@ -54,6 +54,41 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95 and len(rows) > 80
 
 
+def test_lines_of_a_document_in_two_halves(spark):
+    """A held-out label-1 and a label-0 document after one another: nine in ten lines are told apart,
+    and documents are still classified."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_crf.train(docs, labels)
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").filter(langid.held_out("doc_id")).orderBy("doc_id").collect()
+    scores = quality_crf.score_column(pa.array([r["text"] for r in rows]), model)
+    assert np.mean((scores >= quality_crf.LIKELY) == [r["quality"] == 1 for r in rows]) > 0.95
+    good, bad = ([r["text"] for r in rows if r["quality"] == q and r["text"].count("\n") > 1] for q in (1, 0))
+    right, changes = [], 0
+    for i, (g, b) in enumerate(zip(good, bad * 4)):
+        halves = [(g, True), (b, False)][::1 if i % 2 else -1]
+        truth = [y for t, y in halves for line in t.split("\n") if line.split()]
+        got = quality_crf.line_labels(pa.array(["\n".join(t for t, _ in halves)]), model)[0] >= 0.5
+        right += (got == truth).tolist()
+        changes += got.any() and not got.all()
+    assert np.mean(right) > 0.9 and changes > 0.8 * min(len(good), 4 * len(bad))
+
+
+@pytest.mark.parametrize("together", [1, 2])
+def test_expected_labels_reach_the_documents_shares(together):
+    """Exactly for documents alone; two in one sequence pull at each other, and come close."""
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 9, 40)
+    first = np.concatenate([[0], np.cumsum(sizes.reshape(-1, together).sum(axis=1))])
+    part, label = np.repeat(np.arange(40), sizes), rng.integers(0, 2, 40)
+    x, weight = rng.normal(size=(len(part), 3)), rng.uniform(1, 50, len(part))
+    p, pairs = quality_crf.expected_labels(np.concatenate([rng.normal(size=3), [1, -1, -1, 1]]), x, first, part, label, weight)
+    share = np.bincount(part, weights=p * weight) / np.bincount(part, weights=weight)
+    over = np.where(label == 1, quality_crf.GOOD_SHARE - share, share - 1 + quality_crf.BAD_SHARE)
+    assert (over < 0.01).all() if together == 1 else np.maximum(over, 0).mean() < 0.05
+    assert abs(pairs.sum() - (len(part) - len(first) + 1)) < 1e-6
+
+
 def test_quality_edges(spark):
     model = quality_crf.train(frame(spark, edge_rows()), empty(spark, "doc_id long, quality int"))
     rows = quality_crf.score(frame(spark, edge_rows()), model).collect()
