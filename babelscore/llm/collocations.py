@@ -119,6 +119,26 @@ class Tally:
 
 # -- the trie ----------------------------------------------------------------------------------
 
+def placed(used: np.ndarray, code: np.ndarray, begin: np.ndarray, many: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bases of parents with several children (runs of ``many`` ascending codes from ``begin``), at which all
+    child slots beyond ``v`` are free; the array grown to about two slots a child. The largest families
+    choose first; places are tried at random, as most are free."""
+    used = np.concatenate([used, np.zeros(2 * len(code) + 2 * v + 2, dtype=bool)])
+    base, rng = np.zeros(len(begin), dtype=np.int64), np.random.default_rng(7)
+    for g in np.argsort(-many, kind="stable")[:int((many > 1).sum())].tolist():
+        c = code[begin[g]:begin[g] + many[g]]
+        while True:
+            b = rng.integers(v + 1 - c[0], len(used) - c[-1], 64)
+            fits = ~used[b[:, None] + c].any(axis=1)
+            if fits.any():
+                break
+            if rng.random() < 0.02:  # about fifty tries in vain
+                used = np.concatenate([used, np.zeros(v + len(c), dtype=bool)])
+        base[g] = b[np.argmax(fits)]
+        used[base[g] + c] = True
+    return used, base
+
+
 class DoubleArray:
     """Phrases of one length, as rows of word hashes. The child of slot s by code c is slot
     base[s] + c if check there is s; slots 1 to the number of codes are the root's children."""
@@ -138,18 +158,9 @@ class DoubleArray:
         for d in range(1, self.size):
             edge, inverse = np.unique(slot << 32 | codes[:, d], return_inverse=True)
             parent, code = edge >> 32, edge & 0xFFFFFFFF
-            used = np.concatenate([used, np.zeros(len(edge) + 2 * v, dtype=bool)])
             begin = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
             many = np.diff(np.append(begin, len(edge)))
-            base = np.zeros(len(begin), dtype=np.int64)
-            low = v + 1
-            for g in np.argsort(-many, kind="stable")[:int((many > 1).sum())].tolist():
-                c = code[begin[g]:begin[g] + many[g]]
-                b, low = self.place(used, c, low, v)
-                if b + c[-1] + 2 * v >= len(used):
-                    used = np.concatenate([used, np.zeros(len(used) + 2 * v, dtype=bool)])
-                used[b + c] = True
-                base[g] = b
+            used, base = placed(used, code, begin, many, v)
             one = np.flatnonzero(many == 1)
             free = np.flatnonzero(~used)[:len(one)]
             base[one] = free - code[begin[one]]
@@ -162,24 +173,6 @@ class DoubleArray:
             slot = child[inverse]
         self.slot = slot  # of each phrase
 
-    @staticmethod
-    def place(used: np.ndarray, c: np.ndarray, low: int, v: int) -> tuple[int, int]:
-        """A base at which all child slots are free (first fit over free slots), and the first free slot."""
-        low += int(np.argmin(used[low:]))
-        at = low
-        for _ in range(64):
-            free = at + np.flatnonzero(~used[at:at + 512])
-            b = free - c[0]
-            b = b[b + c[-1] < len(used)]
-            if not len(b):
-                break
-            fits = ~used[b[:, None] + c].any(axis=1)
-            if fits.any():
-                return int(b[np.argmax(fits)]), low
-            at += 512
-        last = int(np.flatnonzero(used)[-1]) + 1  # beyond all that is used
-        return max(last, v + 1) - int(c[0]), low
-
     def counts(self, w: Words) -> np.ndarray:
         """How often each slot accepts at the words of a slice."""
         at = np.minimum(np.searchsorted(self.labels, w.h), len(self.labels) - 1)

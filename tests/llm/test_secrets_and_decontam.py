@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -93,8 +94,9 @@ def plain_hits(text, items):
     return len(words), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("max_windows", [20_000, 7])
-def test_contamination_equals_plain_search(spark, max_windows):
+@pytest.mark.parametrize("steps", [64, 3])
+def test_contamination_equals_plain_search(spark, steps, monkeypatch):
+    monkeypatch.setattr(decontam, "STEPS", steps)  # lanes of a few words, in this process
     rng = random.Random(2)
     vocab = ["Alpha", "beta", "g-7", "Délta", "x1", "the", "of"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([20, 15, 3, 13, 1])]
@@ -105,18 +107,50 @@ def test_contamination_equals_plain_search(spark, max_windows):
         docs.append((100 + i, text + ", " + items[rng.randrange(4)][1].upper() if i % 3 else text, "en", "s", 0))
     docs.append((300, "Say only HERE -- once.", "en", "s", 0))
     bench = spark.createDataFrame(items, "item_id int, text string")
-    got = decontam.contamination(frame(spark, docs), bench, max_windows=max_windows).collect()
+    got = decontam.contamination(frame(spark, docs), bench).collect()
     expected = [(d[0], *plain_hits(d[1], items)) for d in docs]
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got), key=repr) == sorted(expected, key=repr)
     spans = next(r["spans"] for r in got if r["doc_id"] == 300)
     text = docs[-1][1]
     assert "HERE -- once" in text[spans[0]["start"]:spans[-1]["end"]]
-    kept = decontam.clean(frame(spark, docs), bench, max_windows=max_windows)
+    kept = decontam.clean(frame(spark, docs), bench)
     assert kept.columns == frame(spark, docs).columns
     assert sorted((r[0], r[1]) for r in kept.select("doc_id", "text").fillna(-1).fillna("~").collect()) == sorted(
         (-1 if d[0] is None else d[0], "~" if d[1] is None else d[1]) for d, e in zip(docs, expected) if not e[-1])
 
 
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("steps,lanes", [(1, 4096), (2, 4096), (64, 4096), (64, 2)])
+def test_verdicts_on_random_texts(seed, steps, lanes, monkeypatch):
+    """Few words, so that anchors, windows and short items overlap in every way; lanes of any length."""
+    monkeypatch.setattr(decontam, "STEPS", steps)
+    monkeypatch.setattr(decontam, "LANES", lanes)
+    rng = random.Random(seed)
+    vocab = ["a", "B", "c3", "é"][:rng.randint(1, 4)] + ["z"] * (seed % 2)
+    say = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", "  ", ", ", "\n"]) for _ in range(n))
+    items = [(i % 9, say(rng.choice([1, 2, 5, 7, 12, 13, 14, 20, 27, 33]))) for i in range(12)] + [(None, "a B"), (3, None), (4, "?")]
+    texts = [say(rng.randint(0, 60)) for _ in range(25)] + [None, "", "?!", items[3][1] + items[4][1], "q " + items[5][1].upper() + " q"]
+    bench = decontam.Benchmark([i for i, _ in items], [t for _, t in items])
+    got = [x.to_pylist() for x in decontam.verdicts(pa.array(texts, pa.string()), bench)]
+    assert list(zip(*got[:5])) == [(n, h, len(i), i, c) for n, h, i, c in (plain_hits(t, items) for t in texts)]
+    for t, hit, spans in zip(texts, got[1], got[5]):
+        inside = [t[s["start"]:s["end"]] for s in spans]
+        assert sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())) for x in inside) == hit
+
+
+def test_a_large_benchmark_is_one_automaton():
+    """200,000 windows: about a state a word, and planted passages of it are found."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    items = [" ".join(words[rng.zipf(1.3, 212).clip(1, 30_000) - 1]) for _ in range(1000)]
+    bench = decontam.Benchmark(list(range(1000)), items)
+    assert len(bench.hash) > 190_000 and (bench.automaton.pattern >= 0).sum() == len(bench.length) < 32_000
+    assert len(bench.automaton.base) < 3 * 212_000  # slots; thirteen words a window would be 2.6 million states
+    texts = [" ".join(items[k].split()[50:50 + n]) + " tail" for k, n in ((5, 13), (6, 12), (7, 100))]
+    got = [x.to_pylist() for x in decontam.verdicts(pa.array(texts), bench)]
+    assert got[1] == [13, 0, 100] and got[3][0] == ["5"] and got[3][2] == ["7"]
+
+
 def test_contamination_empty_tables(spark):
     bench = empty(spark, "item_id int, text string")
     got = decontam.contamination(frame(spark, edge_rows()), bench).collect()
