@@ -9,10 +9,16 @@ inputs should be many files — or Parquet, which every job also accepts.
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import na_to_null
 from ..schema import OUT_COLS
@@ -24,7 +30,10 @@ READ_OPTIONS = {
     # A header that does not fit the schema is an error, never a silent shift of columns.
     "enforceSchema": "false",
 }
-HEADERS_AT_ONCE = 200  # files whose headers one job reads
+# Records as they stand: no header, and the text of every record that does not fit the schema.
+DIRECT_CELLS, RAW = 64, "record"
+PLAIN_OPTIONS = {k: v for k, v in READ_OPTIONS.items() if k not in ("inferSchema", "enforceSchema")} | {
+    "header": "false", "columnNameOfCorruptRecord": RAW}
 WRITE_OPTIONS = {
     "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "lineSep": "\n",
@@ -32,24 +41,68 @@ WRITE_OPTIONS = {
 }
 
 
+def record_schema() -> T.StructType:
+    """Records without a header: ``DIRECT_CELLS`` cells, and the record as written."""
+    return T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(DIRECT_CELLS)] + [T.StructField(RAW, T.StringType())])
+
+
+def records(raw: DataFrame, *size: str) -> DataFrame:
+    """Header-less records (read with ``record_schema``): the cells, the record as written where it may
+    have more cells than ``DIRECT_CELLS`` (it has that many commas), the file, and its size if named."""
+    commas = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit(","), F.lit("")))
+    return raw.select(*[f"c{k}" for k in range(DIRECT_CELLS)], F.when(commas >= DIRECT_CELLS, F.col(RAW)).alias(RAW),
+                      F.col("_metadata.file_path").alias("file"), *[F.col("_metadata.file_size").alias(n) for n in size])
+
+
+def all_cells(batch: pa.RecordBatch, row: int) -> list[str | None]:
+    """A record's cells, however many; an empty cell is null."""
+    written = batch.column(DIRECT_CELLS)[row].as_py()
+    if written is None:
+        return [batch.column(k)[row].as_py() for k in range(DIRECT_CELLS)]
+    return [c or None for c in next(csv.reader(io.StringIO(written, newline="")))]
+
+
+def _first_records(alone: int):
+    """The files of a partition with their first records. A file of ``alone`` bytes or more is a
+    partition by itself: the rest of it is not read."""
+    def run(batches):
+        file = None
+        for batch in batches:
+            files, size = (batch.column(DIRECT_CELLS + k) for k in (1, 2))
+            for row in [i for i in range(len(files)) if files[i] != (files[i - 1] if i else file)]:
+                yield pa.RecordBatch.from_arrays([files.slice(row, 1), pa.array([all_cells(batch, row)], pa.list_(pa.string()))], ["file", "header"])
+            if batch.num_rows:
+                file = files[-1]
+                if size[-1].as_py() >= alone:
+                    return
+    return run
+
+
+def in_bytes(size: str) -> int:
+    """A Spark size setting (``128m``, ``64kb``, ``134217728b``) in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
-    """The input files, grouped by equal headers. Only the first record of each file is read (an
-    unsplit read with a limit stops there); headers reach the driver, rows do not."""
-    plain = dict(READ_OPTIONS, header="false")
-    files = spark.read.options(**plain).csv(path).inputFiles()
+    """The input files, grouped by equal headers. One job, with a task for a few files, reads the first
+    records; headers reach the driver, rows do not."""
+    found = spark.read.options(**PLAIN_OPTIONS).schema(record_schema()).csv(path)
+    files = found.inputFiles()
     if len(files) < 2:
-        return [list(files)]
+        return [[path]]
+    # With this cost of opening a file, a partition has eight files at most, and a large file has one.
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    most = in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    spark.conf.set(cost, str(most // 8))
+    try:
+        firsts = records(found, "size").mapInArrow(_first_records(most), "file string, header array<string>").collect()
+    finally:
+        spark.conf.set(cost, before)
     groups: dict[tuple, list[str]] = {}
-    for i in range(0, len(files), HEADERS_AT_ONCE):
-        some = files[i:i + HEADERS_AT_ONCE]
-        firsts = []
-        for k, f in enumerate(some):
-            df = spark.read.options(**plain).csv(f)
-            firsts.append(df.select(F.lit(k).alias("k"), F.array(*df.columns).alias("h")).limit(1))
-        headers = {r["k"]: tuple(r["h"]) for r in reduce(DataFrame.union, firsts).collect()}
-        for k, f in enumerate(some):
-            if k in headers:  # a file without a record has no header and no rows
-                groups.setdefault(headers[k], []).append(f)
+    for r in sorted(firsts, key=lambda r: r["file"]):  # a file without a record has no header and no rows
+        groups.setdefault(tuple(r["header"]), []).append(unquote(r["file"]))  # paths, not URLs
     return list(groups.values())
 
 

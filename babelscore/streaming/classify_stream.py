@@ -14,7 +14,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import na_to_null
@@ -23,38 +22,44 @@ from ..operators.report import LanguageCounts, summary_report
 from ..operators.scoring import Scorer
 from ..schema import DEFAULT_THRESHOLD, LANGUAGES, OUT_COLS, wide_string_schema
 from ..session import scratch_path
-from ..sources.csv_io import READ_OPTIONS
+from ..sources.csv_io import DIRECT_CELLS, PLAIN_OPTIONS, all_cells, record_schema, records
 
 
-MAX_COLUMNS = 64  # columns a streamed CSV file may have
-
-
-def columns_by_header(names: list[str], max_columns: int = MAX_COLUMNS):
-    """Arrow batches of header-less CSV rows (cells, then the file) to rows by column name. A file is
-    one task's consecutive rows, the header first, so a change of file is a new header."""
+def columns_by_header(names: list[str]):
+    """Arrow batches of header-less CSV records to rows by column name, whatever a file's width. A file
+    is one task's consecutive records, the header first, so a change of file is a new header."""
     def run(batches):
         file, places = None, {}
         for batch in batches:
-            files = batch.column(max_columns)
+            files = batch.column(DIRECT_CELLS + 1)
             cuts = [0] + [i for i in range(1, len(files)) if files[i] != files[i - 1]] + [len(files)]
             for start, stop in zip(cuts, cuts[1:]):
                 if start == stop:
                     continue
                 if files[start].as_py() != file:
                     file = files[start].as_py()
-                    header = [batch.column(k)[start].as_py() for k in range(max_columns)]
+                    header = all_cells(batch, start)
                     header = [(h or "").lstrip("\ufeff") if k == 0 else h for k, h in enumerate(header)]
                     places = {h: k for k, h in reversed(list(enumerate(header))) if h}
                     start += 1
                 rows = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(places[n]) if n in places else pa.nulls(rows.num_rows, pa.string()) for n in names], names)
+                # Cells beyond the direct ones come from the records as written.
+                far = any(places.get(n, 0) >= DIRECT_CELLS for n in names)
+                whole = [all_cells(rows, i) for i in range(rows.num_rows)] if far else []
+
+                def column(n: str) -> pa.Array:
+                    k = places.get(n)
+                    if k is None:
+                        return pa.nulls(rows.num_rows, pa.string())
+                    if k < DIRECT_CELLS:
+                        return rows.column(k)
+                    return pa.array([r[k] if k < len(r) else None for r in whole], pa.string())
+                yield pa.RecordBatch.from_arrays([column(n) for n in names], names)
     return run
 
 
 def read_wide_stream(spark: SparkSession, input_dir: str, languages: list[str] | None = None,
-                     fmt: str = "csv", max_files_per_trigger: int | None = None,
-                     max_columns: int = MAX_COLUMNS) -> DataFrame:
+                     fmt: str = "csv", max_files_per_trigger: int | None = None) -> DataFrame:
     """Wide-table files arriving in ``input_dir`` (a stream needs its schema up front). CSV columns
     go by each file's header; a language that a file lacks is null there."""
     schema = wide_string_schema(languages)
@@ -63,11 +68,8 @@ def read_wide_stream(spark: SparkSession, input_dir: str, languages: list[str] |
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "parquet":
         return r.schema(schema).parquet(input_dir)
-    cells = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(max_columns)])
-    options = {k: v for k, v in READ_OPTIONS.items() if k not in ("inferSchema", "enforceSchema")}
-    raw = r.schema(cells).options(**dict(options, header="false")).csv(input_dir)
-    named = raw.select(*cells.names, F.col("_metadata.file_path").alias("file")).mapInArrow(
-        columns_by_header(schema.names, max_columns), schema)
+    raw = r.schema(record_schema()).options(**PLAIN_OPTIONS).csv(input_dir)
+    named = records(raw).mapInArrow(columns_by_header(schema.names), schema)
     return named.select(*[na_to_null(F.col(c)).alias(c) for c in schema.names])
 
 

@@ -108,3 +108,54 @@ def test_stream_columns_go_by_name(spark, tmpdir_path):
     q.awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(out).select("sentence_id", "English", "Spanish").collect()))
     assert got == [("2", "hello world", "hola mundo"), ("3", None, "sol,\ny luna"), ("4", None, "mar"), ("5", None, "cielo")]
+
+
+def test_headers_of_many_files_take_one_job(spark, tmpdir_path):
+    """Thousands of files with three headers: as many jobs as a dozen files take."""
+    def jobs_for(folder, n):
+        for i in range(n):
+            text = ("sentence_id,English,Spanish\n{0},a{0},b{0}\n", "Spanish,sentence_id\nb{0},{0}\n", "sentence_id,English\n{0},a{0}\n")[i % 3]
+            _write(folder, f"f{i}.csv", text.format(i))
+        spark.sparkContext.setJobGroup(folder, "headers")
+        groups = csv_io.header_groups(spark, folder)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder))
+        spark.sparkContext.setJobGroup("default", "")
+        assert sorted(map(len, groups)) == sorted((n - k + 2) // 3 for k in range(3))
+        return jobs
+    few, many = jobs_for(os.path.join(tmpdir_path, "few"), 40), jobs_for(os.path.join(tmpdir_path, "many files"), 5000)
+    assert many <= few + 1  # one more lists a large folder in parallel
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b"
+    rows = csv_io.read_wide(spark, os.path.join(tmpdir_path, "few")).select("sentence_id", "English", "Spanish").collect()
+    assert sorted(map(tuple, rows)) == sorted((str(i), f"a{i}" if i % 3 != 1 else None, f"b{i}" if i % 3 != 2 else None) for i in range(40))
+
+
+def test_size_settings():
+    assert [csv_io.in_bytes(s) for s in ("134217728b", "128m", "64kb", "1", "2G")] == [1 << 27, 1 << 27, 1 << 16, 1, 1 << 31]
+
+
+def _broad(order, rows, quote=True):
+    """A file of 70 columns and more: fillers, with the named ones at their places."""
+    lines = []
+    for cells in [{k: k for k in order}, *rows]:
+        lines.append(",".join('"%s"' % (cells.get(k) or "").replace('"', '""') if quote else cells.get(k) or "" for k in order))
+    return "\n".join(lines) + "\n"
+
+
+def test_broad_files_keep_their_languages(spark, tmpdir_path):
+    """Columns past the directly read ones, in batch and stream; quoted commas, line breaks and quotes."""
+    from babelscore.streaming.classify_stream import read_wide_stream
+
+    fill = [f"x{k}" for k in range(80)]
+    rows = [{"sentence_id": "1", "English": 'say "hi",\nyou', "Spanish": "hola", "x3": "a,b"}, {"sentence_id": "2", "English": "two", "Spanish": ""}]
+    src = os.path.join(tmpdir_path, "in files")
+    _write(src, "late.csv", _broad([*fill[:72], "sentence_id", "Spanish", "English"], rows))
+    _write(src, "early.csv", _broad(["sentence_id", "English", *fill[:75], "Spanish"], [{"sentence_id": "3", "English": "three", "Spanish": "tres"}], quote=False))
+    _write(src, "small.csv", "sentence_id,English\n4,four\n")
+    want = [("1", 'say "hi",\nyou', "hola"), ("2", "two", None), ("3", "three", "tres"), ("4", "four", None)]
+    stream = read_wide_stream(spark, src, languages=["English", "Spanish"])
+    out = os.path.join(tmpdir_path, "out")
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start(out))
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(out).select("sentence_id", "English", "Spanish").collect())) == want
+    batch = csv_io.read_wide(spark, src).select("sentence_id", "English", "Spanish").collect()
+    assert sorted(map(tuple, batch)) == want
