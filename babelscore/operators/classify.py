@@ -44,8 +44,9 @@ def decide(df: DataFrame, logits: str, labels: list[str], threshold: float = DEF
 
 
 def score(long: DataFrame, scorer: Scorer, form: str = "catalyst", nfkc: bool = True,
-          batch_size: int = DEFAULT_BATCH_SIZE, sort_by_length: bool = False) -> DataFrame:
-    """Adds ``clean_text`` and ``logits`` to melted rows; ``Text`` is left as read.
+          batch_size: int = DEFAULT_BATCH_SIZE, sort_by_length: bool = False, cut: str | None = None) -> DataFrame:
+    """Adds ``clean_text`` and ``logits`` to melted rows; ``Text`` is left as read. ``cut`` names a column
+    for whether the model reads only part of a text, which the same pass finds.
 
     ``form='catalyst'`` uses the scorer's expression, ``'udf'`` its batch predict function.
     ``sort_by_length`` orders each partition by text length first, so padded batches of a real
@@ -56,12 +57,17 @@ def score(long: DataFrame, scorer: Scorer, form: str = "catalyst", nfkc: bool =
         expr = scorer.logits(F.col("clean_text"))
         if expr is None:
             raise ValueError("this scorer has no Catalyst form; use form='udf'")
-        return df.withColumn("logits", expr)
+        out = df.withColumn("logits", expr)
+        return out.withColumn(cut, F.lit(False)) if cut else out  # an expression reads all
     if form != "udf":
         raise ValueError("form must be 'catalyst' or 'udf'")
     if sort_by_length:
         df = df.sortWithinPartitions(F.length("clean_text"))
-    return df.withColumn("logits", model_udf(scorer, batch_size)(F.col("clean_text")))
+    if not cut:
+        return df.withColumn("logits", model_udf(scorer, batch_size)(F.col("clean_text")))
+    both = df.withColumn("__out", model_udf(scorer, batch_size, counting=True)(F.col("clean_text")))
+    # The last value says whether the text was cut.
+    return both.withColumns({"logits": F.expr("slice(__out, 1, size(__out) - 1)"), cut: F.element_at("__out", -1) > 0}).drop("__out")
 
 
 def classify(wide: DataFrame, scorer: Scorer, languages: list[str] | None = None,
@@ -71,14 +77,13 @@ def classify(wide: DataFrame, scorer: Scorer, languages: list[str] | None = None
              truncation: Observation | None = None) -> DataFrame:
     """Wide table → scored long table with the seven output columns (plus ``scores``).
 
-    ``truncation`` receives ``truncated``, the number of texts longer than the model reads; the
-    count costs one more tokenizer pass, so it is taken only when asked for."""
+    ``truncation`` receives ``truncated``, the number of texts longer than the model reads, found in
+    the same tokenizer pass as the logits."""
     long = melt_languages(wide, languages, missing=missing)
     scored = score(long, scorer, form=form, nfkc=nfkc, batch_size=batch_size,
-                   sort_by_length=sort_by_length)
+                   sort_by_length=sort_by_length, cut="__cut" if truncation is not None else None)
     if truncation is not None:
-        scored = scored.withColumn("__cut", scorer.truncated(F.col("clean_text"))) \
-            .observe(truncation, F.count_if("__cut").alias("truncated")).drop("__cut")
+        scored = scored.observe(truncation, F.count_if("__cut").alias("truncated")).drop("__cut")
     decided = decide(scored, "logits", scorer.labels, threshold, keep_scores=keep_scores,
                      inputs=getattr(scorer, "outputs", "logits"))
     return decided.select(*OUT_COLS, *(["scores"] if keep_scores else []))

@@ -8,7 +8,6 @@ enough to be an expression, a Catalyst form (``logits``) that never leaves the J
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Callable, Protocol
 
 import numpy as np
@@ -28,19 +27,19 @@ class Scorer(Protocol):
     def make_predict_fn(self) -> Callable[[np.ndarray], np.ndarray]:
         """Load the model (once per worker) and return ``texts[n] -> logits[n, len(labels)]``."""
 
-    def truncated(self, text: Column) -> Column:
-        """Whether the model reads only part of a text."""
+    def make_counting_fn(self) -> Callable[[np.ndarray], np.ndarray]:
+        """As ``make_predict_fn``, with a last column that is 1 where the model reads only part of a text."""
 
     def logits(self, text: Column) -> Column | None:
         """Catalyst form of the model, or ``None`` if there is none."""
 
 
-def model_udf(scorer: Scorer, batch_size: int = DEFAULT_BATCH_SIZE):
-    """The scorer as a vectorised UDF returning ``array<double>`` logits."""
+def model_udf(scorer: Scorer, batch_size: int = DEFAULT_BATCH_SIZE, counting: bool = False):
+    """The scorer as a vectorised UDF returning ``array<double>`` logits (and whether the text was cut)."""
     from pyspark.ml.functions import predict_batch_udf
 
-    return predict_batch_udf(scorer.make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
-                             batch_size=batch_size)
+    return predict_batch_udf(scorer.make_counting_fn if counting else scorer.make_predict_fn,
+                             return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
 
 
 class LetterScorer:
@@ -65,8 +64,9 @@ class LetterScorer:
                   for ch in self.letters]
         return F.array(*[F.lit(self.scale) * F.try_divide(c.cast("double"), n) for c in counts])
 
-    def truncated(self, text: Column) -> Column:
-        return F.lit(False)
+    def make_counting_fn(self):
+        predict = self.make_predict_fn()
+        return lambda texts: np.column_stack([predict(texts), np.zeros(len(texts))])  # nothing is cut
 
     def make_predict_fn(self):
         import pyarrow.compute as pc
@@ -87,8 +87,8 @@ class LetterScorer:
 class OnnxScorer:
     """Sequence classifier exported to ONNX, with a ``tokenizers`` JSON tokenizer.
 
-    Texts are truncated to ``max_length`` tokens and padded to the longest in the batch; the
-    first graph output is taken as the logits. Model files are read from ``model_path`` and
+    Texts are truncated to ``max_length`` tokens and padded to the longest in their part of the batch
+    (``token_budget``); the first graph output is taken as the logits. Model files are read from ``model_path`` and
     ``tokenizer_path``, which must be readable from every executor. ``threads`` is the
     intra-op thread count of each worker's session: keep it at ``spark.task.cpus`` so
     concurrent tasks on an executor do not oversubscribe its cores. ``providers`` selects the
@@ -98,7 +98,8 @@ class OnnxScorer:
 
     def __init__(self, model_path: str, tokenizer_path: str, labels: list[str] | None = None,
                  max_length: int = DEFAULT_MAX_TOKENS, pad_id: int = 1, threads: int = 1,
-                 providers: list[str] | None = None, outputs: str = "logits"):
+                 providers: list[str] | None = None, outputs: str = "logits", token_budget: int = 16_384):
+        self.token_budget = token_budget
         self.model_path, self.tokenizer_path = model_path, tokenizer_path
         self.labels = list(labels or CLASSES)
         self.max_length, self.pad_id = max_length, pad_id
@@ -110,39 +111,57 @@ class OnnxScorer:
     def logits(self, text: Column) -> None:
         return None
 
-    def truncated(self, text: Column) -> Column:
-        """Texts of more than ``max_length`` tokens (special tokens included)."""
-        path, limit = self.tokenizer_path, self.max_length
-
-        @F.arrow_udf(T.BooleanType())
-        def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            from tokenizers import Tokenizer
+    def make_predict_fn(self):
+        run = self._session()
+        return lambda texts: run(texts)[0]
 
-            tok = Tokenizer.from_file(path)
-            tok.no_truncation()
-            for texts in batches:
-                enc = tok.encode_batch([t or "" for t in texts.to_pylist()])
-                yield pa.array([len(e.ids) > limit for e in enc], pa.bool_())
-        return cut(text)
+    def make_counting_fn(self):
+        run = self._session()
+        return lambda texts: np.column_stack(run(texts))
 
-    def make_predict_fn(self):
+    def _session(self):
+        """texts -> logits, and 1 where a text has more than ``max_length`` tokens. Every text is
+        tokenised once; a batch goes through the model in parts of ``token_budget`` padded tokens, texts of
+        about one length together, so a long text does not pad all others."""
         import onnxruntime as ort
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(self.tokenizer_path)
         tok.enable_truncation(self.max_length)
-        tok.enable_padding(pad_id=self.pad_id)
+        tok.no_padding()
         opts = ort.SessionOptions()
         opts.intra_op_num_threads = self.threads
         opts.inter_op_num_threads = 1
         sess = ort.InferenceSession(self.model_path, sess_options=opts, providers=self.providers)
         wanted = {i.name for i in sess.get_inputs()}
 
-        def predict(texts: np.ndarray) -> np.ndarray:
+        def run(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             enc = tok.encode_batch([str(t) for t in texts])
-            feeds = {"input_ids": np.array([e.ids for e in enc], dtype=np.int64),
-                     "attention_mask": np.array([e.attention_mask for e in enc], dtype=np.int64)}
-            return np.asarray(sess.run(None, {k: v for k, v in feeds.items() if k in wanted})[0],
-                              dtype=np.float64)
-
-        return predict
+            size = np.array([len(e.ids) for e in enc], dtype=np.int64)
+            out: np.ndarray | None = None
+            for part in token_batches(size, self.token_budget):
+                ids = np.full((len(part), max(int(size[part].max()), 1)), self.pad_id, dtype=np.int64)
+                mask = np.zeros_like(ids)
+                for row, k in enumerate(part):
+                    ids[row, :size[k]] = enc[k].ids
+                    mask[row, :size[k]] = enc[k].attention_mask
+                feeds = {"input_ids": ids, "attention_mask": mask}
+                got = np.asarray(sess.run(None, {k: v for k, v in feeds.items() if k in wanted})[0], dtype=np.float64)
+                if out is None:
+                    out = np.zeros((len(enc), got.shape[1]))
+                out[part] = got
+            cut = np.array([float(bool(e.overflowing)) for e in enc])
+            return (np.zeros((0, len(self.labels))) if out is None else out), cut
+
+        return run
+
+
+def token_batches(size: np.ndarray, budget: int):
+    """Texts in parts, by length: each part's number of texts times its longest is within ``budget``
+    (a longer text is a part of its own)."""
+    order = np.argsort(size, kind="stable")
+    start = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k + 1 - start) * int(size[order[k]]) > budget:
+            yield order[start:k]
+            start = k

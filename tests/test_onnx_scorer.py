@@ -56,3 +56,49 @@ def test_truncated_texts_are_counted(spark, tmpdir_path):
     t.no_truncation()
     want = sum(len(t.encode(" ".join(x.split())).ids) > 4 for x in TEXTS)
     assert cut.get["truncated"] == want > 0
+    # One model pass, not a second one for the count.
+    df = classify(wide, OnnxScorer(model, tok, max_length=4, pad_id=0), ["English"], form="udf", truncation=Observation("again"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_every_text_is_tokenised_once(tmpdir_path, monkeypatch):
+    import tokenizers
+
+    model, tok = fx.write_fixture(tmpdir_path)
+    seen = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch(self, texts):
+            seen.extend(texts)
+            return self.inner.encode_batch(texts)
+    real = tokenizers.Tokenizer.from_file
+
+    class Patched:
+        from_file = staticmethod(lambda path: Counting(real(path)))
+    monkeypatch.setattr(tokenizers, "Tokenizer", Patched)
+    texts = np.array(["one", "a much longer text than four tokens", "two words", "", "one"] * 5)
+    out = OnnxScorer(model, tok, max_length=4, pad_id=0, token_budget=6).make_counting_fn()(texts)
+    assert seen == texts.tolist() and out.shape == (25, 4)
+    assert out[:, -1].tolist() == [0, 1, 0, 0, 0] * 5
+    monkeypatch.undo()
+    whole = OnnxScorer(model, tok, max_length=4, pad_id=0, token_budget=10_000).make_predict_fn()(texts)
+    assert np.allclose(out[:, :-1], whole)
+    assert np.allclose(whole, fx.expected_logits(tok, texts.tolist(), 4), equal_nan=True)
+
+
+def test_token_batches_hold_their_budget():
+    from babelscore.operators.scoring import token_batches
+
+    rng = np.random.default_rng(1)
+    for budget in (1, 10, 100, 10_000):
+        size = rng.integers(0, 60, 200)
+        parts = list(token_batches(size, budget))
+        assert sorted(np.concatenate(parts).tolist()) == list(range(200))
+        assert all(len(p) * size[p].max() <= budget or len(p) == 1 for p in parts)
+    assert list(token_batches(np.zeros(0, dtype=np.int64), 5)) == []
