@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 SLICE_BYTES = 1 << 20
-SALTS = 64  # parts of a star's neighbours
 
 # Word separators: space and \x09-\x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -233,11 +232,9 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame) -> DataFrame:
         """Of pairs (u, neighbour): every neighbour, with the smallest of u and its neighbours. A centre's
-        neighbours are dealt by ``SALTS`` hashes of theirs, so no centre's pairs all meet in one task."""
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-        part = salted.groupBy("u", "salt").agg(F.min("v").alias("low"))
-        low = part.groupBy("u").agg(F.min("low").alias("low")).withColumn("low", F.least("u", "low"))
-        return salted.join(part.select("u", "salt").join(low, "u"), ["u", "salt"]).drop("salt")
+        pairs meet one row, so adaptive execution can split a large centre's side of the join."""
+        low = pairs.groupBy("u").agg(F.min("v").alias("low"))
+        return pairs.join(low.withColumn("low", F.least("u", "low")), "u")
 
     now, mark = checked(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
@@ -245,7 +242,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
             break
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")).toDF("u", "v"))
         large = star(both).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = large.filter("u != v")  # repeated pairs end with the round
         small = star(large)  # v < u here, so u's own row is added
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("low").alias("y")),
                                                F.struct(F.col("v").alias("x"), F.col("low").alias("y")))).alias("e"))

@@ -276,6 +276,8 @@ def all_family_edges(reps: DataFrame, block: int) -> DataFrame:
     shared = materialise(values.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-bands")
     small = all_far(values.join(shared.filter(F.col("n") <= block), ["band", "value"]).join(signed, "cls"), "n")
     small = small.withColumn("band_key", F.col("band"))
+    if (shared.agg(F.max("n")).first()[0] or 0) <= block:  # nothing else to look at
+        return family_edges(blocked(small, ["band_key", "value"], "cls", block))
     large = values.join(shared.filter(F.col("n") > block).select("band", "value"), ["band", "value"])
     pivots = large.groupBy("band", "value").agg(F.min("cls").alias("pivot")).join(
         reps.select(F.col("cls").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
@@ -407,6 +409,8 @@ def all_links(documents: DataFrame, families: DataFrame, sizes: DataFrame, reps:
         return with_shingles(documents, chosen, doc_id, text)
 
     small = all_far(members(sizes.filter(F.col("n") <= block)), "n")
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= block:
+        return verified(blocked(small, ["root"], "cls", block))
     large = sizes.filter(F.col("n") > block)
     big = materialise(members(large).drop("n"), "jaccard-members")
     # A family may have no common core; all of it is far then.
