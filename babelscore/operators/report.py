@@ -38,6 +38,18 @@ def attribute(key, mapping: dict) -> Column:
 
 # ---- per-language summary (Table 1) ---------------------------------------------------------
 
+MERGED = 256  # groups of tasks whose partial results meet before the last task
+
+
+def _listed(column: str, values: list[str]) -> Column:
+    """A listed value, or null: unlisted values count together."""
+    return F.when(F.col(column).isin(*values), F.col(column)).alias(column)
+
+
+def _merge_group() -> Column:
+    return (F.spark_partition_id() % MERGED).alias("task")
+
+
 class LanguageCounts:
     """The one aggregate behind every per-language report: for each listed language and class
     a count, plus low-confidence and row counts, and the same over all rows. One row; reports
@@ -45,14 +57,16 @@ class LanguageCounts:
 
     Rows are counted by (language, class, flag) first, which evaluates three keys per row instead
     of a condition per language and class (20M rows: 1.7 s against 2.8 s with one ``count_if``
-    each); partial aggregation leaves a few rows per task, so no key is hot."""
+    each); partial aggregation leaves a few rows per task, so no key is hot. Tasks are merged in
+    ``MERGED`` groups first, so the last task reads a bounded number of rows whatever their number."""
 
     def __init__(self, scored: DataFrame, languages: list[str]):
         self.languages = list(dict.fromkeys(languages))
         keys = ["Language", "Sentiment", "low_confidence_flag"]
         # A stream allows one aggregation, so there each row counts for itself.
         rows = (scored.select(*keys, F.lit(1).cast("long").alias("n")) if scored.isStreaming
-                else scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+                else scored.select(_listed("Language", self.languages), _listed("Sentiment", CLASSES), keys[2], _merge_group())
+                .groupBy(*keys, "task").agg(F.count(F.lit(1)).alias("n")))
 
         def count(name: str, *conditions: Column) -> Column:
             n = F.col("n")
@@ -197,13 +211,15 @@ def taxonomy(annotated: DataFrame, categories: list[str] | None = None,
     ``mean_conf`` averages the parseable confidences only, and is ``empty_mean`` (0.0 as in the
     script, or None as in the notebook) when there are none. ``mean_conf`` is unrounded."""
     cats = list(categories or CATEGORIES)
-    conf = safe_double(F.col("Confidence"))
-    aggs = [F.count(F.lit(1)).alias("total")]
+    rows = (annotated.select(_listed("final_category", cats), safe_double(F.col("Confidence")).alias("c"), _merge_group())
+            .groupBy("final_category", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.count("c").alias("p")))
+    zero = F.lit(0).cast("long")
+    aggs = [F.coalesce(F.sum("n"), zero).alias("total")]
     for i, c in enumerate(cats):
         in_c = _is("final_category", c)
-        aggs += [F.count_if(in_c).alias(f"n{i}"), F.sum(F.when(in_c, conf)).alias(f"s{i}"),
-                 F.count(F.when(in_c, conf)).alias(f"p{i}")]
-    agg = annotated.agg(*aggs)
+        aggs += [F.coalesce(F.sum(F.when(in_c, F.col("n"))), zero).alias(f"n{i}"), F.sum(F.when(in_c, F.col("s"))).alias(f"s{i}"),
+                 F.coalesce(F.sum(F.when(in_c, F.col("p"))), zero).alias(f"p{i}")]
+    agg = rows.agg(*aggs)
     structs = []
     for i, c in enumerate(cats):
         mean = F.try_divide(F.col(f"s{i}"), F.col(f"p{i}").cast("double"))
