@@ -37,7 +37,7 @@ LONG = 40  # characters from which a unit uses the heap
 NONE = 1 << 30  # the rank of a pair that does not merge
 UNKNOWN = 1 << 21  # plus a code point: a character that is no piece
 CACHE_UNITS = 400_000
-CACHE_CELLS = 12_000_000  # symbols in the trees of a worker, 9 bytes each
+CACHE_CELLS = 10_000_000  # symbols in the trees of a worker, 9 bytes each
 CACHE_NODES = 2_000_000  # of 30 bytes each
 
 
@@ -105,7 +105,7 @@ class Codec:
             self.text[i] = bytes([b])
         # Characters of no piece end a unit; line breaks are the common ones.
         broken = "".join(c for c in "\n\t\r" if self.char[ord(c)] >= UNKNOWN)
-        self.pairs: dict[int, tuple[int, int]] | None = None
+        self.pairs: dict[int, int] | None = None
         self.units = re.compile(f" *[^ {broken}]+| +|[{broken}]" if broken else " *[^ ]+| +")
         self.forget()
 
@@ -221,10 +221,10 @@ class Codec:
             at, node, key = at[on], then[on], key[on]
         return out
 
-    def pair_table(self) -> dict[int, tuple[int, int]]:
-        """Rank and merged id by pair of symbols, for one candidate at a time."""
+    def pair_table(self) -> dict[int, int]:
+        """Rank (high bits) and merged id by pair of symbols, for one candidate at a time."""
         if self.pairs is None:
-            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
+            self.pairs = dict(zip(self.keys.tolist(), (self.ranks.astype(np.int64) << 22 | self.merged).tolist()))
         return self.pairs
 
     def alone(self, sym: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -250,13 +250,13 @@ class Codec:
             if c >= 0:
                 before[c] = i
                 found = pairs.get(m << 22 | symbols[c])
-                if found and mix_one(key ^ mix_one(places[i] ^ (m << 32 | symbols[c]))) >= threshold:
-                    push(agenda, (found[0], i, m, symbols[c], found[1]))
+                if found is not None and mix_one(key ^ mix_one(places[i] ^ (m << 32 | symbols[c]))) >= threshold:
+                    push(agenda, (found >> 22, i, m, symbols[c], found & 0x3FFFFF))
             a = before[i]
             if a >= 0:
                 found = pairs.get(symbols[a] << 22 | m)
-                if found and mix_one(key ^ mix_one(places[a] ^ (symbols[a] << 32 | m))) >= threshold:
-                    push(agenda, (found[0], a, symbols[a], m, found[1]))
+                if found is not None and mix_one(key ^ mix_one(places[a] ^ (symbols[a] << 32 | m))) >= threshold:
+                    push(agenda, (found >> 22, a, symbols[a], m, found & 0x3FFFFF))
         return np.array([s for s in symbols if s >= 0], dtype=np.int64)
 
     def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
