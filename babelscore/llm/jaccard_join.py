@@ -404,15 +404,13 @@ def differing(rows: DataFrame) -> DataFrame:
 
 def all_links(documents: DataFrame, families: DataFrame, sizes: DataFrame, reps: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
     """cls, links (documents of other classes linked to it) and root: partial sums and connections."""
-    def members(some: DataFrame) -> DataFrame:
-        chosen = families.join(some, "root").withColumnRenamed("node", "cls").join(reps, "cls").select("root", "n", "cls", "doc", "n_copies", "sig")
-        return with_shingles(documents, chosen, doc_id, text)
-
-    small = all_far(members(sizes.filter(F.col("n") <= block)), "n")
+    chosen = families.join(sizes, "root").withColumnRenamed("node", "cls").join(reps, "cls").select("root", "n", "cls", "doc", "n_copies", "sig")
+    members = with_shingles(documents, chosen, doc_id, text)
     if (sizes.agg(F.max("n")).first()[0] or 0) <= block:
-        return verified(blocked(small, ["root"], "cls", block))
-    large = sizes.filter(F.col("n") > block)
-    big = materialise(members(large).drop("n"), "jaccard-members")
+        return verified(blocked(all_far(members, "n"), ["root"], "cls", block))
+    members = materialise(members, "jaccard-members")  # the texts travel once, for small and large families
+    small = all_far(members.filter(F.col("n") <= block), "n")
+    big = members.filter(F.col("n") > block).drop("n")
     # A family may have no common core; all of it is far then.
     judged = materialise(differing(big.join(centres(big), "root", "left")), "jaccard-centres")
     near = judged.filter("not far")
