@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from babelscore.llm import chat
 from tests.llm.helpers import empty, frame
@@ -125,3 +126,33 @@ def test_pipeline_stages_against_plain_versions(spark):
     texts = {r["doc_id"]: r["text"] for r in subword.decode(done).collect()}
     assert texts == {i: r["text"] for i, r in after.items()} and done.filter("not lossless").count() == 0
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names with spaces and signs, names the operators use themselves, nested ones: unchanged by every stage."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        "*", F.col("doc_id").alias("my col"), F.lit("x").alias("a-b"), F.concat(F.lit("own "), "lang").alias("lang_pred"),
+        F.struct(F.col("doc_id").alias("spaced name"), F.lit(1).alias("lang_score")).alias("nested"), F.lit(0).alias("row"),
+        F.lit("y").alias("n_words"))
+    low = docs.limit(1).select(*[F.lit(None).cast("long").alias(c) if c == "doc_id" else F.lit("?! 1 2 3").alias(c) if c == "text" else c
+                                 for c in docs.columns])
+    now = docs.unionByName(low)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = now.count()
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), docs.schema)
+        assert now.columns == docs.columns and 0 < now.count() <= before
+        assert now.filter("doc_id is null").count() == 0  # the wordless text goes with the first stage
+        bad = now.filter((F.col("my col") != F.col("doc_id")) | (F.col("a-b") != "x") | (F.col("lang_pred") != F.concat(F.lit("own "), "lang"))
+                         | (F.col("nested")["spaced name"] != F.col("doc_id")) | (F.col("row") != 0) | (F.col("n_words") != "y"))
+        assert bad.count() == 0, name
+
+
+def test_a_sample_of_one_id_is_not_empty(spark):
+    from babelscore.llm.common import hash_sample
+
+    for rows, size in ((9000, 300), (5, 300), (0, 3)):
+        df = spark.range(rows).select(F.lit(7).alias("id"))
+        assert hash_sample(df, size, "id").count() == min(rows, size)
+    some = [sorted(r[0] for r in hash_sample(spark.range(5000).repartition(n), 40, "id").collect()) for n in (2, 7)]
+    assert some[0] == some[1] and len(some[0]) == 40
