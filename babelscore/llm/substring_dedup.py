@@ -34,11 +34,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (_BASE, _INVERSE, _powers, Texts, doc_key, materialise, mix, split_batch, window_hashes,
+from .common import (_BASE, _INVERSE, _powers, SLICE_BYTES, Texts, doc_key, materialise, mix, split_batch, window_hashes,
                      window_mask)
 
 WINDOW = 20
@@ -224,21 +225,21 @@ def compacted(elements: DataFrame) -> DataFrame:
     return numbered.join(places, "id", "left").select("a", "hn", F.coalesce("path", "id").alias("path"), F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
-def in_step(start: np.ndarray, n: np.ndarray, path: np.ndarray, offset: np.ndarray):
-    """Occurrences in a document merged where path and document advance in step: start, n, path, offset."""
-    order = np.lexsort((start, start - offset, path))
-    start, n, path, offset = (x[order] for x in (start, n, path, offset))
-    ends = np.maximum.accumulate(start + n) if len(start) else start
+def in_step(doc: np.ndarray, start: np.ndarray, n: np.ndarray, path: np.ndarray, offset: np.ndarray):
+    """Occurrences merged where path and document advance in step: doc, start, n, path, offset."""
+    order = np.lexsort((start, start - offset, path, doc))
+    doc, start, n, path, offset = (x[order] for x in (doc, start, n, path, offset))
+    same = (doc[1:] == doc[:-1]) & (path[1:] == path[:-1]) & (np.diff(start - offset) == 0)
+    # Within one document, path and step starts ascend; the furthest end so far is the stretch's. Stretches
+    # are set so far apart that one running maximum serves them all.
+    stretch = np.cumsum(np.append(False, ~same))[:len(start)]
+    apart = int((start + n).max(initial=0)) + 1
+    ends = np.maximum.accumulate(start + n + stretch * apart) - stretch * apart if len(start) else start
     new = np.ones(len(start), dtype=bool)
-    same = (path[1:] == path[:-1]) & (np.diff(start - offset) == 0)
-    # Within one path and step starts ascend, so the furthest end so far is this stretch's.
-    stretch = np.flatnonzero(np.append(True, ~same))
-    for s, e in zip(stretch, np.append(stretch[1:], len(start))):
-        ends[s:e] = np.maximum.accumulate((start + n)[s:e])
     new[1:] = ~same | (start[1:] > ends[:-1])
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(start)) - 1
-    return start[head], ends[last] - start[head], path[head], offset[head]
+    return doc[head], start[head], ends[last] - start[head], path[head], offset[head]
 
 
 # -- the job -------------------------------------------------------------------------------------
@@ -265,6 +266,26 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compact, "doc long, tie long, packed binary")
 
 
+def unpacked(batches):
+    """From batches of doc, tie, packed and found: (doc, tie) of some rows whose texts hold about a
+    slice, the texts, all their found structs, and the row of each."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        doc, tie = get["doc"].to_numpy(), get["tie"].to_numpy()
+        texts, size, begin = [], 0, 0
+        for i, p in enumerate(get["packed"].to_pylist()):
+            texts.append(unpack.decompress(p))
+            size += len(texts[-1])
+            if size < SLICE_BYTES and i + 1 < batch.num_rows:
+                continue
+            found = get["found"].slice(begin, len(texts))
+            counts = np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
+            yield ((doc[begin:i + 1], tie[begin:i + 1]), pa.array(texts, pa.large_binary()).cast(pa.large_string()), found.flatten(),
+                   np.repeat(np.arange(len(texts)), counts))
+            texts, size, begin = [], 0, i + 1
+
+
 def occurrences(docs: DataFrame, texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """doc, tie, start, n of the repeated occurrences, with their elements' path and offset."""
     if window - anchor + 1 > 15:
@@ -283,29 +304,28 @@ def occurrences(docs: DataFrame, texts: DataFrame, window: int, anchor: int) ->
 
     def at_sources(batches):
         """End nodes of repeated elements, and every window of the runs to check."""
-        unpack = zstandard.ZstdDecompressor()
         combined = Combiner()
-        for batch in batches:
-            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            doc, tie = get["doc"].to_numpy(), get["tie"].to_numpy()
-            for i in range(batch.num_rows):
-                t = Texts(pa.array([unpack.decompress(get["packed"][i].as_py())], pa.large_binary()).cast(pa.large_string()))
-                h = t.hashes(*t.words()[:2])
-                found = pa.RecordBatch.from_struct_array(get["found"].slice(i, 1).flatten())
-                kind, a, hn, start, n = (found.column(k).to_numpy() for k in range(5))
-                nodes = np.lib.stride_tricks.sliding_window_view(h, window - 1)
-                first = kind == FIRST
-                if first.any():
-                    s = start[first]
-                    size = len(s)
-                    yield batch_of([a[first], hn[first], np.full(size, doc[i]), np.full(size, tie[i]), s, n[first], np.full(size, ELEMENT),
-                                    node_hash(nodes[s]), node_hash(nodes[s + n[first]])])
-                s, n = start[~first].astype(np.int64), n[~first].astype(np.int64)
-                at = np.unique(np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                view = np.lib.stride_tricks.sliding_window_view(h, window)[at]
-                one, two = sequence_hash(view, 0x9E3779B97F4A7C15), sequence_hash(view, 0xC2B2AE3D27D4EB4F)
-                yield from combined.add(one.view(np.int64), two.view(np.int64), np.full(len(at), doc[i]), np.full(len(at), tie[i]), at,
-                                        np.ones(len(at), dtype=np.int64), node_hash(nodes[at]), node_hash(nodes[at + 1]))
+        for docs_of, texts_of, found, owner in unpacked(batches):
+            doc, tie = docs_of
+            t = Texts(texts_of)
+            starts, ends, first_word = t.words()
+            h = t.hashes(starts, ends)
+            kind, a, hn, start, n = (found.field(k).to_numpy() for k in range(5))
+            at, n = first_word[owner] + start, n.astype(np.int64)
+            nodes = np.lib.stride_tricks.sliding_window_view(h, window - 1)
+            first = np.flatnonzero(kind == FIRST)
+            if len(first):
+                yield batch_of([a[first], hn[first], doc[owner[first]], tie[owner[first]], start[first], n[first], np.full(len(first), ELEMENT),
+                                node_hash(nodes[at[first]]), node_hash(nodes[at[first] + n[first]])])
+            s, n = at[kind == CHECK], n[kind == CHECK]
+            at = np.unique(np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()))
+            if not len(at):
+                continue
+            of = np.searchsorted(first_word, at, side="right") - 1
+            view = np.lib.stride_tricks.sliding_window_view(h, window)[at]
+            one, two = sequence_hash(view, 0x9E3779B97F4A7C15), sequence_hash(view, 0xC2B2AE3D27D4EB4F)
+            yield from combined.add(one.view(np.int64), two.view(np.int64), doc[of], tie[of], at - first_word[of],
+                                    np.ones(len(at), dtype=np.int64), node_hash(nodes[at]), node_hash(nodes[at + 1]))
         yield from combined.rest()
 
     by_run = materialise(dealt(docs.mapInArrow(all_runs, ROWS)).mapInArrow(resolve, ROWS), "dedup-runs")
@@ -318,10 +338,9 @@ def occurrences(docs: DataFrame, texts: DataFrame, window: int, anchor: int) ->
                                                             F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
-def merged_spans(found):
-    """A document's occurrences (list of structs) as long spans."""
-    rows = pa.RecordBatch.from_struct_array(found)
-    return in_step(*(rows.column(k).to_numpy().astype(np.int64) for k in range(4)))
+def merged_spans(found: pa.StructArray, owner: np.ndarray):
+    """Rows' occurrences (structs) as long spans: row, start, n, path, offset."""
+    return in_step(owner, *(found.field(k).to_numpy().astype(np.int64) for k in range(4)))
 
 
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -332,11 +351,10 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                start, n, path, offset = merged_spans(batch.column(2).slice(i, 1).flatten())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), batch.column(0)[i].as_py())), pa.array(start),
-                                                  pa.array(n + window - 1), pa.array(path), pa.array(offset)],
-                                                 ["doc", "start", "n_words", "path", "offset"])
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            row, start, n, path, offset = merged_spans(batch.column(2).flatten(), owner)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(start), pa.array(n + window - 1), pa.array(path),
+                                              pa.array(offset)], ["doc", "start", "n_words", "path", "offset"])
     found = per_document(occurrences(docs, packed_texts(docs), window, anchor), "start", "n", "path", "offset")
     out = found.mapInArrow(run, "doc long, start long, n_words long, path long, offset long")
     return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "start", "n_words", "path", "offset")
@@ -350,29 +368,28 @@ def removed_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = per_document(occurrences(docs, texts, window, anchor), "start", "n", "path", "offset")
 
     def cut(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("found"))
+        for (doc, _), texts_of, found, owner in unpacked(batches):
+            row, start, n, _, _ = merged_spans(found, owner)
+            from_row = np.searchsorted(row, np.arange(len(doc) + 1))
             n_words, n_removed, kept = [], [], []
-            for i, p in enumerate(batch.column(batch.schema.get_field_index("packed")).to_pylist()):
-                words = unpack.decompress(p).split()
+            for i, text in enumerate(texts_of.cast(pa.large_binary()).to_pylist()):  # bytes split at ASCII space only
+                words = text.split()
                 n_words.append(len(words))
                 gone = 0
-                if spans[i].is_valid:
-                    start, n, _, _ = merged_spans(spans.slice(i, 1).flatten())
+                if from_row[i] < from_row[i + 1]:
+                    mine = slice(from_row[i], from_row[i + 1])
                     mark = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(mark, start, 1)
-                    np.add.at(mark, start + n + window - 1, -1)
+                    np.add.at(mark, start[mine], 1)
+                    np.add.at(mark, start[mine] + n[mine] + window - 1, -1)
                     keep = np.cumsum(mark)[:-1] == 0
                     gone = len(words) - int(keep.sum())
                     words = list(compress(words, keep.tolist()))
                 n_removed.append(gone)
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc")), pa.array(n_words, pa.int64()),
-                 pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                                             ["doc", "n_words", "n_removed", "kept"])
 
-    out = (texts.join(found, ["doc", "tie"], "left").select("doc", "packed", "found")
+    out = (texts.join(found, ["doc", "tie"], "left").select("doc", "tie", "packed", "found")
            .mapInArrow(cut, "doc long, n_words long, n_removed long, kept string"))
     return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
