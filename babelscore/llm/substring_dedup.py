@@ -227,6 +227,8 @@ def compacted(elements: DataFrame) -> DataFrame:
 
 def in_step(doc: np.ndarray, start: np.ndarray, n: np.ndarray, path: np.ndarray, offset: np.ndarray):
     """Occurrences merged where path and document advance in step: doc, start, n, path, offset."""
+    if not len(start):  # a slice without a repeat
+        return doc, start, n, path, offset
     order = np.lexsort((start, start - offset, path, doc))
     doc, start, n, path, offset = (x[order] for x in (doc, start, n, path, offset))
     same = (doc[1:] == doc[:-1]) & (path[1:] == path[:-1]) & (np.diff(start - offset) == 0)
@@ -234,7 +236,7 @@ def in_step(doc: np.ndarray, start: np.ndarray, n: np.ndarray, path: np.ndarray,
     # are set so far apart that one running maximum serves them all.
     stretch = np.cumsum(np.append(False, ~same))[:len(start)]
     apart = int((start + n).max(initial=0)) + 1
-    ends = np.maximum.accumulate(start + n + stretch * apart) - stretch * apart if len(start) else start
+    ends = np.maximum.accumulate(start + n + stretch * apart) - stretch * apart
     new = np.ones(len(start), dtype=bool)
     new[1:] = ~same | (start[1:] > ends[:-1])
     head = np.flatnonzero(new)

@@ -113,6 +113,14 @@ def test_paths_are_maximal_and_ranked(spark):
     assert got == want
 
 
+def test_occurrences_in_step_merge():
+    none = np.zeros(0, dtype=np.int64)
+    assert [x.tolist() for x in substring_dedup.in_step(*[none] * 5)] == [[]] * 5
+    rows = [(0, 5, 3, 1, 0), (0, 8, 2, 1, 3), (0, 12, 1, 1, 7), (0, 8, 2, 2, 0), (1, 10, 4, 1, 5), (1, 12, 1, 1, 7), (1, 14, 2, 1, 9)]
+    got = substring_dedup.in_step(*(np.array(c, dtype=np.int64) for c in zip(*rows)))
+    assert sorted(zip(*(x.tolist() for x in got))) == [(0, 5, 5, 1, 0), (0, 8, 2, 2, 0), (0, 12, 1, 1, 7), (1, 10, 6, 1, 5)]
+
+
 def test_long_spans(spark):
     """A passage that two other documents hold comes out as one span each, on one path."""
     rng = random.Random(3)
