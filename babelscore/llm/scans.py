@@ -68,17 +68,19 @@ def scan_batch(group: np.ndarray, values: list[np.ndarray], bases: list[int | No
     return place, before, upto, (int(group[-1]), int(place[-1]), [int(u[-1]) for u in upto])
 
 
-def running(rows: DataFrame, group: str, order: list[str], lanes: dict[str, int | None], name: str) -> DataFrame:
+def running(rows: DataFrame, group: str, order: list[str], lanes: dict[str, int | None], name: str,
+            deal: list[Column] | None = None) -> DataFrame:
     """Adds ``place`` (1, 2, ... in each group along ``order``) and for every lane the total up to
     the row (``lane``, replacing the value) and before it (``lane_before``). lanes: column to base,
     None for a plain sum. ``group`` is a long without nulls, lane values are longs in [0, PRIME) for
-    fingerprints. The result is a written table."""
+    fingerprints. ``deal``: what the ranges are cut by in place of ``order``, where that is long; it never
+    falls along ``order``. The result is a written table."""
     keep = [c for c in rows.columns if c not in lanes]
     names, bases = list(lanes), list(lanes.values())
     extra = ["part", "place", *names, *[f"{c}_before" for c in names]]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["part int"] + [f"`{c}` long" for c in extra[1:]])
-    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    dealt = rows.repartitionByRange(group, *(deal or order)).sortWithinPartitions(group, *order)
 
     def run(batches):
         part, state = TaskContext.get().partitionId(), None

@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -11,24 +10,18 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def said(role, text):
-    told = (b"-" if role is None else b"%d:" % len(role.encode()) + role.encode()) + (b"-" if text is None else b":" + text.encode())
-    return hashlib.sha256(told).hexdigest()
-
-
-def plain_chat(rows, part_turns=256):
+def plain_chat(rows):
+    low = lambda x: (x is not None, "" if x is None else x)
     convs = {}
-    for k, (conv, turn, role, text) in enumerate(rows):
-        convs.setdefault(("nameless", k) if conv is None else conv, []).append(((turn is not None, turn or 0), said(role, text), role, text))
-    seqs = {c: tuple(x[2:] for x in sorted(v, key=lambda x: x[:2])) for c, v in convs.items()}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append(((turn is not None, turn or 0), low(role), low(text), role, text))
+    seqs = {c: tuple(x[3:] for x in sorted(v, key=lambda x: x[:3])) for c, v in convs.items()}
     proper = {s[:k] for s in seqs.values() for k in range(1, len(s))}
     out = []
     for s in set(seqs.values()) - proper:
         ids = [c for c, x in seqs.items() if x == s]
-        first = min((i for i in ids if not isinstance(i, tuple)), default=None)
-        for part in range(0, len(s), part_turns):
-            text = "".join(f"<|{r or ''}|>\n{t or ''}\n<|end|>\n" for r, t in s[part:part + part_turns])
-            out.append((first, part // part_turns, len(s), len(ids), text))
+        first = min((i for i in ids if i is not None), default=None)
+        out.append((first, len(s), len(ids), "".join(f"<|{r or ''}|>\n{t or ''}\n<|end|>\n" for r, t in s)))
     return sorted(out, key=repr)
 
 
@@ -41,12 +34,40 @@ def test_maximal_conversations(spark, seed):
         base += [(rng.choice(["user", "assistant", None]), rng.choice(["hi", "yes", "", None, "no"])) for _ in range(rng.randint(0 if base else 1, 2))]
         convs.append(base)
         rows += [(conv, k * 2, r, t) for k, (r, t) in enumerate(base)]
-    # Turns without a conversation: one alone, two alike, one that starts a longer conversation.
+    # Turns without a conversation id are one conversation.
     rows += [(None, 0, "user", "x"), (None, 1, "user", "nameless"), (None, 5, "user", "nameless"), (None, None, None, None)]
     rows += [(77, None, "user", "x"), (77, 3, "user", "y"), (77, 3, "user", "y"), (77, 3, None, "y"), (78, 0, "only", "one"), (None, 9, "only", "one")]
     rng.shuffle(rows)
-    got = chat.formatted(frame(spark, rows, TURNS), part_turns=4).collect()
-    assert sorted(map(tuple, got), key=repr) == plain_chat(rows, 4)
+    got = chat.formatted(frame(spark, rows, TURNS)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_chat(rows)
+
+
+@pytest.mark.parametrize("ids", [(None, 1), (None, -(1 << 63), 5), (None, -(1 << 63), (1 << 63) - 1, 0), (None,)])
+def test_turns_without_an_id_are_one_whole_conversation(spark, ids):
+    """One row for a conversation of any length, with or without an id, whatever ids there are; equal turn
+    numbers in the order of role and text, however long these are and wherever ranges are cut."""
+    rng = random.Random(len(ids))
+    same = "the same forty characters begin this one. "
+    say = [None, "", "b", "a", "a", same, same + "b", same + "a", same[:32], "z" * 32, "z" * 33, "\u00e9" * 40, "\U0001f600"]
+    rows = [(c, rng.choice([None, 1, k]), rng.choice([None, "", "user", "user", same, same + "x"]), rng.choice(say)) for c in ids for k in range(700)]
+    rows += [(c + 1 if c == 5 else 5, k, "user", "y") for c in ids if c is not None for k in range(2)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat.formatted(spark.createDataFrame(rows, TURNS).repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got), key=repr) == plain_chat(rows)
+    assert [r["n_turns"] for r in got if r["conv_id"] is None] == [700]
+
+
+def test_a_nameless_copy_of_a_conversation(spark):
+    """A conversation without an id collapses as any other: into its copy with an id, or as a snapshot of a longer one."""
+    named = [(3, 0, "user", "a"), (3, 1, "user", "b")]
+    for extra in ([], [(4, 0, "user", "a"), (4, 5, "user", "b"), (4, 6, "user", "c")]):
+        rows = named + [(None, t + 1, r, x) for _, t, r, x in named] + extra
+        got = chat.formatted(spark.createDataFrame(rows, TURNS)).collect()
+        assert sorted(map(tuple, got), key=repr) == plain_chat(rows) and len(got) == 1
 
 
 def test_a_hot_conversation_lies_in_many_tasks(spark, monkeypatch):
@@ -70,12 +91,12 @@ def test_a_hot_conversation_lies_in_many_tasks(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "12")
     try:
-        got = chat.formatted(spark.createDataFrame(rows, TURNS).repartition(6), part_turns=100).collect()
+        got = chat.formatted(spark.createDataFrame(rows, TURNS).repartition(6)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert sorted(map(tuple, got), key=repr) == plain_chat(rows, 100)
-    assert len(written) == 2
+    assert sorted(map(tuple, got), key=repr) == plain_chat(rows)
+    assert len(written) == 1
     for sizes in written:
         assert len(sizes) > 6 and max(sizes) <= 5 * sorted(sizes)[len(sizes) // 2]
 
