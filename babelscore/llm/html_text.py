@@ -3,7 +3,9 @@
 A page is cut into leaf blocks (text between block-level tags). Each block becomes a vector: its tag
 path with class, id and role words (hashed), its words (hashed), and a few numbers such as length and
 link share. A bidirectional LSTM in numpy reads the page's whole sequence of blocks and labels each
-one main text or not. All pages of a slice step through the network together.
+one main text or not. All pages of a slice step through the network together; a page too long for
+that is read in stretches, over which each direction takes its state along, so every label depends on
+the whole page.
 
 There are no labelled pages, so the network learns from weak labels: in a bounded, documented sample
 (``SAMPLE`` pages by a hash of the id, pages over ``MAX_HTML`` characters left out of training only)
@@ -43,9 +45,8 @@ HIDDEN = 16
 EPOCHS = 11
 TRAIN_BLOCKS = 64  # blocks of a page that one training step reads; longer pages are cut into pieces
 PATH_ENDS = 24
-# A longer page is read in windows of CORE blocks with EDGE more on both sides, which is what the network
-# learned to look at; GROUP blocks are scored at a time.
-CORE, EDGE, GROUP = 256, TRAIN_BLOCKS, 32768
+# GROUP blocks are scored at a time; a page with more is read in stretches of CORE blocks.
+CORE, GROUP = 16384, 32768
 
 # Element names.
 BLOCK = set("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption
@@ -261,7 +262,7 @@ def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
 def _steps(size: np.ndarray, back: bool):
     """Row numbers that advance together: pages are ordered longest first; yields (step, pages)."""
     longest = int(size[0]) if len(size) else 0
-    going = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]
+    going = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
     return [(t, going[t]) for t in (range(longest - 1, -1, -1) if back else range(longest))]
 
 
@@ -336,34 +337,64 @@ def label(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> np.ndar
     return _sigmoid(score + w["c"])
 
 
-def windows(total: int):
-    """First block, first and last of the labelled ones, and end of the windows over a page."""
-    if total <= CORE + 2 * EDGE:
-        return [(0, 0, total, total)] if total else []
-    return [(max(0, s - EDGE), s, min(s + CORE, total), min(s + CORE + EDGE, total)) for s in range(0, total, CORE)]
+def windows(total: int) -> list[tuple[int, int, int, int]]:
+    """The stretches of a page: start, first and last of the labelled blocks, and end. All blocks of a stretch are
+    labelled, as the states come from the stretches beside it."""
+    return [(s, s, min(s + CORE, total), min(s + CORE, total)) for s in range(0, total, CORE)]
+
+
+def both_directions(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Columns of the two directions side by side, gate by gate; halved for the gates that are a sigmoid, which
+    is 0.5 + 0.5 * tanh(half)."""
+    out = np.stack([f.reshape(-1, 4, HIDDEN), b.reshape(-1, 4, HIDDEN)], axis=2)
+    out[:, :3] *= 0.5
+    return out.reshape(-1, 8 * HIDDEN)
+
+
+def labelled_long(w: dict[str, np.ndarray], page: list[Block]) -> np.ndarray:
+    """Probability of main text for every block of one page from its whole sequence. Both directions step at once,
+    from the page's two ends, as one network of twice the size; a stretch's vectors are in memory."""
+    total, nothing = len(page), np.zeros((HIDDEN, 4 * HIDDEN))
+    wh = both_directions(np.concatenate([w["hf"], nothing]), np.concatenate([nothing, w["hb"]]))
+    score, h, c = np.zeros(total), np.zeros(2 * HIDDEN), np.zeros(2 * HIDDEN)
+    i, f, o = (slice(2 * k * HIDDEN, 2 * (k + 1) * HIDDEN) for k in range(3))
+    for a, _, _, e in windows(total):
+        z = both_directions(features(page[a:e], a, total) @ w["xf"],
+                            features(page[total - e:total - a], total - e, total)[::-1] @ w["xb"])
+        states = np.empty((e - a, 2 * HIDDEN))
+        for t in range(e - a):
+            g = np.tanh(z[t] + h @ wh)
+            s = 0.5 + 0.5 * g[:6 * HIDDEN]
+            c = s[f] * c + s[i] * g[6 * HIDDEN:]
+            states[t] = h = s[o] * np.tanh(c)
+        score[a:e] += states[:, :HIDDEN] @ w["o"][:HIDDEN]
+        score[total - e:total - a] += (states[:, HIDDEN:] @ w["o"][HIDDEN:])[::-1]
+    return _sigmoid(score + w["c"])
 
 
 def labelled(w: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
-    """Probability of main text for every block of every page, ``GROUP`` blocks or a window at a time."""
+    """Probability of main text for every block of every page, about ``GROUP`` blocks or a longer page at a time."""
     out = [np.zeros(len(p)) for p in pages]
-    held: list[tuple[int, tuple[int, int, int, int]]] = []
+    held: list[int] = []
 
     def run() -> None:
-        x = [features(pages[i][a:d], a, len(pages[i])) for i, (a, _, _, d) in held]
+        x = [features(pages[i]) for i in held]
         first = np.concatenate([[0], np.cumsum([len(v) for v in x])])
         got = label(w, np.concatenate(x), first)
-        for (i, (a, b, c, _)), s in zip(held, first):
-            out[i][b:c] = got[s + b - a:s + c - a]
+        for i, s, e in zip(held, first, first[1:]):
+            out[i] = got[s:e]
         held.clear()
 
     size = 0
     for i, page in enumerate(pages):
-        for window in windows(len(page)):
-            if held and size + window[3] - window[0] > GROUP:
+        if len(page) > GROUP:
+            out[i] = labelled_long(w, page)
+        elif page:
+            if held and size + len(page) > GROUP:
                 run()
                 size = 0
-            held.append((i, window))
-            size += window[3] - window[0]
+            held.append(i)
+            size += len(page)
     if held:
         run()
     return out

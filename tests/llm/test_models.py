@@ -429,3 +429,39 @@ def test_windows_of_a_long_page_label_as_the_whole(monkeypatch):
     whole = html_text.labelled(weights, [page, page[:10], []])
     assert [len(p) for p in parts] == [1500, 10, 0]
     assert max(abs(parts[0] - whole[0])) < 0.01 and (parts[1] == whole[1]).all()
+
+
+def test_a_long_page_is_read_as_one_sequence(monkeypatch):
+    """Labels depend on the whole page: those of the full bidirectional network, at any length and with any
+    memory, and a page's ends reach its middle."""
+    rng = random.Random(6)
+    say = lambda k: "".join(f"<{t}>{' '.join(rng.choices(['a', 'bb', 'ccc.'], k=rng.randint(1, 9)))}</{t}>"
+                            for t in rng.choices(["p", "li", "h2", "td"], k=k))
+    page, other = html_text.blocks("<article>" + say(1700)), html_text.blocks(say(900))
+    weights = html_text.new_weights(np.random.default_rng(3))
+    for d in "fb":
+        weights[f"x{d}"] = weights[f"x{d}"] * 3
+        weights[f"x{d}"][-1, html_text.HIDDEN:2 * html_text.HIDDEN] = 9  # forgets next to nothing
+    weights["o"] = weights["o"] * 5
+
+    def plain(found):
+        z = html_text.features(found)
+        score = np.zeros(len(found))
+        for k, d in enumerate("fb"):
+            h, c = np.zeros(html_text.HIDDEN), np.zeros(html_text.HIDDEN)
+            for i in range(len(found)) if d == "f" else reversed(range(len(found))):
+                i_, f, o, u = np.split(z[i] @ weights[f"x{d}"] + h @ weights[f"h{d}"], 4)
+                c = c / (1 + np.exp(-f)) + np.tanh(u) / (1 + np.exp(-i_))
+                h = np.tanh(c) / (1 + np.exp(-o))
+                score[i] += h @ weights["o"][k * html_text.HIDDEN:(k + 1) * html_text.HIDDEN]
+        return 1 / (1 + np.exp(-score - weights["c"]))
+
+    want = [plain(p) for p in (page, other)]
+    changed = html_text.blocks("<nav>" + "x y z. " * 9 + "</nav>") + page[1:]
+    assert abs(plain(changed) - want[0])[400:].max() > 1e-5  # the first block is still felt far on
+    monkeypatch.setattr(html_text, "CORE", 256)
+    for group in (32768, 2000, 500):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        got = html_text.labelled(weights, [page, [], other, page[:30]])
+        assert [len(g) for g in got] == [1700, 0, 900, 30]
+        assert abs(got[0] - want[0]).max() < 1e-9 and abs(got[2] - want[1]).max() < 1e-9
