@@ -14,7 +14,8 @@ The files are ordinary Parquet, written and read by Spark, in any store that Spa
   read of metadata alone never touches the id lists.
 
 Encoding splits a text where the tokeniser's own rules cannot join what stands on both sides (see
-``unit_starts``), and the tokenizers library encodes every distinct unit once while a worker keeps it. Strings of special tokens in a text are
+``unit_starts``), and the tokenizers library encodes every distinct unit once while a worker keeps it: new
+units by the hundred in one text, where the same rules cut them apart, and others one by one. Strings of special tokens in a text are
 ordinary text.
 
 Null text is empty: it has the end id alone. Order is by doc_id, null first, and rows of one id by
@@ -24,9 +25,10 @@ table the files are empty. Metadata columns may have any name; they stay under `
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
 CACHE_UNITS = 600_000
 CACHE_IDS = 6_000_000
+JOINED = 256  # new units in one text
 
 # White space (more than any tokeniser's), by its last byte or code point.
 IS_BLANK = np.zeros(256, dtype=bool)
@@ -107,57 +110,98 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        known = json.loads(spec)
+        # A byte-level token has one character for each byte of its text, so ids tell where they lie.
+        byte_level = known.get("normalizer") is None and (known.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+        vocabulary = self.tokenizer.get_vocab() if byte_level else {}
+        self.id_bytes = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.id_bytes[i] = len(token)
         self.index: dict[bytes, int] = {}
-        self.store = np.zeros(0, dtype=np.int32)
+        self.store, self.stored = np.zeros(0, dtype=np.int32), 0
+        # Of each unit its ids' first place and number, and the slices it was met in; rows beyond the index are spare.
         self.start = self.size = self.seen = np.zeros(0, dtype=np.int64)
 
     def shrink(self) -> None:
         """Drop the units that were met in one slice only."""
-        keep = np.flatnonzero(self.seen > 1)
+        keep = np.flatnonzero(self.seen[:len(self.index)] > 1)
         names = list(self.index)
         self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
         size = self.size[keep]
         begin = np.cumsum(size) - size
         self.store = self.store[np.repeat(self.start[keep] - begin, size) + np.arange(int(size.sum()))]
-        self.start, self.size, self.seen = begin, size, np.zeros(len(keep), dtype=np.int64)
+        self.start, self.size, self.seen, self.stored = begin, size, np.zeros(len(keep), dtype=np.int64), len(self.store)
+
+    def joined_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers of units that each start with a space or line break before other characters and end
+        without white space, encoded in texts of many; None if they don't come apart where they should."""
+        texts = ["".join(units[k:k + JOINED]) for k in range(0, len(units), JOINED)]
+        t = Texts(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), dtype=np.int64, count=len(units)))
+        if not np.isin(ends[:-1], unit_starts(t)).all():
+            return None
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids)))
+        if flat.max(initial=-1) >= len(self.id_bytes):
+            return None
+        upto = np.cumsum(self.id_bytes[flat])
+        last = np.searchsorted(upto, ends)
+        if not len(upto) or last[-1] != len(upto) - 1 or not np.array_equal(upto[last], ends):
+            return None
+        return flat, np.diff(last, prepend=-1)
+
+    def single_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum())), size
+
+    def add(self, units: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        old, n = len(self.index), len(self.index) + len(units)
+        if n > len(self.start):
+            self.start, self.size, self.seen = (np.append(v, np.zeros(2 * n - len(v), dtype=np.int64)) for v in (self.start, self.size, self.seen))
+        if self.stored + len(flat) > len(self.store):
+            self.store = np.append(self.store[:self.stored], np.zeros(self.stored + 2 * len(flat), dtype=np.int32))
+        self.start[old:n], self.size[old:n], self.seen[old:n] = self.stored + np.cumsum(size) - size, size, 0
+        self.store[self.stored:self.stored + len(flat)] = flat
+        self.stored += len(flat)
+        self.index.update(zip(units, range(old, n)))
 
     def learn(self, units: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.store) + np.cumsum(size) - size])
-        self.size, self.seen = np.concatenate([self.size, size]), np.concatenate([self.seen, np.zeros(len(size), dtype=np.int64)])
-        self.store = np.concatenate([self.store, flat])
-        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
+        texts = [u.decode() for u in units]
+        fit = [len(self.id_bytes) > 0 and x[0] in " \n" and len(x) > 1 and x.strip() == x[1:] for x in texts]
+        joint = [x for x, f in zip(texts, fit) if f]
+        found = self.joined_ids(joint) if joint else None
+        if found is not None:
+            self.add([u for u, f in zip(units, fit) if f], *found)
+            texts, units = [x for x, f in zip(texts, fit) if not f], [u for u, f in zip(units, fit) if not f]
+        if units:
+            self.add(units, *self.single_ids(texts))
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets (n + 1); ``end`` closes each."""
         t = Texts(column)
         starts = unit_starts(t)
-        ends = np.append(starts[1:], len(t.data))[:len(starts)]
-        _, first, which = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
-        data, index = t.data.tobytes(), self.index
-        units = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        # Units of one hash must be one unit.
-        if not np.array_equal((ends - starts)[first][which], ends - starts) or not np.array_equal(t.data[starts], t.data[starts[first]][which]):
-            units = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-            which = np.arange(len(units))
-        new = [u for u in dict.fromkeys(units) if u not in index]
-        if new:
+        # Units lie side by side and cover the texts.
+        spans = pa.py_buffer(np.append(starts, len(t.data)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, spans, pa.py_buffer(t.data)]).dictionary_encode()
+        which, units, index = found.indices.to_numpy(), found.dictionary.to_pylist(), self.index
+        code = np.fromiter(map(index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
             self.learn(new)
-        code = np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
+            code[missing] = np.fromiter(map(index.__getitem__, new), dtype=np.int64, count=len(new))
         self.seen[code] += 1
         start, size = self.start[code][which], self.size[code][which]
-        begin = np.cumsum(size) - size
         total = np.append(0, np.cumsum(size))
-        flat = self.store[np.repeat(start - begin, size) + np.arange(total[-1])]
+        flat = self.store[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
         per_doc = np.diff(total[np.searchsorted(starts, t.off)])
         if end is not None:
             flat = np.insert(flat, np.cumsum(per_doc), end)
             per_doc = per_doc + 1
-        if len(self.index) > CACHE_UNITS or len(self.store) > CACHE_IDS:
+        if len(self.index) > CACHE_UNITS or self.stored > CACHE_IDS:
             self.shrink()
-        return flat.astype(np.int32), np.append(0, np.cumsum(per_doc))
+        return flat.astype(np.int32, copy=False), np.append(0, np.cumsum(per_doc))
 
 
 _ENCODERS: dict[str, Encoder] = {}

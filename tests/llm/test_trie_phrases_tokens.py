@@ -254,6 +254,38 @@ def test_units_encode_as_whole_texts(tokenizer):
     assert encoder.encode(pa.array([], pa.string()), 0)[1].tolist() == [0]
 
 
+def test_new_units_encode_together(tokenizer, monkeypatch):
+    """Units that come apart by the tokeniser's rules are encoded many at a time, each with its own ids; others, and all
+    if that fails or the tokeniser is not byte-level, one by one."""
+    rng = random.Random(7)
+    ends = ["a", "Z", "\u00e9", "1", ".", "'s", ")", "\u3000", "\xa0", "\x85", "\x1c", " ", "\n", "<|endoftext|>", "\U0001f600", "'", "ll"]
+    units = list(dict.fromkeys("".join(rng.choice(ends + [" ", "\n"]) for _ in range(rng.randint(1, 6))) for _ in range(6000)))
+    texts = units + ["".join(f"{rng.choice(' \n')}{x}" for x in rng.choices(units, k=20)) for _ in range(300)]
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    calls, spec = [], token_files.tokenizer_json()
+
+    def plain(x):
+        ids, off = x.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(off, off[1:])]
+
+    for case in ("together", "apart", "other"):
+        encoder = token_files.Encoder(spec)
+        if case == "together":
+            single = encoder.single_ids
+            monkeypatch.setattr(encoder, "single_ids", lambda some: calls.append(len(some)) or single(some))
+            assert plain(encoder) == want and 0 < sum(calls) < 0.8 * len(encoder.index)
+            encoder.shrink()
+            assert plain(encoder) == want
+        elif case == "apart":
+            monkeypatch.setattr(encoder, "joined_ids", lambda some: None)
+            assert plain(encoder) == want
+        else:
+            encoder.id_bytes = encoder.id_bytes[:0]
+            assert plain(encoder) == want
+    encoder = token_files.Encoder(spec)
+    assert encoder.joined_ids([" a", "b"]) is None and encoder.joined_ids([" a", " b"])[1].tolist() == [1, 1]
+
+
 def test_token_files_in_document_order(spark, tokenizer):
     rows = edge_rows()
     docs = frame(spark, rows).select("*", F.lit(1).alias("my col"))
