@@ -19,7 +19,6 @@ its pieces (a fixed vocabulary) are broadcast.
 from __future__ import annotations
 
 import heapq
-import re
 import uuid
 from itertools import repeat
 
@@ -36,9 +35,10 @@ MARK = "▁"
 LONG = 40  # characters from which a unit uses the heap
 NONE = 1 << 30  # the rank of a pair that does not merge
 UNKNOWN = 1 << 21  # plus a code point: a character that is no piece
-CACHE_UNITS = 400_000
-CACHE_CELLS = 10_000_000  # symbols in the trees of a worker, 9 bytes each
-CACHE_NODES = 2_000_000  # of 30 bytes each
+CACHE_UNITS = 200_000
+CACHE_CELLS = 5_000_000  # symbols in the trees of a worker, 9 bytes each
+CACHE_NODES = 800_000  # of 30 bytes each
+DECODED = 1 << 16  # ids decoded at once
 
 
 def load(path: str = MODEL) -> dict:
@@ -99,19 +99,31 @@ class Codec:
         table = np.array(sorted((a << 22 | b, r, i) for a, b, r, i in pairs), dtype=np.int64).reshape(-1, 3)
         self.keys = np.ascontiguousarray(table[:, 0])
         self.ranks, self.merged = (table[:, k].astype(np.int32) for k in (1, 2))
+        # Open addressing: a pair's row is in the first free slot from its hash on, so a free slot ends a search.
+        self.shift = np.uint64(64 - max(4, (4 * len(self.keys)).bit_length()))
+        self.slots = np.full((1 << 64 - int(self.shift)) + len(self.keys) + 1, -1, dtype=np.int32)
+        at, row = self.slot(self.keys), np.arange(len(self.keys), dtype=np.int32)
+        while len(row):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = row[free]
+            on = self.slots[at] != row
+            at, row = at[on] + 1, row[on]
         self.of_byte = np.array(model["bytes"], dtype=np.int64)
         self.text = [p.replace(MARK, " ").encode() if model["plain"][i] else b"" for i, p in enumerate(model["pieces"])]
         for b, i in enumerate(model["bytes"]):
             self.text[i] = bytes([b])
+        self.text_bytes = np.frombuffer(b"".join(self.text), dtype=np.uint8)
+        self.text_size = np.array([len(x) for x in self.text], dtype=np.int64)
+        self.text_start = np.cumsum(self.text_size) - self.text_size
         # Characters of no piece end a unit; line breaks are the common ones.
-        broken = "".join(c for c in "\n\t\r" if self.char[ord(c)] >= UNKNOWN)
+        self.broken = np.zeros(256, dtype=bool)
+        self.broken[[b for b in b"\n\t\r" if self.char[b] >= UNKNOWN]] = True
         self.pairs: dict[int, int] | None = None
-        self.units = re.compile(f" *[^ {broken}]+| +|[{broken}]" if broken else " *[^ ]+| +")
         self.forget()
 
     def forget(self) -> None:
         """Drop the trees."""
-        self.index: dict[str, int] = {}  # units with a tree
+        self.index: dict[bytes, int] = {}  # units with a tree
         self.root = Column(np.int32)  # node, per unit
         # Nodes: the candidate's hash, its place, the nodes after a merge and after a skip (-1: not
         # grown), the symbols' number (0: an end) and row in their pool, or place and length of the ids.
@@ -125,11 +137,22 @@ class Codec:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if they do not merge) and merged id of pairs of symbols."""
-        key = left.astype(np.int64) << 22 | right
+        key = (left.astype(np.int64) << 22 | right).reshape(-1)
         if not len(self.keys):
-            return np.full(key.shape, NONE, dtype=np.int32), np.zeros(key.shape, dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], np.int32(NONE)), self.merged[at]
+            return np.full(left.shape, NONE, dtype=np.int32), np.zeros(left.shape, dtype=np.int32)
+        at = self.slot(key)
+        row = self.slots[at]
+        off = np.flatnonzero((row >= 0) & (self.keys[row] != key))
+        while len(off):
+            at[off] += 1
+            row[off] = r = self.slots[at[off]]
+            off = off[(r >= 0) & (self.keys[r] != key[off])]
+        rank = np.where(row >= 0, self.ranks[row], np.int32(NONE))
+        return rank.reshape(left.shape), self.merged[row].reshape(left.shape)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """Where the search for a pair begins."""
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     @staticmethod
     def candidate(place, left, right) -> np.ndarray:
@@ -141,8 +164,8 @@ class Codec:
         """The keyed hash's verdict on candidate merges of occurrences."""
         return mix(key ^ asked) < self.threshold
 
-    def settle(self, sym: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """New nodes for states of one width: their numbers."""
+    def settle(self, sym: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New nodes for states of one width: what they ask, its place, symbols (0: an end) and row."""
         n, width = sym.shape
         r = np.arange(n)
         best = rank.argmin(axis=1) if width > 1 else np.zeros(n, dtype=np.int64)
@@ -159,49 +182,74 @@ class Codec:
                 column.add(x[on])
             self.cells += len(on) * width
         end = np.flatnonzero(~going)
-        flat, off = self.to_ids(sym[end].reshape(-1).astype(np.int64), np.arange(len(end) + 1) * width)
-        row[end] = (self.store.n + off[:-1]) << 24 | np.diff(off)
-        self.store.add(flat)
+        if len(end):
+            flat, off = self.to_ids(sym[end].reshape(-1).astype(np.int64), np.arange(len(end) + 1) * width)
+            row[end] = (self.store.n + off[:-1]) << 24 | np.diff(off)
+            self.store.add(flat)
+        return asked, best.astype(np.int16), wide, row
+
+    def number(self, nodes: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """The numbers of settled nodes."""
         first = self.asked.n
-        for column, x in ((self.asked, asked), (self.best, best), (self.next, np.full((n, 2), -1)), (self.width, wide), (self.row, row)):
-            column.add(x)
-        return first + r
+        for column, x in zip((self.asked, self.best, self.width, self.row), zip(*nodes)):
+            column.add(np.concatenate(x))
+        n = self.asked.n - first
+        self.next.add(np.full((n, 2), -1, dtype=np.int32))
+        return first + np.arange(n)
 
     def plant(self, units: list[str]) -> None:
         """Roots of new units shorter than ``LONG``."""
         sym, begin = self.symbols(units)
         size = np.diff(begin)
-        root = np.zeros(len(units), dtype=np.int64)
+        root, found, nodes = np.zeros(len(units), dtype=np.int64), [], []
         for width in np.unique(size):
             which = np.flatnonzero(size == width)
             s = sym[begin[which][:, None] + np.arange(width)].astype(np.int32)
             place = np.broadcast_to(np.arange(width, dtype=np.int8), s.shape)
-            root[which] = self.settle(s, place, self.lookup(s[:, :-1], s[:, 1:])[0])
+            found.append(which)
+            nodes.append(self.settle(s, place, self.lookup(s[:, :-1], s[:, 1:])[0]))
+        root[np.concatenate(found)] = self.number(nodes)
         self.root.add(root)
 
     def grow(self, nodes: np.ndarray, skip: np.ndarray) -> None:
         """The nodes after a merge or a skip of the given nodes' candidates."""
-        wide = self.width.x[nodes]
-        for width in np.unique(wide).tolist():
+        then = self.width.x[nodes] - 1 + skip
+        found, settled = [], []
+        for width in np.unique(then).tolist():
+            at, states = [], []
             for side in (0, 1):
-                at = nodes[(wide == width) & (skip == side)]
-                if not len(at):
-                    continue
-                row, best, r = self.row.x[at], self.best.x[at].astype(np.int64), np.arange(len(at))
-                sym, place, rank = (c.x[row] for c in self.pools[width])
-                if side:
-                    rank[r, best] = NONE
-                else:
-                    merged = self.lookup(sym[r, best], sym[r, best + 1])[1]
-                    # Close the gap that the right part leaves.
-                    keep = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
-                    sym, place = (np.take_along_axis(x, keep, axis=1) for x in (sym, place))
-                    sym[r, best] = merged
-                    rank = np.take_along_axis(rank, keep[:, :-1].clip(max=width - 2), axis=1)
-                    for left in (best - 1, best):  # the new piece's neighbours
-                        ok = np.flatnonzero((left >= 0) & (left + 1 < width - 1))
-                        rank[ok, left[ok]] = self.lookup(sym[ok, left[ok]], sym[ok, left[ok] + 1])[0]
-                self.next.x[at, side] = self.settle(sym, place, rank)
+                which = np.flatnonzero((then == width) & (skip == side))
+                if len(which):
+                    at.append(which)
+                    states.append(self.skips(nodes[which]) if side else self.merges(nodes[which]))
+            found += at
+            settled.append(self.settle(*(states[0] if len(states) == 1 else map(np.concatenate, zip(*states)))))
+        at = np.concatenate(found)
+        self.next.x[nodes[at], skip[at]] = self.number(settled)
+
+    def states(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The best candidates' places, rows to index with, and symbols, places and ranks of nodes of one width."""
+        row = self.row.x[nodes]
+        return self.best.x[nodes].astype(np.int64), np.arange(len(nodes)), [c.x[row] for c in self.pools[int(self.width.x[nodes[0]])]]
+
+    def skips(self, nodes: np.ndarray) -> list[np.ndarray]:
+        best, r, (sym, place, rank) = self.states(nodes)
+        rank[r, best] = NONE
+        return [sym, place, rank]
+
+    def merges(self, nodes: np.ndarray) -> list[np.ndarray]:
+        best, r, (sym, place, rank) = self.states(nodes)
+        width = sym.shape[1]
+        merged = self.lookup(sym[r, best], sym[r, best + 1])[1]
+        # Close the gap that the right part leaves.
+        keep = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
+        sym, place = (np.take_along_axis(x, keep, axis=1) for x in (sym, place))
+        sym[r, best] = merged
+        rank = np.take_along_axis(rank, keep[:, :-1].clip(max=width - 2), axis=1)
+        for left in (best - 1, best):  # the new piece's neighbours
+            ok = np.flatnonzero((left >= 0) & (left + 1 < width - 1))
+            rank[ok, left[ok]] = self.lookup(sym[ok, left[ok]], sym[ok, left[ok] + 1])[0]
+        return [sym, place, rank]
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
         """The ends that occurrences come to from their units' roots."""
@@ -288,50 +336,87 @@ class Codec:
 
     # -- texts -------------------------------------------------------------------------------
 
-    def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    def unit_starts(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts that are not empty with a leading space, as bytes, their offsets (n + 1), and the bytes at which
+        a unit starts: a run of spaces with the characters up to the next space, or a character of no piece."""
+        some = t.off[:-1] < t.off[1:]
+        data = np.insert(t.data, t.off[:-1][some], 0x20)
+        off = t.off + np.append(0, np.cumsum(some))
+        space, broken = data == 0x20, self.broken[data]
+        start = broken.copy()
+        start[1:] |= broken[:-1] | space[1:] & ~space[:-1]
+        start[off[:-1][some]] = True
+        return data, off, np.flatnonzero(start)
+
+    def encode(self, texts: list[str | None] | pa.Array, doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets (n + 1)."""
         if len(self.index) > CACHE_UNITS or self.cells > CACHE_CELLS or self.asked.n > CACHE_NODES:
             self.forget()
-        units, per_doc = [], np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                u = self.units.findall(" " + t)
-                per_doc[i] = len(u)
-                units += u
-        if not units:
+        data, off, starts = self.unit_starts(Texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())))
+        if not len(starts):
             return np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
-        ends = np.cumsum(per_doc)
-        place = np.arange(len(units)) - np.repeat(ends - per_doc, per_doc)
+        first = np.searchsorted(starts, off)
+        per_doc = np.diff(first)
+        place = np.arange(len(starts)) - np.repeat(first[:-1], per_doc)
         ids = np.array([(d or 0) % 2**64 for d in doc_ids], dtype=np.uint64)
         key = mix(mix(np.repeat(mix(ids + self.seed), per_doc) ^ place.astype(np.uint64)) + self.seed)
-        index = self.index
-        new = [u for u in dict.fromkeys(units) if u not in index and len(u) < LONG]
-        if new:
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            self.plant(new)
+        # Units lie side by side and cover the texts.
+        spans = pa.py_buffer(np.append(starts, len(data)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, spans, pa.py_buffer(data)]).dictionary_encode()
+        which, units, index = found.indices.to_numpy(), found.dictionary.to_pylist(), self.index
         code = np.fromiter(map(index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        missing = np.flatnonzero(code < 0).tolist()
+        spelt = {i: units[i].decode() for i in missing}
+        new = [i for i in missing if len(spelt[i]) < LONG]
+        if new:
+            code[new] = np.arange(len(index), len(index) + len(new))
+            index.update(zip([units[i] for i in new], code[new].tolist()))
+            self.plant([spelt[i] for i in new])
+        code = code[which]
         short, long = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
-        start, size = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        start, size = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
         if len(short):
             end = self.walk(self.root.x[code[short]], key[short])
             row = self.row.x[end]
             start[short], size[short] = row >> 24, row & 0xFFFFFF
         store = self.store.x[:self.store.n]
         if len(long):
-            sym, begin = self.symbols([units[u] for u in long.tolist()])
+            sym, begin = self.symbols([spelt[i] for i in which[long].tolist()])
             got = [self.alone(sym[a:b], k) for a, b, k in zip(begin, begin[1:], key[long])]
-            flat, off = self.to_ids(np.concatenate(got), np.concatenate([[0], np.cumsum([len(g) for g in got])]))
-            start[long], size[long] = len(store) + off[:-1], np.diff(off)
+            flat, at = self.to_ids(np.concatenate(got), np.concatenate([[0], np.cumsum([len(g) for g in got])]))
+            start[long], size[long] = len(store) + at[:-1], np.diff(at)
             store = np.concatenate([store, flat])
-        total = np.cumsum(size)
-        at = np.repeat(start - (total - size), size) + np.arange(total[-1])
-        off = np.concatenate([[0], total])[np.concatenate([[0], ends])]
-        return store[at].astype(np.int64), off
+        total = np.append(0, np.cumsum(size))
+        at = np.repeat(start - total[:-1], size) + np.arange(total[-1])
+        return store[at].astype(np.int64), total[first]
 
     def decode(self, ids) -> str:
         """The text that was encoded."""
         return b"".join(map(self.text.__getitem__, ids)).decode()[1:]
 
+    def restores(self, texts: pa.Array, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether each text's ids, decoded, are its bytes again."""
+        t = Texts(texts)
+        total = np.append(0, np.cumsum(self.text_size[ids]))
+        data = np.empty(total[-1], dtype=np.uint8)
+        for k in range(0, len(ids), DECODED):
+            some = ids[k:k + DECODED]
+            size, upto = self.text_size[some], total[k:k + len(some) + 1]
+            data[upto[0]:upto[-1]] = self.text_bytes[np.repeat(self.text_start[some] - upto[:-1], size) + np.arange(upto[0], upto[-1])]
+        ends = total[off]
+        some = ends[:-1] < ends[1:]
+        data = np.delete(data, ends[:-1][some])  # the leading space
+        mine = np.diff(ends) - some
+        theirs = np.diff(t.off)
+        same = mine == theirs
+        if same.all():
+            other = t.data
+        else:
+            data, other = data[np.repeat(same, mine)], t.data[np.repeat(same, theirs)]
+        wrong = np.flatnonzero(data != other)
+        same[np.searchsorted(np.cumsum(np.where(same, mine, 0)), wrong, side="right")] = False
+        return same
+
 
 _CODECS: dict[tuple, Codec] = {}
 
@@ -352,14 +437,13 @@ def encode(documents: DataFrame, path: str = MODEL, dropout: float = DROPOUT, se
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(name, held, dropout, seed)
-        docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-        ids, off = c.encode(texts, docs)
-        listed = ids.tolist()
-        same = [None if t is None else c.decode(listed[a:b]) == t for t, a, b in zip(texts, off, off[1:])]
-        missing = pa.array([t is None for t in texts])
+        texts = part.column(1)
+        ids, off = c.encode(texts, part.column(0).to_pylist())
+        missing = texts.is_null()
+        same = pa.array(c.restores(texts, ids, off), mask=missing.to_numpy(zero_copy_only=False))
         arrays = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=missing)
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(np.diff(off)), arrays, pa.array(same, pa.bool_())],
+            [part.column(0), pa.array(np.diff(off)), arrays, same],
             ["doc_id", "n_tokens", "ids", "lossless"])
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return map_texts(rows, fn, "doc_id long, n_tokens long, ids array<int>, lossless boolean")

@@ -271,6 +271,53 @@ def test_every_occurrence_draws_for_itself(model):
     assert [list(p) for p in pieces] == parts
 
 
+def test_units_as_a_regular_expression_cuts_them(model):
+    c = subword.Codec(model, 0.0)
+    texts = [*mixed_texts(), "a\tb\r\n  c ", "\n", None, " \n ", "é  ▁ x"]
+    broken = "".join(x for x in "\n\t\r" if c.broken[ord(x)])
+    data, off, starts = c.unit_starts(subword.Texts(pa.array(["left out", *texts]).slice(1)))
+    for k, t in enumerate(texts):
+        at = [*starts[(starts >= off[k]) & (starts < off[k + 1])].tolist(), off[k + 1]]
+        want = re.findall(f" *[^ {broken}]+| +|[{broken}]", " " + t) if t else []
+        assert [bytes(data[a:b]).decode() for a, b in zip(at, at[1:])] == want
+
+
+def test_pairs_are_found_as_in_a_dictionary(model):
+    c, rng = subword.Codec(model, 0.0), np.random.default_rng(2)
+    table = dict(zip(c.keys.tolist(), zip(c.ranks.tolist(), c.merged.tolist())))
+    key = np.concatenate([c.keys, c.keys + 1, rng.integers(0, 1 << 43, 50_000)])
+    rank, merged = c.lookup(key >> 22, key & (1 << 22) - 1)
+    for k, r, m in zip(key.tolist(), rank.tolist(), merged.tolist()):
+        assert (r, m) == table[k] if k in table else r == subword.NONE
+
+
+def test_restores_judges_as_decoding_does(model):
+    c, rng = subword.Codec(model, 0.2, 5), random.Random(8)
+    texts = mixed_texts()
+    ids, off = c.encode(texts, range(len(texts)))
+    column = pa.array(["left out", *texts]).slice(1)
+    assert c.restores(column, ids, off).all()
+    piece = [i for i, x in enumerate(c.text) if len(x) > 1 and x.isascii()]
+    for _ in range(20):
+        other = ids.copy()
+        for k in rng.sample(range(len(ids)), 10):
+            other[k] = rng.choice(piece)
+        want = [b"".join(c.text[i] for i in other[a:b].tolist())[1:] == (t or "").encode() for t, a, b in zip(texts, off, off[1:])]
+        assert c.restores(column, other, off).tolist() == want and not all(want)
+
+
+def test_trees_take_bounded_memory(model):
+    """Two workers and an executor's heap share its memory; the trees of many different words stay small."""
+    rng, c, most = random.Random(4), subword.Codec(model, 0.1, 1), 0
+    for k in range(16):
+        text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(10_000))
+        ids, off = c.encode([text], [k])
+        assert c.decode(ids.tolist()) == text
+        held = [c.asked, c.best, c.next, c.width, c.row, c.store, c.root, *(x for pool in c.pools.values() for x in pool)]
+        most = max(most, sum(x.x.nbytes for x in held))
+    assert most < 120e6  # 147 MB before
+
+
 def test_encode_and_decode_in_spark(spark):
     docs = frame(spark, edge_rows())
     out = subword.encode(docs, seed=3)
