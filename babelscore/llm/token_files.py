@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Texts, split_batch
+from .common import Texts, byte_strings, split_batch
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -47,13 +47,16 @@ PAGE_ROWS = 1000
 CACHE_UNITS = 600_000
 CACHE_IDS = 6_000_000
 JOINED = 256  # new units in one text
+ENCODED_BYTES = 3 << 20  # of text at once: a unit is looked up once in them
 
 # White space (more than any tokeniser's), by its last byte or code point.
 IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 WIDE_BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+BLANKS = bytes(np.flatnonzero(IS_BLANK).tolist())
+JOINTS = b" \n"
 IS_JOINT = np.zeros(256, dtype=bool)
-IS_JOINT[[0x20, 0x0A]] = True
+IS_JOINT[[*JOINTS]] = True
 IS_MARK = np.zeros(256, dtype=bool)
 IS_MARK[[*b".,;:!?#*$%&|<>()"]] = True
 IS_LETTER = np.zeros(256, dtype=bool)
@@ -137,11 +140,13 @@ class Encoder:
         without white space, encoded in texts of many; None if they don't come apart where they should."""
         texts = ["".join(units[k:k + JOINED]) for k in range(0, len(units), JOINED)]
         t = Texts(pa.array(texts, pa.large_string()))
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), dtype=np.int64, count=len(units)))
-        if not np.isin(ends[:-1], unit_starts(t)).all():
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), dtype=np.int64, count=len(units)))
+        cut = np.zeros(len(t.data) + 1, dtype=bool)
+        cut[unit_starts(t)] = True
+        if not cut[ends[:-1]].all():
             return None
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids)))
+        flat = np.concatenate([np.array(x, dtype=np.int32) for x in ids])
         if flat.max(initial=-1) >= len(self.id_bytes):
             return None
         upto = np.cumsum(self.id_bytes[flat])
@@ -166,16 +171,23 @@ class Encoder:
         self.stored += len(flat)
         self.index.update(zip(units, range(old, n)))
 
-    def learn(self, units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        fit = [len(self.id_bytes) > 0 and x[0] in " \n" and len(x) > 1 and x.strip() == x[1:] for x in texts]
-        joint = [x for x, f in zip(texts, fit) if f]
-        found = self.joined_ids(joint) if joint else None
-        if found is not None:
-            self.add([u for u, f in zip(units, fit) if f], *found)
-            texts, units = [x for x, f in zip(texts, fit) if not f], [u for u, f in zip(units, fit) if not f]
-        if units:
-            self.add(units, *self.single_ids(texts))
+    def learn(self, units: list[bytes]) -> np.ndarray:
+        """Encodes new units; their numbers."""
+        # White space and its like beyond ASCII goes by the characters.
+        fit = np.zeros(len(units), dtype=bool)
+        if len(self.id_bytes):
+            fit[:] = [len(u) > 1 and u[0] in JOINTS and (u.strip(BLANKS) == u[1:] if u[1] < 0x80 > u[-1] else (x := u.decode()).strip() == x[1:])
+                      for u in units]
+        joint, first = list(compress(units, fit.tolist())), len(self.index)
+        found = self.joined_ids([u.decode() for u in joint]) if joint else None
+        if found is None:
+            joint, fit[:] = [], False
+        else:
+            self.add(joint, *found)
+        if len(joint) < len(units):
+            alone = list(compress(units, (~fit).tolist()))
+            self.add(alone, *self.single_ids([u.decode() for u in alone]))
+        return first + np.where(fit, np.cumsum(fit) - 1, len(joint) + np.cumsum(~fit) - 1)
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets (n + 1); ``end`` closes each."""
@@ -184,13 +196,11 @@ class Encoder:
         # Units lie side by side and cover the texts.
         spans = pa.py_buffer(np.append(starts, len(t.data)))
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, spans, pa.py_buffer(t.data)]).dictionary_encode()
-        which, units, index = found.indices.to_numpy(), found.dictionary.to_pylist(), self.index
+        which, units, index = found.indices.to_numpy(), byte_strings(found.dictionary), self.index
         code = np.fromiter(map(index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
         missing = np.flatnonzero(code < 0)
         if len(missing):
-            new = [units[i] for i in missing.tolist()]
-            self.learn(new)
-            code[missing] = np.fromiter(map(index.__getitem__, new), dtype=np.int64, count=len(new))
+            code[missing] = self.learn([units[i] for i in missing.tolist()])
         self.seen[code] += 1
         start, size = self.start[code][which], self.size[code][which]
         total = np.append(0, np.cumsum(size))
@@ -232,7 +242,7 @@ def write(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     def run(batches):
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in split_batch(batch, "text"):
+            for piece in split_batch(batch, "text", ENCODED_BYTES):
                 ids, off = encoder(name, held).encode(piece.column(2), end)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(piece.num_rows, part, dtype=np.int32)), pa.array(place + off[:-1]), piece.column(0),

@@ -286,6 +286,35 @@ def test_new_units_encode_together(tokenizer, monkeypatch):
     assert encoder.joined_ids([" a", "b"]) is None and encoder.joined_ids([" a", " b"])[1].tolist() == [1, 1]
 
 
+def test_units_are_looked_up_once_in_a_slice_of_some_megabytes(spark, tokenizer, monkeypatch, tmp_path):
+    """Each slice cuts, deals and looks up its own units, so many small ones repeat that work."""
+    texts = ["some words of text " * 1000 + str(k) for k in range(100)]  # 1.9 MB
+    calls, whole = [], token_files.split_batch
+    monkeypatch.setattr(token_files, "split_batch", lambda batch, text, *limit: calls.append(
+        [p.num_rows for p in whole(batch, text, *limit)]) or whole(batch, text, *limit))
+    run = []
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, fn, schema: run.append(fn) or self.sparkSession.createDataFrame([], schema))
+    token_files.write(frame, str(tmp_path / "files"))
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([0] * 100), pa.array(texts), pa.array([{"none": None}] * 100)],
+                                       ["doc_id", "tie", "text", "meta"])
+    out = pa.Table.from_batches(list(run[0]([batch])))
+    assert calls == [[100]]  # two slices before
+    assert out["ids"].to_pylist() == [[*tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_new_units_keep_their_numbers(tokenizer):
+    """Units that are encoded together and alone, mixed, get their own numbers."""
+    encoder = token_files.Encoder(token_files.tokenizer_json())
+    units = [b" a", b"b", b" \xc3\xa9", b"\nc", b"  ", b" d\xc2\xa0", b" e"]
+    found = encoder.learn(units)
+    assert found.tolist() == [encoder.index[u] for u in units] and sorted(found) == list(range(len(units)))
+    for u, k in zip(units, found):
+        ids = encoder.store[encoder.start[k]:encoder.start[k] + encoder.size[k]]
+        assert ids.tolist() == tokenizer.encode(u.decode(), add_special_tokens=False).ids
+
+
 def test_token_files_in_document_order(spark, tokenizer):
     rows = edge_rows()
     docs = frame(spark, rows).select("*", F.lit(1).alias("my col"))
