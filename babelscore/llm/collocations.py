@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import default_parallelism
 from .common import Texts, materialise, mix, split_batch, window_hashes
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -42,6 +43,7 @@ SHARD = 1 << 20  # phrases in a trie
 BITS = 1 << 26  # of a bitmap of phrases: 8 MB
 LOW = 0xFFFFFFFF
 HELD = 1 << 20  # rows combined in a task before they are shuffled
+SENT = 1 << 16  # rows that leave a Python worker at once
 
 IS_END = np.zeros(256, dtype=bool)
 IS_END[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -197,6 +199,12 @@ def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 # -- the scans -----------------------------------------------------------------------------------
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Sums and what is left of them, written as a file for each core and not for each partition of the shuffle before:
+    Hadoop's local file system starts a process (chmod) for every file, from an executor of full size."""
+    return materialise(df.repartition(default_parallelism(df.sparkSession)), name)
+
+
 def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
     """lang, word, h, n of all words."""
     names = ["lang", "word", "h", "n"]
@@ -218,12 +226,12 @@ def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
                 held = [summed()]
                 size = held[0].num_rows
                 if size >= HELD // 2:
-                    yield from held[0].to_batches()
+                    yield from held[0].to_batches(SENT)
                     held, size = [], 0
         if held:
-            yield from summed().to_batches()
+            yield from summed().to_batches(SENT)
     found = docs.mapInArrow(run, "lang string, word string, h long, n long").repartition("h")
-    return materialise(found.groupBy("h", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
+    return written(found.groupBy("h", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
 
 
 def scan(docs: DataFrame, seed: int, size: int, trie: tuple | None, bitmap: np.ndarray | None) -> DataFrame:
@@ -233,9 +241,11 @@ def scan(docs: DataFrame, seed: int, size: int, trie: tuple | None, bitmap: np.n
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast((trie, bitmap))
 
-    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key.view(np.int64)), pa.array(n)],
-                                          ["kind", "key", "n"])
+    def rows(kind: int, key: np.ndarray, n: np.ndarray):
+        for k in range(0, len(key), SENT):
+            some, many = key[k:k + SENT].view(np.int64), n[k:k + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(some), pa.array(many)],
+                                             ["kind", "key", "n"])
 
     def run(batches):
         trie, bitmap = held.value
@@ -253,13 +263,13 @@ def scan(docs: DataFrame, seed: int, size: int, trie: tuple | None, bitmap: np.n
             at = at[frequent[at] & frequent[at + 1]]
             if len(at):
                 for found in pairs.add(phrase[at] << np.uint64(32) | w.h[at + size] & np.uint64(0xFFFFFFFF)):
-                    yield rows(1, *found)
+                    yield from rows(1, *found)
         for found in pairs.rest():
-            yield rows(1, *found)
+            yield from rows(1, *found)
         if trie:
             n = counts[trie[0].slot]
             seen = n > 0
-            yield rows(0, trie[1][seen], n[seen])
+            yield from rows(0, trie[1][seen], n[seen])
     return docs.mapInArrow(run, "kind byte, key long, n long")
 
 
@@ -307,7 +317,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, seeds: int = 4)
     else:
         raise RuntimeError(f"words share hashes with each of {seeds} seeds")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    singles = materialise(with_hash(words.filter(F.col("n") >= least).select(
+    singles = written(with_hash(words.filter(F.col("n") >= least).select(
         "lang", F.array("h").alias("words"), F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))), "phrase-level")
     levels, before = [singles.drop("p")], singles
     found = scan(docs, seed, 1, None, bitmap_of(singles))
@@ -318,8 +328,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, seeds: int = 4)
         last = singles.select("lang", F.col("words")[0].alias("b"), F.col("phrase").alias("last")).withColumn("low_last", F.col("b").bitwiseAND(F.lit(LOW)))
         built = (pairs.join(before.withColumn("low_first", F.col("p").bitwiseAND(F.lit(LOW))), "low_first")
                  .join(last, ["low_last", "lang"])
-                 .select(F.monotonically_increasing_id().alias("id"), "lang", F.concat("words", F.array("b")).alias("words"),
+                 .select("lang", F.concat("words", F.array("b")).alias("words"),
                          F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(size).alias("size")))
+        # Numbered where they are written: a number must not change between a shuffle and its reader.
+        built = built.repartition(default_parallelism(docs.sparkSession)).select(F.monotonically_increasing_id().alias("id"), "*")
         candidates = materialise(with_hash(built), "phrase-candidates")
         n = candidates.count()
         if not n:
@@ -330,9 +342,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, seeds: int = 4)
         for more in scans[1:]:
             found = found.unionByName(more)
         # Both kinds are summed at once: counts by id, pairs by their hashes.
-        found = materialise(found.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-scan")
+        found = written(found.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-scan")
         counts = found.filter("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("f"))
-        before = materialise(candidates.join(counts, "id").select("lang", "words", "phrase", "size", "f", "p"), "phrase-level")
+        before = written(candidates.join(counts, "id").select("lang", "words", "phrase", "size", "f", "p"), "phrase-level")
         levels.append(before.drop("p"))
     out = levels[0]
     for more in levels[1:]:

@@ -183,6 +183,28 @@ def test_phrases_equal_plain_search(spark, seed, least, shard, monkeypatch):
     assert sorted(map(tuple, got)) == plain_phrases(rows, least, top=25)
 
 
+def test_phrase_tables_are_a_file_for_each_core(spark, monkeypatch):
+    """However many partitions the shuffles have, what they leave does not start a process for a file of each."""
+    files, whole, rng = [], collocations.materialise, random.Random(3)
+
+    def counted(df, name):
+        out = whole(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(collocations, "materialise", counted)
+    docs = [(k, " ".join(rng.choices([f"w{i}" for i in range(60)], k=200)), "en") for k in range(60)]
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = collocations.mine(spark.createDataFrame(docs, "doc_id long, text string, lang string"), least=3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found and len(files) > 6 and max(files) <= spark.sparkContext.defaultParallelism  # 40 before
+
+
 def test_no_phrases(spark):
     assert collocations.mine(empty(spark)).count() == 0
     assert collocations.mine(frame(spark, edge_rows()[:5])).count() == 0
